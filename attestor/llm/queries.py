@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import simhash
+from attestor.llm import langid, simhash
+from attestor.llm.shared import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,21 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the rows outside of the held-out third."""
+    return langid.fit(docs.where(fold("doc_id", 3) != 1).select(F.col("doc_id").alias("id"), "text", "lang"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, by models of the rows outside of the held-out third."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    found = langid.predict(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_language_id": op7_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are worked on in runs of about this many bytes, so memory does not follow the batch size.
-CHUNK_BYTES = 4 << 20
+#: Texts are worked on in runs of about this many bytes and rows, so memory does not follow the batch size.
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 512
+#: A side of a join is broadcast only when counted to have no more rows than this (16 bytes each).
+BROADCAST_ROWS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +57,27 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(rows)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, text, y) of documents with a label 0 or 1; repeated label rows count once, the larger label holds.
+
+    Labels go to the documents by broadcast while they are counted to be few, else both sides are shuffled.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(known, "id")
+
+
+def per_class_sample(rows: DataFrame, label: str, most: int) -> tuple[DataFrame, dict]:
+    """About ``most`` rows of each value of ``label`` (all, if fewer), picked by the hash of ``id``; and the counts."""
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    keep = F.lit(False)
+    for value, n in counts.items():
+        share = int(min(1.0, most / n) * (1 << 30))
+        keep = F.when(F.col(label) == value, F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).otherwise(keep)
+    return rows.where(keep), counts
+
+
 def utf8_rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and each row's bounds in it. Null counts as empty."""
     if col.null_count:
@@ -67,8 +90,25 @@ def utf8_rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
+def append_columns(docs: DataFrame, text_col: str, names: list[str], types: list[str], work: Callable[[pa.Array, np.ndarray, np.ndarray], list]) -> DataFrame:
+    """Add columns that ``work(texts, bytes, bounds)`` computes for a chunk of rows; null texts come as empty.
+
+    Columns of ``docs`` with these names are replaced, all others stay, whatever they are called.
+    """
+    docs = docs.drop(*names)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, bounds in text_chunks(batches, f"c{at}"):
+            made = work(rows.column(at), raw, bounds)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, made)], names=[*rows.schema.names, *names])
+
+    schema = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)] + [f"{n} {t}" for n, t in zip(names, types, strict=True)])
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema).toDF(*docs.columns, *names)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches into runs of about ``CHUNK_BYTES`` of text; a longer text makes a run of its own.
+    """Cut batches into runs of about ``CHUNK_BYTES`` of text; a longer text is never cut.
 
     Yields the rows, their bytes and ``n + 1`` bounds that start at 0.
     """
@@ -77,6 +117,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[
         first = 0
         while first < len(batch):
             last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK_BYTES, "right")) - 1)
+            last = min(last, first + CHUNK_ROWS)
             yield batch.slice(first, last - first), raw[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last
 
