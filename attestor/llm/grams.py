@@ -39,10 +39,13 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.multiply.accumulate(np.concatenate([ones[:1], np.full(size - 1, m, "u8")])) for m in (MULT, inverse))
 
 
-def words(raw: np.ndarray, at: np.ndarray, row: np.ndarray, inside: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, row, 64-bit hash) of each maximal run of ``inside`` bytes; runs end where rows end."""
+def words(raw: np.ndarray, row: np.ndarray, inside: np.ndarray = WORD_BYTE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, row, 64-bit hashes) of each maximal run of ``inside`` bytes; runs end where rows end.
+
+    Hashes have a column for the whole run, and one for each of its prefixes (0 where the run is no longer).
+    """
     if not len(raw):
-        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u8")
+        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros((0, 1 + len(prefixes)), "u8")
     letter = inside[raw]
     fresh = np.ones(len(raw), bool)
     fresh[1:] = (row[1:] != row[:-1]) | ~letter[:-1]
@@ -52,4 +55,10 @@ def words(raw: np.ndarray, at: np.ndarray, row: np.ndarray, inside: np.ndarray =
     stop = np.flatnonzero(letter & last) + 1
     up, down = _powers(1 << max(22, (len(raw) - 1).bit_length()))
     total = np.concatenate([np.zeros(1, "u8"), np.cumsum((raw.astype("u8") + np.uint64(1)) * up[: len(raw)], dtype="u8")])
-    return start, row[start], (total[stop] - total[start]) * down[start] * MULT
+    hashes = np.zeros((len(start), 1 + len(prefixes)), "u8")
+    hashes[:, 0] = (total[stop] - total[start]) * down[start] * MULT
+    for i, size in enumerate(prefixes, 1):
+        longer = np.flatnonzero(stop - start > size)
+        at = start[longer]
+        hashes[longer, i] = ((total[at + size] - total[at]) * down[at] + np.uint64(size)) * MULT
+    return start, row[start], hashes

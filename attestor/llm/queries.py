@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import langid, simhash
-from attestor.llm.shared import fold
+from attestor.llm import langid, quality, simhash, toxicity
+from attestor.llm.shared import fold, labelled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,27 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's chance of good quality, by a model of labelled rows outside of the held-out fifth."""
+    docs, held_out = _table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    known = labelled(docs, _table(spark, sf_dir, "labels").where(~held_out), "doc_id", "text", "quality")
+    found = quality.predict(docs.select("doc_id", "text"), quality.fit(known))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from labelled rows outside of the held-out third."""
+    return toxicity.fit(labelled(docs, labels.where(fold("doc_id", 3) != 1), "doc_id", "text", "toxic"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's chance of being toxic, by a model of labelled rows outside of the held-out third."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    found = toxicity.predict(docs.select("doc_id", "text"), toxicity_model(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     """Learned from the rows outside of the held-out third."""
     return langid.fit(docs.where(fold("doc_id", 3) != 1).select(F.col("doc_id").alias("id"), "text", "lang"))
@@ -35,6 +56,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
