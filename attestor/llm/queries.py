@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import langid, quality, simhash, toxicity
+from attestor.llm import langid, pii, quality, simhash, toxicity
 from attestor.llm.shared import fold, labelled
 
 
@@ -55,11 +55,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's personal data, plain and disguised."""
+    return pii.scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_pii": op10_pii,
 }
 
 #: None of these can be said in SQL on whole tables; tests compare them with brute force or held-out labels.
