@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import langid, pii, quality, simhash, toxicity
+from attestor.llm import bpe, langid, pii, quality, simhash, toxicity
 from attestor.llm.shared import fold, labelled
 
 
@@ -34,6 +35,12 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     return toxicity.fit(labelled(docs, labels.where(fold("doc_id", 3) != 1), "doc_id", "text", "toxic"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Each document's ids and decoded text as digests; ``path`` is a tokenizer file."""
+    found = bpe.digests(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's chance of being toxic, by a model of labelled rows outside of the held-out third."""
     docs = _table(spark, sf_dir, "documents")
@@ -62,6 +69,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
