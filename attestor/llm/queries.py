@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, langid, pii, quality, simhash, toxicity
-from attestor.llm.shared import fold, labelled
+from attestor.llm import bpe, langid, packing, pii, quality, simhash, token_files, toxicity
+from attestor.llm.shared import fold, labelled, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     return toxicity.fit(labelled(docs, labels.where(fold("doc_id", 3) != 1), "doc_id", "text", "toxic"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All documents as pieces of at most 2048 tokens, packed into sequences."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Each document's ids and decoded text as digests; ``path`` is a tokenizer file."""
     found = bpe.digests(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
@@ -49,6 +54,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Write all documents' token ids as files in the shared folder, and read each document back from them."""
+    folder = shared_dir(spark)
+    parts = token_files.write(_table(spark, sf_dir, "documents"), folder, path or public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, folder, parts)
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     """Learned from the rows outside of the held-out third."""
     return langid.fit(docs.where(fold("doc_id", 3) != 1).select(F.col("doc_id").alias("id"), "text", "lang"))
@@ -69,8 +81,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii": op10_pii,
