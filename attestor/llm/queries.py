@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, langid, packing, pii, quality, simhash, token_files, toxicity
+from attestor.llm import ann, bpe, langid, packing, pii, quality, simhash, token_files, toxicity, vector_dedup
 from attestor.llm.shared import fold, labelled, shared_dir
 
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of each vector whose id is divisible by 100."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint and the class of near-duplicates that it is in."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -40,6 +45,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = No
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links at cosine 0.98 within its label, and the class of near-duplicates that it is in."""
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Each document's ids and decoded text as digests; ``path`` is a tokenizer file."""
     found = bpe.digests(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
@@ -82,10 +92,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii": op10_pii,
 }
