@@ -1,13 +1,70 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's documents. All but the last return the columns of documents. Null and empty texts count as texts
+without a letter, so the first stage drops them; an empty table passes all stages as an empty table.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestor.llm import langid, packing, pii, simhash, toxicity
+from attestor.llm.queries import language_model, toxicity_model
+from attestor.llm.shared import BROADCAST_ROWS, stage
+
+#: A document is dropped as toxic from this score on.
+TOXIC = 0.7
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that are near enough to a language learned from the documents themselves."""
+    return langid.predict(docs, language_model(docs)).where("not rejected").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that score below ``TOXIC`` by a model of the labelled documents."""
+    model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.predict(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each group of near-duplicates; of rows that share an id, one stays."""
+    found = simhash.near_duplicates(docs)
+    leads = stage(found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("rows")))
+    total, most = leads.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
+    lead = leads.select(F.col("doc_id").alias("lead"))
+    kept = docs.join(F.broadcast(lead) if total <= BROADCAST_ROWS else lead, docs.doc_id.eqNullSafe(F.col("lead")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]) if most > 1 else kept
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data, plain or disguised, by its kind."""
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut documents into pieces of at most 2048 tokens and pack them into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("pii", mask_personal_data),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can express neither the learned stages nor the tokenizer; a test compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
