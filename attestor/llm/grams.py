@@ -39,6 +39,14 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.multiply.accumulate(np.concatenate([ones[:1], np.full(size - 1, m, "u8")])) for m in (MULT, inverse))
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of each span. Spans of up to a few hundred bytes that differ have different hashes but by chance."""
+    up, down = _powers(1 << max(22, (len(raw) - 1).bit_length()))
+    total = np.zeros(len(raw) + 1, "u8")
+    np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    return ((total[stop] - total[start]) * down[start] + (stop - start).astype("u8")) * MULT
+
+
 def words(raw: np.ndarray, row: np.ndarray, inside: np.ndarray = WORD_BYTE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, row, 64-bit hashes) of each maximal run of ``inside`` bytes; runs end where rows end.
 

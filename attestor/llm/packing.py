@@ -12,13 +12,12 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import stage
-from attestor.llm.token_ids import END, load
+from attestor.llm.shared import stage, text_chunks
+from attestor.llm.token_ids import little, load
 
 CAPACITY = 2048
 #: Pieces of one length are numbered in so many runs, each by a task of its own.
@@ -132,13 +131,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer)
-        for batch in batches:
-            made = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encoder.encode(text.as_py()) + np.array([END], "<u4").tobytes())
-                n = len(ids) // 4
+        for rows, raw, at in text_chunks(batches, "text"):
+            found, bounds = encoder.encode_rows(raw, at, end=True)
+            ids, made = little(found), []
+            for i, first, last in zip(rows.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                n = last - first
                 cuts = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
-                made += [(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                made += [(i, k, a, b - a, zlib.crc32(ids[4 * (first + a) : 4 * (first + b)])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = zip(*made, strict=True) if made else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in PIECE.split(", ")])

@@ -22,7 +22,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.token_ids import END, load
+from attestor.llm.shared import text_chunks
+from attestor.llm.token_ids import binary_rows, load
 
 #: Documents in one part file, about.
 PART_DOCS = 8192
@@ -112,15 +113,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     the bases of the parts are prefix sums of their counts.
     """
     rows, parts = _parted(docs, id_col, text_col)
-    narrow = "<u2" if load(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    narrow = load(tokenizer).dtype
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer)
-        for batch in batches:
-            for first in range(0, len(batch), 512):
-                piece = batch.slice(first, 512)
-                ids = [np.frombuffer(encoder.encode(t.as_py()), "<u4").astype(narrow).tobytes() for t in piece.column(2)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(ids, pa.binary())], names=["part", "id", "ids"])
+        for piece, raw, at in text_chunks(batches, "text"):
+            ids = binary_rows(*encoder.encode_rows(raw, at, end=True))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), ids], names=["part", "id", "ids"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, now = [], None
@@ -129,7 +128,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
                 if now is None or p != now.part:
                     made += [now.close()] if now else []
                     now = _PartWriter(folder, p)
-                now.add(i, np.append(np.frombuffer(data.as_buffer(), narrow), np.zeros(1, narrow) + END).astype("<u4"))
+                now.add(i, np.frombuffer(data.as_buffer(), narrow).astype("<u4"))
         made += [now.close()] if now else []
         columns = zip(*made, strict=True) if made else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["part", "docs", "ids"])
