@@ -2,7 +2,8 @@
 
 A data set is a folder with, for each part ``p``:
 
-* ``ids-p.bin``: the ids of the part's documents, one after the other, little-endian unsigned 32-bit;
+* ``ids-p.u2`` or ``ids-p.u4``: the ids of the part's documents, one after the other, little-endian unsigned integers of 16
+  bits where the vocabulary fits them, else of 32;
 * ``offsets-p.bin``: for each document the number of ids of all documents before it, in all parts, and at the
   end the part's own end; little-endian unsigned 64-bit;
 * ``docs-p.bin``: the document ids, little-endian signed 64-bit.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm.shared import text_chunks
-from attestor.llm.token_ids import binary_rows, load
+from attestor.llm.token_ids import binary_rows, little, load
 
 #: Documents in one part file, about.
 PART_DOCS = 8192
@@ -50,10 +51,10 @@ class _Draft:
 class _PartWriter:
     """Writes the documents of one part as they come; nothing but the running count is held."""
 
-    def __init__(self, folder: str, part: int) -> None:
+    def __init__(self, folder: str, part: int, width: str) -> None:
         store, path = _store(folder)
         self.part, self.docs, self.total = part, 0, 0
-        self.files = [_Draft(store, f"{path}/{kind}-{part:06d}.bin") for kind in ("ids", "docs", "ends")]
+        self.files = [_Draft(store, f"{path}/{name}") for name in (f"ids-{part:06d}.{width}", f"docs-{part:06d}.bin", f"ends-{part:06d}.bin")]
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs += 1
@@ -77,6 +78,14 @@ def mapped(store: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), dtype)
 
 
+def mapped_ids(store: fs.FileSystem, path: str, part: int) -> np.ndarray:
+    """The ids of a part, in the width that its file has."""
+    narrow = f"{path}/ids-{part:06d}.u2"
+    if store.get_file_info(narrow).type != fs.FileType.NotFound:
+        return mapped(store, narrow, "<u2")
+    return mapped(store, f"{path}/ids-{part:06d}.u4", "<u4")
+
+
 def _parted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(part, id, text), with parts that ascend by id and hold about as many documents each.
 
@@ -127,8 +136,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
             for p, i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if now is None or p != now.part:
                     made += [now.close()] if now else []
-                    now = _PartWriter(folder, p)
-                now.add(i, np.frombuffer(data.as_buffer(), narrow).astype("<u4"))
+                    now = _PartWriter(folder, p, narrow[1:])
+                now.add(i, np.frombuffer(data.as_buffer(), narrow))
         made += [now.close()] if now else []
         columns = zip(*made, strict=True) if made else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["part", "docs", "ids"])
@@ -167,11 +176,11 @@ def read(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
         for batch in batches:
             for p in batch.column(0).to_pylist():
                 store, path = _store(folder)
-                ids = memoryview(mapped(store, f"{path}/ids-{p:06d}.bin", "<u4")).cast("B")
+                ids = mapped_ids(store, path, p)
                 docs = mapped(store, f"{path}/docs-{p:06d}.bin", "<i8")
                 at = mapped(store, f"{path}/offsets-{p:06d}.bin", "<u8").astype("i8")
-                own = (at - at[0]) * 4
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(own.tolist(), own[1:].tolist(), strict=False)]
+                own = (at - at[0]).tolist()
+                crc = [zlib.crc32(little(ids[a:b])) for a, b in zip(own, own[1:], strict=False)]
                 null = np.asarray(docs) == -(1 << 63)
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(docs), mask=null), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -184,4 +193,4 @@ def document(folder: str, part: int, at: int) -> np.ndarray:
     store, path = _store(folder)
     offsets = mapped(store, f"{path}/offsets-{part:06d}.bin", "<u8")
     base = int(offsets[0])
-    return mapped(store, f"{path}/ids-{part:06d}.bin", "<u4")[int(offsets[at]) - base : int(offsets[at + 1]) - base]
+    return mapped_ids(store, path, part)[int(offsets[at]) - base : int(offsets[at + 1]) - base]
