@@ -1 +1 @@
-"""Evidence-centred data integration on PySpark DataFrames."""
+"""Evidence-centred data integration as DataFrame operators: scan, extract, normalise, audit, export."""
