@@ -100,7 +100,7 @@ def cluster_id(keys: Column) -> Column:
 
 def date_parts(parts: Column) -> Column:
     """``2024-03-01`` from an array of whole numbers."""
-    return F.array_join(F.transform(parts, lambda p: F.lpad(p.cast("string"), 2, "0")), "-")
+    return F.array_join(F.transform(parts, lambda p: F.lpad(p.cast("string"), F.greatest(F.lit(2), F.length(p.cast("string"))), F.lit("0"))), "-")
 
 
 def date_only(value: Column) -> Column:

@@ -63,7 +63,7 @@ def frames_of(path: str, content: bytes) -> list[tuple[str, str, pd.DataFrame]]:
 def read_tables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All tables of CSV, TSV, DAT and Excel files: (source_file, source_path, source_type, table_id, columns, rows, error).
 
-    Missing cells are null. A file is read by one task, so a table that is larger than a task's memory goes through
+    Missing cells are null; an empty file gives no row. A file is read by one task, so a table that is larger than a task's memory goes through
     :func:`read_delimited` instead.
     """
 

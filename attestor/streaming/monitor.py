@@ -91,11 +91,11 @@ def request_rates(requests: DataFrame, key: str, ts: str = "ts", seconds: int =
     return requests.withColumn("in_window", F.count("*").over(w))
 
 
-def accepted(requests: DataFrame, key: str, most: int = RATE, seconds: int = RATE_SECONDS) -> DataFrame:
+def accepted(requests: DataFrame, key: str, most: int = RATE, seconds: int = RATE_SECONDS, late: str = "10 minutes") -> DataFrame:
     """(key, ts, accepted) for a stream or batch of (key, ts): at most ``most`` accepted requests within ``seconds``.
 
     Only accepted requests count, so the decision needs those before it: the state of a client is the times of at most
-    ``most`` requests, and expires when the client is quiet.
+    ``most`` requests, and expires in event time when the client is quiet. On a stream, requests come ``late`` at most.
     """
 
     def decide(key_value: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -112,14 +112,15 @@ def accepted(requests: DataFrame, key: str, most: int = RATE, seconds: int = RAT
             kept += [now] if ok else []
             out.append((key_value[0], at, ok))
         state.update((kept,))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max(rows["ts"].max().value // 1_000_000 + 2 * seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "ts", "accepted"])
 
     kind = dict(requests.dtypes)[key]
     asked = requests.select(key, F.col("ts").cast("timestamp").alias("ts"))
     schema = f"{key} {kind}, ts timestamp, accepted boolean"
     if asked.isStreaming:
-        return asked.groupBy(key).applyInPandasWithState(decide, schema, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        timed = asked.withWatermark("ts", late)
+        return timed.groupBy(key).applyInPandasWithState(decide, schema, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     return asked.repartition(key).sortWithinPartitions(key, "ts").mapInPandas(_replay_rate(key, most, seconds), schema)
 
 

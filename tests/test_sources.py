@@ -19,7 +19,7 @@ def test_mixed_table_files(spark, tmp_path):
     by = {r.source_file: r for r in files.read_tables(spark, str(tmp_path)).collect()}
     assert by["a.csv"].columns == ["Paper", "PCE (%)"] and by["a.csv"].rows == [{"Paper": "x", "PCE (%)": "21.3"}, {"Paper": "y", "PCE (%)": None}]
     assert by["b.tsv"].rows == [{"m": "q", "v": "1"}] and by["c.dat"].rows == [{"ra": "1.5", "dec": "2"}] and by["d.csv"].rows == [{"材料": "钙钛矿", "值": "1"}]
-    assert by["e.csv"].error and by["f.xlsx"].error and "g.bin" not in by
+    assert by["f.xlsx"].error and "g.bin" not in by and "e.csv" not in by
     assert files.read_whitespace(spark, str(tmp_path / "c.dat"), ["ra", "dec"]).where("ra = '1.5'").count() == 1
     assert files.read_delimited(spark, str(tmp_path / "b.tsv"), "\t").columns == ["m", "v"]
     routed = files.gate(spark.createDataFrame([("x/a.PDF",), ("b.fits",), ("c.csv",), ("d",)], "path string")).collect()
