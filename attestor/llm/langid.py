@@ -111,17 +111,18 @@ def fit(rows: DataFrame, most: int = 500, per_language: int = 4) -> Model:
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``score`` (cosine with the nearest centroid, 0 to 1) and ``rejected`` to ``docs``.
 
-    Texts that are null, empty or without any letter get ``und`` with score 0 and are rejected, as are all
-    texts if nothing was learned. A text nearer to no centroid than its language's floor keeps the
-    nearest language in ``lang_pred`` and is rejected. Ties go to the first language by name. Columns of
-    ``docs`` with these names are replaced; all other columns stay.
+    Texts that are null, empty or without any letter get ``und`` with score 0 and are rejected. If nothing was
+    learned, all texts get ``und`` with score 0, and those with a letter are not rejected: there is no distance to
+    judge by. A text nearer to no centroid than its language's floor keeps the nearest language in ``lang_pred``
+    and is rejected. Ties go to the first language by name. Columns of ``docs`` with these names are replaced; all
+    other columns stay.
     """
 
     def work(texts: pa.Array, _raw: np.ndarray, _at: np.ndarray) -> list:
         n, lower = len(texts), pc.utf8_lower(texts)
         known = pc.fill_null(pc.match_substring_regex(lower, r"\p{L}"), False).to_numpy(zero_copy_only=False).astype(bool)
         if not model.langs:
-            return [[UNKNOWN] * n, np.zeros(n), np.ones(n, bool)]
+            return [[UNKNOWN] * n, np.zeros(n), ~known]
         cosine = _vectors(_counts(*_cut(*utf8_rows(lower))), model.idf) @ model.centroids.T
         near = cosine.argmax(1)
         score = np.where(known, np.clip(cosine[np.arange(n), near].astype("f8"), 0, 1), 0.0)

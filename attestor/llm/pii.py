@@ -49,7 +49,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, done))
     if DIGITS.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
                 found.append(("ip", m.start(), m.end()))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and _luhn(digits):

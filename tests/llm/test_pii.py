@@ -90,3 +90,9 @@ def test_scan_and_mask(spark):
     assert found[None].n_phone == 1 and found[5].spans == "email:0:13" and found[5].base_sha256 == found[1].base_sha256
     masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
     assert masked[3] == "[EMAIL] [IP]" and masked[1] is None and masked[5] == "[EMAIL]" and pii.mask(docs).columns == docs.columns
+
+
+def test_addresses_with_very_many_zeros():
+    zeros = "0" * 6000
+    assert pii.base_spans(f"{zeros}1.{zeros}.0255.9") == [("ip", 0, len(zeros) * 2 + 9)]
+    assert pii.base_spans(f"1.2.{zeros}256.9") == []
