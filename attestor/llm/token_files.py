@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from attestor.llm.shared import text_chunks
 from attestor.llm.token_ids import binary_rows, little, load
 
-#: Documents in one part file, about.
-PART_DOCS = 8192
+#: Documents in one part file, about, until there are so many parts; then parts grow instead.
+PART_DOCS, MOST_PARTS = 8192, 10_000
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -86,31 +86,15 @@ def mapped_ids(store: fs.FileSystem, path: str, part: int) -> np.ndarray:
     return mapped(store, f"{path}/ids-{part:06d}.u4", "<u4")
 
 
-def _parted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(part, id, text), with parts that ascend by id and hold about as many documents each.
+def _bounds(ids: DataFrame) -> np.ndarray:
+    """Ids that end the parts, so that parts ascend by id and hold about as many documents each.
 
-    The bounds are quantiles of the id column alone, so that no text is read for them. Null ids come first.
+    They are quantiles of the id column alone, so that no text is read for them; there are ``MOST_PARTS`` at most.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total = ids.count()
-    parts = max(1, -(-total // PART_DOCS))
+    parts = min(max(1, -(-ids.count() // PART_DOCS)), MOST_PARTS)
     shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("id", shares, max(10000, 20 * parts)).alias("b")).first().b or [])) if shares else []
-    table = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    part = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(table, lambda b: b < F.col("id")))) if len(bounds) < 64 else _bisect(bounds)
-    return ids.select(part.cast("int").alias("part"), "id", "text"), len(bounds) + 1
-
-
-def _bisect(bounds: list[int]) -> F.Column:
-    """Number of bounds below ``id``, by a tree of comparisons: a level for each doubling of the parts."""
-
-    def below(first: int, last: int) -> F.Column:
-        if first == last:
-            return F.lit(first)
-        middle = (first + last) // 2
-        return F.when(F.col("id") <= bounds[middle], below(first, middle)).otherwise(below(middle + 1, last))
-
-    return F.when(F.col("id").isNull(), 0).otherwise(below(0, len(bounds)))
+    found = ids.agg(F.percentile_approx("id", shares, max(10000, 20 * parts)).alias("b")).first().b if shares else None
+    return np.unique(np.array(found or [], "i8"))
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,14 +105,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     writes no part. Ids are made before the shuffle by part; each part is written by one task of its own, and
     the bases of the parts are prefix sums of their counts.
     """
-    rows, parts = _parted(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bounds = _bounds(rows.select("id"))
+    parts = len(bounds) + 1
     narrow = load(tokenizer).dtype
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer)
         for piece, raw, at in text_chunks(batches, "text"):
             ids = binary_rows(*encoder.encode_rows(raw, at, end=True))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), ids], names=["part", "id", "ids"])
+            part = np.searchsorted(bounds, piece.column(0).fill_null(-(1 << 63)).to_numpy())  # null ids come first
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype("i4")), piece.column(0), ids], names=["part", "id", "ids"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, now = [], None
