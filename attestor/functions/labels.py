@@ -47,6 +47,12 @@ def field_tokens(name: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(spaced), F.lit(r"([a-z0-9]+)"), F.lit(1))))
 
 
+def has_word(name: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words of a field name is in a list: one pattern instead of a token set."""
+    spaced = F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), r"([a-z0-9])([A-Z])", "$1 $2"))
+    return spaced.rlike(rf"(?:^|[^a-z0-9])(?:{'|'.join(words)})(?:[^a-z0-9]|$)")
+
+
 def field_key(name: Column) -> Column:
     """A field name without regard to the order and spelling of its words."""
     key = F.array_join(field_tokens(name), "_")
