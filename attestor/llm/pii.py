@@ -79,18 +79,24 @@ HIDDEN = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
-    "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 NAME = "|".join(sorted(SPELLED, key=len, reverse=True))
+#: Names that hardly stand for anything else; a run has some of them, so texts without any need no closer look.
+TELLING = "|".join(n for n in SPELLED if n not in ("un", "oh", "one", "dos", "uno"))
 #: A run of at least three spelled digits, which digits and separators may stand between; "plus" may lead it.
 RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?(?:(?:{NAME}|[0-9]+|dot|point)(?:[ ,./()-]{{1,3}})){{2,}}(?:{NAME}|[0-9]+)(?!\w)")
-RUN_HINT = re.compile(rf"(?i)(?<!\w)(?:{NAME})(?=[ ,./()-])")
+RUN_HINT = re.compile(rf"(?i)(?<!\w)(?:{TELLING})(?!\w)|(?<!\w)(?:{NAME})[ ,./()-]{{1,3}}(?:{NAME})[ ,./()-]{{1,3}}(?:{NAME})(?!\w)")
 RUN_PART = re.compile(rf"(?i)plus|dot|point|{NAME}|[0-9]+|[ ,./()-]+")
 #: at and dot in brackets of any kind, or bare between blanks.
 BRACKETED = re.compile(r"(?i)[ \t]{0,3}[\[({<][ \t]{0,3}(at|dot|@|\.)[ \t]{0,3}[\])}>][ \t]{0,3}")
-BARE_EMAIL = re.compile(r"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+(?: at |@| @ )[A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)+")
+BARE_EMAIL = re.compile(r"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+(?: at |@| @ )(?!(?:at|dot)\b)[A-Za-z0-9-]+(?:(?: dot | \. |\.)(?!(?:at|dot)\b)[A-Za-z0-9-]+)+")
 BARE = re.compile(r"(?i) at | dot | @ | \. ")
+#: The same with underscores or hyphens for blanks, and addresses whose numbers are parted by "dot".
+JOINED_EMAIL = re.compile(r"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9.%+]+([_-])at\1[A-Za-z0-9]+(?:\1dot\1[A-Za-z0-9]+)+(?![A-Za-z0-9_-])")
+JOINED = re.compile(r"(?i)([_-])(at|dot)(?=[_-])[_-]")
+BARE_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?: dot |\.| \. )[0-9]{1,3}){3}(?![\w])")
 ENTITY = re.compile(r"(?i)(?P<at>&(?:#0*64|commat|#x0*40);|%40)|&(?:#0*46|period|#x0*2e);")
 
 
@@ -167,7 +173,7 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 
 def normalise(text: str) -> Mapped:
-    """Undo disguises by four rewrites in turn: look-alike glyphs, entities and brackets, bare at/dot, spelled digits."""
+    """Undo disguises by rewrites in turn: look-alike glyphs, entities and brackets, bare and joined at/dot, spelled digits."""
     found = Mapped(text)
     if not _western(text):
         found.rewrite(_glyphs(found.text))
@@ -182,6 +188,11 @@ def normalise(text: str) -> Mapped:
             if " at " not in m[0].lower() or " dot " in m[0].lower():
                 edits += [(s.start(), s.end(), "@" if s[0].strip().lower() in ("at", "@") else ".") for s in BARE.finditer(found.text, m.start(), m.end())]
         found.rewrite(edits)
+    if "dot" in lower and ("_at_" in lower or "-at-" in lower):
+        joined = JOINED_EMAIL.finditer(found.text)
+        found.rewrite([(s.start(), s.end(), "@" if s[2].lower() == "at" else ".") for m in joined for s in JOINED.finditer(found.text, m.start(), m.end())])
+    if " dot " in lower and DIGITS.search(lower):
+        found.rewrite([(s.start(), s.end(), ".") for m in BARE_IP.finditer(found.text) for s in BARE.finditer(found.text, m.start(), m.end())])
     found.rewrite(_spelled(found.text))
     return found
 
@@ -191,7 +202,8 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
 
     All spans are the base ones and those that only show in the normalised text, mapped back to source
     characters: from the first source character of a match to its last, disguise included. One that
-    overlaps a base span is not added.
+    overlaps base spans is added only if it is larger than each of them, holds them and is of their kind: the plain
+    part of an identifier that is disguised elsewhere.
     """
     text = text or ""
     base = base_spans(text)
@@ -201,7 +213,8 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     more = []
     for kind, a, b in base_spans(clear.text):
         a, b = clear.source(a, b)
-        if not any(x < b and a < y for _, x, y in base):
+        met = [s for s in base if s[1] < b and a < s[2]]
+        if all(k == kind and a <= x and y <= b and (a, b) != (x, y) for k, x, y in met):
             more.append((kind, a, b))
     return base, sorted({*base, *more}, key=_order)
 

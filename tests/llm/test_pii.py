@@ -96,3 +96,19 @@ def test_addresses_with_very_many_zeros():
     zeros = "0" * 6000
     assert pii.base_spans(f"{zeros}1.{zeros}.0255.9") == [("ip", 0, len(zeros) * 2 + 9)]
     assert pii.base_spans(f"1.2.{zeros}256.9") == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("x john_at_example_dot_com y", [("email", "john_at_example_dot_com")]),
+        ("john-at-example-dot-com", [("email", "john-at-example-dot-com")]),
+        ("host 192 dot 168 dot 1 dot 1 is up", [("ip", "192 dot 168 dot 1 dot 1")]),
+        ("jo​hn@example.com", [("email", "jo​hn@example.com"), ("email", "hn@example.com")]),
+        ("plus quatre neuf un deux trois quatre cinq six sept huit neuf", [("phone", "plus quatre neuf un deux trois quatre cinq six sept huit neuf")]),
+        ("meet at noon dot dot dot", []),
+        ("un homme et un chat, one or two of them at home dot", []),
+    ],
+)
+def test_more_disguises(text, want):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == want
