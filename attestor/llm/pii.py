@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.shared import CHUNK_ROWS
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -266,8 +268,10 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            masked = pa.array([mask_text(t.as_py()) for t in batch.column(at)], pa.string())
-            yield batch.set_column(at, f"c{at}", masked)
+            for first in range(0, len(batch), CHUNK_ROWS):
+                rows = batch.slice(first, CHUNK_ROWS)
+                masked = pa.array([mask_text(t.as_py()) for t in rows.column(at)], pa.string())
+                yield rows.set_column(at, f"c{at}", masked)
 
     schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(work, schema).toDF(*docs.columns)

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from attestor.llm.grams import rows_of, span_hashes
 
 #: Longer units are not remembered; the memory has so many places, and starts anew when its ids are so many.
-LONGEST, PLACES, STORED = 48, 1 << 21, 1 << 24
+LONGEST, PLACES, STORED = 48, 1 << 20, 1 << 23
 #: The id that ends each document.
 END = 0
 #: White space in ASCII as the tokenizer's patterns have it, and control signs that are taken for it to be safe.
@@ -126,7 +126,7 @@ class IdEncoder:
         place, size = np.zeros(len(start), "i8"), np.zeros(len(start), "i8")
         short = np.flatnonzero(~long)
         h = span_hashes(raw, start[short], stop[short])
-        slot = (h >> np.uint64(43)).astype("i8")
+        slot = (h >> np.uint64(44)).astype("i8")
         hit = (self.key[slot] == h) & (self.size[slot] >= 0)
         place[short[hit]], size[short[hit]] = self.place[slot[hit]], self.size[slot[hit]]
         extra, more = [], self.used
@@ -147,7 +147,7 @@ class IdEncoder:
         kept = more
         if kept <= STORED:
             self.store[self.used : kept] = np.concatenate(extra) if extra else []
-            slots = (new >> np.uint64(43)).astype("i8")
+            slots = (new >> np.uint64(44)).astype("i8")
             self.key[slots], self.place[slots], self.size[slots] = new, places, sizes
             extra, self.used = [], kept
         for j in np.flatnonzero(long):
