@@ -85,11 +85,11 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 NAME = "|".join(sorted(SPELLED, key=len, reverse=True))
-#: Names that hardly stand for anything else; a run has some of them, so texts without any need no closer look.
-TELLING = "|".join(n for n in SPELLED if n not in ("un", "oh", "one", "dos", "uno"))
+#: All but the article "un"; a run has some of them, so texts without any need no closer look.
+TELLING = "|".join(n for n in sorted(SPELLED, key=len, reverse=True) if n != "un")
 #: A run of at least three spelled digits, which digits and separators may stand between; "plus" may lead it.
 RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?(?:(?:{NAME}|[0-9]+|dot|point)(?:[ ,./()-]{{1,3}})){{2,}}(?:{NAME}|[0-9]+)(?!\w)")
-RUN_HINT = re.compile(rf"(?i)(?<!\w)(?:{TELLING})(?!\w)|(?<!\w)(?:{NAME})[ ,./()-]{{1,3}}(?:{NAME})[ ,./()-]{{1,3}}(?:{NAME})(?!\w)")
+RUN_HINT = re.compile(rf"(?i)(?<!\w)(?:{TELLING})(?=[ ,./()-])")
 RUN_PART = re.compile(rf"(?i)plus|dot|point|{NAME}|[0-9]+|[ ,./()-]+")
 #: at and dot in brackets of any kind, or bare between blanks.
 BRACKETED = re.compile(r"(?i)[ \t]{0,3}[\[({<][ \t]{0,3}(at|dot|@|\.)[ \t]{0,3}[\])}>][ \t]{0,3}")
