@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.graph import components
-from attestor.llm.shared import stage
+from attestor.llm.shared import BROADCAST_ROWS, stage
 
 SEED = 42
 
@@ -33,15 +33,18 @@ def fingerprint_of(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): each row's fingerprint as a signed 64-bit integer. A null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, **also: Column) -> DataFrame:
+    """(id, fp) and ``also``, which are longs: each row's fingerprint as a signed 64-bit integer. A null text counts as empty."""
+
+    names = ["id", "fp", *also]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint_of(t.as_py(), words) for t in batch.column(1)], dtype="u8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("i8"))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("i8")), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in also.items()))
+    return rows.mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
 
 def ball(fp: str, radius: int) -> F.Column:
@@ -72,16 +75,37 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     return chained.where(F.col("prev").isNotNull() & near).select(F.col("prev").alias("a"), F.col("node").alias("b"))
 
 
+def _rooted(points: DataFrame, radius: int) -> DataFrame:
+    """Add ``root`` to ``points`` (fp, distinct): the least fingerprint reachable; ids play no part, so they may repeat or be null."""
+    roots = components(links(points.select(F.col("fp").alias("node"), "fp"), radius), "a", "b")
+    return points.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component): ``component`` is the least id reachable through fingerprints that differ in ``radius`` bits at most.
 
     Every input row gives a row. Null texts count as empty, so they share fingerprint 0, which links like any
-    other. Rows with a null id are kept, with the component of their fingerprint (null if it has no id at
-    all). Equal fingerprints are brought together first, so a group of copies costs one row; extra columns
-    of any name are ignored. An empty table gives an empty result.
+    other. Rows with a null id are kept and link like others, with the component of their fingerprint (null if it
+    has no id at all). Equal fingerprints are brought together first, so a group of copies costs one row; extra
+    columns of any name are ignored. An empty table gives an empty result.
     """
     prints = stage(fingerprints(docs, id_col, text_col, words))
-    points = stage(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    roots = components(links(points.where("node is not null"), radius), "a", "b")
-    labelled = stage(points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component")))
+    points = stage(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    rooted = stage(_rooted(points, radius))
+    # only components of several fingerprints need the least of their ids; they are few, or dealt by AQE
+    shared = stage(rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component")).where("n > 1").drop("n"))
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    component = F.when(F.col("own").isNull(), F.col("least")).otherwise(F.col("component"))
+    labelled = stage(rooted.join(shared.withColumnRenamed("root", "own"), F.col("root") == F.col("own"), "left").select("fp", component.alias("component")))
     return prints.join(labelled, "fp").select("id", "fp", "component")
+
+
+def leads(docs: DataFrame, mark: Column, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """(id, mark, rows): for each component its row of least id, nulls last, and least ``mark``; ``rows`` have both.
+
+    ``mark`` is a hash of a row's content, a long. One key holds a component however ids repeat, since components are of fingerprints.
+    """
+    prints = stage(fingerprints(docs, id_col, text_col, words, mark=mark))
+    counted = prints.groupBy("fp", "id", "mark").agg(F.count("*").alias("rows"))
+    points = stage(counted.groupBy("fp").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "mark", "rows")).alias("lead")))
+    return _rooted(points, radius).groupBy("root").agg(F.min("lead").alias("lead")).select("lead.id", "lead.mark", "lead.rows")

@@ -31,13 +31,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near-duplicates; of rows that share an id, one stays."""
-    found = simhash.near_duplicates(docs)
-    leads = stage(found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("rows")))
-    total, most = leads.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
-    lead = leads.select(F.col("doc_id").alias("lead"))
-    kept = docs.join(F.broadcast(lead) if total <= BROADCAST_ROWS else lead, docs.doc_id.eqNullSafe(F.col("lead")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if most > 1 else kept
+    """Keep one document of each group of near-duplicates: that of least id, nulls last, and then of least hash.
+
+    Groups are of texts, so different texts stay whether their ids are null or repeated. Of rows that are equal in all columns one stays.
+    """
+    mark = F.xxhash64(*docs.columns, *map(F.isnull, docs.columns))
+    leads = stage(simhash.leads(docs, mark).toDF("_lead", "_mark", "_rows"))
+    total, most = leads.agg(F.count("*"), F.coalesce(F.max("_rows"), F.lit(0))).first()
+
+    def kept(lead: DataFrame) -> DataFrame:
+        lead = F.broadcast(lead) if total <= BROADCAST_ROWS else lead
+        return docs.join(lead, (mark == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_lead")), "left_semi")
+
+    once = kept(leads.where("_rows = 1") if most > 1 else leads)
+    return once.unionByName(kept(leads.where("_rows > 1")).dropDuplicates()) if most > 1 else once
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,17 @@ def test_edge_rows_pass_every_stage(spark):
     for _, step in pipeline.STAGES:
         empty = step(spark, empty, D)
         assert empty.count() == 0
+
+
+def test_near_duplicates_leave_one_row_of_each_text_whatever_the_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two, three, four, five = ("red green blue", "sun moon stars", "tea milk sugar", "iron steel copper", "oak elm ash")
+    rows = [(None, one), (None, two), (None, two), (None, three), (1, three), (2, four), (2, five), (2, five), (4, one), (5, five)]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], schema)
+    out = pipeline.drop_near_duplicates(spark, docs, D)
+    assert out.columns == docs.columns
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted([(None, two), (1, three), (2, four), (2, five), (4, one)], key=key)
+    mixed = spark.createDataFrame([(6, one, "en", None, 1), (6, one, None, "en", 1), (6, one.upper(), "en", None, 1)], schema)
+    kept = [pipeline.drop_near_duplicates(spark, mixed.repartition(n), D).collect() for n in (1, 3)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]

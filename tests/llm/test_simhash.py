@@ -76,3 +76,14 @@ def test_components_on_paths_hubs_and_repeats(spark):
     real = [p for p in pairs if None not in p and p[0] != p[1]]
     assert {r.node: r.root for r in found} == classes({n for p in real for n in p}, real)
     assert len(found) == len({r.node for r in found})
+
+
+def test_fingerprints_without_an_id_link_and_repeated_ids_do_not(spark, monkeypatch):
+    codes = {"a": 0, "b": 0b11, "c": 0b1111, "x": 0xFF << 40, "y": 0xFFFF << 20}
+    rows = [(9, "c"), (None, "b"), (7, "a"), (None, "b"), (3, "x"), (3, "y"), (None, "y")]
+    points = spark.createDataFrame([(codes[t], i) for i, t in rows], "fp long, id long").groupBy("fp").agg({"id": "min"})
+    roots = {r.fp: r.root for r in simhash._rooted(points, 2).collect()}
+    assert roots == {codes["a"]: 0, codes["b"]: 0, codes["c"]: 0, codes["x"]: codes["x"], codes["y"]: codes["y"]}
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame([(i, codes[t]) for i, t in rows], "id long, fp long"))
+    found = simhash.near_duplicates(None).collect()
+    assert sorted((r.component, r.fp) for r in found) == sorted((3 if t in "xy" else 7, codes[t]) for _, t in rows)
