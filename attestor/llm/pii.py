@@ -88,17 +88,30 @@ NAME = "|".join(sorted(SPELLED, key=len, reverse=True))
 #: All but the article "un"; a run has some of them, so texts without any need no closer look.
 TELLING = "|".join(n for n in sorted(SPELLED, key=len, reverse=True) if n != "un")
 #: A run of at least three spelled digits, which digits and separators may stand between; "plus" may lead it.
-RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?(?:(?:{NAME}|[0-9]+|dot|point)(?:[ ,./()-]{{1,3}})){{2,}}(?:{NAME}|[0-9]+)(?!\w)")
+RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?(?:(?:{NAME}|[0-9]+|dot|point|punkt|punto)(?:[ ,./()-]{{1,3}})){{2,}}(?:{NAME}|[0-9]+)(?!\w)")
 RUN_HINT = re.compile(rf"(?i)(?<!\w)(?:{TELLING})(?=[ ,./()-])")
-RUN_PART = re.compile(rf"(?i)plus|dot|point|{NAME}|[0-9]+|[ ,./()-]+")
+RUN_PART = re.compile(rf"(?i)plus|dot|point|punkt|punto|{NAME}|[0-9]+|[ ,./()-]+")
+#: at and dot by their names in the four languages of the corpus (fixed values). "point" is a dot beside a sign that no prose has, not beside "at".
+AT_NAMES = "arobase|arrobase|arroba|klammeraffe"
+DOT_NAMES = "dot|punkt|punto|point"
+ATS, DOTS = ("at", "ät", *AT_NAMES.split("|")), (*DOT_NAMES.split("|"), ".")
+LABEL = re.compile(r"[A-Za-z0-9-]+")
 #: at and dot in brackets of any kind, or bare between blanks.
-BRACKETED = re.compile(r"(?i)[ \t]{0,3}[\[({<][ \t]{0,3}(at|dot|@|\.)[ \t]{0,3}[\])}>][ \t]{0,3}")
-BARE_EMAIL = re.compile(r"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+(?: at |@| @ )(?!(?:at|dot)\b)[A-Za-z0-9-]+(?:(?: dot | \. |\.)(?!(?:at|dot)\b)[A-Za-z0-9-]+)+")
-BARE = re.compile(r"(?i) at | dot | @ | \. ")
+BRACKETED = re.compile(rf"(?i)[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(at|ät|{AT_NAMES}|{DOT_NAMES}|@|\.)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}")
+#: A run of words with dots between, taken whole so that it is read once, and what makes it an address, if that follows.
+BARE_EMAIL = re.compile(
+    rf"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++(?: (?:{DOT_NAMES}|\.) (?!(?:at|ät|dot|{AT_NAMES})\b)[A-Za-z0-9._%+-]++)*+"
+    rf"(?:(?P<at> (?:at|ät|{AT_NAMES}) |@| @ )(?!(?:at|dot)\b)[A-Za-z0-9-]+(?:(?: (?:{DOT_NAMES}|\.) |\.)(?!(?:at|dot)\b)[A-Za-z0-9-]+)+)?"
+)
+BARE = re.compile(rf"(?i) at | (?:{DOT_NAMES}) | @ | \. ")
+BARE_DOT = re.compile(rf"(?i) ({DOT_NAMES}|\.) ")
 #: The same with underscores or hyphens for blanks, and addresses whose numbers are parted by "dot".
-JOINED_EMAIL = re.compile(r"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9.%+]+([_-])at\1[A-Za-z0-9]+(?:\1dot\1[A-Za-z0-9]+)+(?![A-Za-z0-9_-])")
-JOINED = re.compile(r"(?i)([_-])(at|dot)(?=[_-])[_-]")
-BARE_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?: dot |\.| \. )[0-9]{1,3}){3}(?![\w])")
+JOINED_WORD = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++")
+JOINED_AT = re.compile(rf"(?i)([_-])(at|{AT_NAMES})(?=\1)[_-]")
+JOINED_DOT = {mark: re.compile(rf"(?i){mark}({DOT_NAMES})(?={mark})[_-]") for mark in "_-"}
+JOINED_HINT = re.compile(rf"(?i)[_-](?:at|{AT_NAMES})[_-]")
+BARE_IP = re.compile(rf"(?i)(?<![\w.])[0-9]{{1,3}}(?:(?: (?:{DOT_NAMES}) |\.| \. )[0-9]{{1,3}}){{3}}(?![\w])")
+IP_HINT = re.compile(rf"(?i)[0-9] (?:{DOT_NAMES}) [0-9]")
 ENTITY = re.compile(r"(?i)(?P<at>&(?:#0*64|commat|#x0*40);|%40)|&(?:#0*46|period|#x0*2e);")
 
 
@@ -167,13 +180,61 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
         if sum(p[2] in SPELLED for p in parts) < 3:
             continue
         for a, b, p in parts:
-            new = SPELLED.get(p) or {"plus": "+", "dot": ".", "point": "."}.get(p)
+            new = SPELLED.get(p) or {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}.get(p)
             if new is None:
                 new = p if p[0].isdigit() else ("." if "." in p else "")
             edits.append((a, b, new))
     return edits
 
 
+def _bare(text: str) -> list[tuple[int, int, str]]:
+    """Edits of addresses with bare at and dot.
+
+    "dot" always counts. Other dots are words or ends of sentences too: in the local part they count if the domain has
+    the same one, in the domain if the at sign is spelled, "point" not by "at", or if a plain one has no plain dot before.
+    """
+    edits = []
+    for m in BARE_EMAIL.finditer(text):
+        if m["at"] is None:
+            continue
+        sign, first, last, stop = m["at"].strip().lower(), m.start(), m.end("at"), m.end()
+        after = []
+        for d in BARE_DOT.finditer(text, last, stop):
+            name = d[1].lower()
+            bare = name == "point" if sign in ("at", "ät") else sign == "@" and name not in ("dot", ".") and "." in text[last : d.start()]
+            if bare:
+                stop = d.start()
+                break
+            after.append((d.start(), d.end(), name))
+        names, before = {"dot", *(name for *_, name in after)}, []
+        for d in BARE_DOT.finditer(text, first, m.start("at")):
+            before = [*before, (d.start(), d.end(), d[1].lower())] if d[1].lower() in names else []
+        if not after and "." not in text[last:stop] or sign in ("at", "ät") and {name for *_, name in before + after} <= {"."}:
+            continue
+        sign_edit = [(m.start("at"), last, "@")] if m["at"] != "@" else []
+        edits += [(a, b, ".") for a, b, _ in before] + sign_edit + [(a, b, ".") for a, b, _ in after]
+    return edits
+
+
+def _joined(text: str) -> list[tuple[int, int, str]]:
+    """Edits of addresses with at and dot between underscores or hyphens; the last at of a word counts."""
+    edits = []
+    for m in JOINED_WORD.finditer(text):
+        if not JOINED_HINT.search(m[0]):
+            continue
+        *_, at = JOINED_AT.finditer(text, m.start(), m.end())
+        dots = [d for d in JOINED_DOT[at[1]].finditer(text, at.end(), m.start() + len(m[0].rstrip("._%+-"))) if at[2].lower() != "at" or d[1].lower() != "point"]
+        if not dots or at.start() == m.start():
+            continue
+        bounds = [at.end(), *(b for d in dots for b in d.span()), m.start() + len(m[0].rstrip("._%+-"))]
+        labels = [part for a, b in zip(bounds[::2], bounds[1::2], strict=True) for part in text[a:b].split(".")]
+        if all(LABEL.fullmatch(part) for part in labels) and labels[-1].isalnum():
+            names = {"dot", *(d[1].lower() for d in dots)}
+            dots = [d for d in JOINED_DOT[at[1]].finditer(text, m.start(), at.start()) if d[1].lower() in names and d.start() > m.start()] + dots
+            edits += sorted([(*at.span(), "@"), *((*d.span(), ".") for d in dots)])
+    return edits
+
+
 def normalise(text: str) -> Mapped:
     """Undo disguises by rewrites in turn: look-alike glyphs, entities and brackets, bare and joined at/dot, spelled digits."""
     found = Mapped(text)
@@ -182,18 +243,14 @@ def normalise(text: str) -> Mapped:
     if "&" in found.text or "%40" in found.text:
         found.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in ENTITY.finditer(found.text)])
     if any(b in found.text for b in "[({<"):
-        found.rewrite([(m.start(), m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in BRACKETED.finditer(found.text)])
+        found.rewrite([(m.start(), m.end(), "." if m[1].lower() in DOTS else "@") for m in BRACKETED.finditer(found.text)])
     lower = found.text.lower()
-    if "@ " in lower or " @" in lower or (" at " in lower and " dot " in lower):
-        edits = []
-        for m in BARE_EMAIL.finditer(found.text):
-            if " at " not in m[0].lower() or " dot " in m[0].lower():
-                edits += [(s.start(), s.end(), "@" if s[0].strip().lower() in ("at", "@") else ".") for s in BARE.finditer(found.text, m.start(), m.end())]
-        found.rewrite(edits)
-    if "dot" in lower and ("_at_" in lower or "-at-" in lower):
-        joined = JOINED_EMAIL.finditer(found.text)
-        found.rewrite([(s.start(), s.end(), "@" if s[2].lower() == "at" else ".") for m in joined for s in JOINED.finditer(found.text, m.start(), m.end())])
-    if " dot " in lower and DIGITS.search(lower):
+    dots = [n for n in DOTS if f" {n} " in lower]
+    if "@ " in lower or " @" in lower or (dots and "@" in lower) or (set(dots) - {"point", "."} and (" at " in lower or " ät " in lower)) or any(n in lower for n in ATS[2:]):
+        found.rewrite(_bare(found.text))
+    if any(f"{c}{n}{c}" in lower for n in ATS for c in "_-") and any(n in lower for n in DOTS[:-1]):
+        found.rewrite(_joined(found.text))
+    if dots and IP_HINT.search(lower):
         found.rewrite([(s.start(), s.end(), ".") for m in BARE_IP.finditer(found.text) for s in BARE.finditer(found.text, m.start(), m.end())])
     found.rewrite(_spelled(found.text))
     return found

@@ -112,3 +112,52 @@ def test_addresses_with_very_many_zeros():
 )
 def test_more_disguises(text, want):
     assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == want
+
+
+@pytest.mark.parametrize(
+    "address",
+    [
+        "john dot smith at example dot com",
+        "john dot q dot smith at mail dot example dot com",
+        "john . smith @ example . com",
+        "john dot smith@example.com",
+        "john dot smith at example.com",
+        "john_dot_smith_at_example_dot_com",
+        "john_smith_at_example_dot_com",
+        "john-smith_at_example_dot_com",
+        "john-dot-smith-at-my-example-dot-com",
+        "jean point dupont arobase exemple point fr",
+        "jean arobase exemple.fr",
+        "juan punto perez arroba ejemplo punto es",
+        "hans punkt meier at beispiel punkt de",
+        "hans ät beispiel punkt de",
+        "jean_point_dupont_arobase_exemple_point_fr",
+        "juan (arroba) ejemplo (punto) es",
+        "jean [arobase] exemple [point] fr",
+    ],
+)
+def test_whole_addresses_with_at_and_dot_in_four_languages(address):
+    assert [(k, f"ask: {address}, now"[a:b]) for k, a, b in pii.find(f"ask: {address}, now")[1] if b - a == len(address)] == [("email", address)]
+    assert pii.mask_text(f"ask: {address}, now") == "ask: [EMAIL], now"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("we looked at this point because", "we looked at this point because"),
+        ("at the end . ann at example dot com", "at the end . [EMAIL]"),
+        ("write to ann@example.com point by point", "write to [EMAIL] point by point"),
+        ("en ese punto juan@ejemplo.es", "en ese punto [EMAIL]"),
+        ("value_at_break_point_x and look_at_that", "value_at_break_point_x and look_at_that"),
+        ("host 192 punkt 168 punkt 1 punkt 1 da", "host [IP] da"),
+    ],
+)
+def test_words_that_are_dots_elsewhere(text, want):
+    assert pii.mask_text(text) == want
+
+
+def test_runs_of_at_and_dot_take_linear_time():
+    began = time.time()
+    for text in ["a dot " * 50000 + "at ", "a at " * 50000, "a_dot_" * 50000 + "at_", "a_at_" * 50000 + "b_dot_c", "a . " * 50000 + "@ b", "x@y dot " * 40000, "a dot b@" * 40000, "a at b dot " * 40000]:
+        pii.find(text)
+    assert time.time() - began < 20
