@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType
 from attestor.functions.text import compact_lines, pack_lines, slices, squash, squeeze
 from attestor.operators.common import first_per_key
 
-HEADING_SCORE, HEADINGS_A_FILE, LINES_A_BLOCK = 2.5, 80, 120
+HEADING_SCORE, HEADINGS_A_FILE = 2.5, 80
 ROWS_A_REQUEST, TEXT_A_REQUEST = 80, 3200
 
 # Words that make a block worth reading, and what its section adds.
@@ -85,15 +85,20 @@ def heading_score(text: Column, line: Column, larger: Column, bold: Column) -> C
 
 
 def headings(blocks: DataFrame) -> DataFrame:
-    """Lines of text blocks that look like headings, with two lines before and three after; 80 a file at most."""
-    lines = F.slice(F.filter(F.transform(F.split("text", r"\R"), lambda x: F.trim(x)), lambda x: x != ""), 1, LINES_A_BLOCK)
+    """Lines of text blocks that look like headings, with two lines before and three after; 80 a file at most.
+
+    All lines of a block are looked at, however long it is: a block may be a whole file.
+    """
+    lines = F.filter(F.transform(F.split("text", r"\R"), lambda x: F.trim(x)), lambda x: x != "")
     rows = blocks.select("source_file", F.coalesce("page", F.lit(1)).alias("page"), "ordinal", lines.alias("lines"))
-    rows = rows.select("*", F.posexplode("lines").alias("line", "raw"))
+    # each line takes its neighbours along instead of all lines of its block
+    before = lambda i: F.array_join(F.slice("lines", F.greatest(F.lit(1), i - 1), F.least(F.lit(2), i)), " ")
+    after = lambda i: F.array_join(F.slice("lines", i + 2, 3), " ")
+    beside = F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("raw"), F.left(before(i), F.lit(800)).alias("before"), F.left(after(i), F.lit(1200)).alias("after")))
+    rows = rows.select("source_file", "page", F.explode(beside).alias("l")).select("source_file", "page", "l.*")
     text = F.regexp_replace(squeeze(F.col("raw")), r"^[ .]+|[ .]+$", "")
     rows = rows.withColumn("text", text).withColumn("score", heading_score(F.col("text"), F.col("line"), F.lit(False), F.lit(False))).where(F.col("score") >= HEADING_SCORE)
-    before = F.array_join(F.slice("lines", F.greatest(F.lit(1), F.col("line") - 1), F.least(F.lit(2), F.col("line"))), " ")
-    after = F.array_join(F.slice("lines", F.col("line") + 2, 3), " ")
-    rows = rows.select("source_file", "page", "line", "text", "score", F.left(before, F.lit(800)).alias("before"), F.left(after, F.lit(1200)).alias("after"))
+    rows = rows.select("source_file", "page", "line", "text", "score", "before", "after")
     once = first_per_key(rows, ["source_file", "page", F.lower("text")], [F.col("line"), -F.col("score")])
     placed = once.withColumn("_n", F.row_number().over(Window.partitionBy("source_file").orderBy("page", "line", F.desc("score"))))
     return placed.where(F.col("_n") <= HEADINGS_A_FILE).drop("_n")

@@ -245,6 +245,13 @@ def test_sections(spark):
     assert "".join(long) == "ab\n" * 10 + "x" * 30 + "\nend" and max(map(len, long)) <= 8
 
 
+def test_headings_beyond_120_lines_of_a_block(spark):
+    lines = [f"body number {i} goes on and on, without an end." for i in range(150)] + ["2. Methods", "what we did goes here, and on.", "References"]
+    found = sections.headings(spark.createDataFrame([("a", 1, "\n\n".join(lines), 1)], "source_file string, page int, text string, ordinal int")).orderBy("line").collect()
+    assert [(r.line, r.text) for r in found] == [(150, "2. Methods"), (152, "References")]
+    assert found[0].before == " ".join(lines[148:150]) and found[0].after == " ".join(lines[151:]) and found[1].after == ""
+
+
 def test_clustering(spark):
     schema = "source_id string, keys array<string>, ordinal int, provider string, confidence double, metadata map<string,string>"
     rows = [
