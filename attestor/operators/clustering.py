@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,6 @@ from attestor.functions.values import json_held, json_plain
 
 #: Fields that describe the merge itself and are never compared.
 OWN_FIELDS = ("provider", "source_records", "source_ids", "providers", "alternate_urls", "source_conflicts")
-#: A component with more records than this is merged as one cluster, without the replay of their order.
-REPLAY = 10_000
 
 
 def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "keys", rounds: int = 40) -> DataFrame:
@@ -22,9 +18,7 @@ def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "k
     Each round passes the least root over the keys and back, two aggregates with partial sums, so a key that many
     records share is no burden. Rounds end when nothing changes; each is cut off by a reliable checkpoint.
     """
-    spark = sources.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark))
+    _set_folder(sources.sparkSession)
     links = sources.select(F.col(id_col).alias("id"), F.explode(keys_col).alias("key")).distinct().checkpoint()
     now = sources.select(F.col(id_col).alias("id"), F.col(id_col).alias("root")).distinct()
     for _ in range(rounds):
@@ -40,6 +34,11 @@ def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "k
     raise ValueError("clusters did not settle")
 
 
+def _set_folder(spark) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark))
+
+
 def _local_folder(spark) -> str:
     import tempfile
 
@@ -49,30 +48,27 @@ def _local_folder(spark) -> str:
 
 
 def greedy_clusters(sources: DataFrame, rooted: DataFrame) -> DataFrame:
-    """(id, cluster): clusters as they come out when records are added one by one.
+    """(id, cluster): clusters as they come out when records are added one by one, whatever the size of a component.
 
     ``sources`` has (source_id, keys, ordinal). A record joins the cluster that its first known key leads to and brings its other
-    keys along; a record that would bridge two clusters does not merge them. Only records of one component can meet, so
-    each component is replayed on its own; a component beyond ``REPLAY`` records stays whole, so no task holds more.
+    keys along; a record that would bridge two clusters does not merge them. Only records of one component can meet. A key leads
+    to the cluster of the first record that has it, so a record follows that record of its first key which an earlier one
+    has, and clusters are the ends of these paths: aggregates by key and rounds that halve the paths, no replay of a component.
     """
-    sized = rooted.join(rooted.groupBy("root").agg(F.count("*").alias("size")), "root")
-    met = sources.select(F.col("source_id").alias("id"), "keys", "ordinal").join(sized, "id")
-    large = met.where(F.col("size") > REPLAY).select("id", F.col("root").alias("cluster"))
-    kind = dict(sources.dtypes)["source_id"]
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        led: dict[str, object] = {}
-        cluster = []
-        group = group.sort_values("ordinal")
-        for own, keys in zip(group["id"], group["keys"], strict=True):
-            home = next((led[k] for k in keys if k in led), own)
-            for k in keys:
-                led.setdefault(k, home)
-            cluster.append(home)
-        return pd.DataFrame({"id": group["id"], "cluster": cluster})
-
-    small = met.where(F.col("size") <= REPLAY).groupBy("root").applyInPandas(lambda g: replay(g), f"id {kind}, cluster {kind}")
-    return small.unionByName(large)
+    _set_folder(sources.sparkSession)
+    # the place of a record in the order: never null, ties by id
+    place = F.struct(F.isnull("ordinal").alias("none"), "ordinal", "id")
+    met = sources.select(F.col("source_id").alias("id"), "keys", "ordinal").join(rooted, "id").select("id", "root", place.alias("at"), "keys").checkpoint()
+    keyed = met.select("root", "at", F.posexplode("keys").alias("nth", "key")).where("key is not null")
+    first = keyed.groupBy("root", "key").agg(F.min("at").alias("first"))
+    known = keyed.join(first, ["root", "key"]).where("first < at").groupBy("at").agg(F.min(F.struct("nth", "first"))["first"].alias("up"))
+    now = met.select("at").distinct().join(known, "at", "left").select("at", F.coalesce("up", "at").alias("up")).checkpoint()
+    while True:
+        ahead = now.where("up <> at").select(F.col("at").alias("_at"), F.col("up").alias("_up"))
+        now = now.join(ahead, F.col("up") == F.col("_at"), "left").select("at", F.coalesce("_up", "up").alias("up"), F.col("_up").isNotNull().alias("moved")).checkpoint()
+        if not now.where("moved").limit(1).count():
+            return met.select("at", "id").join(now, "at").select("id", F.col("up.id").alias("cluster"))
+        now = now.select("at", "up")
 
 
 def merge_clusters(sources: DataFrame, clustered: DataFrame) -> DataFrame:

@@ -271,6 +271,22 @@ def test_clustering(spark):
     assert [(r.cluster, r.field, r.kept) for r in clustering.value_conflicts(given, greedy).collect()] == [("c", "published", "2024-01-01")]
 
 
+def test_greedy_clusters_equal_adding_records_one_by_one(spark):
+    rng = random.Random(4)
+    rows = [(i, [f"k{rng.randrange(900)}" for _ in range(rng.randrange(4))], o) for o, i in enumerate(rng.sample(range(3000), 1500))]
+    rows += [(5000, ["left"], 2000), (5001, ["right"], 2001), (5002, ["left", "right"], 2002)] + [(6000 + i, [rng.choice(["left", "right"])], 3000 + i) for i in range(10000)]
+    rows += [(20000 + i, [f"c{i - 1}", f"c{i}"], 20000 + i) for i in range(40)]
+    led, want = {}, {}
+    for own, keys, _ in sorted(rows, key=lambda r: r[2]):
+        want[own] = next((led[k] for k in keys if k in led), own)
+        for k in keys:
+            led.setdefault(k, want[own])
+    rng.shuffle(rows)
+    given = spark.createDataFrame(rows, "source_id int, keys array<string>, ordinal int")
+    found = clustering.greedy_clusters(given, clustering.components(given)).collect()
+    assert len(found) == len(rows) and {r.id: r.cluster for r in found} == want and want[5002] == 5000 and want[5001] == 5001
+
+
 def test_components_of_long_chains(spark):
     n = 200
     rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(n)] + [(1000 + i, ["hub"]) for i in range(50)]
