@@ -57,11 +57,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's chance of being toxic, by a model of labelled rows outside of the held-out third."""
+    """Each document's chance of being toxic and its offending sentences, by a model of labelled rows outside of the held-out third."""
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     found = toxicity.predict(docs.select("doc_id", "text"), toxicity_model(docs, _table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "sentences")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
+import math
+import re
 import zlib
 
 import duckdb
 import numpy as np
 
-from attestor.llm import quality, queries, toxicity
+from attestor.llm import grams, quality, queries, toxicity
 
 D = "/root/testdata/sf0.01"
 
@@ -58,8 +60,7 @@ def test_toxicity_scores_and_sentences(spark):
     rows = spark.createDataFrame([(text,), ("w1 w2. w5",)], "text string")
     bad, good = toxicity.predict(rows, model).collect()
     assert bad.score > 0.7 and good.score < 0.2
-    spans = toxicity.offending(rows, model).collect()
-    assert [text[s.start : s.stop] for s in spans[0].sentences] == ["Nasty FOOL! "] and spans[1].sentences == []
+    assert [text[s.start : s.stop] for s in bad.sentences] == ["Nasty FOOL! "] and good.sentences == []
     found = toxicity.predict(edge_rows(spark), model).collect()
     assert found[0].score == found[1].score == found[2].score == 0 and all(0 <= r.score <= 1 for r in found)
     assert toxicity.predict(rows.limit(0), model).count() == 0
@@ -85,5 +86,59 @@ def test_held_out_toxicity(spark):
     y = truth("toxic", 3)
     assert (found.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in found.doc_id]).all()
     held = found[found.held_out & found.doc_id.isin(list(y))]
-    assert (held.predicted == held.doc_id.map(y)).mean() >= 0.9
+    y = held.doc_id.map(y)
+    assert y[held.predicted == 1].mean() >= 0.9 and (held.predicted[y == 1] == 1).mean() >= 0.6
     assert found.score.between(0, 1).all()
+    assert (found.sentences.map(len)[found.predicted == 0] <= 2).all() and (found.sentences.map(len)[found.predicted == 1] > 0).mean() > 0.9
+
+
+def plain_toxicity(text, model):
+    """The score, sentence by sentence and word by word, from the model's weights."""
+    weights = dict(zip(model.known.tolist(), model.weights.tolist(), strict=True))
+    mult, mask = int(grams.MULT), (1 << 64) - 1
+
+    def feature(word, whole):
+        total = sum((b + 1) * pow(mult, i, 1 << 64) for i, b in enumerate(word))
+        return (total + (0 if whole else len(word))) * mult & mask
+
+    bags = []
+    for part in re.split("(?<=[.!?\n。！？｡؟۔।…])", text or ""):
+        found = re.findall(r"[A-Za-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in re.sub("[。！？｡؟۔।…]", ".", part)))
+        if found:
+            of = [w.encode() for w in found]
+            bags.append(sum(weights.get(feature(w, True), 0.0) + sum(weights.get(feature(w[:n], False), 0.0) for n in toxicity.PREFIXES if len(w) > n) for w in of))
+    less = math.log(max(1.0, len(bags) / model.usual))
+    return 1 - math.exp(-sum(math.log1p(math.exp(model.bias + b - less)) for b in bags))
+
+
+def test_toxicity_scores_equal_a_plain_computation(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    model = queries.toxicity_model(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    assert len(model.known) > 5 and model.usual > 1
+    found = toxicity.predict(docs.where("doc_id < 300").select("doc_id", "text"), model).collect()
+    assert all(abs(r.score - plain_toxicity(r.text, model)) < 1e-9 for r in found)
+
+
+def test_long_clean_texts_are_not_toxic(spark, monkeypatch):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    labels = spark.read.parquet(f"{D}/labels.parquet").dropDuplicates(["doc_id"])
+    model = queries.toxicity_model(docs, labels)
+    clean = toxicity.predict(docs.join(labels.where("toxic = 0"), "doc_id", "left_semi"), model).where("score < 0.5").orderBy("doc_id").select("text").collect()
+    joined = "\n".join(r.text for r in clean)
+    toxic = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").select("text").first().text
+    texts = [joined * (1 + 1_000_000 // len(joined)), joined * (1 + 8_000_000 // len(joined)), "This is a fine day. " * 10_000, clean[0].text * 500, "word" * 1_000_000, (toxic + " ") * 300]
+    scores = [toxicity.predict(spark.createDataFrame([(t,)], "text string"), model).first().score for t in texts]
+    assert max(scores[:5]) < 0.7 and scores[5] >= 0.7
+    monkeypatch.setattr(toxicity, "WINDOW", 5000)  # windows change nothing
+    raw = np.frombuffer(joined.encode(), "u1")
+    small = toxicity._scored(model, raw, np.array([0, len(raw)]))
+    monkeypatch.undo()
+    whole = toxicity._scored(model, raw, np.array([0, len(raw)]))
+    assert all(np.allclose(a, b) for a, b in zip(small, whole, strict=True))
+
+
+def test_sentences_end_in_other_scripts(spark):
+    model = toxicity.fit(learned_rows(spark, "toxic"))
+    text = "w1 w2。nasty fool！w3 w4।w5"
+    found = toxicity.predict(spark.createDataFrame([(text,)], "text string"), model).first()
+    assert [text[s.start : s.stop] for s in found.sentences] == ["nasty fool！"]
