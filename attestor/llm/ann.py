@@ -3,150 +3,256 @@
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import bounded_sample, stage
+from attestor.llm.shared import BROADCAST_ROWS, bounded_sample, stage, unstage
 
-#: Rows of the index, and queries, that one task holds at a time.
+#: Tables, by how many substrings a code has; and bits of a substring at least and at most.
+TABLES, LEAST_BITS, MOST_BITS = (16, 32), 8, 24
+#: Rows, and queries, that one task holds where a query's radius is widened to the whole code.
 SHARD, BLOCK = 8192, 4096
-SUBSTRING_BITS = 8
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], "u1")
 
 
 @dataclass
 class Model:
-    """Codes are the signs of ``(x - mean) @ rotation``; ``radius``: differing bits within which neighbours are looked for."""
+    """Codes are the signs of ``(x - mean) @ directions``; their first bits are cut into ``tables`` substrings of ``bits`` bits.
+
+    A query probes each table with all values within ``near`` bits of its own substring. By the pigeonhole principle that finds every code
+    within :attr:`radius` bits of the query's; codes beyond it that a table brings too are kept up to ``cut`` differing bits.
+    """
 
     mean: np.ndarray
-    rotation: np.ndarray
-    radius: int
+    directions: np.ndarray
+    bits: int
+    tables: int
+    near: int
+    cut: int
+
+    @property
+    def radius(self) -> int:
+        return self.tables * (self.near + 1) - 1
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """One row of substrings (8 bits each) a vector."""
-        bits = (x - self.mean) @ self.rotation > 0
-        return np.packbits(bits, axis=1)
+    @property
+    def words(self) -> int:
+        """64-bit words of a whole code."""
+        return -(-self.directions.shape[1] // 64)
 
+    def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(substrings, words) of each vector: the same bits, once by table and once packed for comparing whole codes."""
+        on = (x - self.mean) @ self.directions > 0
+        weight = 1 << np.arange(self.bits, dtype="i8")
+        packed = np.zeros((len(x), self.words * 8), "u1")
+        row = np.packbits(on, axis=1)
+        packed[:, : row.shape[1]] = row
+        return on[:, : self.tables * self.bits].reshape(len(x), self.tables, self.bits) @ weight, packed.view("i8")
 
-def usable(vector: str) -> F.Column:
+    def masks(self) -> np.ndarray:
+        """All patterns of at most ``near`` set bits."""
+        sets = itertools.chain.from_iterable(itertools.combinations(range(self.bits), n) for n in range(self.near + 1))
+        return np.array([sum(1 << i for i in s) for s in sets], "i8")
+
+
+def usable(vector: str) -> Column:
     """Neither null nor zero, and without null or non-finite components."""
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def fit(vectors: DataFrame, k: int = 10, sample: int = 20_000, queries: int = 200, recall: float = 0.98, rounds: int = 20) -> Model | None:
-    """Learn from at most ``sample`` rows of (id, v), the same ones at each run.
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(column), -1)
 
-    Directions are the sample's principal axes; an orthogonal rotation is then fitted in turns with the signs, so that
-    codes lose little. The radius is the least that holds ``recall`` of the true ``k`` nearest of
-    ``queries`` sampled rows within the sample (in a larger table they are nearer). None without rows.
-    """
-    rows = bounded_sample(vectors, F.col("id"), sample).select("id", "v").collect()
-    if not rows:
-        return None
-    x = np.array([r.v for r in rows], "f8")
-    mean = x.mean(0)
-    centred = x - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    v = centred @ axes
-    r = np.linalg.qr(np.random.default_rng(0).normal(size=(v.shape[1], v.shape[1])))[0]
+
+def _rotation(x: np.ndarray, seed: int, rounds: int) -> np.ndarray:
+    """Principal axes, and on them an orthogonal rotation fitted in turns with the signs, so that codes lose little."""
+    _, axes = np.linalg.eigh(x.T @ x)
+    v = x @ axes
+    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(v.shape[1], v.shape[1])))[0]
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
         r = (u @ w).T
-    model = Model(mean, axes @ r, x.shape[1])
-    codes, near = model.codes(x), []
-    for i in range(min(queries, len(x))):
-        d = ((x - x[i]) ** 2).sum(1)
-        d[i] = np.inf
-        best = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
-        near += POPCOUNT[codes[best] ^ codes[i]].sum(1).tolist()
-    if near:
-        model.radius = int(np.quantile(near, recall, method="higher"))
-    return model
-
-
-class Shard:
-    """Multi-index of some rows: a table by each 8-bit substring of the code."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, model: Model) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.model = ids[order], x[order], model
-        self.codes = model.codes(self.x)
-        self.tables = []
-        for column in self.codes.T:
-            rows = np.argsort(column, kind="stable")
-            self.tables.append((rows, np.searchsorted(column[rows], np.arange(257))))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code differs in ``radius`` bits at most.
-
-        One of ``m`` substrings then differs in ``radius // m`` bits at most, so only those buckets are probed; the
-        whole codes of what they hold are compared.
-        """
-        found = np.zeros(len(self.ids), bool)
-        near = radius // len(self.tables)
-        for (rows, at), sub in zip(self.tables, code, strict=True):
-            for bucket in np.flatnonzero(POPCOUNT[np.arange(256) ^ sub] <= near):
-                found[rows[at[bucket] : at[bucket + 1]]] = True
-        rows = np.flatnonzero(found)
-        return rows[POPCOUNT[self.codes[rows] ^ code].sum(1, dtype="i8") <= radius]
-
-    def nearest(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, Euclidean distances) of the ``k`` nearest rows found, by (distance, id), without those of id ``own``.
-
-        The radius widens until ``k`` rows (or all) are found.
-        """
-        code, most = self.model.codes(q[None])[0], 8 * len(self.tables)
-        for radius in itertools.chain(range(min(self.model.radius, most), most, 4), [most]):
-            rows = self.within(code, radius)
-            rows = rows[self.ids[rows] != own]
-            if len(rows) >= k:
-                break
-        d = np.sqrt(((self.x[rows] - q) ** 2).sum(1))
-        best = np.lexsort((self.ids[rows], d))[:k]
-        return self.ids[rows][best], d[best]
-
-
-def search(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", model: Model | None = None) -> DataFrame:
+    return axes @ r
+
+
+def _truth(index: DataFrame, x: np.ndarray, k: int) -> list[tuple[int, np.ndarray]]:
+    """(place in ``x``, neighbour's vector): the ``k`` nearest rows of the whole index to each of a few vectors, in one pass."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, "i8"), np.zeros((0, x.shape[1])))] * len(x)
+        for batch in batches:
+            for first in range(0, len(batch), 1024):
+                part = batch.slice(first, 1024)
+                ids, v = part.column(0).to_numpy(), matrix(part.column(1))
+                far = (v * v).sum(1) - 2 * (x @ v.T)  # the query's own square is the same for all
+                for i, d in enumerate(far):
+                    some = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
+                    near, at, held = (np.concatenate(p) for p in zip(best[i], (d[some], ids[some], v[some]), strict=True))
+                    top = np.lexsort((at, near))[: k + 1]
+                    best[i] = near[top], at[top], held[top]
+        for i, (near, at, held) in enumerate(best):
+            listed = pa.array(held.tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(near), pa.array(at), listed], names=["key", "score", "id", "v"])
+
+    found = _nearest(index.mapInArrow(work, "key long, score double, id long, v array<double>"), "key", k + 1)
+    return [(r.key, np.array(r.v)) for r in found.where("rank > 1").collect()]  # the first is the vector itself
+
+
+def fit(vectors: DataFrame, rows: int, k: int = 10, sample: int = 20_000, queries: int = 200, recall: float = 0.95, kept: float = 0.98, rounds: int = 12) -> Model | None:
+    """Learn from at most ``sample`` of the ``rows`` rows of (id, v), the same ones at each run. None without rows.
+
+    Codes come from as many rotations, each fitted from another start, as their bits need. A substring has about as many bits as there
+    are doublings in ``rows``, so that a bucket holds about one row. Of all numbers of tables and of differing bits a table, the one
+    with the fewest probes is taken that brings ``recall`` of the true ``k`` nearest, among all rows, of ``queries`` sampled ones; and
+    whole codes may differ as much as those of a share ``kept`` of these.
+    """
+    taken = bounded_sample(vectors, F.col("id"), sample).select("v").toArrow()
+    if not len(taken):
+        return None
+    x = matrix(taken.column("v"))
+    mean, bits = x.mean(0), min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, rows)))))
+    need = -(-TABLES[-1] * bits // x.shape[1])
+    directions = np.concatenate([_rotation(x[:4000] - mean, seed, rounds) for seed in range(need)], axis=1)[:, : TABLES[-1] * bits]
+    truth = _truth(vectors, x[:queries], k)
+    coder = Model(mean, directions, bits, TABLES[-1], 0, 0)
+    asked = coder.codes(x[:queries])[0][[i for i, _ in truth]]
+    apart = np.bitwise_count(asked ^ coder.codes(np.stack([v for _, v in truth]))[0]) if truth else np.zeros((0, TABLES[-1]), "i8")
+    cost = lambda o: o[0] * sum(math.comb(bits, n) for n in range(o[1] + 1))
+    for tables, near in sorted(itertools.product(TABLES, range(bits + 1)), key=cost):
+        hit = (apart[:, :tables] <= near).any(1)
+        if not len(hit) or hit.mean() >= recall:
+            break
+    whole = apart[hit].sum(1, dtype="i8")
+    return Model(mean, directions, bits, tables, near, int(np.quantile(whole, kept, method="higher")) if len(whole) else TABLES[-1] * bits)
+
+
+def _coded(rows: DataFrame, model: Model, key: str) -> DataFrame:
+    """(key, subs, w0, w1, ...) of (key, v)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            subs, words = model.codes(matrix(batch.column(1)))
+            listed = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype="i4") * model.tables, pa.array(subs.reshape(-1).astype("i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed, *(pa.array(w) for w in np.ascontiguousarray(words.T))], names=[key, "subs", *(f"w{i}" for i in range(model.words))])
+
+    return rows.select(key, "v").mapInArrow(work, f"{key} long, subs array<int>, " + ", ".join(f"w{i} long" for i in range(model.words)))
+
+
+def _probes(coded: DataFrame, model: Model) -> DataFrame:
+    """(key, t, sub): each table's values within ``near`` bits of each query's substring."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = model.masks()
+        for batch in batches:
+            subs = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+            for key, own in zip(batch.column(0).to_pylist(), subs, strict=True):
+                for t, value in enumerate(own):
+                    n = len(masks)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, t, "i4")), pa.array((masks ^ value).astype("i4"))], names=["key", "t", "sub"])
+
+    return coded.select("key", "subs").mapInArrow(work, "key long, t int, sub int")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast what is counted to be few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def candidates(index: DataFrame, asks: DataFrame, model: Model) -> DataFrame:
+    """(key, id), each once: rows of ``index`` (id, v) whose code is near that of a row of ``asks`` (key, v).
+
+    Rows and probes are shuffled on (table, substring), so each bucket meets its probes; whole codes are compared right there, and no
+    vector goes along.
+    """
+    coded = stage(_coded(asks, model, "key"))
+    rows = _coded(index, model, "id").select("id", F.posexplode("subs").alias("t", "sub"), *(f"w{i}" for i in range(model.words)))
+    met = _probes(coded, model).join(rows.hint("shuffle_hash"), ["t", "sub"])
+    own = coded.select("key", *(F.col(f"w{i}").alias(f"q{i}") for i in range(model.words)))
+    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(model.words)), F.lit(0))
+    found = stage(met.join(_few(own), "key").where(apart <= model.cut).select("key", "id").distinct())
+    unstage(coded)
+    return found
+
+
+def _distances(pairs: DataFrame) -> DataFrame:
+    """(key, id, score) of (key, id, v, q): Euclidean distances in double precision."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = np.sqrt(((matrix(batch.column(2)) - matrix(batch.column(3))) ** 2).sum(1)) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["key", "id", "score"])
+
+    return pairs.select("key", "id", "v", "q").mapInArrow(work, "key long, id long, score double")
+
+
+def _nearest(found: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``k`` nearest of each ``by``, with their ``rank``; ties go to smaller ids."""
+    order = Window.partitionBy(by).orderBy("score", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _whole(index: DataFrame, asks: DataFrame, rows: int, asked: int, k: int) -> DataFrame:
+    """(key, id, score) of the ``k`` nearest within each shard of the rows, for queries whose radius is the whole code."""
+    shards, blocks = max(1, -(-rows // SHARD)), max(1, -(-asked // BLOCK))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    listed = index.select(spread("id", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v", F.lit(False).alias("q"))
+    given = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), spread("key", blocks).alias("block"), F.col("key").alias("id"), "v", F.lit(True).alias("q"))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        q, ids, x = group["q"].to_numpy(bool), group["id"].to_numpy(), np.stack(group["v"].to_numpy()).astype("f8")
+        out = [pd.DataFrame({"key": pd.Series(dtype="i8"), "id": pd.Series(dtype="i8"), "score": pd.Series(dtype="f8")})]
+        for key, vector in zip(ids[q], x[q], strict=True):
+            d = np.sqrt(((x[~q] - vector) ** 2).sum(1))
+            best = np.lexsort((ids[~q], d))[:k]
+            out.append(pd.DataFrame({"key": key, "id": ids[~q][best], "score": d[best]}))
+        return pd.concat(out[1:] or out)
+
+    return listed.unionByName(given).groupBy("shard", "block").applyInPandas(meet, "key long, id long, score double")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row that ``is_query`` holds for, its ``k`` nearest other rows found.
 
     Score is the Euclidean distance of the original vectors in double precision, ties go to smaller ids. Rows
-    that are not :func:`usable`, or of another length than the first sampled row, take no part; ids should not repeat
+    that are not :func:`usable`, or have no id, take no part; vectors of different lengths are never neighbours. Ids should not repeat
     (rows that share an id are candidates each, but never of one another). Other columns are ignored.
 
-    All rows are indexed, in shards of about ``SHARD`` rows; queries meet each shard in blocks of about ``BLOCK``; each
-    pair of block and shard is one group, whose nearest are merged by query.
+    All rows are indexed. Of equal vectors the ``k + 1`` of least id are, since no other can be among the nearest; equal queries are
+    asked once. Buckets are probed by :func:`candidates`; a query that finds fewer than ``k`` others this way meets all rows, in blocks.
     """
-    spark = vectors.sparkSession
     rows = vectors.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = stage(rows.where("id is not null"))
-    schema = "query_id long, rank int, id long, score double"
-    model = model or fit(rows, k)
-    if model is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == len(model.mean))
-    n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
-    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    index = rows.select((spread % shards).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v", F.lit(False).alias("q"))
-    given = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), (spread % blocks).cast("int").alias("block"), "id", "v", F.lit(True).alias("q"))
+    out = None
+    for size in sorted(r[0] for r in rows.select(F.size("v")).distinct().collect()):
+        part = _search(rows.where(F.size("v") == size), k)
+        out = part if out is None else out.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double") if out is None else out
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        q = group["q"].to_numpy(bool)
-        ids, x = group["id"].to_numpy(), np.stack(group["v"].to_numpy()).astype("f8")
-        out = []
-        if not q.all():
-            shard = Shard(ids[~q], x[~q], model)
-            for own, vector in zip(ids[q], x[q], strict=True):
-                found, d = shard.nearest(own, vector, k)
-                out.append(pd.DataFrame({"query_id": own, "id": found, "score": d}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="i8"), "id": pd.Series(dtype="i8"), "score": pd.Series(dtype="f8")})
-
-    met = index.unionByName(given).groupBy("shard", "block").applyInPandas(meet, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+def _search(rows: DataFrame, k: int) -> DataFrame:
+    """:func:`search` over rows (id, v, q) of one length."""
+    copies = Window.partitionBy("v").orderBy("id")
+    index = stage(rows.select("id", "v").withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"))
+    asks = stage(rows.where("q").groupBy("v").agg(F.min("id").alias("key")))
+    n, asked = index.count(), asks.count()
+    model = fit(index, n, k)
+    found = candidates(index, asks, model)
+    enough = found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > k).select("key")
+    short = stage(asks.join(enough, "key", "left_anti"))
+    own = asks.select("key", F.col("v").alias("q"))
+    met = _distances(found.join(enough, "key", "left_semi").join(index, "id").join(_few(own) if asked else own, "key"))
+    if lacking := short.count():
+        met = met.unionByName(_whole(index, short, n, lacking, k + 1))
+    best = _nearest(met, "key", k + 1).drop("rank")
+    queries = rows.where("q").join(asks, "v").select(F.col("id").alias("query_id"), "key")
+    return _nearest(queries.join(best, "key").where("id <> query_id").drop("key"), "query_id", k).select("query_id", "rank", "id", "score")

@@ -84,45 +84,70 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert ann.search(frame.limit(0), frame.vec_id > 0).count() == 0
 
 
-def nearest(rows, k=10):
-    good = [(i, np.array(v)) for i, v in rows if v is not None and len(v) == 6 and all(c is not None and math.isfinite(c) for c in v) and any(v)]
-    return {i: sorted((math.dist(v, w), j) for j, w in good if j != i)[:k] for i, v in good if i % 5 == 0}
+def nearest(rows, k=10, every=5):
+    good = [(i, np.array(v)) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    return {i: sorted((math.dist(v, w), j) for j, w in good if j != i and len(v) == len(w))[:k] for i, v in good if i % every == 0}
 
 
 @pytest.mark.parametrize("shard", [8192, 50])
 def test_search_against_brute_force(spark, monkeypatch, shard):
+    """Odd vectors take no part, well-formed ones of other lengths are compared among themselves; some queries have few candidates."""
     monkeypatch.setattr(ann, "SHARD", shard)
     monkeypatch.setattr(ann, "BLOCK", shard)
-    rows = list(enumerate([*made(), *BAD]))
+    rows = list(enumerate([*made(), *BAD, [1.0, 2.0], [2.0, 4.0], [3.0, 3.0], [0.5], [5.0, 5.0]]))
+    rows[-1] = (270, rows[-1][1])
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     found, hits, total = {}, 0, 0
     for r in ann.search(frame, frame.vec_id % 5 == 0).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.score, r.id))
-    want = nearest(rows)
-    assert found.keys() == want.keys()
+    want = {i: best for i, best in nearest(rows).items() if best}
+    assert found.keys() == want.keys() and 270 in found
+    by_id = dict(rows)
     for i, best in want.items():
-        assert len(found[i]) == 10 and found[i] == sorted(found[i])
+        assert len(found[i]) == len(best) and found[i] == sorted(found[i])
         hits += len({j for _, j in best} & {j for _, j in found[i]})
-        total += 10
-        assert all(abs(d - math.dist(rows[i][1], rows[j][1])) < 1e-12 for d, j in found[i])
+        total += len(best)
+        assert all(abs(d - math.dist(by_id[i], by_id[j])) < 1e-12 for d, j in found[i])
     assert hits / total >= 0.95
 
 
+def test_many_copies_of_one_vector(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(i, [1.0, 2.0, 3.0 + i / 1000]) for i in range(400, 440)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(frame, frame.vec_id % 100 == 0).collect()
+    want = nearest(rows, every=100)
+    assert len(found) == 50 and all(want[r.query_id][r["rank"] - 1][1] == r.id for r in found)
+
+
 def test_fewer_candidates_than_asked(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<float>")
     found = [(r.rank, r.id) for r in ann.search(frame, frame.vec_id == 0).collect()]
     assert found == [(1, 1), (2, 2)]
 
 
-def test_probing_finds_every_code_within_the_radius():
+def test_probing_finds_every_code_within_the_radius(spark):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(500, 24))
-    model = ann.Model(np.zeros(24), np.eye(24), 5)
-    shard = ann.Shard(np.arange(500), x, model)
-    for radius in (0, 3, 7, 11):
-        code = shard.codes[7]
-        want = np.flatnonzero(ann.POPCOUNT[shard.codes ^ code].sum(1) <= radius)
-        assert sorted(shard.within(code, radius)) == want.tolist()
+    x = rng.normal(size=(500, 24)) + rng.normal(size=(500, 1))
+    model = ann.Model(np.zeros(24), rng.normal(size=(24, 64)), 8, 8, 2, 64)
+    bits = (x @ model.directions > 0).astype(int)
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    found = {(r.key, r.id) for r in ann.candidates(index, index.where("id < 20").withColumnRenamed("id", "key"), model).collect()}
+    apart = np.abs(bits[:20, None] - bits[None]).sum(2)
+    within = {(int(a), int(b)) for a, b in zip(*np.nonzero(apart <= model.radius), strict=True)}
+    by_table = np.abs(bits[:20, None] - bits[None]).reshape(20, 500, 8, 8).sum(3).min(2) <= model.near
+    assert model.radius == 23 and len(within) > 1000 and within <= found == {(int(a), int(b)) for a, b in zip(*np.nonzero(by_table), strict=True)}
+
+
+def test_few_rows_are_candidates_where_vectors_lie_in_groups(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 32)).repeat(20, 0) + 0.3 * rng.normal(size=(6000, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen, plain = [], ann.candidates
+    monkeypatch.setattr(ann, "candidates", lambda *a: seen.append(plain(*a)) or seen[-1])
+    found = ann.search(frame, frame.vec_id % 100 == 0).collect()
+    assert seen[0].count() < 0.05 * 60 * 6000
+    hits = sum(r.id in set(np.argsort(((x - x[r.query_id]) ** 2).sum(1))[1:11]) for r in found)
+    assert len(found) == 600 and hits >= 540
 
 
 def test_recall_on_a_whole_table(spark):
