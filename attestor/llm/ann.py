@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from attestor.llm.shared import BROADCAST_ROWS, bounded_sample, stage, unstage
 
-#: Tables, by how many substrings a code has; and bits of a substring at least and at most.
-TABLES, LEAST_BITS, MOST_BITS = (16, 32), 8, 24
+#: Tables, by how many substrings are indexed; bits of a substring, and so many more whenever the rows outgrow its values, up to a most.
+TABLES, BITS, MORE_BITS, MOST_BITS = (16, 32), 16, 4, 28
 #: Rows, and queries, that one task holds where a query's radius is widened to the whole code.
 SHARD, BLOCK = 8192, 4096
 
@@ -40,19 +40,24 @@ class Model:
     def radius(self) -> int:
         return self.tables * (self.near + 1) - 1
 
+    @property
+    def each(self) -> int:
+        """Substrings in a 64-bit word."""
+        return 64 // self.bits
+
     @property
     def words(self) -> int:
-        """64-bit words of a whole code."""
-        return -(-self.directions.shape[1] // 64)
+        """Words of a whole code."""
+        return -(-self.directions.shape[1] // (self.bits * self.each))
 
     def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(substrings, words) of each vector: the same bits, once by table and once packed for comparing whole codes."""
+        """(substrings, words) of each vector."""
         on = (x - self.mean) @ self.directions > 0
-        weight = 1 << np.arange(self.bits, dtype="i8")
-        packed = np.zeros((len(x), self.words * 8), "u1")
-        row = np.packbits(on, axis=1)
-        packed[:, : row.shape[1]] = row
-        return on[:, : self.tables * self.bits].reshape(len(x), self.tables, self.bits) @ weight, packed.view("i8")
+        subs = on.reshape(len(x), -1, self.bits) @ (1 << np.arange(self.bits, dtype="i8"))
+        packed = np.zeros((len(x), self.words * self.each), "i8")
+        packed[:, : subs.shape[1]] = subs
+        packed = packed.reshape(len(x), self.words, self.each) << (self.bits * np.arange(self.each, dtype="i8"))
+        return subs[:, : self.tables], np.bitwise_or.reduce(packed, axis=2)
 
     def masks(self) -> np.ndarray:
         """All patterns of at most ``near`` set bits."""
@@ -108,11 +113,11 @@ def _truth(index: DataFrame, x: np.ndarray, k: int) -> list[tuple[int, np.ndarra
     return [(r.key, np.array(r.v)) for r in found.where("rank > 1").collect()]  # the first is the vector itself
 
 
-def fit(vectors: DataFrame, rows: int, k: int = 10, sample: int = 20_000, queries: int = 200, recall: float = 0.95, kept: float = 0.98, rounds: int = 12) -> Model | None:
+def fit(vectors: DataFrame, rows: int, k: int = 10, sample: int = 20_000, queries: int = 200, recall: float = 0.95, kept: float = 0.99, rounds: int = 12) -> Model | None:
     """Learn from at most ``sample`` of the ``rows`` rows of (id, v), the same ones at each run. None without rows.
 
-    Codes come from as many rotations, each fitted from another start, as their bits need. A substring has about as many bits as there
-    are doublings in ``rows``, so that a bucket holds about one row. Of all numbers of tables and of differing bits a table, the one
+    Codes come from as many rotations, each fitted from another start, as their bits need. A substring has at least as many values as
+    there are ``rows``, so that a bucket holds about one row. Of all numbers of tables and of differing bits a table, the one
     with the fewest probes is taken that brings ``recall`` of the true ``k`` nearest, among all rows, of ``queries`` sampled ones; and
     whole codes may differ as much as those of a share ``kept`` of these.
     """
@@ -120,7 +125,9 @@ def fit(vectors: DataFrame, rows: int, k: int = 10, sample: int = 20_000, querie
     if not len(taken):
         return None
     x = matrix(taken.column("v"))
-    mean, bits = x.mean(0), min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, rows)))))
+    mean, bits = x.mean(0), BITS
+    while rows > 1 << bits and bits < MOST_BITS:
+        bits += MORE_BITS
     need = -(-TABLES[-1] * bits // x.shape[1])
     directions = np.concatenate([_rotation(x[:4000] - mean, seed, rounds) for seed in range(need)], axis=1)[:, : TABLES[-1] * bits]
     truth = _truth(vectors, x[:queries], k)
@@ -178,8 +185,13 @@ def candidates(index: DataFrame, asks: DataFrame, model: Model) -> DataFrame:
     rows = _coded(index, model, "id").select("id", F.posexplode("subs").alias("t", "sub"), *(f"w{i}" for i in range(model.words)))
     met = _probes(coded, model).join(rows.hint("shuffle_hash"), ["t", "sub"])
     own = coded.select("key", *(F.col(f"w{i}").alias(f"q{i}") for i in range(model.words)))
-    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(model.words)), F.lit(0))
-    found = stage(met.join(_few(own), "key").where(apart <= model.cut).select("key", "id").distinct())
+    differ = [F.col(f"w{i}").bitwiseXOR(F.col(f"q{i}")) for i in range(model.words)]
+    apart = sum(map(F.bit_count, differ), F.lit(0))
+    first = F.lit(None)
+    for t in reversed(range(model.tables)):  # a pair that several tables bring counts in the first
+        part = F.shiftrightunsigned(differ[t // model.each], model.bits * (t % model.each)).bitwiseAND(F.lit((1 << model.bits) - 1))
+        first = F.when(F.bit_count(part) <= model.near, t).otherwise(first)
+    found = stage(met.join(_few(own), "key").where((apart <= model.cut) & (F.col("t") == first)).select("key", "id"))
     unstage(coded)
     return found
 

@@ -128,10 +128,12 @@ def test_fewer_candidates_than_asked(spark):
 def test_probing_finds_every_code_within_the_radius(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 24)) + rng.normal(size=(500, 1))
-    model = ann.Model(np.zeros(24), rng.normal(size=(24, 64)), 8, 8, 2, 64)
-    bits = (x @ model.directions > 0).astype(int)
+    model = ann.Model(np.zeros(24), rng.normal(size=(24, 72)), 8, 8, 2, 72)
+    bits = (x @ model.directions > 0).astype(int)[:, :64]
     index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    found = {(r.key, r.id) for r in ann.candidates(index, index.where("id < 20").withColumnRenamed("id", "key"), model).collect()}
+    rows = ann.candidates(index, index.where("id < 20").withColumnRenamed("id", "key"), model).collect()
+    found = {(r.key, r.id) for r in rows}
+    assert len(found) == len(rows)
     apart = np.abs(bits[:20, None] - bits[None]).sum(2)
     within = {(int(a), int(b)) for a, b in zip(*np.nonzero(apart <= model.radius), strict=True)}
     by_table = np.abs(bits[:20, None] - bits[None]).reshape(20, 500, 8, 8).sum(3).min(2) <= model.near
