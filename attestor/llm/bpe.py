@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import io
 import itertools
 import json
 import unicodedata
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Pieces that were encoded before are kept up to this number; the later half goes when it is reached.
 MEMO = 400_000
+#: Longer pieces are not kept but streamed, by so many ids at a time; texts are read in windows of about so many characters.
+LONGEST, IDS_AT_ONCE, WINDOW = 64, 128, 1 << 15
 #: White space as the tokenizer's own pattern engine has it: 1C to 1F are not part of it.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -140,8 +144,11 @@ class Decoder:
 
     def feed(self, token: int) -> str:
         """The text that is settled by one more id; unknown ids are left out."""
-        if (data := self.bytes.get(token)) is None:
-            return ""
+        data = self.bytes.get(token)
+        return "" if data is None else self.take(data)
+
+    def take(self, data: bytes) -> str:
+        """The text that is settled by the bytes of one more token, or of several with gaps between them."""
         gap, self.begun = self.gap if self.begun else b"", True
         return self.state.decode(gap + data)
 
@@ -184,6 +191,19 @@ class Tokenizer:
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def normalise(self, text: str) -> str:
+        """The normalised text; a long one is made of parts, so that no step holds several times its size."""
+        if len(text) <= 2 * WINDOW:
+            return self._even(text)
+        out, first = io.StringIO(), 0
+        while first < len(text):
+            last = first + WINDOW
+            while last < len(text) and not _starts_anew(text[last]):
+                last += 1
+            out.write(self._even(text[first:last]))
+            first = last
+        return out.getvalue()
+
+    def _even(self, text: str) -> str:
         if self.nfc and not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if self.blanks:
@@ -192,43 +212,87 @@ class Tokenizer:
             text = text.replace("Σ", "σ").lower()
         return text
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
-        """Ids of one piece; tokens outside of the vocabulary are left out, as without an unknown token."""
+    def stream_ids(self, piece: str) -> Iterator[int]:
+        """Ids of one piece as they are settled; tokens outside of the vocabulary are left out, as without an unknown token."""
         stream = map(self.bytes.__getitem__, piece.encode("utf-8", "surrogatepass"))
-        return tuple(i for t in stream_tokens(stream, self.merges, self.suffix, 64) if (i := self.vocab.get(t)) is not None)
+        return (i for t in stream_tokens(stream, self.merges, self.suffix, 64) if (i := self.vocab.get(t)) is not None)
 
-    def remembered(self, piece: str, make: Callable[[tuple[int, ...]], tuple] = lambda ids: ids) -> tuple:
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
+        return tuple(self.stream_ids(piece))
+
+    def remembered(self, piece: str, make: Callable[[tuple[int, ...]], tuple] = lambda ids: ids) -> Iterator[tuple]:
+        """What ``make`` gives for a piece's ids: kept for a short piece, for a long one by some ids at a time."""
+        if len(piece) > LONGEST:
+            ids = self.stream_ids(piece)
+            while some := tuple(itertools.islice(ids, IDS_AT_ONCE)):
+                yield make(some)
+            return
         got = self.memo.get(piece)
         if got is None:
             got = make(self.piece_ids(piece))
-            if len(piece) <= 64:
-                if len(self.memo) >= MEMO:
-                    for old in list(itertools.islice(reversed(self.memo), MEMO // 2)):
-                        del self.memo[old]
-                self.memo[piece] = got
-        return got
+            if len(self.memo) >= MEMO:
+                for old in list(itertools.islice(reversed(self.memo), MEMO // 2)):
+                    del self.memo[old]
+            self.memo[piece] = got
+        yield got
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        """The text cut at added tokens: (part, whether it is such a token)."""
-        if self.cut is None or not any(t in text for t in self.added):
-            yield text, False
-            return
-        for i, part in enumerate(self.cut.split(text)):
-            if part:
-                yield part, i % 2 == 1
+        """The text cut at added tokens, and between them into windows: (part, whether it is such a token)."""
+        done = 0
+        for m in self.cut.finditer(text) if self.cut is not None and any(t in text for t in self.added) else ():
+            yield from ((w, False) for w in windows(text, done, m.start()))
+            yield m[0], True
+            done = m.end()
+        yield from ((w, False) for w in windows(text, done, len(text)))
+
+    def text_pieces(self, text: str | None) -> Iterator[tuple[str, bool]]:
+        """(piece, whether it is an added token) of a text, null as empty, one after the other."""
+        for part, added in self.parts(text or ""):
+            if added:
+                yield part, True
+            else:
+                for m in self.pieces.finditer(self.normalise(part)):
+                    yield m[0], False
 
     def encode(self, text: str | None) -> Iterator[int]:
         """Ids of a text, null as empty, one piece after the other."""
-        for part, added in self.parts(text or ""):
+        for piece, added in self.text_pieces(text):
             if added:
-                yield self.added[part]
+                yield self.added[piece]
             else:
-                for m in self.pieces.finditer(self.normalise(part)):
-                    yield from self.remembered(m[0])
+                for ids in self.remembered(piece):
+                    yield from ids
 
     def decode(self, ids: Iterable[int]) -> str:
         self.decoder.reset()
-        return "".join([*map(self.decoder.feed, ids), self.decoder.finish()])
+        out = io.StringIO()
+        for i in ids:
+            out.write(self.decoder.feed(i))
+        out.write(self.decoder.finish())
+        return out.getvalue()
+
+
+def _starts_anew(c: str) -> bool:
+    """Whether a character never joins what stands before it: ASCII but for white space, or a letter that is no part of a Hangul syllable."""
+    if c.isascii():
+        return not c.isspace()
+    return unicodedata.category(c) in ("Lo", "Lu", "Ll") and not unicodedata.name(c, "HANGUL").startswith("HANGUL")
+
+
+#: Where every pattern ends a piece, and no composition or case rule looks across: before white space, and between ASCII letters and digits.
+SAFE = regex.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+
+
+def windows(text: str, first: int, last: int) -> Iterator[str]:
+    """Parts of about ``WINDOW`` characters, cut where it is safe; only a stretch without a safe place is longer."""
+    while last - first > WINDOW:
+        m = SAFE.search(text, first + WINDOW, last)
+        if m is None:
+            break
+        yield text[first : m.start()]
+        first = m.start()
+    if first < last:
+        yield text[first:last]
 
 
 @lru_cache(maxsize=2)
@@ -245,18 +309,14 @@ class _Digests(Tokenizer):
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         number, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for part, added in self.parts(text or ""):
-            if added:
-                pieces = iter([self.of_piece((self.added[part],))])
-            else:
-                pieces = (self.remembered(p, self.of_piece) for p in self.pieces.findall(self.normalise(part)))
-            while batch := [p for p in itertools.islice(pieces, 4096) if p[0]]:
-                n, spelled, data = zip(*batch, strict=True)
-                ids.update((b" " if number else b"") + b" ".join(spelled))
-                decoded.update(state.decode((self.decoder.gap if number else b"") + self.decoder.gap.join(data)).encode())
-                number += sum(n)
-        decoded.update(state.decode(b"", final=True).encode())
+        self.decoder.reset()
+        made = itertools.chain.from_iterable([self.of_piece((self.added[p],))] if added else self.remembered(p, self.of_piece) for p, added in self.text_pieces(text))
+        while batch := [p for p in itertools.islice(made, 512) if p[0]]:
+            n, spelled, data = zip(*batch, strict=True)
+            ids.update((b" " if number else b"") + b" ".join(spelled))
+            decoded.update(self.decoder.take(self.decoder.gap.join(data)).encode())
+            number += sum(n)
+        decoded.update(self.decoder.finish().encode())
         return number, ids.hexdigest(), decoded.hexdigest()
 
 
@@ -273,7 +333,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                ids = pa.array([list(tokenizer.encode(t.as_py())) for t in part.column(at)], pa.list_(pa.int32()))
+                ids = pa.array([np.fromiter(tokenizer.encode(t.as_py()), "i4") for t in part.column(at)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
     docs = docs.drop("ids")
@@ -288,7 +348,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
-            texts = pa.array([tokenizer.decode(i.as_py() or []) for i in batch.column(at)], pa.string())
+            texts = pa.array([tokenizer.decode(i.as_py() for i in (ids.values or ())) for ids in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     rows = rows.drop("decoded")
@@ -300,7 +360,8 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and decoded as a stream.
 
-    The ids and the decoded text go through the hashes as they are made, so neither is ever held whole. Null
+    Texts are read in windows; the ids and the decoded text go through the hashes as they are made, so besides the text itself (and a
+    copy of a stretch without any white space or change between letters and digits) a bounded number of symbols and ids is held. Null
     and empty texts have no tokens; ids may repeat or be null; other columns are ignored.
     """
 

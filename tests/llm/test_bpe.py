@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -88,3 +89,27 @@ def test_digests_and_columns(spark, name):
     assert back.columns == ["doc_id", "text", "ids", "decoded"]
     assert sorted(r.decoded for r in back.collect()) == sorted(theirs.decode(theirs.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for t in given)
     assert bpe.digests(docs.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("window", [3, 40])
+def test_windows_change_nothing(monkeypatch, name, window):
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    ours, theirs = bpe.load(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    rng = random.Random(11)
+    signs = ["a", "the", "É", "e\u0301", "\u0301", " ", "  ", "\n", " \u0301", "12", "'s", "'", "٣", "!", "漢", "Σ", "\x1c", "\u2028", "<|endoftext|>", "\u1100", "\u1161", "İ"]
+    for _ in range(400):
+        text = "".join(rng.choices(signs, k=rng.randint(1, 60)))
+        assert list(ours.encode(text)) == theirs.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("unit", ["thea", "the a ", "漢字", "x1"])
+def test_digests_hold_little_besides_the_text(unit):
+    digests = bpe._load_digests(public_tokenizers.path("word_bpe_49k.json"))
+    text = unit * (200_000 // len(unit))
+    digests.digest(unit * 1000)
+    tracemalloc.start()
+    digests.digest(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(text.encode()) + 1_500_000  # lists of all pieces or ids would take ten times the text and more
