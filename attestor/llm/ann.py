@@ -17,8 +17,8 @@ from attestor.llm.shared import BROADCAST_ROWS, bounded_sample, stage, unstage
 
 #: Tables, by how many substrings are indexed; bits of a substring, and so many more whenever the rows outgrow its values, up to a most.
 TABLES, BITS, MORE_BITS, MOST_BITS = (16, 32), 16, 4, 28
-#: Rows, and queries, that one task holds where a query's radius is widened to the whole code.
-SHARD, BLOCK = 8192, 4096
+#: Buckets that differ in so many last bits of their substring lie together; of them, one task holds so many rows and queries at a time.
+TOGETHER, SHARD, BLOCK = 11, 4096, 4096
 
 
 @dataclass
@@ -40,28 +40,25 @@ class Model:
     def radius(self) -> int:
         return self.tables * (self.near + 1) - 1
 
-    @property
-    def each(self) -> int:
-        """Substrings in a 64-bit word."""
-        return 64 // self.bits
-
-    @property
-    def words(self) -> int:
-        """Words of a whole code."""
-        return -(-self.directions.shape[1] // (self.bits * self.each))
-
     def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(substrings, words) of each vector."""
+        """(substrings, whole code as bytes) of each vector."""
         on = (x - self.mean) @ self.directions > 0
         subs = on.reshape(len(x), -1, self.bits) @ (1 << np.arange(self.bits, dtype="i8"))
-        packed = np.zeros((len(x), self.words * self.each), "i8")
-        packed[:, : subs.shape[1]] = subs
-        packed = packed.reshape(len(x), self.words, self.each) << (self.bits * np.arange(self.each, dtype="i8"))
-        return subs[:, : self.tables], np.bitwise_or.reduce(packed, axis=2)
+        return subs[:, : self.tables], np.packbits(on, axis=1)
+
+    def tables_that_meet(self, differ: np.ndarray) -> np.ndarray:
+        """For differing bits of whole codes, as bytes: which tables' substrings differ in ``near`` bits at most."""
+        on = np.unpackbits(differ, axis=1, count=self.directions.shape[1]).reshape(len(differ), self.directions.shape[1] // self.bits, self.bits)
+        return on[:, : self.tables].sum(2) <= self.near
+
+    @property
+    def lead(self) -> int:
+        """First bits of a substring, by which buckets are grouped."""
+        return max(0, self.bits - TOGETHER)
 
     def masks(self) -> np.ndarray:
-        """All patterns of at most ``near`` set bits."""
-        sets = itertools.chain.from_iterable(itertools.combinations(range(self.bits), n) for n in range(self.near + 1))
+        """All patterns of at most ``near`` set bits among the first ones."""
+        sets = itertools.chain.from_iterable(itertools.combinations(range(self.lead), n) for n in range(min(self.near, self.lead) + 1))
         return np.array([sum(1 << i for i in s) for s in sets], "i8")
 
 
@@ -143,31 +140,26 @@ def fit(vectors: DataFrame, rows: int, k: int = 10, sample: int = 20_000, querie
     return Model(mean, directions, bits, tables, near, int(np.quantile(whole, kept, method="higher")) if len(whole) else TABLES[-1] * bits)
 
 
-def _coded(rows: DataFrame, model: Model, key: str) -> DataFrame:
-    """(key, subs, w0, w1, ...) of (key, v)."""
+PLACED = "id long, code binary, t int, lead int, sub int, q boolean"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            subs, words = model.codes(matrix(batch.column(1)))
-            listed = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype="i4") * model.tables, pa.array(subs.reshape(-1).astype("i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), listed, *(pa.array(w) for w in np.ascontiguousarray(words.T))], names=[key, "subs", *(f"w{i}" for i in range(model.words))])
-
-    return rows.select(key, "v").mapInArrow(work, f"{key} long, subs array<int>, " + ", ".join(f"w{i} long" for i in range(model.words)))
 
-
-def _probes(coded: DataFrame, model: Model) -> DataFrame:
-    """(key, t, sub): each table's values within ``near`` bits of each query's substring."""
+def _placed(rows: DataFrame, model: Model, probing: bool) -> DataFrame:
+    """Rows (id, v) of the index at their substring in each table; or queries at all groups of buckets that they probe."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = model.masks()
+        masks = model.masks() if probing else np.zeros(1, "i8")
         for batch in batches:
-            subs = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-            for key, own in zip(batch.column(0).to_pylist(), subs, strict=True):
-                for t, value in enumerate(own):
-                    n = len(masks)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, t, "i4")), pa.array((masks ^ value).astype("i4"))], names=["key", "t", "sub"])
+            for first in range(0, len(batch), 256):
+                part = batch.slice(first, 256)
+                subs, code = model.codes(matrix(part.column(1)))
+                of = np.repeat(np.arange(len(part)), model.tables * len(masks))
+                lead = ((subs >> (model.bits - model.lead))[:, :, None] ^ masks).reshape(-1)
+                table = np.tile(np.repeat(np.arange(model.tables), len(masks)), len(part))
+                columns = [part.column(0).take(pa.array(of)), pa.array([c.tobytes() for c in code], pa.binary()).take(pa.array(of)), pa.array(table.astype("i4")), pa.array(lead.astype("i4"))]
+                sub = pa.array(np.repeat(subs.reshape(-1), len(masks)).astype("i4"))
+                yield pa.RecordBatch.from_arrays([*columns, sub, pa.array(np.full(len(of), probing))], names=["id", "code", "t", "lead", "sub", "q"])
 
-    return coded.select("key", "subs").mapInArrow(work, "key long, t int, sub int")
+    return rows.mapInArrow(work, PLACED)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -178,21 +170,39 @@ def _few(df: DataFrame) -> DataFrame:
 def candidates(index: DataFrame, asks: DataFrame, model: Model) -> DataFrame:
     """(key, id), each once: rows of ``index`` (id, v) whose code is near that of a row of ``asks`` (key, v).
 
-    Rows and probes are shuffled on (table, substring), so each bucket meets its probes; whole codes are compared right there, and no
-    vector goes along.
+    Rows and probes are shuffled on (table, first bits of the substring), so that buckets meet their probes in groups; a group with many
+    rows or probes is dealt into a grid of bounded blocks. Substrings and whole codes are compared there; a pair
+    that several tables bring leaves in the first. No vector goes along.
     """
-    coded = stage(_coded(asks, model, "key"))
-    rows = _coded(index, model, "id").select("id", F.posexplode("subs").alias("t", "sub"), *(f"w{i}" for i in range(model.words)))
-    met = _probes(coded, model).join(rows.hint("shuffle_hash"), ["t", "sub"])
-    own = coded.select("key", *(F.col(f"w{i}").alias(f"q{i}") for i in range(model.words)))
-    differ = [F.col(f"w{i}").bitwiseXOR(F.col(f"q{i}")) for i in range(model.words)]
-    apart = sum(map(F.bit_count, differ), F.lit(0))
-    first = F.lit(None)
-    for t in reversed(range(model.tables)):  # a pair that several tables bring counts in the first
-        part = F.shiftrightunsigned(differ[t // model.each], model.bits * (t % model.each)).bitwiseAND(F.lit((1 << model.bits) - 1))
-        first = F.when(F.bit_count(part) <= model.near, t).otherwise(first)
-    found = stage(met.join(_few(own), "key").where((apart <= model.cut) & (F.col("t") == first)).select("key", "id"))
-    unstage(coded)
+    rows, probes = _placed(index, model, False), stage(_placed(asks.select("key", "v"), model, True))
+    deal = lambda df, most, name: df.groupBy("t", "lead").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    grid = stage(deal(rows, SHARD, "shards").join(deal(probes, BLOCK, "blocks"), ["t", "lead"]))
+    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    one = lambda n: (spread % F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["t", "lead", "sub", "id", "code", "q"]
+    met = rows.join(grid, ["t", "lead"]).select(*columns, one("shards").alias("shard"), each("blocks").alias("block"))
+    met = met.unionByName(probes.join(grid, ["t", "lead"]).select(*columns, each("shards").alias("shard"), one("blocks").alias("block")))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        q, ids, sub = group["q"].to_numpy(bool), group["id"].to_numpy(), group["sub"].to_numpy()
+        code = np.frombuffer(b"".join(group["code"]), "u1").reshape(len(group), -1)
+        asked, held, table = np.flatnonzero(q), np.flatnonzero(~q), int(group["t"].iloc[0])
+        out = [pd.DataFrame({"key": pd.Series(dtype="i8"), "id": pd.Series(dtype="i8")})]
+        for first in range(0, len(asked), 256):
+            some = asked[first : first + 256]
+            a, b = np.nonzero(np.bitwise_count(sub[some][:, None] ^ sub[held]) <= model.near)
+            for at in range(0, len(a), 1 << 17):
+                x, y = some[a[at : at + (1 << 17)]], held[b[at : at + (1 << 17)]]
+                differ = code[x] ^ code[y]
+                near = np.flatnonzero(np.bitwise_count(differ).sum(1, dtype="i8") <= model.cut)
+                near = near[model.tables_that_meet(differ[near]).argmax(1) == table]
+                out.append(pd.DataFrame({"key": ids[x[near]], "id": ids[y[near]]}))
+        return pd.concat(out[1:] or out)
+
+    found = stage(met.groupBy("t", "lead", "shard", "block").applyInPandas(meet, "key long, id long"))
+    unstage(probes)
+    unstage(grid)
     return found
 
 
