@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Pieces that were encoded before are kept up to this number; the later half goes when it is reached.
 MEMO = 400_000
 #: Longer pieces are not kept but streamed, by so many ids at a time; texts are read in windows of about so many characters.
-LONGEST, IDS_AT_ONCE, WINDOW = 64, 128, 1 << 15
+LONGEST, IDS_AT_ONCE, WINDOW = 64, 128, 1 << 13
 #: White space as the tokenizer's own pattern engine has it: 1C to 1F are not part of it.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -220,13 +220,8 @@ class Tokenizer:
     def piece_ids(self, piece: str) -> tuple[int, ...]:
         return tuple(self.stream_ids(piece))
 
-    def remembered(self, piece: str, make: Callable[[tuple[int, ...]], tuple] = lambda ids: ids) -> Iterator[tuple]:
-        """What ``make`` gives for a piece's ids: kept for a short piece, for a long one by some ids at a time."""
-        if len(piece) > LONGEST:
-            ids = self.stream_ids(piece)
-            while some := tuple(itertools.islice(ids, IDS_AT_ONCE)):
-                yield make(some)
-            return
+    def remembered(self, piece: str, make: Callable[[tuple[int, ...]], tuple] = lambda ids: ids) -> tuple:
+        """What ``make`` gives for a short piece's ids."""
         got = self.memo.get(piece)
         if got is None:
             got = make(self.piece_ids(piece))
@@ -234,7 +229,13 @@ class Tokenizer:
                 for old in list(itertools.islice(reversed(self.memo), MEMO // 2)):
                     del self.memo[old]
             self.memo[piece] = got
-        yield got
+        return got
+
+    def streamed(self, piece: str) -> Iterator[tuple[int, ...]]:
+        """A long piece's ids, some at a time."""
+        ids = self.stream_ids(piece)
+        while some := tuple(itertools.islice(ids, IDS_AT_ONCE)):
+            yield some
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text cut at added tokens, and between them into windows: (part, whether it is such a token)."""
@@ -245,23 +246,28 @@ class Tokenizer:
             done = m.end()
         yield from ((w, False) for w in windows(text, done, len(text)))
 
-    def text_pieces(self, text: str | None) -> Iterator[tuple[str, bool]]:
-        """(piece, whether it is an added token) of a text, null as empty, one after the other."""
+    def text_pieces(self, text: str | None) -> Iterator[tuple[list[str], bool]]:
+        """(some pieces, whether they are added tokens) of a text, null as empty, in order."""
         for part, added in self.parts(text or ""):
             if added:
-                yield part, True
+                yield [part], True
+            elif len(part) <= 2 * WINDOW:
+                yield self.pieces.findall(self.normalise(part)), False
             else:
-                for m in self.pieces.finditer(self.normalise(part)):
-                    yield m[0], False
+                found = self.pieces.finditer(self.normalise(part))
+                while some := [m[0] for m in itertools.islice(found, 1024)]:
+                    yield some, False
 
     def encode(self, text: str | None) -> Iterator[int]:
         """Ids of a text, null as empty, one piece after the other."""
-        for piece, added in self.text_pieces(text):
-            if added:
-                yield self.added[piece]
-            else:
-                for ids in self.remembered(piece):
-                    yield from ids
+        for pieces, added in self.text_pieces(text):
+            for piece in pieces:
+                if added:
+                    yield self.added[piece]
+                elif len(piece) > LONGEST:
+                    yield from self.stream_ids(piece)
+                else:
+                    yield from self.remembered(piece)
 
     def decode(self, ids: Iterable[int]) -> str:
         self.decoder.reset()
@@ -309,13 +315,33 @@ class _Digests(Tokenizer):
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         number, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        gap, take = self.decoder.gap, self.decoder.take
         self.decoder.reset()
-        made = itertools.chain.from_iterable([self.of_piece((self.added[p],))] if added else self.remembered(p, self.of_piece) for p, added in self.text_pieces(text))
-        while batch := [p for p in itertools.islice(made, 512) if p[0]]:
-            n, spelled, data = zip(*batch, strict=True)
-            ids.update((b" " if number else b"") + b" ".join(spelled))
-            decoded.update(self.decoder.take(self.decoder.gap.join(data)).encode())
-            number += sum(n)
+
+        def put(made: list[tuple[int, bytes, bytes]]) -> None:
+            nonlocal number
+            if made := [m for m in made if m[0]]:
+                n, spelled, data = zip(*made, strict=True)
+                ids.update((b" " if number else b"") + b" ".join(spelled))
+                decoded.update(take(gap.join(data)).encode())
+                number += sum(n)
+
+        memo, of_piece = self.memo, self.of_piece
+        for pieces, added in self.text_pieces(text):
+            made = []
+            for p in pieces:
+                if (got := None if added else memo.get(p)) is not None:
+                    made.append(got)
+                elif added:
+                    made.append(of_piece((self.added[p],)))
+                elif len(p) <= LONGEST:
+                    made.append(self.remembered(p, of_piece))
+                else:
+                    put(made)
+                    made = []
+                    for some in self.streamed(p):
+                        put([of_piece(some)])
+            put(made)
         decoded.update(self.decoder.finish().encode())
         return number, ids.hexdigest(), decoded.hexdigest()
 
