@@ -67,11 +67,11 @@ def checks(subjects: DataFrame, numbers: DataFrame, references: DataFrame, near:
     has_data = ~figure | (F.coalesce("contains_data", F.lit(True)) & (F.col("candidates") > 0))
     status = _status(has_data, F.col("others").isNotNull(), F.col("matched"))
     issue = (
-        F.when(figure & ~has_data, "Figure is qualitative or contains no extractable numeric series.")
-        .when(F.col("others").isNull() & figure, "No same-page text or table evidence was available for comparison.")
-        .when(F.col("others").isNull(), "No same-page text evidence was available for comparison.")
-        .when((F.col("matched") == 0) & figure, "Chart values were not numerically corroborated by nearby text/table evidence.")
-        .when(F.col("matched") == 0, "Table values were not numerically corroborated by nearby text evidence.")
+        F.when(figure & ~has_data, "The figure shows no series of numbers.")
+        .when(F.col("others").isNull() & figure, "Neither text nor a table stands on the figure's page.")
+        .when(F.col("others").isNull(), "No text stands on the table's page.")
+        .when((F.col("matched") == 0) & figure, "No number near the chart is close to its values.")
+        .when(F.col("matched") == 0, "No number in the text is close to the table's values.")
     )
     modalities = F.concat(F.array("kind"), F.coalesce("others", F.array().cast("array<string>")))
     return met.select(

@@ -59,21 +59,49 @@ def _named_file() -> Column:
     return F.lower(basename(F.coalesce(F.nullif("name", F.lit("")), F.col("local_path"), F.lit(""))))
 
 
+#: Whole words by which evidence meets the sections that may hold it.
+PROBE = 3
+
+
 def match_sections(records: DataFrame, sections: DataFrame) -> DataFrame:
     """(record_id, section_id, section_title, tier): by text, else by page, else the only section of the file.
 
     ``sections`` has (source_file, section_id, section_title, text, page_start, page_end, ordinal). Tier 1: the
     section holds the head of the evidence; 2: the page is within its pages; 3: the file has no other section.
+
+    Each tier is an equality join. The first and the last word of a snippet may be parts of words, those between are whole: a snippet
+    meets the sections that have the first three of these in a row (or the first, if they are fewer), and only these are compared. Snippets of one or two
+    words meet all sections of their file. Pages are exploded, and sections are reduced to the first of each (file, page) before.
     """
-    keyed = sections.select(_base().alias("file"), "section_id", "section_title", squeeze(F.col("text")).alias("body"), "page_start", "page_end", "ordinal")
-    alone = keyed.groupBy("file").agg(F.count("*").alias("n"))
+    body = squeeze(F.col("text"))
+    keyed = sections.select(_base().alias("file"), "section_id", "section_title", body.alias("body"), "page_start", "page_end", "ordinal")
     snippet = F.left(squeeze(F.coalesce("evidence_text", F.lit(""))), F.lit(SNIPPET))
     asked = records.select("record_id", _base().alias("file"), "page", snippet.alias("snippet"))
-    met = asked.join(keyed.join(alone, "file"), "file")
-    tier = F.when((F.col("snippet") != "") & F.contains("body", "snippet"), 1).when(F.col("page").between(F.col("page_start"), F.col("page_end")), 2).when(F.col("n") == 1, 3)
-    met = met.withColumn("tier", tier).where("tier is not null")
-    best = met.groupBy("record_id").agg(F.min_by(F.struct("section_id", "section_title", "tier"), F.struct("tier", "ordinal")).alias("s"))
-    return best.select("record_id", "s.*")
+    held = F.struct("section_id", "section_title")
+    short = keyed.select("file", held.alias("s"), "page_start", "page_end", "ordinal")
+
+    def run(words: Column, at: Column | int, n: int) -> Column:
+        return F.xxhash64("file", *(F.get(words, F.lit(at) + i if isinstance(at, int) else at + i) for i in range(n)))
+
+    told = F.split("snippet", " ")
+    inner = F.size(told) - 2
+    probes = asked.where("snippet <> ''").withColumn("k", F.when(inner >= PROBE, run(told, 1, PROBE)).when(inner > 0, run(told, 1, 1))).select("record_id", "file", "snippet", "k")
+    own = F.split("body", " ")
+    starts = lambda n: F.when(F.size(own) >= n, F.sequence(F.lit(0), F.size(own) - n)).otherwise(F.array().cast("array<int>"))
+    each = lambda n: F.transform(starts(n), lambda i: run(own, i, n))
+    runs = F.array_distinct(F.concat(each(1), each(PROBE)))
+    runs = keyed.where("body <> ''").select("file", "section_id", F.explode(runs).alias("k")).join(probes.select("file", "k").distinct(), ["file", "k"], "left_semi")
+    near = runs.join(probes, ["file", "k"]).select("record_id", "snippet", "section_id")
+    brief = probes.where("k is null").join(keyed.select("file", "section_id"), "file").select("record_id", "snippet", "section_id")
+    by_text = near.unionByName(brief).join(keyed.select("section_id", "body", "section_title", "ordinal"), "section_id").where(F.contains("body", "snippet"))
+    by_text = by_text.groupBy("record_id").agg(F.min_by(held, "ordinal").alias("_text"))
+
+    pages = short.where("page_start <= page_end").select("file", "s", "ordinal", F.explode(F.sequence("page_start", "page_end")).alias("page"))
+    pages = pages.groupBy("file", "page").agg(F.min_by("s", "ordinal").alias("_page"))
+    alone = short.groupBy("file").agg(F.count("*").alias("n"), F.min_by("s", "ordinal").alias("_alone")).where("n = 1").drop("n")
+    met = asked.select("record_id", "file", "page").join(by_text, "record_id", "left").join(pages, ["file", "page"], "left").join(alone, "file", "left")
+    tier = F.when(F.col("_text").isNotNull(), 1).when(F.col("_page").isNotNull(), 2).when(F.col("_alone").isNotNull(), 3)
+    return met.select("record_id", F.coalesce("_text", "_page", "_alone").alias("s"), tier.alias("tier")).where("tier is not null").select("record_id", "s.section_id", "s.section_title", "tier")
 
 
 def _base() -> Column:
@@ -114,11 +142,11 @@ def traces(records: DataFrame, found_sources: DataFrame, artifacts: DataFrame, s
     method = F.when(text | table | chart, F.when(table, F.col("table_method")).when(chart, F.col("chart_method")).otherwise("text_extraction"))
     notes = F.array_compact(
         F.array(
-            F.when(~table & figure & ~chart, "A figure exists at the same source/page but no chart extraction was linked."),
-            F.when(F.col("source_id").isNull(), "No discovered source matched this record."),
-            F.when(F.col("artifact_id").isNull(), "No source artifact matched this record."),
-            F.when(F.col("section_id").isNull() & F.col("page").isNotNull(), "Page was retained, but a semantic section was not resolved."),
-            F.when(~text, "The record has no evidence text."),
+            F.when(~table & figure & ~chart, "The page has a figure whose chart was not read."),
+            F.when(F.col("source_id").isNull(), "No known source fits the record."),
+            F.when(F.col("artifact_id").isNull(), "No file of the source fits the record."),
+            F.when(F.col("section_id").isNull() & F.col("page").isNotNull(), "The page is known, its section is not."),
+            F.when(~text, "There is no evidence text."),
         )
     )
     return met.select(

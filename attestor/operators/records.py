@@ -14,6 +14,7 @@ from attestor.functions.identity import date_only
 from attestor.functions.numbers import evened, is_strict_metric, metric_name, strict_number, unit_or_default
 from attestor.functions.text import norm_key, squeeze
 from attestor.functions.values import json_kind, json_list, json_number, json_plain, json_present
+from attestor.functions.warnings import HAS_WARNINGS
 from attestor.operators.common import first_per_key
 
 # Pairs of fields that hold a metric's name and its value.
@@ -44,7 +45,7 @@ UNRELIABLE = (
     "per missing_data_policy",
     "not explicitly given",
 )
-NOT_A_METRIC = "Filtered from strict metric output because the record is not a numeric metric; use dynamic tables for non-metric facts."
+NOT_A_METRIC = "no numeric metric: kept among the open records only"
 REVIEW_BELOW = 0.6
 
 
@@ -140,14 +141,14 @@ def curate(records: DataFrame) -> DataFrame:
     reasons = F.array_distinct(
         F.array_compact(
             F.array(
-                F.when((F.col("table_name") == "paper_metadata") & ~own & weak_metadata(), "weak paper metadata from page-level extraction; arXiv metadata should be preferred"),
-                F.when(unreliable() & (F.size("repaired") > 0), F.concat(F.lit("fields nulled because warning says values are unreliable: "), nulled)),
-                F.when(F.col("_size"), "model_size_mb inferred from parameter count rather than explicitly reported"),
-                F.when(in_gb, "memory footprint evidence is in GB; unit conversion should be reviewed"),
-                F.when(no_evidence, "non-empty dynamic record has no evidence_text"),
-                F.when(F.size("warnings") > 0, "record contains extraction warnings that require review"),
-                F.when(F.col("confidence") < REVIEW_BELOW, "record confidence is below the review threshold"),
-                F.when(pdf & ~own & F.col("page").isNull(), "PDF-derived record has no page provenance"),
+                F.when((F.col("table_name") == "paper_metadata") & ~own & weak_metadata(), "date or authors of the paper are missing; a catalogue's metadata is better"),
+                F.when(unreliable() & (F.size("repaired") > 0), F.concat(F.lit("values taken out that a warning calls unreliable: "), nulled)),
+                F.when(F.col("_size"), "model size was read off a parameter count"),
+                F.when(in_gb, "memory is given in GB by the evidence; check the conversion"),
+                F.when(no_evidence, "values without evidence"),
+                F.when(F.size("warnings") > 0, HAS_WARNINGS),
+                F.when(F.col("confidence") < REVIEW_BELOW, "confidence below the review threshold"),
+                F.when(pdf & ~own & F.col("page").isNull(), "comes from a PDF, but its page is not known"),
             )
         )
     )
@@ -177,8 +178,8 @@ def arxiv_metadata(sources: DataFrame) -> DataFrame:
     )
 
 
-def merge_key() -> Column:
-    """What makes two open records the same: the file and, by table, the fields that identify a row of it."""
+def merge_key() -> tuple[Column, Column, Column]:
+    """What makes two open records the same: the table, the file, and by table the fields that identify a row of it, as a list of texts."""
 
     def text(name: str) -> Column:
         return F.when(json_present(field(name)), norm_key(F.array_join(json_list(field(name)), ";"))).otherwise(F.lit(""))
@@ -198,42 +199,54 @@ def merge_key() -> Column:
         .when(table == "deployment_efficiency", F.array(filled, F.coalesce(F.col("page").cast("string"), F.lit(""))))
         .otherwise(F.array(everything))
     )
-    return F.struct(table.alias("table_name"), norm_key(F.col("source_file")).alias("file"), own.alias("own"))
+    return table, norm_key(F.col("source_file")), own
+
+
+def _merge_id() -> Column:
+    """A digest of :func:`merge_key`, of fixed width."""
+    part = lambda c: F.coalesce(c, F.lit("\u0000"))
+    table, file, own = merge_key()
+    return F.md5(F.concat_ws("\u0001", part(table), part(file), F.array_join(own, "\u0002", "\u0000")))
 
 
 def merge_open(records: DataFrame) -> DataFrame:
-    """One record for each :func:`merge_key`: for every field the first value that there is, the most confidence,
-    all warnings and evidence texts in order of appearance, and the ids that went into it.
+    """One record for each :func:`merge_key`: for every field the first value that there is, the most confidence, the distinct
+    warnings in order of appearance, and how many records went into it. :func:`merged_members` has these and their evidence.
 
-    Three aggregates over the key, none of which needs a key's rows together: the first record, the first value
-    of each field, and the first place of each distinct warning, evidence text and id.
+    One pass: each record becomes a row for itself, for each field with a value and for each warning, and these are
+    reduced by (key, kind, item) with partial sums. Only the distinct fields and warnings of a key ever meet, not its records.
     """
-    keyed = records.withColumn("k", merge_key())
-    lead = keyed.groupBy("k").agg(
-        F.min_by(F.struct("record_id", "source_file", "source_type", "page", "evidence_text", "paper_title", "fields"), "ordinal").alias("lead"),
-        F.max("confidence").alias("confidence"), F.min("ordinal").alias("ordinal"), F.count("*").alias("merged"),
+    lead = F.struct("record_id", "source_file", "source_type", "page", "evidence_text", "paper_title", "fields", "table_name")
+    item = lambda kind, name, nth, value: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("item"), nth.cast("int").alias("nth"), value.cast("string").alias("value"))
+    filled = F.filter(F.map_entries("fields"), lambda e: json_present(e["value"]))
+    told = F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w, i: item("warning", w, i, F.lit(None)))
+    rows = F.concat(
+        F.array(item("record", F.lit(""), F.lit(0), F.lit(None))), F.transform(filled, lambda e: item("field", e["key"], F.lit(0), e["value"])), F.filter(told, lambda w: w["item"] != "")
+    )
+    keyed = records.select(_merge_id().alias("merge_id"), "ordinal", "confidence", lead.alias("lead"), F.explode(rows).alias("r"))
+    at, own = F.struct("ordinal", "r.nth"), F.col("r.kind") == "record"
+    once = keyed.groupBy("merge_id", F.col("r.kind").alias("kind"), F.col("r.item").alias("item")).agg(
+        F.min(at).alias("at"), F.min_by("r.value", at).alias("value"), F.min_by(F.when(own, F.col("lead")), at).alias("lead"), F.max("confidence").alias("confidence"), F.count("*").alias("n")
+    )
+    of = lambda kind: F.col("kind") == kind
+    merged = once.groupBy("merge_id").agg(
+        F.first(F.when(of("record"), F.col("lead")), ignorenulls=True).alias("lead"), F.max(F.when(of("record"), F.col("confidence"))).alias("confidence"),
+        F.min(F.when(of("record"), F.col("at.ordinal"))).alias("ordinal"), F.max(F.when(of("record"), F.col("n"))).alias("merged"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(of("field"), F.struct("item", "value"))))).alias("present"),
+        F.transform(F.array_sort(F.collect_list(F.when(of("warning"), F.struct("at", "item")))), lambda x: x["item"]).alias("warnings"),
     )
-    values = keyed.select("k", "ordinal", F.explode("fields").alias("name", "value")).where(json_present(F.col("value")))
-    values = values.groupBy("k", "name").agg(F.min_by("value", "ordinal").alias("value"))
-    values = values.groupBy("k").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("present"))
-
-    def listed(item: Column, name: str) -> DataFrame:
-        """Distinct items in order of first appearance."""
-        places = keyed.select("k", "ordinal", F.posexplode(item).alias("nth", "item")).where("item <> ''")
-        places = places.groupBy("k", "item").agg(F.min(F.struct("ordinal", "nth")).alias("at"))
-        return places.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias(name))
-
-    parts = [values, listed(F.col("warnings"), "warnings"), listed(F.array("evidence_text"), "evidence_list"), listed(F.array("record_id"), "merged_record_ids")]
-    for part in parts:
-        lead = lead.join(part, "k", "left")
-    empty = F.map_filter("lead.fields", lambda k, _: ~F.array_contains(F.map_keys(F.coalesce("present", F.create_map().cast("map<string,string>"))), k))
-    return lead.select(
-        "lead.record_id", "ordinal", F.col("k.table_name").alias("table_name"), F.map_concat(empty, F.coalesce("present", F.create_map().cast("map<string,string>"))).alias("fields"),
-        "lead.source_file", "lead.source_type", "lead.page", "lead.evidence_text", "lead.paper_title", "confidence",
-        F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"), "evidence_list", "merged_record_ids",
+    empty = F.map_filter("lead.fields", lambda k, _: ~F.map_contains_key("present", k))
+    return merged.select(
+        "merge_id", "lead.record_id", "ordinal", "lead.table_name", F.map_concat(empty, "present").alias("fields"),
+        "lead.source_file", "lead.source_type", "lead.page", "lead.evidence_text", "lead.paper_title", "confidence", "warnings", "merged",
     )
 
 
+def merged_members(records: DataFrame) -> DataFrame:
+    """(merge_id, record_id, ordinal, evidence_text): the records behind each row of :func:`merge_open`, one a row."""
+    return records.select(_merge_id().alias("merge_id"), "record_id", "ordinal", "evidence_text")
+
+
 def backfill_titles(records: DataFrame, files: DataFrame) -> DataFrame:
     """Fill empty titles from (source_file, title): by the full name, else by the base name; the first title of a name holds."""
     from attestor.functions.text import basename

@@ -34,9 +34,9 @@ def queue(records: DataFrame, charts: DataFrame, checks: DataFrame, conflicts: D
     """
     reasons = F.array_join(F.array_distinct(F.filter(F.transform("warnings", lambda w: F.trim(w)), lambda w: w != "")), " | ")
     parts = [
-        items(records, "record", F.col("record_id"), "record_quality", F.when(F.col("confidence") < 0.5, "high").otherwise("medium"), reasons, "Record was flagged by quality or provenance checks."),
-        items(charts.where("needs_review"), "figure", F.col("figure_id"), "chart_validation", F.when(F.col("errors") > 0, "high").otherwise("medium"), F.col("reason"), "Chart validation flagged this figure."),
-        items(checks.where("status = 'partial'"), "cross_modal", F.col("check_id"), "cross_modal_partial", F.lit("medium"), F.col("issue"), "Text, table, and figure evidence only partially agree."),
+        items(records, "record", F.col("record_id"), "record_quality", F.when(F.col("confidence") < 0.5, "high").otherwise("medium"), reasons, "A check flagged the record."),
+        items(charts.where("needs_review"), "figure", F.col("figure_id"), "chart_validation", F.when(F.col("errors") > 0, "high").otherwise("medium"), F.col("reason"), "The chart's reading is doubtful."),
+        items(checks.where("status = 'partial'"), "cross_modal", F.col("check_id"), "cross_modal_partial", F.lit("medium"), F.col("issue"), "Text, table and figure agree in part only."),
         items(conflicts, "conflict", F.col("conflict_id"), "source_conflict", F.lit("high"), F.col("message"), "Sources disagree."),
         items(gaps, "coverage_gap", F.col("gap_id"), "coverage_gap", F.col("priority"), F.col("name"), "Evidence is missing."),
     ]

@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType
 from attestor.functions.text import compact_lines, pack_lines, slices, squash, squeeze
 from attestor.operators.common import first_per_key
 
-HEADING_SCORE, HEADINGS_A_FILE = 2.5, 80
+HEADING_SCORE, HEADINGS_A_FILE = 3.0, 80
 ROWS_A_REQUEST, TEXT_A_REQUEST = 80, 3200
 
 # Words that make a block worth reading, and what its section adds.
@@ -66,22 +66,44 @@ def section_type(title: Column) -> Column:
     return choice.when(lower.rlike(r"^(\d+|[ivxlcdm]+)(\.\d+)*\.?\s+"), "other")
 
 
-def heading_score(text: Column, line: Column, larger: Column, bold: Column) -> Column:
-    """How much a line looks like a heading; 0 for captions, references and long lines."""
-    lower, words = F.lower(F.trim(text)), F.size(F.split(F.trim(text), r"\s+"))
-    numbered = text.rlike(r"^\d+(\.\d+)*\s+")
-    never = (text == "") | (F.length(text) > 160) | ((words > 14) & ~numbered) | lower.rlike(r"^(figure|fig\.|table)\s+\d+") | lower.rlike(r"^\[\d+\]")
-    score = (
-        F.when(text.rlike(r"^(\d+|[ivxlcdm]+)(\.\d+)*\.?\s+[A-Z][A-Za-z0-9 ,:/()&-]{2,}$"), 4.0).otherwise(0.0)
-        + F.when(text.rlike(r"^[A-Z][A-Za-z0-9 ,:/()&-]{2,}$") & (words <= 8), 2.0).otherwise(0.0)
-        + F.when(lower.isin(*HEADING_NAMES), 5.0).otherwise(0.0)
-        + F.when(lower.rlike("|".join(HEADING_WORDS)), 2.0).otherwise(0.0)
-        + F.when(larger, 2.0).otherwise(0.0)
-        + F.when(bold, 1.5).otherwise(0.0)
-        + F.when(line <= 6, 0.8).otherwise(0.0)
-        - F.when(text.endswith(".") & (words > 4), 1.0).otherwise(0.0)
-    )
-    return F.when(never, 0.0).otherwise(score)
+# What speaks for a heading, and how much. A line needs about two of these; HEADING_SCORE is the bar.
+HEADING_WEIGHTS = {"outline": 2.2, "named": 2.6, "topical": 0.9, "capitals": 1.5, "brief": 1.2, "open_end": 0.6, "large": 1.8, "bold": 1.2, "top_of_page": 0.4}
+#: A heading has no more words and characters than these; a line's font is large from this multiple of its file's median on.
+HEADING_WORDS_MOST, HEADING_CHARS_MOST, LARGE_FONT = 14, 150, 1.15
+OUTLINE = r"^(?:\d{1,2}(?:\.\d{1,2}){0,4}|[IVX]{1,5}|[A-H])[.)]?\s+(?=\p{Lu}|\p{Lo})"
+
+
+def heading_signs(text: Column, line: Column, font: Column, bold: Column) -> dict[str, Column]:
+    """The signs of a heading that a line shows, by name. ``font`` is its size as a multiple of the usual one, null if not known."""
+    title = F.regexp_replace(text, OUTLINE, "")
+    words = F.filter(F.split(title, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    weighty = F.filter(words, lambda w: F.length(w) > 3)
+    capital = F.filter(weighty, lambda w: w.rlike(r"^\p{Lu}"))
+    lower = F.transform(words, lambda w: F.lower(w))
+    return {
+        "outline": text.rlike(OUTLINE),
+        "named": F.array_join(lower, " ").isin(*HEADING_NAMES),
+        "topical": F.exists(lower, lambda w: F.exists(F.array(*map(F.lit, HEADING_WORDS)), lambda h: F.startswith(w, h))),
+        "capitals": (F.size(weighty) > 0) & (F.size(capital) * 3 >= F.size(weighty) * 2),
+        "brief": (F.size(words) > 0) & (F.size(words) <= 8),
+        "open_end": ~text.rlike(r"[.,;:!?]$"),
+        "large": font >= LARGE_FONT,
+        "bold": bold,
+        "top_of_page": line < 5,
+    }
+
+
+def heading_score(text: Column, line: Column, font: Column | None = None, bold: Column | None = None) -> Column:
+    """How much a line looks like a heading: the weights of its signs, 0 for what none can be.
+
+    Captions, references in brackets, long lines, lines without a letter and whole sentences are no headings.
+    """
+    signs = heading_signs(text, line, F.lit(None).cast("double") if font is None else font, F.lit(False) if bold is None else bold)
+    total = sum((F.when(F.coalesce(sign, F.lit(False)), HEADING_WEIGHTS[name]).otherwise(0.0) for name, sign in signs.items()), F.lit(0.0))
+    words = F.size(F.split(F.trim(text), r"\s+"))
+    sentence = text.rlike(r"[.!?]$") & (words > 5) & ~signs["outline"]
+    never = ~text.rlike(r"\p{L}{2}") | (F.length(text) > HEADING_CHARS_MOST) | (words > HEADING_WORDS_MOST) | text.startswith("[") | sentence | text.rlike(r"(?i)^(?:fig(?:ure)?|tab(?:le)?)s?\b\.?\s*\d")
+    return F.when(F.coalesce(never, F.lit(True)), 0.0).otherwise(F.round(total, 2))
 
 
 def headings(blocks: DataFrame) -> DataFrame:
@@ -96,8 +118,21 @@ def headings(blocks: DataFrame) -> DataFrame:
     after = lambda i: F.array_join(F.slice("lines", i + 2, 3), " ")
     beside = F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("raw"), F.left(before(i), F.lit(800)).alias("before"), F.left(after(i), F.lit(1200)).alias("after")))
     rows = rows.select("source_file", "page", F.explode(beside).alias("l")).select("source_file", "page", "l.*")
+    return _chosen_headings(rows.withColumns({"font": F.lit(None).cast("double"), "bold": F.lit(False)}))
+
+
+def headings_in_layout(lines: DataFrame) -> DataFrame:
+    """:func:`headings` of recorded lines (source_file, page, line, text, font_size, bold): a file's median font tells which are large."""
+    usual = lines.where("font_size > 0").groupBy("source_file").agg(F.percentile_approx("font_size", 0.5).alias("_usual"))
+    order = Window.partitionBy("source_file", "page").orderBy("line")
+    near = lambda a, b: F.array_join(F.collect_list(F.trim("text")).over(order.rowsBetween(a, b)), " ")
+    rows = lines.where("trim(text) <> ''").withColumns({"before": F.left(near(-2, -1), F.lit(800)), "after": F.left(near(1, 3), F.lit(1200))}).join(usual, "source_file", "left")
+    return _chosen_headings(rows.select("source_file", "page", "line", F.trim("text").alias("raw"), "before", "after", (F.col("font_size") / F.col("_usual")).alias("font"), F.coalesce("bold", F.lit(False)).alias("bold")))
+
+
+def _chosen_headings(rows: DataFrame) -> DataFrame:
     text = F.regexp_replace(squeeze(F.col("raw")), r"^[ .]+|[ .]+$", "")
-    rows = rows.withColumn("text", text).withColumn("score", heading_score(F.col("text"), F.col("line"), F.lit(False), F.lit(False))).where(F.col("score") >= HEADING_SCORE)
+    rows = rows.withColumn("text", text).withColumn("score", heading_score(F.col("text"), F.col("line"), F.col("font"), F.col("bold"))).where(F.col("score") >= HEADING_SCORE)
     rows = rows.select("source_file", "page", "line", "text", "score", "before", "after")
     once = first_per_key(rows, ["source_file", "page", F.lower("text")], [F.col("line"), -F.col("score")])
     placed = once.withColumn("_n", F.row_number().over(Window.partitionBy("source_file").orderBy("page", "line", F.desc("score"))))

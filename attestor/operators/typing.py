@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.values import json_kind, json_plain, json_present
+from attestor.functions.warnings import REQUIRED_MISSING
 
 # Words for true and false; names that all mean the condition of a measurement; names that plans must not use.
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
@@ -76,7 +77,7 @@ def conform(payloads: DataFrame, plan: DataFrame) -> DataFrame:
     met = met.withColumns({"_each": each, "extra": F.map_filter("fields", lambda k, _: ~F.map_contains_key("_types", k))})
     met = met.withColumn("fields", F.map_from_entries(F.transform("_each", lambda x: F.struct(x["field"], x["t"]["json"]))))
     absent = F.filter(F.coalesce("_required", F.array().cast("array<string>")), lambda n: ~json_present(F.element_at("fields", n)))
-    warnings = F.array_distinct(F.concat("warnings", F.transform(absent, lambda n: F.concat(F.lit("required dynamic field missing: "), n))))
+    warnings = F.array_distinct(F.concat("warnings", F.transform(absent, lambda n: F.concat(F.lit(REQUIRED_MISSING), n))))
     events = F.transform(F.filter("_each", lambda x: x["t"]["event"].isNotNull()), lambda x: F.struct(x["field"].alias("field"), x["t"]["event"].alias("event")))
     return met.withColumns({"warnings": warnings, "events": events}).drop("_types", "_required", "_swap", "_each")
 

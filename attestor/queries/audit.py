@@ -104,7 +104,7 @@ def record_merge_fold(spark: SparkSession, d: str) -> DataFrame:
     """Open records of one file merged into one: first values, most confidence, warnings in order of appearance."""
     found = records.merge_open(_open_events(spark, d))
     return found.select(
-        "source_file", "record_id", "confidence", F.size("merged_record_ids").cast("long").alias("merged"), F.element_at("fields", "k").alias("k"), F.replace(F.element_at("fields", "first type"), F.lit('"')).alias("first_type"), F.array_join("warnings", "|").alias("warnings")
+        "source_file", "record_id", "confidence", "merged", F.element_at("fields", "k").alias("k"), F.replace(F.element_at("fields", "first type"), F.lit('"')).alias("first_type"), F.array_join("warnings", "|").alias("warnings")
     )
 
 
@@ -127,9 +127,9 @@ def dynamic_wide_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT CAST(event_id AS VARCHAR) AS record_id,
-  concat_ws(' | ', 'weak paper metadata from page-level extraction; arXiv metadata should be preferred',
-    'record contains extraction warnings that require review',
-    CASE WHEN value / 1000.0 < 0.6 THEN 'record confidence is below the review threshold' END) AS reasons
+  concat_ws(' | ', 'date or authors of the paper are missing; a catalogue''s metadata is better',
+    'extraction gave warnings',
+    CASE WHEN value / 1000.0 < 0.6 THEN 'confidence below the review threshold' END) AS reasons
 FROM events
 """)
 def curation_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -188,20 +188,34 @@ def record_check_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS (SELECT {_CANON_SQL} AS metric, {_CANON_UNIT_SQL} AS unit, p_size, CASE WHEN p_size <= 5 OR p_size > 45 OR p_size <= 25 THEN 1 ELSE 0 END AS bad FROM part)
-SELECT count(*) AS record_count, CAST(0 AS BIGINT) AS dynamic_record_count, round(count(*) FILTER (p_size > 5) / count(*), 4) AS evidence_coverage,
-  round(count(*) FILTER (p_size BETWEEN 26 AND 45) / count(*), 4) AS value_evidence_coverage, round((count(*) - sum(bad)) / count(*), 4) AS warning_free_rate, CAST(sum(bad) AS BIGINT) AS review_count,
-  (SELECT count(DISTINCT p_brand) FROM part) AS source_count
-FROM r
+WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS record_id, p_partkey, {_CANON_SQL} AS metric, {_CANON_UNIT_SQL} AS unit, p_size, p_type, p_name, p_retailprice, p_size % 3 = 0 AND p_size > 5 AS checked, p_partkey % 2 = 0 AS shown,
+                  CASE WHEN p_size <= 5 THEN 0.45 WHEN p_size > 45 THEN 0.55 WHEN p_size <= 25 THEN 0.5 ELSE 0.72 END AS confidence FROM part),
+i AS (
+  SELECT record_id, 'warning' AS level FROM r WHERE p_size <= 5
+  UNION ALL SELECT record_id, 'warning' FROM r WHERE p_size > 45
+  UNION ALL SELECT record_id, 'warning' FROM r WHERE p_size BETWEEN 6 AND 25
+  UNION ALL SELECT record_id, 'info' FROM r WHERE unit = '' AND metric NOT IN ('accuracy', 'F1', 'number of parameters')
+  UNION ALL SELECT record_id, 'warning' FROM r WHERE confidence < 0.6
+  UNION ALL SELECT record_id, 'warning' FROM r WHERE checked AND NOT shown),
+c AS (SELECT count(*) AS n FROM (SELECT 1 FROM r WHERE p_size <= 45 GROUP BY lower(p_type), lower(metric), lower(p_name) HAVING count(DISTINCT (p_retailprice, unit)) > 1)),
+t AS (SELECT count(*) AS n, count(*) FILTER (p_size > 5) AS e, count(*) FILTER (p_size BETWEEN 26 AND 45) AS v, count(*) FILTER (checked) AS asked, count(*) FILTER (checked AND shown) AS located FROM r),
+o AS (SELECT count(*) AS n, count(*) FILTER (event_type <> '') AS e FROM events),
+b AS (SELECT count(*) AS n, count(*) FILTER (level = 'warning') AS w, count(*) FILTER (level = 'error') AS bad, count(DISTINCT record_id) FILTER (level <> 'info') AS records FROM i)
+SELECT t.n AS record_count, o.n AS dynamic_record_count, t.n + o.n AS total_record_count, b.n + c.n AS issue_count, b.w + c.n AS warning_count, b.bad AS error_count, c.n AS conflict_count,
+  round(t.e / t.n, 4) AS evidence_coverage, round((t.e + o.e) / (t.n + o.n), 4) AS evidence_text_coverage, round(t.v / t.n, 4) AS value_evidence_coverage, round(t.located / t.asked, 4) AS provenance_page_coverage,
+  round((t.n + o.n - b.records) / (t.n + o.n), 4) AS warning_free_rate, b.records AS review_count, (SELECT count(DISTINCT p_brand) FROM part) AS source_count
+FROM t, o, b, c
 """)
 def quality_report_row(spark: SparkSession, d: str) -> DataFrame:
-    """The quality report over strict records made of parts."""
-    strict = records.normalise(_metric_rows(spark, d))
-    issues = quality.issue_rows(quality.check_strict(strict))
-    located = quality.provenance(strict, spark.createDataFrame([], "file string, page int, text string"))
-    nothing = spark.createDataFrame([], "record_id string, evidence_text string")
-    made = quality.report(strict, nothing, issues, located, quality.metric_conflicts(strict).limit(0))
-    return made.select("record_count", "dynamic_record_count", "evidence_coverage", "value_evidence_coverage", "warning_free_rate", "review_count", "source_count")
+    """The quality report: strict records made of parts, some from PDF pages that show them or not, open records made of events, and all conflicts."""
+    pdf = F.col("ordinal")  # each record has a page of its own
+    rows = _metric_rows(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), "p_size"), "ordinal")
+    rows = rows.withColumns({"source_type": F.when(F.col("p_size") % 3 == 0, "pdf_text").otherwise("csv"), "page": pdf.cast("int")}).drop("p_size")
+    pages = quality.page_texts(rows.select("source_file", "page", F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("All of it: "), "evidence_text", F.lit("."))).otherwise("Nothing of the kind.").alias("text"), "ordinal").where("text is not null"))
+    checked = quality.check_strict(records.normalise(rows))
+    located = quality.provenance(checked, pages)
+    issues = quality.issue_rows(checked).unionByName(quality.provenance_issues(located))
+    return quality.report(located, _open_events(spark, d), issues, located, quality.metric_conflicts(located))
 
 
 @query("""
@@ -286,8 +300,8 @@ WITH f AS (SELECT p_partkey, unnest({_FORMS}) AS t, generate_subscripts({_FORMS}
 x AS (SELECT *, lower(trim(t)) AS p, replace(lower(trim(t)), ',', '') AS q FROM f),
 y AS (SELECT *, TRY_CAST(trim(regexp_replace(q, '%$', '')) AS DOUBLE) AS whole, regexp_extract_all(q, '[-+]?\d*\.?\d+(?:e[-+]?\d+)?') AS nums FROM x)
 SELECT p_partkey, CAST(form AS INTEGER) AS form,
- CASE WHEN p IN ('', 'null', 'none', 'n/a', 'na', 'nan', '-', 'unknown', 'not reported') THEN NULL WHEN whole IS NOT NULL THEN whole WHEN regexp_matches(p, '\d\s*[x×脳*]\s*\d') THEN NULL WHEN regexp_matches(p, '\d\s*[-~–]\s*\d') THEN NULL WHEN len(nums) = 1 THEN CAST(nums[1] AS DOUBLE) END AS value,
- CASE WHEN p IN ('', 'null', 'none', 'n/a', 'na', 'nan', '-', 'unknown', 'not reported') THEN 'empty/null-like string' WHEN whole IS NOT NULL THEN 'converted from numeric string' WHEN regexp_matches(p, '\d\s*[x×脳*]\s*\d') THEN 'non-scalar dimension string'
+ CASE WHEN p IN ('', 'null', 'none', 'n/a', 'na', 'nan', '-', 'unknown', 'not reported') THEN NULL WHEN whole IS NOT NULL THEN whole WHEN regexp_matches(p, '\d\s*[x×*]\s*\d') THEN NULL WHEN regexp_matches(p, '\d\s*[-~–]\s*\d') THEN NULL WHEN len(nums) = 1 THEN CAST(nums[1] AS DOUBLE) END AS value,
+ CASE WHEN p IN ('', 'null', 'none', 'n/a', 'na', 'nan', '-', 'unknown', 'not reported') THEN 'empty/null-like string' WHEN whole IS NOT NULL THEN 'converted from numeric string' WHEN regexp_matches(p, '\d\s*[x×*]\s*\d') THEN 'non-scalar dimension string'
    WHEN regexp_matches(p, '\d\s*[-~–]\s*\d') THEN 'range string' WHEN len(nums) = 1 THEN 'extracted from mixed numeric string' WHEN len(nums) > 1 THEN 'multi-number string' ELSE 'non-numeric string' END AS warning
 FROM y
 """)

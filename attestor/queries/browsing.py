@@ -10,12 +10,11 @@ from attestor.queries.base import query, table
 
 
 @query("""
-SELECT doc_id, lang, source FROM documents WHERE contains(lower('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}'), 'src1')
+SELECT doc_id, lang, source FROM documents WHERE contains(lower('{"doc_id":' || coalesce(CAST(doc_id AS VARCHAR), '') || coalesce(',"lang":"' || lang || '"', '') || coalesce(',"source":"' || source || '"', '') || '}'), 'src1')
 """)
 def record_search(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose JSON holds a text in any case."""
-    rows = table(spark, d, "documents").where("lang is not null and source is not null")
-    return browse.search(rows, "SRC1", ["doc_id", "lang", "source"]).select("doc_id", "lang", "source")
+    return browse.search(table(spark, d, "documents"), "SRC1", ["doc_id", "lang", "source"]).select("doc_id", "lang", "source")
 
 
 @query("SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 40")

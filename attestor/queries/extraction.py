@@ -123,13 +123,12 @@ def text_block_rank_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, trim(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]) AS line FROM documents WHERE NOT regexp_matches(text, '[\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}]'))
-SELECT doc_id, CASE WHEN length(line) BETWEEN 8 AND 180 AND len(string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' ')) >= 3 THEN line END AS title FROM l
-""")
+WITH l AS (SELECT doc_id, trim(list_filter(list_transform(string_split(regexp_replace(text, '\r\n|[\n\x{0B}\x{0C}\r\x{85}\x{2028}\x{2029}]', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]) AS line FROM documents)
+SELECT doc_id, CASE WHEN length(line) BETWEEN 8 AND 180 AND len(string_split(SQUEEZED, ' ')) >= 3 THEN line END AS title FROM l
+""".replace("SQUEEZED", squeezed("line")))
 def leading_titles(spark: SparkSession, d: str) -> DataFrame:
     """The first line of each document where it reads as a title."""
-    plain = ~F.col("text").rlike("[\r\u000b\u000c\u0085  ]")
-    return table(spark, d, "documents").where(plain).select("doc_id", leading_title(F.col("text")).alias("title"))
+    return table(spark, d, "documents").select("doc_id", leading_title(F.col("text")).alias("title"))
 
 
 _KINDS = " ".join(f"WHEN regexp_matches(t, '{words}') THEN '{kind}'" for kind, words in sections.SECTION_WORDS)

@@ -59,13 +59,16 @@ def test_curation(spark):
     plain = open_row(3, "t", {"a": 1}, "z.pdf", None, page=None)
     curated = records.curate(spark.createDataFrame([weak, sized, plain], OPEN))
     by = {r.record_id: r for r in curated.collect()}
-    assert "weak paper metadata" in by["r1"].reasons[0]
-    assert by["r2"].fields["model_size_mb"] == "null" and by["r2"].repaired["model_size_mb"] == "1698.4" and "fields nulled" in by["r2"].reasons[0]
-    assert by["r3"].confidence == 0.55 and by["r3"].reasons == ["non-empty dynamic record has no evidence_text", "record confidence is below the review threshold", "PDF-derived record has no page provenance"]
+    assert "date or authors" in by["r1"].reasons[0]
+    assert by["r2"].fields["model_size_mb"] == "null" and by["r2"].repaired["model_size_mb"] == "1698.4" and "values taken out" in by["r2"].reasons[0]
+    assert by["r3"].confidence == 0.55 and by["r3"].reasons == ["values without evidence", "confidence below the review threshold", "comes from a PDF, but its page is not known"]
     merged = {r.source_file: r for r in records.merge_open(made.unionByName(curated.select(*made.columns))).collect()}
     paper = merged["x.pdf"]
     assert paper.confidence == 1.0 and json.loads(paper.fields["authors"]) == ["Ann"] and json.loads(paper.fields["publication_date"]) == "2026-01-02" and json.loads(paper.fields["title"]) == "A Title" and json.loads(paper.fields["venue"]) == "arXiv:2601.00001"
-    assert len(paper.merged_record_ids) == 2 and merged["z.pdf"].merged_record_ids == ["r3"]
+    members = {}
+    for r in records.merged_members(made.unionByName(curated.select(*made.columns))).orderBy("ordinal").collect():
+        members.setdefault(r.merge_id, []).append(r.record_id)
+    assert paper.merged == 2 == len(members[paper.merge_id]) and members[merged["z.pdf"].merge_id] == ["r3"]
 
 
 def test_checks_of_records(spark):
@@ -76,9 +79,9 @@ def test_checks_of_records(spark):
     assert by["r3"].confidence == 0.55 and {(i.level, i.field) for i in by["r3"].issues} == {("warning", "metric_value"), ("info", "unit"), ("warning", "confidence")}
     assert by["r4"].confidence == 0.45 and by["r4"].unit == "dimensionless"
     plan = spark.createDataFrame([("t", "b", True), ("t", "c", False)], "table_name string, field string, required boolean")
-    opened = [open_row(1, "t", {"a": 1}, warnings=["Required dynamic field missing: b", "odd", "Odd."]), open_row(2, "u", {}, evidence=None, confidence=0.2)]
+    opened = [open_row(1, "t", {"a": 1}, warnings=["Required field without a value: b", "odd", "Odd."]), open_row(2, "u", {}, evidence=None, confidence=0.2)]
     found = {(r.record_id, r.field, r.message) for r in quality.check_open(spark.createDataFrame(opened, OPEN), plan).collect()}
-    assert found == {("r1", "b", "Required dynamic field is missing: b."), ("r1", "record_warning", "odd"), ("r2", "confidence", "Dynamic record confidence is low and should be reviewed.")}
+    assert found == {("r1", "b", "required field without a value: b"), ("r1", "record_warning", "odd"), ("r2", "confidence", "Confidence is below the review threshold.")}
 
 
 def matches(evidence, page):
@@ -119,11 +122,11 @@ def test_provenance(spark):
     blocks = spark.createDataFrame([("dir/A.pdf", 1, "first part", 1), ("dir/A.pdf", 1, "of the page", 2), ("b.pdf", None, "no page", 1)], "source_file string, page int, text string, ordinal int")
     tabular = spark.createDataFrame([("A.pdf", 2, "Cap", ["m", "v"], [{"m": '"PCE"', "v": "21.3"}], 1)], "source_file string, page int, caption string, columns array<string>, rows array<map<string,string>>, ordinal int")
     pages = quality.page_texts(blocks, tabular)
-    assert {(r.file, r.page): r.text for r in pages.collect()} == {("dir/a.pdf", 1): "first part\nof the page", ("a.pdf", 1): "first part\nof the page", ("a.pdf", 2): 'Cap\nm v\nm: "PCE", v: 21.3'}
+    assert {(r.file, r.page): r.text for r in pages.collect()} == {("dir/a.pdf", 1): "first part\nof the page", ("a.pdf", 2): 'Cap\nm v\nm: "PCE", v: 21.3'}
     rows = spark.createDataFrame([strict_row(1, 1.0, "other/a.PDF", evidence_text="part of the"), strict_row(2, 1.0, "dir/a.pdf", evidence_text="not on this page"), strict_row(3, 1.0, "a.pdf", evidence_text="first part of", page=None), strict_row(4, 1.0, "a.pdf", evidence_text="x", source_type="csv")], STRICT)
     located = quality.provenance(rows, pages)
     assert [(r.record_id, r.checked, r.located, r.confidence) for r in located.orderBy("record_id").collect()] == [("r1", True, True, 0.8), ("r2", True, False, 0.5), ("r3", True, False, 0.5), ("r4", False, False, 0.8)]
-    assert {r.record_id: "recorded page;" in r.message for r in quality.provenance_issues(located).collect()} == {"r2": False, "r3": True}
+    assert {r.record_id: "not known" in r.message for r in quality.provenance_issues(located).collect()} == {"r2": False, "r3": True}
 
 
 def test_evidence_lookups_and_traces(spark):
@@ -141,7 +144,7 @@ def test_evidence_lookups_and_traces(spark):
     made = evidence.traces(rows, met, none("record_id string, artifact_id string"), found_sections, found_tables.withColumn("table_method", F.lit("lines")), none("record_id string, figure_id string"), none("figure_id string, extraction_method string"))
     by = {r.record_id: r for r in made.collect()}
     assert (by["r1"].evidence_type, by["r1"].locator_status, by["r1"].extraction_method) == ("table", "resolved", "lines")
-    assert by["r2"].locator_status == "partial" and by["r3"].locator_status == "unresolved" and "No discovered source" in by["r3"].notes
+    assert by["r2"].locator_status == "partial" and by["r3"].locator_status == "unresolved" and "No known source" in by["r3"].notes
 
 
 def test_cross_modal(spark):
@@ -322,7 +325,7 @@ def test_typed_payloads(spark):
     plan = spark.createDataFrame([("t", "score", "number", True, 1), ("t", "tags", "list[string]", False, 2), ("t", "ok", "boolean", False, 3), ("t", "setting", "string", False, 4), ("t", "n", "integer", True, 5)], "table_name string, field string, type string, required boolean, ordinal int")
     given = spark.createDataFrame([("t", {"score": '"0.9"', "tags": '"one"', "ok": '"Yes"', "condition": "5", "odd": "1"}, []), ("t", {"tags": '"[\\"a\\"]"', "n": '"12"'}, []), ("u", {"a": "1"}, [])], "table_name string, fields map<string,string>, warnings array<string>")
     a, b = sorted(typing.conform(given, plan).collect(), key=lambda r: len(r.fields), reverse=True)
-    assert a.fields == {"score": "0.9", "tags": '["one"]', "ok": "true", "setting": '"5"'} and a.extra == {"odd": "1"} and a.warnings == ["required dynamic field missing: n"]
+    assert a.fields == {"score": "0.9", "tags": '["one"]', "ok": "true", "setting": '"5"'} and a.extra == {"odd": "1"} and a.warnings == ["required field without a value: n"]
     assert {(e.field, e.event) for e in a.events} == {("score", "numeric_string_to_float"), ("tags", "scalar_to_list"), ("ok", "string_to_bool"), ("setting", "value_to_string")}
     assert b.fields == {"tags": '["a"]', "n": "12"}
     contract = typing.plan_contract(spark.createDataFrame([("m", "metric", "string", True, True, 1), ("m", "paper_url", "string", True, True, 2), ("m", "page", "int", True, True, 3)], "table_name string, field string, type string, required boolean, evidence_required boolean, ordinal int"))
