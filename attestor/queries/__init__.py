@@ -3,7 +3,7 @@
 The tables hold no research records, so each query says what stands for what.
 """
 
-from attestor.queries import audit, browsing, catalogue, coverage, extraction, extensions, history, planning
+from attestor.queries import audit, browsing, catalogue, coverage, extensions, extraction, governance, history, planning
 from attestor.queries.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "audit", "browsing", "catalogue", "coverage", "extensions", "extraction", "history", "planning"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audit", "browsing", "catalogue", "coverage", "extensions", "extraction", "governance", "history", "planning"]

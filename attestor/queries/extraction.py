@@ -89,25 +89,145 @@ def table_unpivot_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_size, p_type, p_name FROM part)
-SELECT 'T' || p_brand || ':' || n || ':0' AS record_id, p_name AS material, 'PCE' AS metric_name, CAST(p_size AS DOUBLE) AS metric_value, 'nm' AS unit, p_type AS condition, 'row ' || n || ': Material=' || p_name || '; PCE (%)=' || p_size || ' nm; Test=' || p_type AS evidence_text FROM r WHERE p_size > 10
+WITH r AS (SELECT p_brand, p_partkey, p_partkey // 50 AS run, row_number() OVER (PARTITION BY p_brand, p_partkey // 50 ORDER BY p_partkey) AS n, p_size, p_type, p_name FROM part)
+SELECT 'T' || p_brand || '/' || run || ':' || n || ':0' AS record_id, p_name AS material, 'PCE' AS metric_name, CAST(p_size AS DOUBLE) AS metric_value, 'nm' AS unit, p_type AS condition, 'row ' || n || ': Material=' || p_name || '; PCE (%)=' || p_size || ' nm; Test=' || p_type AS evidence_text FROM r WHERE p_size > 10
 """)
 def table_rule_extraction(spark: SparkSession, d: str) -> DataFrame:
-    """Strict records from tables (one for each brand): a metric column by its name, roles by their headers."""
-    grouped = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size", "p_type"))).alias("s"))
+    """Strict records from tables (one for each brand and run of fifty parts): a metric column by its name, roles by their headers."""
+    run = (F.col("p_partkey") / 50).cast("long")
+    grouped = table(spark, d, "part").groupBy("p_brand", run.alias("run")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size", "p_type"))).alias("s"))
     rows = F.transform(
         "s",
         lambda s: F.create_map(F.lit("Material"), s["p_name"], F.lit("PCE (%)"), F.when(s["p_size"] > 10, F.concat(s["p_size"].cast("string"), F.lit(" nm"))).otherwise(F.lit("GPT-4")), F.lit("Test"), s["p_type"]),
     )
-    found = grouped.select(F.concat(F.lit("T"), "p_brand").alias("table_id"), F.col("p_brand").alias("source_file"), F.lit("csv").alias("source_type"), F.lit(None).cast("int").alias("page"), F.array(F.lit("Material"), F.lit("PCE (%)"), F.lit("Test")).alias("columns"), rows.alias("rows"))
+    found = grouped.select(F.concat(F.lit("T"), "p_brand", F.lit("/"), "run").alias("table_id"), F.col("p_brand").alias("source_file"), F.lit("csv").alias("source_type"), F.lit(None).cast("int").alias("page"), F.array(F.lit("Material"), F.lit("PCE (%)"), F.lit("Test")).alias("columns"), rows.alias("rows"))
     return extract.from_tables(found).select("record_id", "material", "metric_name", "metric_value", "unit", "condition", "evidence_text")
 
 
-@query()
+@query("""
+SELECT p_partkey, 'accuracy' AS metric_name, CAST(p_size AS DOUBLE) AS metric_value, '%' AS unit, CASE WHEN p_size % 2 = 0 THEN 'diffusion' END AS method, 'on the test set, while F1 fell to 0.25.' AS condition FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, 'F1', 0.25, NULL, CASE WHEN p_size % 2 = 0 THEN 'diffusion' END, 'on the test set, while F1 fell to 0.25.' FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, 'PCE', 10.0 + p_size, '%', NULL, 'under AM 1.5G light.' FROM part WHERE p_size % 3 = 1
+""")
 def text_rule_extraction(spark: SparkSession, d: str) -> DataFrame:
-    """Strict records from sentences with a metric and a number. Its patterns look around; tests hold its cases."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("source_file"), F.lit(None).cast("int").alias("page"), "text", F.col("doc_id").alias("ordinal"))
-    return extract.from_text(docs).select("record_id", "metric_name", "metric_value", "unit", "evidence_text")
+    """Strict records from sentences made of parts: two metrics with the number nearest to each, a unit beside a spectrum's name, and no metric."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    two = F.concat(F.lit("With "), F.when(size % 2 == 0, "Diffusion").otherwise("nothing"), F.lit(", the accuracy is "), size, F.lit(" % (run "), key, F.lit(") on the test set, while F1 fell to 0.25."))
+    one = F.concat(F.lit("The cell reached a PCE of "), (size + 10).cast("string"), F.lit(" % under AM 1.5G light."))
+    text = F.concat(F.lit("Nothing is measured in this sentence. "), F.when(size % 3 == 0, two).when(size % 3 == 1, one).otherwise(F.concat(F.lit("There are "), key, F.lit(" of these things here."))))
+    blocks = table(spark, d, "part").select(F.lit("f").alias("source_file"), F.lit(None).cast("int").alias("page"), text.alias("text"), F.col("p_partkey").alias("ordinal"))
+    return extract.from_text(blocks).select(F.col("ordinal.ordinal").alias("p_partkey"), "metric_name", "metric_value", "unit", "method", "condition")
+
+
+def _grids(spark: SparkSession, d: str) -> DataFrame:
+    """A raw table for each part: one or two header rows, or none, and doubled or empty names."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    row = lambda *cells: F.array(*(F.lit(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cells))
+    one = F.array(row("Material", "PCE"), row(F.col("p_name"), size), row("other", "1,024"))
+    two = F.array(row("Cell", "Cell"), row("name", "value"), row(key, size), row("7", "N/A"))
+    none = F.array(row(key, size), row("3", "4.50"))
+    odd = F.array(row(" ", "x", "x"), row("a", "1", "2"), row("b", "-", "3"))
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.when(size % 4 == 0, one).when(size % 4 == 1, two).when(size % 4 == 2, none).otherwise(odd).alias("grid"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Material|PCE' WHEN 1 THEN 'Cell name|Cell value' WHEN 2 THEN 'column_1|column_2' ELSE 'column_1|x|x_2' END AS columns, CAST(CASE p_size % 4 WHEN 3 THEN 2 ELSE 2 END AS INTEGER) AS n,
+  CASE p_size % 4 WHEN 0 THEN p_name || '|' || p_size WHEN 1 THEN p_partkey || '|' || p_size WHEN 2 THEN p_partkey || '|' || p_size ELSE 'a|1|2' END AS first, CASE p_size % 4 WHEN 0 THEN 'other|1024' WHEN 1 THEN '7|' WHEN 2 THEN '3|4.5' ELSE 'b||3' END AS last
+FROM part
+""")
+def table_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Raw grids as tables: headers told from data and joined, names made unique, cells cleaned."""
+    cells = lambda r: F.array_join(F.transform("columns", lambda c: F.coalesce(F.element_at(r, c), F.lit(""))), "|")
+    made = tables.shape(_grids(spark, d))
+    return made.select("p_partkey", F.array_join("columns", "|").alias("columns"), F.size("rows").alias("n"), cells(F.element_at("rows", 1)).alias("first"), cells(F.element_at("rows", -1)).alias("last"))
+
+
+@query("""
+SELECT p_partkey, p_size % 6 IN (0, 4) AS lines, p_size % 6 = 0 AS plain FROM part
+""")
+def table_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Which tables are one: not those of one row, of one column, mostly empty or with a sentence as header; by layout alone only with a caption."""
+    which = F.col("p_size") % 6
+    row = lambda a, b: F.create_map(F.lit("a"), F.lit(a).cast("string"), F.lit("b"), F.lit(b).cast("string"))
+    full, thin = F.array(row("1", "2"), row("3", "4")), F.array(row("1", None), row(None, None), row(None, "2"))
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.when(which == 1, F.array(F.lit("a"))).when(which == 5, F.array(F.lit("a"), F.lit("b" * 81))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("columns"),
+        F.when(which == 2, F.array(row("1", "2"))).when(which == 3, thin).otherwise(full).alias("rows"), F.when(which != 4, "Table 1").alias("caption"), F.array(F.lit(0.0), F.lit(0.0), F.lit(50.0), F.lit(50.0)).alias("bbox"), F.lit(100.0).alias("page_width"), F.lit(100.0).alias("page_height"),
+    )
+    return rows.select("p_partkey", tables.acceptable().alias("lines"), tables.acceptable(F.lit("text")).alias("plain"))
+
+
+@query("""
+SELECT p_partkey, unnest(CASE WHEN p_size % 2 = 0 THEN [0, 2] ELSE [0, 1, 2] END) AS ordinal FROM part
+""")
+def table_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of a page that no earlier one covers; the second covers the first by more or less than the bound."""
+    box = lambda *xs: F.array(*(x.cast("double") if not isinstance(x, float) else F.lit(x) for x in xs))
+    second = box(0.0, 0.0, F.when(F.col("p_size") % 2 == 0, 95.0).otherwise(60.0), 100.0)
+    boxes = F.posexplode(F.array(box(0.0, 0.0, 100.0, 100.0), second, box(200.0, 0.0, 300.0, 100.0))).alias("ordinal", "bbox")
+    return tables.drop_overlapping(table(spark, d, "part").select("p_partkey", F.lit("f").alias("source_file"), F.col("p_partkey").alias("page"), boxes)).select("p_partkey", "ordinal")
+
+
+@query("""
+SELECT p_brand AS source_file, min(p_partkey) AS ordinal FROM part GROUP BY p_brand, p_size
+""")
+def table_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of a file that were found twice are kept once; what differs beyond the third row or the sixth column does not count."""
+    cell = lambda i, c: F.create_map(F.lit("a"), F.concat(F.lit(f"{i}-"), c), F.lit("b"), F.lit("x"))
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("source_file"), F.col("p_partkey").alias("ordinal"), F.array(F.lit("a"), F.lit("b")).alias("columns"), F.array(cell(1, size), cell(2, size), cell(3, size), cell(4, key)).alias("rows"))
+    return tables.deduplicate(rows).select("source_file", "ordinal")
+
+
+@query("""
+SELECT p_partkey, 'Intro' AS title, 1 AS page, 'Intro' || chr(10) || p_name AS text FROM part UNION ALL SELECT p_partkey, 'Intro', 2, 'more of ' || p_brand FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_partkey, 'Methods', 2, 'METH-ODS' || chr(10) || p_type FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'Methods', 1, 'METH-ODS' || chr(10) || p_type FROM part WHERE p_size % 2 = 1
+""")
+def section_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Sections cut out of pages at their anchors, written with other case and signs; one runs over a page's end."""
+    even = F.col("p_size") % 2 == 0
+    first, second = F.concat(F.lit("Intro\n"), "p_name"), F.concat(F.lit("METH-ODS\n"), "p_type")
+    texts = F.when(even, F.array(first, F.concat(F.lit("more of "), "p_brand", F.lit("\n"), second))).otherwise(F.array(F.concat(first, F.lit("\n"), second)))
+    part = table(spark, d, "part").withColumn("source_file", F.concat(F.lit("f"), "p_partkey"))
+    pages = part.select("source_file", F.posexplode(texts).alias("at", "text")).select("source_file", (F.col("at") + 1).alias("page"), "text")
+    plan = part.select("source_file", F.explode(F.array(F.struct(F.lit("Intro").alias("t"), F.lit("intro").alias("a")), F.struct(F.lit("Methods").alias("t"), F.lit("methods").alias("a")))).alias("x"))
+    plan = plan.select("source_file", F.col("x.t").alias("section_title"), F.lit("other").alias("section_type"), F.lit(1).alias("start_page"), F.col("x.a").alias("start_anchor"), F.lit(0.5).alias("confidence"))
+    cut = sections.cut_sections(sections.locate(plan, pages), pages)
+    return cut.select(F.substr(F.col("source_file"), F.lit(2)).cast("long").alias("p_partkey"), F.col("section_title").alias("title"), "page", "text")
+
+
+@query("""
+SELECT s_suppkey, n, CAST((n + 79) // 80 AS INTEGER) AS batches, CAST(n - ((n + 79) // 80 - 1) * 80 AS INTEGER) AS last FROM (SELECT l_suppkey AS s_suppkey, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY 1)
+""")
+def table_row_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A table's rows in requests of eighty; each supplier's lines stand for a table."""
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").cast("int").alias("n"))
+    cut = counts.withColumn("b", sections.row_batches(F.sequence(F.lit(1), F.col("n"))))
+    return cut.select("s_suppkey", "n", F.size("b").alias("batches"), F.size(F.element_at("b", -1)).alias("last"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'f' || p_partkey WHEN 2 THEN 'f' || p_partkey END AS source_file FROM part
+""")
+def section_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The missing file of a section from headings: by title and page, else by a title that one file alone has."""
+    which, key = F.col("p_size") % 4, F.col("p_partkey")
+    title = F.when(which == 3, "Results").otherwise(F.concat(F.lit("Part  "), key))
+    part = table(spark, d, "part").select("p_partkey", which.alias("w"), title.alias("t"), F.concat(F.lit("f"), key).alias("f"))
+    asked = part.select("p_partkey", F.col("t").alias("section_title"), F.when(F.col("w") == 1, 3).otherwise(9).alias("start_page"), F.when(F.col("w") == 0, "own").alias("source_file"))
+    found = part.select(F.upper("t").alias("text"), F.lit(3).alias("page"), F.col("f").alias("source_file")).unionByName(part.where("w = 1").select(F.col("t").alias("text"), F.lit(4).alias("page"), F.lit("another").alias("source_file")))
+    extra = spark.createDataFrame([("Results", 1, "x"), ("results", 1, "y")], "text string, page int, source_file string")
+    return sections.repair_sources(asked, found.unionByName(extra)).select("p_partkey", "source_file")
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn > 0 THEN 'Page ' || turn END AS section_title, CAST(0.35 AS DOUBLE) AS confidence FROM conversations WHERE trim(text) <> ''
+""")
+def pages_without_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of files without a section (turns) as sections of their own, of low confidence."""
+    blocks = table(spark, d, "conversations").where("text is not null").select(F.col("conv_id").cast("string").alias("source_file"), F.col("turn").alias("page"), "text")
+    made = sections.pages_as_sections(blocks).where("nth = 0")
+    return made.select(F.col("source_file").cast("long").alias("conv_id"), F.col("page").alias("turn"), "section_title", "confidence")
 
 
 _WORDS = " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 10 ELSE 0 END" for w in sections.READ_WORDS)
