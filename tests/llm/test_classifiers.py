@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import zlib
@@ -142,3 +143,33 @@ def test_sentences_end_in_other_scripts(spark):
     text = "w1 w2。nasty fool！w3 w4।w5"
     found = toxicity.predict(spark.createDataFrame([(text,)], "text string"), model).first()
     assert [text[s.start : s.stop] for s in found.sentences] == ["nasty fool！"]
+
+
+def plain_quality(text, model):
+    """The score, n-gram by n-gram, from the model's weights."""
+    mult, mask = int(grams.MULT), (1 << 64) - 1
+    data = re.sub(rb"[0-9]", b"0", (text or "").encode())
+    found = set()
+    for size in quality.SIZES:
+        for i in range(len(data) - size + 1):
+            code = size
+            for b in data[i : i + size]:
+                code = (code * 257 + b) & mask
+            found.add((code * mult & mask) >> (64 - quality.BITS))
+    hashes = [sum((b + 1) * pow(mult, i, 1 << 64) for i, b in enumerate(w)) * mult & mask for w in re.split(rb"[\t-\r ]+", data) if w]
+    pairs = [(a * 3 + b) * mult & mask for a, b in zip(hashes, hashes[1:], strict=False)]
+    found |= {(1 << quality.BITS) + (h >> (64 - quality.WORD_BITS)) for h in hashes + pairs}
+    runs = [len(list(g)) for _, g in itertools.groupby(hashes)]
+    found |= {quality.WIDTH - len(quality.RUNS) + i for i, n in enumerate(quality.RUNS) if max(runs, default=0) >= n}
+    w, norm = model.weights
+    at = sorted(found)
+    margin = (w[at].sum() + model.bias) / max(1.0, math.sqrt(norm[at].sum()))
+    return 1 / (1 + math.exp(-(model.slope * margin + model.shift)))
+
+
+def test_quality_scores_equal_a_plain_computation(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    labels = spark.read.parquet(f"{D}/labels.parquet").where("doc_id % 5 > 0")
+    model = quality.fit(queries.labelled(docs, labels, "doc_id", "text", "quality"))
+    for r in quality.predict(docs.where("doc_id < 200").select("doc_id", "text"), model).collect():
+        assert abs(r.score - plain_quality(r.text, model)) < 1e-9
