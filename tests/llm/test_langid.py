@@ -1,9 +1,12 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 
-from attestor.llm import langid, queries
+from attestor.llm import grams, langid, queries
 
 WORDS = {"aa": "lorem ipsum dolor sit amet", "bb": "zwei drei vier funf acht", "cc": "quick brown foxes jumped over"}
 
@@ -29,7 +32,7 @@ def test_counts_match_a_plain_loop():
     texts = ["ab  c", "", "d", "é-é"]
     data = [t.encode() for t in texts]
     at = np.cumsum([0, *map(len, data)])
-    counts = langid._counts(np.frombuffer(b"".join(data), "u1"), at)
+    counts = langid._counts(*langid._folded(np.frombuffer(b"".join(data), "u1"), at))
     sizes = [[max(0, n - k + 1) for k in langid.SIZES] for n in (4, 0, 1, 5)]
     assert counts.sum(1).tolist() == [sum(s) for s in sizes]
 
@@ -49,3 +52,40 @@ def test_held_out_accuracy(spark):
     assert len(found) == len(lang) and (found.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in found.doc_id]).all()
     held = found[found.held_out]
     assert (held.lang_pred == held.doc_id.map(lang)).mean() >= 0.95
+
+
+def plain_score(text, model):
+    """The nearest centroid's language and cosine, n-gram by n-gram."""
+    letters = re.sub(rb"[^a-zA-Z\x80-\xff]+", b" ", text.lower().encode())
+    counts = Counter()
+    for size in langid.SIZES:
+        for i in range(len(letters) - size + 1):
+            code = size
+            for b in letters[i : i + size]:
+                code = (code * 257 + b) % (1 << 64)
+            counts[code * int(grams.MULT) % (1 << 64) >> (64 - langid.BITS)] += 1
+    v = np.zeros(1 << langid.BITS)
+    for g, n in counts.items():
+        v[g] = math.log1p(n) * model.idf[g]
+    cosine = model.centroids.astype("f8") @ (v / max(1e-12, np.linalg.norm(v)))
+    return model.langs[int(cosine.argmax())], float(cosine.max())
+
+
+def test_scores_equal_a_plain_computation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = queries.language_model(docs)
+    for r in langid.predict(docs.where("doc_id < 120").select("doc_id", "text"), model).collect():
+        lang, score = plain_score(r.text or "", model)
+        assert abs(r.score - max(0.0, score)) < 1e-5 and (r.lang_pred == lang or r.lang_pred == "und")
+
+
+def test_other_languages_are_rejected_and_short_texts_kept(spark):
+    model = queries.language_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert all(model.langs.count(lang) >= 2 for lang in set(model.langs)), model.langs
+    other = ["Suomen kieli on itämerensuomalaisten kielten ryhmään kuuluva uralilainen kieli, jota puhuvat pääosin suomalaiset.", "Русский язык является одним из восточнославянских языков", "汉语是世界上使用人数最多的语言之一而且有很长的历史", "Η ελληνική γλώσσα είναι μία από τις αρχαιότερες"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[a-z]{3}'")
+    found = langid.predict(spark.createDataFrame([(t,) for t in other], "text string"), model).collect()
+    assert sum(r.rejected for r in found) >= 2
+    short = docs.selectExpr("substring_index(text, ' ', 6) as text").where("length(text) > 15")
+    assert langid.predict(short, model).where("rejected").count() <= 0.02 * short.count()
+    assert langid.predict(docs, model).where("rejected").count() <= 0.005 * docs.count()
