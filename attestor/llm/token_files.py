@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from attestor.llm.shared import text_chunks
 from attestor.llm.token_ids import binary_rows, little, load
 
-#: Documents in one part file, about, until there are so many parts; then parts grow instead.
+#: Documents in one part file, about; bounds of parts are quantiles of ids, found for so many parts at once.
 PART_DOCS, MOST_PARTS = 8192, 10_000
+#: Documents that are read back at a time.
+READ_DOCS = 1024
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -78,23 +81,44 @@ def mapped(store: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), dtype)
 
 
-def mapped_ids(store: fs.FileSystem, path: str, part: int) -> np.ndarray:
-    """The ids of a part, in the width that its file has."""
-    narrow = f"{path}/ids-{part:06d}.u2"
-    if store.get_file_info(narrow).type != fs.FileType.NotFound:
-        return mapped(store, narrow, "<u2")
-    return mapped(store, f"{path}/ids-{part:06d}.u4", "<u4")
+class IdRanges:
+    """Ranges of a part's ids, in the width that its file has: memory-mapped where the store is a mounted folder, else only they are read."""
+
+    def __init__(self, store: fs.FileSystem, path: str, part: int) -> None:
+        narrow = f"{path}/ids-{part:06d}.u2"
+        is_narrow = store.get_file_info(narrow).type != fs.FileType.NotFound
+        self.path, self.dtype = (narrow, np.dtype("<u2")) if is_narrow else (f"{path}/ids-{part:06d}.u4", np.dtype("<u4"))
+        local = isinstance(store, fs.LocalFileSystem)
+        self.whole, self.file = (mapped(store, self.path, self.dtype), None) if local else (None, store.open_input_file(self.path))
+
+    def __getitem__(self, bounds: slice) -> np.ndarray:
+        if self.whole is not None:
+            return self.whole[bounds]
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(size * (bounds.stop - bounds.start), size * bounds.start), self.dtype)
 
 
 def _bounds(ids: DataFrame) -> np.ndarray:
     """Ids that end the parts, so that parts ascend by id and hold about as many documents each.
 
-    They are quantiles of the id column alone, so that no text is read for them; there are ``MOST_PARTS`` at most.
+    They are quantiles of the id column alone, so that no text is read for them. Beyond ``MOST_PARTS`` parts, each stretch between two
+    quantiles is cut again by its own quantiles, so parts stay small however many documents there are. Only 8 bytes a part come here.
     """
-    parts = min(max(1, -(-ids.count() // PART_DOCS)), MOST_PARTS)
-    shares = [i / parts for i in range(1, parts)]
-    found = ids.agg(F.percentile_approx("id", shares, max(10000, 20 * parts)).alias("b")).first().b if shares else None
-    return np.unique(np.array(found or [], "i8"))
+    parts = max(1, -(-ids.count() // PART_DOCS))
+    coarse = min(parts, MOST_PARTS)
+    found = _quantiles(ids, coarse).first().b if coarse > 1 else []
+    bounds = np.unique(np.array(found or [], "i8"))
+    each = -(-parts // coarse)
+    if each > 1:
+        known = bounds.tolist()
+        inside = ids.where("id is not null").withColumn("stretch", F.pandas_udf(lambda s: s.map(lambda i: bisect_left(known, i)), "int")("id"))
+        rows = inside.groupBy("stretch").agg(F.percentile_approx("id", [i / each for i in range(1, each)], max(10000, 20 * each)).alias("b")).collect()
+        bounds = np.unique(np.concatenate([bounds, *(np.array(r.b, "i8") for r in rows)]))
+    return bounds
+
+
+def _quantiles(ids: DataFrame, parts: int) -> DataFrame:
+    return ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], max(10000, 20 * parts)).alias("b"))
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,13 +187,14 @@ def read(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
         for batch in batches:
             for p in batch.column(0).to_pylist():
                 store, path = _store(folder)
-                ids = mapped_ids(store, path, p)
+                ids = IdRanges(store, path, p)
                 docs = mapped(store, f"{path}/docs-{p:06d}.bin", "<i8")
                 at = mapped(store, f"{path}/offsets-{p:06d}.bin", "<u8").astype("i8")
-                own = (at - at[0]).tolist()
-                crc = [zlib.crc32(little(ids[a:b])) for a, b in zip(own, own[1:], strict=False)]
-                null = np.asarray(docs) == -(1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(docs), mask=null), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for first in range(0, len(docs), READ_DOCS):
+                    some, bounds = np.asarray(docs[first : first + READ_DOCS]), at[first : first + READ_DOCS + 1]
+                    own = (bounds - at[0]).tolist()
+                    crc = [zlib.crc32(little(ids[a:b])) for a, b in zip(own, own[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, mask=some == -(1 << 63)), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, parts.count())
     return parts.select("part").repartitionById(n, F.col("part")).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -180,4 +205,4 @@ def document(folder: str, part: int, at: int) -> np.ndarray:
     store, path = _store(folder)
     offsets = mapped(store, f"{path}/offsets-{part:06d}.bin", "<u8")
     base = int(offsets[0])
-    return mapped_ids(store, path, part)[int(offsets[at]) - base : int(offsets[at + 1]) - base]
+    return IdRanges(store, path, part)[int(offsets[at]) - base : int(offsets[at + 1]) - base]

@@ -29,14 +29,22 @@ def check(found, docs, theirs):
         start += len(ids)
 
 
-def test_round_trip_over_many_parts(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("most", [10_000, 5])
+def test_round_trip_over_many_parts(spark, tmp_path, monkeypatch, most):
     monkeypatch.setattr(token_files, "PART_DOCS", 3)
+    monkeypatch.setattr(token_files, "MOST_PARTS", most)
+    monkeypatch.setattr(token_files, "READ_DOCS", 2)
     docs = [(i * 7 - 20, t) for i, t in enumerate([None, "", "one two", "! !", "x " * 4000, "é", "same", "same", *(f"doc {k}" for k in range(300))])]
     rows = spark.createDataFrame([(*d, 1) for d in reversed(docs)], "doc_id long, text string, start int").repartition(5)
     parts = token_files.write(rows, str(tmp_path), PATH)
     assert parts.count() > 64
     check(token_files.read(spark, str(tmp_path), parts).collect(), docs, Tokenizer.from_file(PATH))
     assert token_files.document(str(tmp_path), 0, 1).tolist() == [0]
+    ranges = token_files.IdRanges(*token_files._store(str(tmp_path)), 0)
+    whole = ranges[0:4].tolist()
+    ranges.whole, ranges.file = None, open(ranges.path, "rb")  # noqa: SIM115
+    ranges.file = type("File", (), {"read_at": lambda self, n, at, f=ranges.file: (f.seek(at), f.read(n))[1]})()
+    assert ranges[0:4].tolist() == whole and ranges[1:3].tolist() == whole[1:3]
 
 
 def test_repeated_null_and_no_rows(spark, tmp_path):
