@@ -67,7 +67,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if mark == seen:
+            unstage(before)
             return now.selectExpr("hi as node", "lo as root").union(now.selectExpr("lo", "lo").distinct())
+        if seen is not None:
+            unstage(before)
         seen, before = mark, now
         now = stage(_small_star(_large_star(now)))
-        unstage(before)

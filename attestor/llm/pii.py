@@ -292,16 +292,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in SCHEMA.split(", ")]
+        types = [pa.int64()] * 5 + [pa.string()] * 2
         for batch in batches:
-            made = []
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
-                base, spans = find(text.as_py())
-                count = [sum(s[0] == k for s in spans) for k in KINDS]
-                made.append((i.as_py(), *count, hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans)))
-            names = [part.split()[0] for part in SCHEMA.split(", ")]
-            types = [pa.int64()] * 5 + [pa.string()] * 2
-            columns = zip(*made, strict=True) if made else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            for first in range(0, len(batch), CHUNK_ROWS):
+                rows, made = batch.slice(first, CHUNK_ROWS), []
+                for i, text in zip(rows.column(0), rows.column(1), strict=True):
+                    base, spans = find(text.as_py())
+                    count = [sum(s[0] == k for s in spans) for k in KINDS]
+                    made.append((i.as_py(), *count, hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, SCHEMA)
 

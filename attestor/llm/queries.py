@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import ann, bpe, langid, packing, pii, quality, simhash, token_files, toxicity, vector_dedup
-from attestor.llm.shared import fold, labelled, shared_dir
+from attestor.llm.shared import fold, labelled, passing, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Write all documents' token ids as files in the shared folder, and read each document back from them."""
-    folder = shared_dir(spark)
+    folder = passing(spark, shared_dir(spark))
     parts = token_files.write(_table(spark, sf_dir, "documents"), folder, path or public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read(spark, folder, parts)
 

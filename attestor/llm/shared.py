@@ -31,20 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/attestor-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """Have a folder deleted when the application ends, at the latest."""
+    store, target = _store(spark, path)
+    store.deleteOnExit(target)
+    return path
+
+
 def stage(df: DataFrame, *partition: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
+
+    What an operator's result still reads stays until the application ends; the rest goes by :func:`unstage` before.
+    """
     path = shared_dir(df.sparkSession)
     df.write.partitionBy(*partition).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(passing(df.sparkSession, path))
     out.staged_at = path
     return out
 
 
-def unstage(df: DataFrame) -> None:
+def unstage(*staged: DataFrame) -> None:
     """Delete what :func:`stage` wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df.staged_at
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    for df in staged:
+        store, target = _store(df.sparkSession, df.staged_at)
+        store.delete(target, True)
 
 
 def fold(id_col: str, n: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.graph import components
-from attestor.llm.shared import BROADCAST_ROWS, stage
+from attestor.llm.shared import BROADCAST_ROWS, stage, unstage
 
 SEED = 42
 
@@ -90,14 +90,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of any name are ignored. An empty table gives an empty result.
     """
     prints = stage(fingerprints(docs, id_col, text_col, words))
-    points = stage(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    points = stage(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
     rooted = stage(_rooted(points, radius))
     # only components of several fingerprints need the least of their ids; they are few, or dealt by AQE
-    shared = stage(rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component")).where("n > 1").drop("n"))
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    small = stage(rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component")).where("n > 1").drop("n"))
+    shared = F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
     component = F.when(F.col("own").isNull(), F.col("least")).otherwise(F.col("component"))
-    labelled = stage(rooted.join(shared.withColumnRenamed("root", "own"), F.col("root") == F.col("own"), "left").select("fp", component.alias("component")))
-    return prints.join(labelled, "fp").select("id", "fp", "component")
+    labelled = stage(rooted.join(shared.withColumnRenamed("root", "own"), F.col("root") == F.col("own"), "left").select("fp", component.alias("component"), "rows"))
+    unstage(points, rooted, small)
+    # fingerprints of more than a thousandth of the rows are fewer than a thousand: these are broadcast, so no task gets all their rows
+    hot = labelled.where(F.col("rows") * 1000 > F.lit(prints.count()))
+    often = F.broadcast(hot.select("fp", F.col("component").alias("_c"), F.lit(True).alias("_hot")))
+    met = prints.join(often, "fp", "left")
+    return met.where("_hot").select("id", "fp", F.col("_c").alias("component")).unionByName(met.where("_hot is null").select("id", "fp").join(labelled.select("fp", "component"), "fp"))
 
 
 def leads(docs: DataFrame, mark: Column, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -108,4 +113,6 @@ def leads(docs: DataFrame, mark: Column, id_col: str = "doc_id", text_col: str =
     prints = stage(fingerprints(docs, id_col, text_col, words, mark=mark))
     counted = prints.groupBy("fp", "id", "mark").agg(F.count("*").alias("rows"))
     points = stage(counted.groupBy("fp").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "mark", "rows")).alias("lead")))
-    return _rooted(points, radius).groupBy("root").agg(F.min("lead").alias("lead")).select("lead.id", "lead.mark", "lead.rows")
+    found = stage(_rooted(points, radius).groupBy("root").agg(F.min("lead").alias("lead")).select("lead.id", "lead.mark", "lead.rows"))
+    unstage(prints, points)
+    return found

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm import langid, packing, pii, simhash, toxicity
 from attestor.llm.queries import language_model, toxicity_model
-from attestor.llm.shared import BROADCAST_ROWS, stage
+from attestor.llm.shared import BROADCAST_ROWS, stage, unstage
 
 #: A document is dropped as toxic from this score on.
 TOXIC = 0.7
@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Groups are of texts, so different texts stay whether their ids are null or repeated. Of rows that are equal in all columns one stays.
     """
     mark = F.xxhash64(*docs.columns, *map(F.isnull, docs.columns))
-    leads = stage(simhash.leads(docs, mark).toDF("_lead", "_mark", "_rows"))
+    leads = simhash.leads(docs, mark).toDF("_lead", "_mark", "_rows")
     total, most = leads.agg(F.count("*"), F.coalesce(F.max("_rows"), F.lit(0))).first()
 
     def kept(lead: DataFrame) -> DataFrame:
@@ -72,6 +72,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for i, (_, step) in enumerate(STAGES[:-1]):
+        kept = stage(step(spark, docs, sf_dir))
+        if i:
+            unstage(docs)
+        docs = kept
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    unstage(docs)  # packing has staged the pieces that it reads
+    return packed
