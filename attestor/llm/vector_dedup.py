@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.ann import usable
 from attestor.llm.graph import components
-from attestor.llm.shared import bounded_sample, stage
+from attestor.llm.shared import bounded_sample, stage, unstage
 
 #: Rows of a list, and of its queries, that one task holds at a time.
 BLOCK = 2048
@@ -100,7 +100,7 @@ def fit(points: DataFrame, threshold: float, sample: int = 10_000, most_probes:
     u = _unit([r.v for r in rows])
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     coarse = _means(u, 1)
-    while 2 * len(coarse) <= min(4096, len(u) // 16):
+    while 2 * len(coarse) <= min(4096, len(u) // 8):
         more = Model(_means(u, 2 * len(coarse)), [], radius)
         few = u[:500]
         if len(more.coarse) <= len(coarse) or np.mean([len(p) for p in more.probes(few, more.nearest(few))]) > most_probes:
@@ -172,7 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     """(id, n_links, component_id, kept) for every row: links are pairs of equal label with a cosine of ``threshold`` or more.
 
     Vectors that are not :func:`usable`, or have no label, link with nothing; vectors of different lengths are
-    never compared. Rows of one id are rows of their own for the counts, and share a component. A null id gives a row without links. Equal
+    never compared. Rows of one id are rows of their own, and link with each other like any. A null id gives a row without links. Equal
     vectors of one label are brought together first, as one point with its number of copies. ``component_id`` is
     the least id reachable by links, ``kept`` says that a row is its own. Other columns are ignored.
 
@@ -182,7 +182,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     label = F.col(label_col) if label_col else F.lit(0)
     given = stage(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), label.alias("label"), (usable(vector_col) & label.isNotNull()).alias("ok")))
     whole = given.where("ok and id is not null").select("id", F.concat_ws(":", F.size("v"), "label").alias("label"), F.col("v"))
-    points = stage(whole.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    # a point has a number of its own, which ids need not be; staging fixes it
+    points = stage(whole.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
     sizes = [r[0] for r in points.select(F.size("v")).distinct().collect()]
     met = None
     for size in sorted(sizes):
@@ -192,10 +193,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     if met is None:
         return given.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     met = stage(met)
-    roots = components(met, "id", "root")
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
-    # a point may have the id of other points, if ids repeat, so its vector is part of its key
-    answer = stage(points.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select("label", "v", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("root", "id").alias("component")))
+    rooted = points.join(links, "id", "left").join(components(met, "id", "root").withColumnRenamed("node", "id"), "id", "left")
+    rooted = stage(rooted.select("label", "v", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    answer = stage(rooted.join(least, "root").select("label", "v", "links", "copies", "component"))
+    unstage(points, met, rooted)
     keyed = given.withColumn("label", F.when(F.col("ok") & F.col("id").isNotNull(), F.concat_ws(":", F.size("v"), "label")))
     return keyed.join(answer, ["label", "v"], "left").select(
         "id",

@@ -80,6 +80,10 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     found = sorted(((r.id or -1), r.n_links, r.component_id or -1, r.kept) for r in vector_dedup.near_duplicates(frame).collect())
     assert found == [(-1, 0, -1, True), (4, 2, 4, True), (4, 2, 4, True), (5, 0, 5, True), (6, 0, 6, True), (9, 2, 4, False)]
     assert vector_dedup.near_duplicates(frame.limit(0)).count() == 0
+    near = [1.0, 0.01, 0.5]  # two vectors of one id link with each other and with a third
+    shared = spark.createDataFrame([(7, v, 1), (7, near, 1), (3, near, 1), (7, w, 1)], schema)
+    found = sorted((r.id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(shared).collect())
+    assert found == [(3, 2, 3, True), (7, 0, 7, True), (7, 2, 3, False), (7, 2, 3, False)]
     assert vector_dedup.near_duplicates(frame.where("vec_id = 6")).first().kept
     assert ann.search(frame.limit(0), frame.vec_id > 0).count() == 0
 
