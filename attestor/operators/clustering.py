@@ -36,10 +36,13 @@ def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "k
 
 def _set_folder(spark) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark))
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
 
 
-def _local_folder(spark) -> str:
+def shared_base(spark) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; in local mode without the setting, as in tests, a folder of this machine."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
     import tempfile
 
     if not spark.sparkContext.master.startswith("local["):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.text import squeeze
@@ -166,10 +166,17 @@ def nearest_captions(items: DataFrame, captions: DataFrame) -> DataFrame:
 
     ``items`` has (item_id, source_file, page, top, bottom), ``captions`` (source_file, page, y, caption); y grows downwards.
     """
-    met = items.join(captions, ["source_file", "page"])
-    above, below = F.col("y") <= F.col("top"), F.col("y") >= F.col("bottom")
-    rank = F.struct(F.when(above, 0).otherwise(1).alias("side"), F.when(above, F.col("top") - F.col("y")).otherwise(F.col("y") - F.col("bottom")).alias("far"), "caption")
-    return met.where(above | below).groupBy("item_id").agg(F.min_by("caption", rank).alias("caption"))
+    # items and captions of a page in one order of places: the last caption met is the nearest, and no item meets all captions
+    def nearest(edge: str, sign: int, name: str) -> DataFrame:
+        place = lambda c: F.col(c) * F.lit(sign)
+        told = captions.select("source_file", "page", place("y").alias("at"), F.lit(0).alias("kind"), "caption", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
+        asked = items.select("source_file", "page", place(edge).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("caption"), "item_id")
+        order = Window.partitionBy("source_file", "page").orderBy("at", "kind", F.desc("caption")).rowsBetween(Window.unboundedPreceding, 0)
+        return told.unionByName(asked).withColumn(name, F.last("caption", ignorenulls=True).over(order)).where("kind = 1").select("item_id", name)
+
+    above, below = nearest("top", 1, "_above"), nearest("bottom", -1, "_below")
+    found = above.join(below, "item_id").select("item_id", F.coalesce("_above", "_below").alias("caption"))
+    return found.where("caption is not null")
 
 
 #: Lengths of a title in characters, and the fewest words it has.

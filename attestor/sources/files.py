@@ -99,6 +99,19 @@ def read_whitespace(spark: SparkSession, paths: str | list[str], columns: list[s
     return lines.select(*(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)))
 
 
+def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(source_file, source_path, kind, text) of HTML, text and Markdown files; ``kind`` is ``html`` or ``text``."""
+
+    @F.pandas_udf(StringType())
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: decode(bytes(c)))
+
+    found = spark.read.format("binaryFile").load(paths)
+    end = suffix(F.col("path"))
+    chosen = found.where(end.isin(*TEXT_SUFFIXES) & (end != ".pdf"))
+    return chosen.select(basename(F.col("path")).alias("source_file"), F.col("path").alias("source_path"), F.when(end.startswith(".htm"), "html").otherwise("text").alias("kind"), decoded("content").alias("text"))
+
+
 @F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """All character references of HTML, by name or number."""

@@ -16,10 +16,37 @@ def test_engine_over_a_folder_and_blocks(spark, tmp_path):
     assert [(r.metric, r.n_values) for r in result.conflicts.collect()] == [("pce", 2)]
     row = result.report.first()
     assert row.record_count == 4 and row.conflict_count == 1 and row.dynamic_record_count == 1
-    assert {r.subject_type for r in result.review.collect()} == {"record", "conflict"}
+    assert {r.subject_type for r in result.review.collect()} == {"record", "conflict", "coverage_gap"}
     assert {r.field for r in result.issues.collect()} >= {"dataset", "page"}
     assert {r.source_file: r.record_count for r in result.survey.collect()} == {"m.csv": 3, "a.pdf": 1}
-    assert set(result.tables()) == {"records", "rejected", "issues", "conflicts", "report", "review", "survey"}
+    assert {"records", "sections", "traces", "checks", "coverage", "gaps", "decision"} <= set(result.tables())
+    assert result.decision.first().decision == "continue" and [r.name for r in result.gaps.collect()] == ["dataset"]
+
+
+def test_engine_over_every_route(spark, tmp_path):
+    """HTML, text, tables and recorded pages become sections, records, traces, checks, coverage and a review queue."""
+    (tmp_path / "t.csv").write_text("Material,PCE (%)\nTiO2,15.5\n")
+    (tmp_path / "w.html").write_text("<html><script>x</script><p>The device has an accuracy of 91.5 % under AM 1.5.</p></html>")
+    (tmp_path / "n.md").write_bytes("光电 recall of 80 % was seen on the test set.".encode("gb18030"))
+    pages = spark.createDataFrame([("p.pdf", 1, "1 Introduction\nNothing is measured here, only told at length."), ("p.pdf", 2, "2 Results\nThe best bandgap of 1.55 eV was found in MAPbI3 films.\nA weak bandgap of 9.9 eV was seen on glass.")], "source_file string, page int, text string")
+    schema = "record_id string, ordinal int, table_name string, fields map<string,string>, source_file string, source_type string, page int, evidence_text string, confidence double, warnings array<string>, paper_title string, origin string"
+    opened = spark.createDataFrame([("o1", 1, "results", {"dataset": '"d"'}, "p.pdf", "pdf_text", 2, "films", 0.9, [], None, None)], schema)
+    plan = spark.createDataFrame([("results", "dataset", "string", True, True, 1), ("results", "host", "string", True, True, 2)], "table_name string, field string, type string, required boolean, evidence_required boolean, ordinal int")
+    sources = spark.createDataFrame([("s1", "On films", ["dl/p.pdf"], 1)], "source_id string, title string, paths array<string>, ordinal long")
+    figures = spark.createDataFrame([("f1", "p.pdf", 2, 1)], "figure_id string, source_file string, page int, ordinal long")
+    axis = ("eV", "linear", 0.0, 2.0)
+    charts = spark.createDataFrame([("f1", "line", True, 0.3, axis, axis, [("s", [[1.0, 1.55], [None, 2.0]])], "Fig. 1", "axis reading")], engine.OPTIONAL["charts"])
+    made = engine.run_folder(spark, str(tmp_path), opened, plan, pages, sources=sources, figures=figures, charts=charts)
+    assert {(r.source_file, r.metric_name, r.metric_value) for r in made.records.collect()} == {("t.csv", "PCE", 15.5), ("w.html", "accuracy", 91.5), ("n.md", "recall", 80.0), ("p.pdf", "bandgap", 1.55), ("p.pdf", "bandgap", 9.9)} - {("n.md", "recall", 80.0)}
+    assert {r.metric_name for r in made.rejected.collect()} == {"recall"}
+    assert {(r.section_title, r.page) for r in made.sections.where("source_file = 'p.pdf'").collect()} == {("1 Introduction", 1), ("2 Results", 2)}
+    traces = {(r.source_file, r.section_title, r.source_id, r.figure_id, r.evidence_type) for r in made.traces.collect()}
+    assert ("p.pdf", "2 Results", "s1", "f1", "figure") in traces and ("t.csv", None, None, None, "text") in {(a, b, c, d, "text") for a, b, c, d, _ in traces}
+    assert [(r.subject_id, r.status, r.matched) for r in made.checks.collect()] == [("f1", "supported", 1)]
+    assert [r.needs_review for r in made.charts.collect()] == [True]
+    assert {r.name: r.status for r in made.coverage.collect()} == {"dataset": "covered", "host": "missing"}
+    assert {"figure", "coverage_gap", "record"} <= {r.subject_type for r in made.review.collect()}
+    assert made.decision.first().decision == "continue" and made.report.first().record_count == 4
 
 
 def test_registry(spark):
