@@ -18,7 +18,7 @@ def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "k
     Each round passes the least root over the keys and back, two aggregates with partial sums, so a key that many
     records share is no burden. Rounds end when nothing changes; each is cut off by a reliable checkpoint.
     """
-    _set_folder(sources.sparkSession)
+    set_folder(sources.sparkSession)
     links = sources.select(F.col(id_col).alias("id"), F.explode(keys_col).alias("key")).distinct().checkpoint()
     now = sources.select(F.col(id_col).alias("id"), F.col(id_col).alias("root")).distinct()
     for _ in range(rounds):
@@ -34,7 +34,8 @@ def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "k
     raise ValueError("clusters did not settle")
 
 
-def _set_folder(spark) -> None:
+def set_folder(spark) -> None:
+    """Have reliable checkpoints go to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_base(spark))
 
@@ -58,7 +59,7 @@ def greedy_clusters(sources: DataFrame, rooted: DataFrame) -> DataFrame:
     to the cluster of the first record that has it, so a record follows that record of its first key which an earlier one
     has, and clusters are the ends of these paths: aggregates by key and rounds that halve the paths, no replay of a component.
     """
-    _set_folder(sources.sparkSession)
+    set_folder(sources.sparkSession)
     # the place of a record in the order: never null, ties by id
     place = F.struct(F.isnull("ordinal").alias("none"), "ordinal", "id")
     met = sources.select(F.col("source_id").alias("id"), "keys", "ordinal").join(rooted, "id").select("id", "root", place.alias("at"), "keys").checkpoint()

@@ -1,7 +1,8 @@
 """The deterministic core: parsed blocks and tables in, governed records, audits and a report out.
 
-Everything is a lazy plan over the inputs. The engine itself starts no job; the caller writes the tables it wants, for
-instance with :func:`attestor.sources.sinks.write_bundle`.
+What several results read (sections, extracted records, their audited form, open records) is made once and kept by a reliable checkpoint in the
+folder of ``spark.checkpoint.dir``; all else is a lazy plan over these. The caller writes the tables it wants, for instance with
+:func:`attestor.sources.sinks.write_bundle`.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from attestor.functions.identity import stable_id
 from attestor.functions.numbers import lenient_number, numbers_in
 from attestor.operators import catalog, charts, coverage, crossmodal, evidence, extract, quality, records, review, sections, survey
+from attestor.operators.clustering import set_folder
 from attestor.sources.files import html_blocks, read_tables, read_texts
 
 STRICT = ["record_id", "ordinal", "paper_title", "material", "method", "metric_name", "metric_value", "unit", "condition", "source_file", "source_type", "page", "evidence_text", "confidence", "warnings"]
@@ -53,6 +55,12 @@ class Result:
         return dict(vars(self))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Made now, read by many: the plan behind it is cut off, and a lost executor does not bring it back."""
+    set_folder(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def _numbers(tables: DataFrame, read: DataFrame) -> DataFrame:
     """(subject_id, value): the numbers of table cells and of chart points."""
     cells = tables.select(F.col("table_id").alias("subject_id"), F.explode("rows").alias("r")).select("subject_id", F.explode(F.map_values("r")).alias("v"))
@@ -90,7 +98,7 @@ def run(blocks: DataFrame, tables: DataFrame, opened: DataFrame, plan: DataFrame
     planned = sections.section_plan(sections.headings(bare))
     paged = bare.groupBy("source_file", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("text"))
     cut = sections.cut_sections(sections.locate(planned, paged), paged)
-    numbered = cut.withColumns({"ordinal": (F.col("page_start").cast("long") * 1_000_000 + F.col("page") * 1000 + F.col("nth")).cast("long"), "section_id": stable_id("section", F.col("source_file"), F.col("section_title"), F.col("page_start"))})
+    numbered = _once(cut.withColumns({"ordinal": (F.col("page_start").cast("long") * 1_000_000 + F.col("page") * 1000 + F.col("nth")).cast("long"), "section_id": stable_id("section", F.col("source_file"), F.col("section_title"), F.col("page_start"))}))
     reading = catalog.prefer_sections(blocks.select("source_file", "page", "text", F.col("ordinal").cast("long").alias("ordinal")), numbered.select("source_file", "page", "text", "ordinal"))
 
     parts = [extract.from_text(reading), extract.from_tables(tables), records.strict_from_open(opened)]
@@ -99,17 +107,17 @@ def run(blocks: DataFrame, tables: DataFrame, opened: DataFrame, plan: DataFrame
     for i, part in enumerate(parts):
         rows = part.withColumn("ordinal", order.withField("part", F.lit(i))).select(*STRICT)
         raw = rows if raw is None else raw.unionByName(rows)
-    marked = records.mark_strict(records.normalise(raw))
+    marked = _once(records.mark_strict(records.normalise(raw)))
     checked = quality.check_strict(records.deduplicate(marked.where("strict").drop("strict")))
-    curated = records.curate(opened)
-    located = quality.provenance(checked, quality.page_texts(blocks, tables.where("page is not null").withColumns({"caption": F.lit(None).cast("string"), "ordinal": F.lit(0).cast("long")})))
-    issues = quality.issue_rows(checked).unionByName(quality.check_open(curated, plan)).unionByName(quality.provenance_issues(located))
+    curated = _once(records.curate(opened))
+    located = _once(quality.provenance(checked, quality.page_texts(blocks, tables.where("page is not null").withColumns({"caption": F.lit(None).cast("string"), "ordinal": F.lit(0).cast("long")}))))
+    issues = quality.issue_rows(located).unionByName(quality.check_open(curated, plan)).unionByName(quality.provenance_issues(located))
     found = quality.metric_conflicts(located)
 
     read = charts.repair(read)
-    validated = charts.validate(read)
-    compared = cross_modal(blocks, tables, figures, read)
-    matched = evidence.match_sources(located, sources)
+    validated = _once(charts.validate(read))
+    compared = _once(cross_modal(blocks, tables, figures, read))
+    matched = _once(evidence.match_sources(located, sources))
     whole = numbered.groupBy("source_file", "section_id", "section_title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "nth", "text"))), lambda x: x["text"]), "\n").alias("text"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.min("ordinal").alias("ordinal"))
     on_tables = evidence.match_on_page(located, tables.withColumn("ordinal", F.lit(0)), "table_id").withColumn("table_method", F.lit("table_extraction"))
     named = located.join(matched.select("record_id", "source_id"), "record_id")
@@ -118,7 +126,7 @@ def run(blocks: DataFrame, tables: DataFrame, opened: DataFrame, plan: DataFrame
     )
 
     available = coverage.evidence_availability(artifacts)
-    items = coverage.requirement_coverage(plan, curated, available.where("unavailable"))
+    items = _once(coverage.requirement_coverage(plan, curated, available.where("unavailable")))
     open_gaps = coverage.gaps(items, coverage.required_evidence(wanted), available, coverage.unprocessed(artifacts))
 
     told = found.select(stable_id("conflict", F.col("entity"), F.col("metric"), F.col("context")).alias("conflict_id"), F.concat(F.lit("Values differ for "), "metric", F.lit(": "), "values").alias("message"))

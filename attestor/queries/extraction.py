@@ -93,15 +93,19 @@ WITH r AS (SELECT p_brand, p_partkey, p_partkey // 50 AS run, row_number() OVER
 SELECT 'T' || p_brand || '/' || run || ':' || n || ':0' AS record_id, p_name AS material, 'PCE' AS metric_name, CAST(p_size AS DOUBLE) AS metric_value, 'nm' AS unit, p_type AS condition, 'row ' || n || ': Material=' || p_name || '; PCE (%)=' || p_size || ' nm; Test=' || p_type AS evidence_text FROM r WHERE p_size > 10
 """)
 def table_rule_extraction(spark: SparkSession, d: str) -> DataFrame:
-    """Strict records from tables (one for each brand and run of fifty parts): a metric column by its name, roles by their headers."""
+    """Strict records from tables: a metric column by its name, roles by their headers."""
+    return extract.from_tables(part_tables(spark, d)).select("record_id", "material", "metric_name", "metric_value", "unit", "condition", "evidence_text")
+
+
+def part_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables, one for each brand and run of fifty parts."""
     run = (F.col("p_partkey") / 50).cast("long")
     grouped = table(spark, d, "part").groupBy("p_brand", run.alias("run")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size", "p_type"))).alias("s"))
     rows = F.transform(
         "s",
         lambda s: F.create_map(F.lit("Material"), s["p_name"], F.lit("PCE (%)"), F.when(s["p_size"] > 10, F.concat(s["p_size"].cast("string"), F.lit(" nm"))).otherwise(F.lit("GPT-4")), F.lit("Test"), s["p_type"]),
     )
-    found = grouped.select(F.concat(F.lit("T"), "p_brand", F.lit("/"), "run").alias("table_id"), F.col("p_brand").alias("source_file"), F.lit("csv").alias("source_type"), F.lit(None).cast("int").alias("page"), F.array(F.lit("Material"), F.lit("PCE (%)"), F.lit("Test")).alias("columns"), rows.alias("rows"))
-    return extract.from_tables(found).select("record_id", "material", "metric_name", "metric_value", "unit", "condition", "evidence_text")
+    return grouped.select(F.concat(F.lit("T"), "p_brand", F.lit("/"), "run").alias("table_id"), F.col("p_brand").alias("source_file"), F.lit("csv").alias("source_type"), F.lit(None).cast("int").alias("page"), F.array(F.lit("Material"), F.lit("PCE (%)"), F.lit("Test")).alias("columns"), rows.alias("rows"))
 
 
 @query("""
@@ -111,12 +115,16 @@ UNION ALL SELECT p_partkey, 'PCE', 10.0 + p_size, '%', NULL, 'under AM 1.5G ligh
 """)
 def text_rule_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Strict records from sentences made of parts: two metrics with the number nearest to each, a unit beside a spectrum's name, and no metric."""
+    return extract.from_text(metric_sentences(spark, d)).select(F.col("ordinal.ordinal").alias("p_partkey"), "metric_name", "metric_value", "unit", "method", "condition")
+
+
+def metric_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Text blocks, one for each part, most with a metric."""
     size, key = F.col("p_size"), F.col("p_partkey").cast("string")
     two = F.concat(F.lit("With "), F.when(size % 2 == 0, "Diffusion").otherwise("nothing"), F.lit(", the accuracy is "), size, F.lit(" % (run "), key, F.lit(") on the test set, while F1 fell to 0.25."))
     one = F.concat(F.lit("The cell reached a PCE of "), (size + 10).cast("string"), F.lit(" % under AM 1.5G light."))
     text = F.concat(F.lit("Nothing is measured in this sentence. "), F.when(size % 3 == 0, two).when(size % 3 == 1, one).otherwise(F.concat(F.lit("There are "), key, F.lit(" of these things here."))))
-    blocks = table(spark, d, "part").select(F.lit("f").alias("source_file"), F.lit(None).cast("int").alias("page"), text.alias("text"), F.col("p_partkey").alias("ordinal"))
-    return extract.from_text(blocks).select(F.col("ordinal.ordinal").alias("p_partkey"), "metric_name", "metric_value", "unit", "method", "condition")
+    return table(spark, d, "part").select(F.lit("f").alias("source_file"), F.lit(None).cast("int").alias("page"), text.alias("text"), F.col("p_partkey").alias("ordinal"))
 
 
 def _grids(spark: SparkSession, d: str) -> DataFrame:

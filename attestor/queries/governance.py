@@ -384,3 +384,19 @@ def public_rows(spark: SparkSession, d: str) -> DataFrame:
 
     note = F.when(F.col("p_size") % 2 == 0, "see /home/me/work/report.pdf for it").otherwise("see http://h.org/a/b/c.pdf")
     return public_row(table(spark, d, "part").select("p_partkey", note.alias("note"), F.lit("/x/y").alias("local_path")))
+
+
+@query("""
+WITH r AS (SELECT 'PCE' AS metric_name FROM (SELECT DISTINCT p_brand, p_name, p_size, p_type FROM part WHERE p_size > 10) UNION ALL SELECT 'PCE' FROM (SELECT DISTINCT lower(p_name), p_size FROM part) UNION ALL SELECT 'PCE' FROM part WHERE p_size % 3 = 1
+  UNION ALL SELECT 'accuracy' FROM (SELECT DISTINCT lower(p_name), p_size FROM part WHERE p_size % 2 = 0) UNION ALL SELECT unnest(['accuracy', 'F1']) FROM part WHERE p_size % 3 = 0)
+SELECT metric_name, count(*) AS n FROM r GROUP BY 1
+""")
+def engine_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a whole run over texts, tables and open records, by metric: extracted, normalised, filtered, each once, checked and located."""
+    from attestor.plans import engine
+    from attestor.queries import extraction
+
+    blocks = extraction.metric_sentences(spark, d).withColumn("source_file", F.concat(F.lit("f"), "ordinal"))
+    opened = _payloads(spark, d).withColumn("origin", F.lit(None).cast("string"))
+    plan = spark.createDataFrame([("metrics", "accuracy", "number", True, True, 1)], "table_name string, field string, type string, required boolean, evidence_required boolean, ordinal int")
+    return engine.run(blocks, extraction.part_tables(spark, d), opened, plan).records.groupBy("metric_name").agg(F.count("*").alias("n"))
