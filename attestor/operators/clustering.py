@@ -12,7 +12,7 @@ from attestor.functions.values import json_held, json_plain
 OWN_FIELDS = ("provider", "source_records", "source_ids", "providers", "alternate_urls", "source_conflicts")
 
 
-def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "keys", rounds: int = 40) -> DataFrame:
+def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "keys") -> DataFrame:
     """(id, root): sources that share a key, directly or over others; the root is the least id.
 
     Each round passes the least root over the keys and back, two aggregates with partial sums, so a key that many
@@ -21,7 +21,7 @@ def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "k
     set_folder(sources.sparkSession)
     links = sources.select(F.col(id_col).alias("id"), F.explode(keys_col).alias("key")).distinct().checkpoint()
     now = sources.select(F.col(id_col).alias("id"), F.col(id_col).alias("root")).distinct()
-    for _ in range(rounds):
+    while True:
         by_key = links.join(now, "id").groupBy("key").agg(F.min("root").alias("root"))
         by_id = links.join(by_key, "key").groupBy("id").agg(F.min("root").alias("least"))
         met = now.join(by_id, "id", "left").select("id", "root", F.least("root", "least").alias("new")).checkpoint()
@@ -31,7 +31,6 @@ def components(sources: DataFrame, id_col: str = "source_id", keys_col: str = "k
         if not now.where("root <> old").limit(1).count():
             return now.select("id", "root")
         now = now.select("id", "root")
-    raise ValueError("clusters did not settle")
 
 
 def set_folder(spark) -> None:

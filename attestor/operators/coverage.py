@@ -90,7 +90,7 @@ def requirement_coverage(plan: DataFrame, records: DataFrame, unavailable: DataF
     """
     met = requirements(plan).join(field_evidence(plan, records), "name").withColumn("evidence", evidence_kind(F.col("name")))
     if unavailable is not None:
-        met = met.join(F.broadcast(unavailable.select("evidence").distinct().withColumn("_gone", F.lit(True))), "evidence", "left")
+        met = met.join(unavailable.select("evidence").distinct().withColumn("_gone", F.lit(True)), "evidence", "left")
     else:
         met = met.withColumn("_gone", F.lit(None).cast("boolean"))
     status = (
@@ -148,7 +148,7 @@ def group_coverage(plan: DataFrame, items: DataFrame, sources: DataFrame, search
         F.coalesce(F.bool_or(absent & F.col("required")), F.lit(False)).alias("required_missing"), F.coalesce(F.sum("mentions"), F.lit(0)).alias("evidence_count"),
     )
     score = F.when(F.coalesce("b", F.lit(0.0)) > 0, F.col("a") / F.col("b")).otherwise(0.0)
-    full = groups.withColumns({"group_id": slug(F.col("table_name"), "field_group"), "coverage_score": score}).join(F.broadcast(sources), "table_name", "left").join(F.broadcast(searched), "group_id", "left")
+    full = groups.withColumns({"group_id": slug(F.col("table_name"), "field_group"), "coverage_score": score}).join(sources, "table_name", "left").join(searched, "group_id", "left")
     full = full.withColumns({"n_sources": F.coalesce("n_sources", F.lit(0)), "retries": F.coalesce("retries", F.lit(0)), "initial": F.coalesce("initial", F.lit(False))})
     enough = (F.col("coverage_score") >= target) & (F.col("n_sources") >= min_sources) & ~F.col("required_missing")
     status = F.when(~F.col("initial"), "pending").when(enough, "sufficient").when(F.col("retries") >= retry_limit, "exhausted").otherwise("insufficient")
@@ -176,7 +176,7 @@ def gaps(items: DataFrame, wanted: DataFrame, availability: DataFrame, left: Dat
         act = F.when(F.col("evidence") == kind, value) if act is None else act.when(F.col("evidence") == kind, value)
     act = act.otherwise(F.array(F.lit("search_more")))
     a = items.where(F.col("status") != "covered").select(gap_id("requirement", F.col("name")).alias("gap_id"), F.lit("requirement").alias("kind"), "name", "priority", "status", act.alias("actions"))
-    met = wanted.join(F.broadcast(availability), "evidence", "left").where(~F.coalesce("covered", F.lit(False)))
+    met = wanted.join(availability, "evidence", "left").where(~F.coalesce("covered", F.lit(False)))
     b = met.select(
         gap_id("evidence", F.col("evidence")).alias("gap_id"), F.lit("evidence").alias("kind"), F.concat(F.lit("Required evidence: "), "evidence").alias("name"), F.lit("high").alias("priority"),
         F.when(F.coalesce("unavailable", F.lit(False)), "unavailable").otherwise("missing").alias("status"), act.alias("actions"),

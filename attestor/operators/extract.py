@@ -164,8 +164,7 @@ def run_extractor(blocks: DataFrame, extractor: Callable[[pd.Series], list[list[
             except Exception:
                 made = [one(t) for t in batch["text"]]
             rows = []
-            for (_, block), (records, error) in zip(batch.iterrows(), made, strict=True):
-                kept = [block[c] for c in columns]
+            for kept, (records, error) in zip(batch[columns].itertuples(index=False, name=None), made, strict=True):
                 rows += [[*kept, *(r.get(n) for n in names), None] for r in records]
                 if error:
                     rows.append([*kept, *(None for _ in names), error])

@@ -73,7 +73,7 @@ def allowed(actions: DataFrame, budgets: dict[str, int], used: DataFrame) -> Dat
     """Actions with ``problem``: null if one may run; ``used`` (action, n) counts what ran, ``budgets`` what may run."""
     spark = actions.sparkSession
     limits = spark.createDataFrame(list(budgets.items()) or [("", 0)], "action string, budget int")
-    met = actions.join(F.broadcast(limits), "action", "left").join(F.broadcast(used.select("action", F.col("n").alias("_n"))), "action", "left")
+    met = actions.join(F.broadcast(limits), "action", "left").join(used.select("action", F.col("n").alias("_n")), "action", "left")
     return met.withColumn("problem", F.when(F.coalesce("_n", F.lit(0)) >= F.col("budget"), "budget is used up")).drop("_n", "budget")
 
 

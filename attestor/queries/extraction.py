@@ -44,7 +44,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, CAST(i AS INTEGER) AS nth, substr(text, CAST(i * 4500 + 1 AS BIGINT), 4500) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 4500) AS BIGINT)))) AS i FROM documents WHERE text IS NOT NULL)
 """)
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
-    """Texts in slices of 4500 characters."""
+    """Texts in slices of 4500 characters; a null text has none."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(slices(F.col("text"))).alias("s")).select("doc_id", "s.*")
 
 
