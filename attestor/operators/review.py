@@ -13,6 +13,8 @@ PRIORITIES = ("high", "medium", "low")
 QUEUE = ["review_id", "subject_type", "subject_id", "priority", "risk_type", "reason"]
 #: Records that are checked first, and the most that may be asked for.
 SAMPLE, MOST = 12, 100
+#: What a flagged record is told that brings no reason of its own.
+FLAGGED = "A check flagged the record."
 
 
 def priority_rank(priority: Column) -> Column:
@@ -34,7 +36,7 @@ def queue(records: DataFrame, charts: DataFrame, checks: DataFrame, conflicts: D
     """
     reasons = F.array_join(F.array_distinct(F.filter(F.transform("warnings", lambda w: F.trim(w)), lambda w: w != "")), " | ")
     parts = [
-        items(records, "record", F.col("record_id"), "record_quality", F.when(F.col("confidence") < 0.5, "high").otherwise("medium"), reasons, "A check flagged the record."),
+        items(records, "record", F.col("record_id"), "record_quality", F.when(F.col("confidence") < 0.5, "high").otherwise("medium"), reasons, FLAGGED),
         items(charts.where("needs_review"), "figure", F.col("figure_id"), "chart_validation", F.when(F.col("errors") > 0, "high").otherwise("medium"), F.col("reason"), "The chart's reading is doubtful."),
         items(checks.where("status = 'partial'"), "cross_modal", F.col("check_id"), "cross_modal_partial", F.lit("medium"), F.col("issue"), "Text, table and figure agree in part only."),
         items(conflicts, "conflict", F.col("conflict_id"), "source_conflict", F.lit("high"), F.col("message"), "Sources disagree."),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.functions import numbers
 from attestor.functions.numbers import lenient_number, number_text, strict_number, value_in_text
 from attestor.functions.text import norm_key
 from attestor.operators import crossmodal, quality, records
@@ -301,8 +302,8 @@ x AS (SELECT *, lower(trim(t)) AS p, replace(lower(trim(t)), ',', '') AS q FROM
 y AS (SELECT *, TRY_CAST(trim(regexp_replace(q, '%$', '')) AS DOUBLE) AS whole, regexp_extract_all(q, '[-+]?\d*\.?\d+(?:e[-+]?\d+)?') AS nums FROM x)
 SELECT p_partkey, CAST(form AS INTEGER) AS form,
  CASE WHEN p IN ('', 'null', 'none', 'n/a', 'na', 'nan', '-', 'unknown', 'not reported') THEN NULL WHEN whole IS NOT NULL THEN whole WHEN regexp_matches(p, '\d\s*[x×*]\s*\d') THEN NULL WHEN regexp_matches(p, '\d\s*[-~–]\s*\d') THEN NULL WHEN len(nums) = 1 THEN CAST(nums[1] AS DOUBLE) END AS value,
- CASE WHEN p IN ('', 'null', 'none', 'n/a', 'na', 'nan', '-', 'unknown', 'not reported') THEN 'empty/null-like string' WHEN whole IS NOT NULL THEN 'converted from numeric string' WHEN regexp_matches(p, '\d\s*[x×*]\s*\d') THEN 'non-scalar dimension string'
-   WHEN regexp_matches(p, '\d\s*[-~–]\s*\d') THEN 'range string' WHEN len(nums) = 1 THEN 'extracted from mixed numeric string' WHEN len(nums) > 1 THEN 'multi-number string' ELSE 'non-numeric string' END AS warning
+ CASE WHEN p IN ('', 'null', 'none', 'n/a', 'na', 'nan', '-', 'unknown', 'not reported') THEN '{numbers.BLANK}' WHEN whole IS NOT NULL THEN '{numbers.READ}' WHEN regexp_matches(p, '\d\s*[x×*]\s*\d') THEN '{numbers.SIZE}'
+   WHEN regexp_matches(p, '\d\s*[-~–]\s*\d') THEN '{numbers.SPAN}' WHEN len(nums) = 1 THEN '{numbers.MIXED}' WHEN len(nums) > 1 THEN '{numbers.SEVERAL}' ELSE '{numbers.WORDS}' END AS warning
 FROM y
 """)
 def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:

@@ -171,8 +171,8 @@ def label_token_sets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(label_tokens(label), " ").alias("tokens"), evidence_kind(asked).alias("evidence"))
 
 
-@query("""
-SELECT 'review_' || left(sha1('record|' || doc_id || '|record_quality'), 12) AS review_id, 'record' AS subject_type, CAST(doc_id AS VARCHAR) AS subject_id, CASE WHEN toxic = 1 THEN 'high' ELSE 'medium' END AS priority, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'Record was flagged by quality or provenance checks.' END AS reason FROM (SELECT DISTINCT * FROM labels) WHERE quality = 0
+@query(f"""
+SELECT 'review_' || left(sha1('record|' || doc_id || '|record_quality'), 12) AS review_id, 'record' AS subject_type, CAST(doc_id AS VARCHAR) AS subject_id, CASE WHEN toxic = 1 THEN 'high' ELSE 'medium' END AS priority, CASE WHEN toxic = 1 THEN 'toxic' ELSE '{review.FLAGGED}' END AS reason FROM (SELECT DISTINCT * FROM labels) WHERE quality = 0
 UNION ALL SELECT 'review_' || left(sha1('conflict|' || event_type || '|source_conflict'), 12), 'conflict', event_type, 'high', 'Sources disagree.' FROM (SELECT DISTINCT event_type FROM events)
 """)
 def review_queue_order(spark: SparkSession, d: str) -> DataFrame:
