@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import ann, bpe, langid, packing, phrases, pii, quality, simhash, token_files, toxicity, vector_dedup
+from attestor.llm import ann, bpe, langid, packing, phrases, pii, quality, simhash, substrings, token_files, toxicity, vector_dedup
 from attestor.llm.shared import fold, labelled, passing, shared_dir
 
 
@@ -89,6 +89,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the words of 20-word windows that start earlier too."""
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows of all documents, grouped by their text; ids of ``documents`` do not repeat.
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM w WHERE nth > 1),
+k AS (SELECT doc_id, count(*) FILTER (gone.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone.i IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d) t LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's 2000 phrases of two and three words that most belong together."""
     return phrases.mine(_table(spark, sf_dir, "documents"))
@@ -127,8 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii": op10_pii,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_phrase_mining": op12_phrase_mining,
 }
 
 #: The others can't be said in SQL; tests compare them with brute force or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op12_phrase_mining": PHRASES_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_substring_dedup": REPEATS_SQL, "op12_phrase_mining": PHRASES_SQL}
