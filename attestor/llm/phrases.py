@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.shared import stage, unstage
 
-#: Bytes of text of a shard, about; and entries of bitmaps that are extended at a time.
+#: Bytes of text of a shard, about (an 8 MB text has less than 2 to the 28 words, by which words are numbered); and entries of bitmaps that are extended at a time.
 SHARD_BYTES, SLICE = 8 << 20, 1 << 15
 #: A-Z in lower case; signs that end a piece become line feeds, blanks and tabs stay.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -34,47 +34,31 @@ def _shards(data: bytes) -> Iterator[bytes]:
     yield data
 
 
-def _bitmaps(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, n, bounds, keys, bits): each word's compressed bitmap of positions.
+def _numbered(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, n, ids): the words of a shard by first appearance, how often each occurs, and the number of the word at each position.
 
-    A bitmap is cut into runs of 16 positions; only runs with a position are held, by their number (``keys``) and their ``bits``. Word ``i`` has
-    those from ``bounds[i]`` to ``bounds[i + 1]``. Gaps between pieces take a position too, so no phrase reaches over one.
+    Gaps between pieces take a position too, with number 0, so no phrase reaches over one; the first word has number 1.
     """
     tokens = data.replace(b"\n", b" " + GAP + b" ").split()
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
     number[GAP]
-    ids = np.fromiter(map(number.__getitem__, tokens), "i8", len(tokens))
-    at = np.argsort(ids, kind="stable")
-    at = at[np.searchsorted(ids[at], 1) :]  # gaps have number 0
-    n = np.bincount(ids, minlength=len(number))[1:]
-    run = ids[at] << 40 | at >> 4
-    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else run
-    bits = np.add.reduceat((1 << (at & 15)).astype("u2"), first, dtype="u2") if len(run) else run.astype("u2")
-    bounds = np.searchsorted(run[first] >> 40, np.arange(1, len(number) + 1))
-    return list(number)[1:], n, bounds, (run[first] & ((1 << 40) - 1)).astype("u4"), bits
-
-
-def _listed(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A column of binaries: the stretches of an array between bounds."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype("i8")), pa.py_buffer(data)]).cast(pa.binary())
+    ids = np.fromiter(map(number.__getitem__, tokens), "<u4", len(tokens))
+    return list(number)[1:], np.bincount(ids, minlength=len(number))[1:], ids
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, text) as rows (shard, lang, word, n, keys, bits); a shard holds texts of one language from one partition."""
+    """Rows (lang, text) as shards (shard, lang, ids, words, n); a shard holds texts of one language from one partition."""
     held: defaultdict[str, list[bytes]] = defaultdict(list)
     size: defaultdict[str, int] = defaultdict(int)
-    base = TaskContext.get().partitionId() << 32
-    numbers = count()
+    base, numbers = TaskContext.get().partitionId() << 16, count()
 
     def made(lang: str) -> Iterator[pa.RecordBatch]:
         data = b"\n".join(held.pop(lang)).translate(PLAIN)
         size.pop(lang)
         for part in _shards(data):
-            words, n, bounds, keys, bits = _bitmaps(part)
-            if words:
-                shard = pa.array(np.full(len(words), base + next(numbers)))
-                text = pa.array(words, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([shard, pa.array([lang] * len(words)), text, pa.array(n), _listed(keys, bounds), _listed(bits, bounds)], names=["shard", "lang", "word", "n", "keys", "bits"])
+            words, n, ids = _numbered(part)
+            listed = pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([base + next(numbers)]), pa.array([lang]), pa.array([ids.tobytes()]), listed, pa.array([n], pa.list_(pa.int64()))], names=["shard", "lang", "ids", "words", "n"])
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True):
@@ -87,6 +71,20 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from made(lang)
 
 
+def bitmaps(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, key, bits): the compressed bitmap of each word's positions, words in order; positions with a negative word are in none.
+
+    A bitmap is cut into runs of 16 positions; only runs with a position are held, by their number (``key``) and their ``bits``.
+    """
+    at = np.flatnonzero(ids >= 0)
+    run = ids[at] << 40 | at >> 4
+    order = np.argsort(run, kind="stable")
+    run, at = run[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else run
+    bits = np.bitwise_or.reduceat((1 << (at & 15)).astype("u2"), first) if len(run) else run.astype("u2")
+    return run[first] >> 40, run[first] & ((1 << 40) - 1), bits
+
+
 class _Shard:
     """The bitmaps of one shard, by run of positions: which words have bits there."""
 
@@ -118,28 +116,28 @@ class _Shard:
         return child[first] // self.words, child[first] % self.words, total, np.cumsum(new) - 1, key[of], both
 
 
-def _mine(table: pa.Table) -> pa.Table:
-    """(x, y, z, a) of one shard's words (id, keys, bits): its phrases of two (z is -1) and three words, and how often they occur.
+def _mine(shard: pa.Table, known: pa.Table) -> pa.Table:
+    """(x, y, z, a) of one shard (ids) and its frequent words (idx, id): its phrases of two (z is -1) and three words, and how often they occur.
 
     Depth first: a slice of first words is extended to pairs and these at once to triples, before the next slice.
     """
-    ids = table.column("id").to_numpy()
-    keys, bits = (table.column(c).to_pylist() for c in ("keys", "bits"))
-    size = np.array([len(b) >> 1 for b in bits], "i8")
-    word = np.repeat(np.arange(len(ids)), size)
-    key, bits = np.frombuffer(b"".join(keys), "<u4").astype("i8"), np.frombuffer(b"".join(bits), "<u2")
-    shard, cut = _Shard(word, key, bits, len(ids)), np.concatenate([[0], np.cumsum(size)])
     out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, "i8"),) * 4]
-    first = 0
-    while first < len(ids):
-        last = max(first + 1, int(np.searchsorted(cut, cut[first] + SLICE, "right")) - 1)
-        a, b = cut[first], cut[last]
-        x, y, n, node, k, m = shard.extend(word[a:b], key[a:b], bits[a:b])
-        out.append((ids[x], ids[y], np.full(len(x), -1), n))
-        xy, z, n, *_ = shard.extend(node, k, m)
-        out.append((ids[x[xy]], ids[y[xy]], ids[z], n))
-        first = last
-    return pa.table({name: np.concatenate(c) for name, c in zip(("x", "y", "z", "a"), zip(*out, strict=True), strict=True)})
+    if len(shard) and len(known):
+        at, ids = np.frombuffer(shard.column("ids")[0].as_py(), "<u4"), known.column("id").to_numpy()
+        local = np.full(int(at.max(initial=0)) + 1, -1)
+        local[known.column("idx").to_numpy() + 1] = np.arange(len(ids))
+        word, key, bits = bitmaps(local[at])
+        words, cut = _Shard(word, key, bits, len(ids)), np.searchsorted(word, np.arange(len(ids) + 1))
+        first = 0
+        while first < len(ids):
+            last = max(first + 1, int(np.searchsorted(cut, cut[first] + SLICE, "right")) - 1)
+            a, b = cut[first], cut[last]
+            x, y, n, node, k, m = words.extend(word[a:b], key[a:b], bits[a:b])
+            out.append((ids[x], ids[y], np.full(len(x), -1), n))
+            xy, z, n, *_ = words.extend(node, k, m)
+            out.append((ids[x[xy]], ids[y[xy]], ids[z], n))
+            first = last
+    return pa.table({name: pa.chunked_array([c[i] for c in out]) for i, name in enumerate(("x", "y", "z", "a"))})
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -165,13 +163,20 @@ def mine(docs: DataFrame, top: int = 2000, least: int = 10, share: int = 50, lan
     with a large share of all text comes together in one task.
     """
     given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.coalesce(text_col, F.lit("")))
-    index = stage(given.toDF("lang", "text").mapInArrow(_index, "shard long, lang string, word string, n long, keys binary, bits binary"))
-    counts = stage(index.groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = stage(counts.where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()))
-    numbered = index.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "id", "keys", "bits")
-    found = numbered.groupBy("shard").applyInArrow(_mine, "x long, y long, z long, a long")
-    phrases = stage(found.groupBy("x", "y", "z").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    index = stage(given.toDF("lang", "text").mapInArrow(_index, "shard long, lang string, ids binary, words array<string>, n array<long>"))
+    each = index.select("shard", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("idx", "w")).select("shard", "lang", "idx", "w.words", "w.n")
+    # a word has a row a shard; its number is the place of the first of them
+    same = Window.partitionBy("lang", "word")
+    place = F.shiftleft("shard", 28) + F.col("idx")
+    each = each.withColumnRenamed("words", "word").withColumns({"total": F.sum("n").over(same), "id": F.min(place).over(same)}).where(F.col("total") >= least)
+    own = lambda c: F.when(F.col("id") == place, F.col(c)).alias(c)
+    known = stage(each.select("shard", "idx", "id", own("lang"), own("word"), own("total")))
+    words = known.where("word is not null").select("id", "lang", "word", F.col("total").alias("n"))
+    found = index.select("shard", "ids").groupBy("shard").cogroup(known.select("shard", "idx", "id").groupBy("shard")).applyInArrow(_mine, "x long, y long, z long, a long")
+    # shards hardly share phrases with others of their task, so rows are summed after the shuffle only; a phrase has a row a shard
+    phrases = stage(found.repartition("x", "y", "z").groupBy("x", "y", "z").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    totals = index.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = stage(totals)
     unstage(index)
     pairs, triples = phrases.where("z < 0").drop("z"), phrases.where("z >= 0")
     longer = triples.select("x", "y", "a").unionByName(triples.selectExpr("y as x", "z as y", "a")).groupBy("x", "y").agg(F.max("a").alias("most"))
