@@ -7,7 +7,6 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,9 @@ INSIDE = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: An anchor is the least hash of so many words in a row within a window.
 GRAM = 8
 #: Stretches that a block of reference text holds, about; an anchor with more stretches of its own than ``HOT`` is dealt by window.
-BLOCK, HOT = 16_384, 2048
+BLOCK, HOT = 16_384, 8192
+#: Anchors that are broadcast at most: one long each.
+ANCHORS = 4_000_000
 #: Bytes of a long text that are read at a time.
 WINDOW = 1 << 20
 
@@ -91,74 +92,67 @@ def _anchored(window: int):
     return run
 
 
-def _worded(window: int):
-    """Rows (h1, h2, rank, text, found) as the words of each found stretch: (rank, start, n, anchor, s1, s2, words)."""
+def _lettered(window: int):
+    """Rows (rank, text, found) as the stretches found: (rank, start, anchor, hot, letters). A letter is a window's 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, at in text_chunks(batches, "text"):
             row, hashes = word_hashes(raw, at)
             cut = np.searchsorted(row, np.arange(len(part) + 1))
-            out: list[list] = [[] for _ in range(7)]
-            for i, rank in enumerate(part.column("rank").to_pylist()):
-                found, own = part.column("found")[i].values, hashes[cut[i] : cut[i + 1]].tobytes()
-                for start, n, anchor in zip(*(found.field(c).to_pylist() for c in ("start", "n", "anchor")), strict=True):
-                    piece = own[8 * start : 8 * (start + n + window - 1)]
-                    digest = xxhash.xxh3_128_digest(piece)
-                    for column, value in zip(out, (rank, start, n, anchor, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), piece), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["rank", "start", "n", "anchor", "s1", "s2", "words"])
+            letter = np.zeros(max(0, len(hashes) - window + 1), "u8")
+            for i in range(window):
+                letter = letter * MULT + hashes[i : i + len(letter)]
+            letter, listed = _mixed(letter).tobytes(), part.column("found")
+            found, bounds = listed.flatten(), np.asarray(listed.offsets) - listed.offsets[0].as_py()
+            start, n, hot = (found.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "hot"))
+            of = np.repeat(np.arange(len(part)), np.diff(bounds))
+            place = cut[of] + start
+            text = pa.array([letter[8 * a : 8 * b] for a, b in zip(place.tolist(), (place + n).tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("rank").take(pa.array(of)), pa.array(start.astype("i4")), found.field("anchor"), pa.array(hot), text], names=["rank", "start", "anchor", "hot", "letters"])
 
     return run
 
 
 def _factored(window: int):
-    """Parse one block: its stretches (rank, start, words) in order, each against the text of those before.
+    """Parse one block: its stretches (rank, start, anchor, letters) in order, each against those before.
 
-    At each place the longest factor that the reference's index of windows leads to is taken; the windows over its end are looked up next. A window that
-    the reference does not hold becomes part of it. Returns (rank, start, length) of each factor.
+    The reference's index leads from an anchor and letter to where they come first. At each place the longest factor from there is taken; the windows over its end
+    are looked up next. A window that the reference does not hold becomes part of it. Returns (rank, start, length) of each factor, in words.
     """
-    size = 8 * window
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rank", "ascending"), ("start", "ascending")])
-        index: dict[bytes, tuple[int, int]] = {}
-        texts = table.column("words").to_pylist()
+        index: dict[tuple[int, bytes], tuple[int, int]] = {}
+        texts, before = table.column("letters").to_pylist(), None
         out: list[tuple[int, int, int]] = []
-        for number, (rank, start, text) in enumerate(zip(table.column("rank").to_pylist(), table.column("start").to_pylist(), texts, strict=True)):
-            if number and (rank, start) == before:
+        for number, (rank, start, anchor, text) in enumerate(zip(*(table.column(c).to_pylist() for c in ("rank", "start", "anchor")), texts, strict=True)):
+            if (rank, start) == before:
                 continue  # of equal rows
             before, at = (rank, start), 0
-            while at + size <= len(text):
-                known = index.setdefault(text[at : at + size], (number, at))
-                if known == (number, at):
+            while at < len(text):
+                source, place = index.setdefault((anchor, text[at : at + 8]), (number, at))
+                if source == number:
                     at += 8
                     continue
-                source, place = known
-                length, most = size, min(len(text) - at, len(texts[source]) - place)
+                length, most = 8, min(len(text) - at, len(texts[source]) - place)
                 while length < most and text[at + length : at + length + 8] == texts[source][place + length : place + length + 8]:
                     length += 8
-                out.append((rank, start + at // 8, length // 8))
-                at += length - size + 8
+                out.append((rank, start + at // 8, length // 8 + window - 1))
+                at += length
         return pa.table({c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("rank", "start", "length"))})
 
     return run
 
 
-def _windows(window: int):
-    """Stretches (rank, start, words) as their windows (rank, start, w1, w2), by a 128-bit digest of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, len(batch), 512):
-                part, out = batch.slice(first, 512), []
-                for rank, start, text in zip(*(part.column(c).to_pylist() for c in ("rank", "start", "words")), strict=True):
-                    for i in range(len(text) // 8 - window + 1):
-                        digest = xxhash.xxh3_128_digest(text[8 * i : 8 * (i + window)])
-                        out.append((rank, start + i, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["rank", "start", "w1", "w2"])
-
-    return run
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches (rank, start, anchor, letters) as their windows (rank, start, anchor, letter)."""
+    for batch in batches:
+        letters = batch.column("letters").to_pylist()
+        n = np.array([len(x) >> 3 for x in letters], "i8")
+        of, start = np.repeat(np.arange(len(n)), n), batch.column("start").to_numpy().astype("i8")
+        at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        rank, anchor = (batch.column(c).take(pa.array(of)) for c in ("rank", "anchor"))
+        yield pa.RecordBatch.from_arrays([rank, pa.array(at), anchor, pa.array(np.frombuffer(b"".join(letters), "<i8"))], names=["rank", "start", "anchor", "letter"])
 
 
 def _kept(window: int):
@@ -211,7 +205,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     Each window belongs to the stretch of its anchor, and equal windows to stretches of equal anchors. So reference text is kept in blocks by anchor, and a
     document is factored against every block that can hold a factor of it by sending each of its stretches to its anchor's block; anchors that occur once go to none.
-    Equal stretches are reduced to the first one before, and an anchor with very many different ones is dealt by whole windows instead, so no block outgrows a task.
+    A block holds windows as hashes of 64 bits beside anchors of 64 bits. An anchor with very many stretches is dealt by whole windows instead, whose first places are
+    least values with partial aggregation, so no block outgrows a task.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     hashed = given.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
@@ -227,35 +222,29 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     columns, shape = ["id", "h1", "h2"], "id long, h1 long, h2 long, start array<int>, n array<int>, anchor array<long>"
     texts = originals(hashed) if few else hashed
     anchored = texts.select(*columns, "text").mapInArrow(_anchored(window), shape)
-    anchored = stage(anchored if few else originals(anchored))
-    seen = anchored.select("h1", "h2", F.explode(F.arrays_zip("start", "n", "anchor")).alias("s")).select("h1", "h2", "s", "s.anchor")
-    often = seen.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    found = seen.join(often, "anchor").groupBy("h1", "h2").agg(F.array_distinct(F.collect_list("s")).alias("found"))  # no more than a document has
-    found = found.join(contents.select("h1", "h2", "owner", "rank"), ["h1", "h2"])
+    anchored = stage((anchored if few else originals(anchored)).withColumn("row", F.monotonically_increasing_id()))
+    often = stage(anchored.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor", (F.col("times") > HOT).alias("hot")))
+    known, many = often.agg(F.count("*"), F.count_if("hot")).first()
+    seen = anchored.select("row", F.explode(F.arrays_zip("start", "n", "anchor")).alias("s")).select("row", "s.start", "s.n", "s.anchor")
+    seen = seen.join(F.broadcast(often) if known <= ANCHORS else often, "anchor")
+    found = seen.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("found"))  # no more than a document has
+    one = anchored.groupBy("h1", "h2").agg(F.min("row").alias("row"))
+    found = found.join(one, "row").join(contents.select("h1", "h2", "owner", "rank"), ["h1", "h2"])
     met = texts.join(found, ["h1", "h2"]).where("id <=> owner").select("rank", "text", "found")
-    held = stage(met.mapInArrow(_worded(window), "rank long, start int, n int, anchor long, s1 long, s2 long, words binary"))
-    unstage(anchored)
-    placed = held.withColumn("place", F.expr(PLACE))
-    marked = placed.join(placed.groupBy("s1", "s2").agg(F.min("place").alias("lead")), ["s1", "s2"])
-    leads = stage(marked.where("place = lead").select("rank", "start", "anchor", "words"))
-    spans = stage(marked.where("place > lead").select("rank", "start", (F.col("n") + window - 1).cast("long").alias("length")))
-    unstage(held)
-    busy = stage(leads.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"))
-    dealt, many = max(1, -(-leads.count() // BLOCK)), busy.count()
-    hot = F.broadcast(busy) if many <= BROADCAST_ROWS else busy
-    calm = leads.join(hot, "anchor", "left_anti") if many else leads
-    blocks = calm.select(F.pmod(F.xxhash64("anchor"), F.lit(dealt)).alias("block"), "rank", "start", "words").groupBy("block")
-    factors = blocks.applyInArrow(_factored(window), "rank long, start long, length long")
-    parts = spans.unionByName(factors)
+    held = stage(met.mapInArrow(_lettered(window), "rank long, start int, anchor long, hot boolean, letters binary"))
+    unstage(anchored, often)
+    calm = held.where("not hot").select("rank", "start", "anchor", "letters")
+    dealt = max(1, -(-calm.count() // BLOCK))
+    parts = calm.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(dealt))).applyInArrow(_factored(window), "rank long, start long, length long")
     if many:
-        each = leads.join(hot, "anchor", "left_semi").select("rank", "start", "words").mapInArrow(_windows(window), "rank long, start long, w1 long, w2 long")
+        each = held.where("hot").select("rank", "start", "anchor", "letters").mapInArrow(_windows, "rank long, start long, anchor long, letter long")
         each = stage(each.withColumn("place", F.expr(PLACE)))
-        later = each.join(each.groupBy("w1", "w2").agg(F.min("place").alias("lead")), ["w1", "w2"]).where("place > lead")
+        later = each.join(each.groupBy("anchor", "letter").agg(F.min("place").alias("first")), ["anchor", "letter"]).where("place > first")
         parts = parts.unionByName(later.select("rank", "start", F.lit(window).cast("long").alias("length")))
     listed = parts.groupBy("rank").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     verdict = contents.join(listed, "rank", "left").where("rows > 1 or spans is not null").select("h1", "h2", "owner", "spans", F.lit(True).alias("known"))
     verdict = stage(verdict)
-    unstage(contents, leads, spans, busy, *([each] if many else []))
+    unstage(contents, held, *([each] if many else []))
     rows = hashed.join(verdict, ["h1", "h2"], "left")
     own = F.col("id").eqNullSafe(F.col("owner"))
     rows = rows.select("id", "text", F.when(own, F.col("spans")).alias("spans"), (F.col("known").isNotNull() & ~own).alias("again"))
