@@ -102,7 +102,7 @@ class Search:
         return at, self.row[at, nth], self.score[at, nth]
 
 
-#: What comes together in a task: rows of the index and questions (``q``), these with a window. Labels are numbered by their hash.
+#: What comes together in a task: rows of the index and questions (``q``), these with a window.
 MET = "n long, id long, label string, v array<double>, q boolean, positive long, low long, high long"
 NAMES = [c.split()[0] for c in MET.split(", ")]
 SHAPE = "anchor long, positive long, n long, id long, score long"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import ann, bpe, langid, packing, phrases, pii, quality, simhash, substrings, token_files, toxicity, vector_dedup
+from attestor.llm import ann, bpe, hard_negatives, langid, packing, phrases, pii, quality, simhash, substrings, token_files, toxicity, vector_dedup
 from attestor.llm.shared import fold, labelled, passing, shared_dir
 
 
@@ -133,6 +133,24 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each vector whose id is divisible by 100; labels of every seventh vector are moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+#: Every anchor against all rows; inner products of whole numbers this small are exact in doubles.
+NEGATIVES_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE alike) WHERE nth <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -146,7 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: The others can't be said in SQL; tests compare them with brute force or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op11_substring_dedup": REPEATS_SQL, "op12_phrase_mining": PHRASES_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_substring_dedup": REPEATS_SQL, "op12_phrase_mining": PHRASES_SQL, "op13_hard_negatives": NEGATIVES_SQL}
