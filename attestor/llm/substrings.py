@@ -205,8 +205,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     Each window belongs to the stretch of its anchor, and equal windows to stretches of equal anchors. So reference text is kept in blocks by anchor, and a
     document is factored against every block that can hold a factor of it by sending each of its stretches to its anchor's block; anchors that occur once go to none.
-    A block holds windows as hashes of 64 bits beside anchors of 64 bits. An anchor with very many stretches is dealt by whole windows instead, whose first places are
-    least values with partial aggregation, so no block outgrows a task.
+    A block holds windows as hashes of 64 bits beside anchors of 64 bits. Of an anchor with very many stretches equal ones are
+    reduced to the first, and these are dealt by whole windows, both as least places with partial aggregation, so no block outgrows a task.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     hashed = given.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
@@ -237,14 +237,19 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     dealt = max(1, -(-calm.count() // BLOCK))
     parts = calm.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(dealt))).applyInArrow(_factored(window), "rank long, start long, length long")
     if many:
-        each = held.where("hot").select("rank", "start", "anchor", "letters").mapInArrow(_windows, "rank long, start long, anchor long, letter long")
+        often_met = held.where("hot").select("rank", "start", "anchor", "letters").withColumn("place", F.expr(PLACE))
+        first = stage(often_met.groupBy("anchor", "letters").agg(F.min("place").alias("first")))
+        copies = often_met.join(first, ["anchor", "letters"]).where("place > first")
+        parts = parts.unionByName(copies.select("rank", F.col("start").cast("long").alias("start"), (F.length("letters") / 8 + window - 1).cast("long").alias("length")))
+        leads = first.select(F.expr("cast(first div 2147483648 as long)").alias("rank"), F.expr("cast(first % 2147483648 as int)").alias("start"), "anchor", "letters")
+        each = leads.mapInArrow(_windows, "rank long, start long, anchor long, letter long")
         each = stage(each.withColumn("place", F.expr(PLACE)))
         later = each.join(each.groupBy("anchor", "letter").agg(F.min("place").alias("first")), ["anchor", "letter"]).where("place > first")
         parts = parts.unionByName(later.select("rank", "start", F.lit(window).cast("long").alias("length")))
     listed = parts.groupBy("rank").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     verdict = contents.join(listed, "rank", "left").where("rows > 1 or spans is not null").select("h1", "h2", "owner", "spans", F.lit(True).alias("known"))
     verdict = stage(verdict)
-    unstage(contents, held, *([each] if many else []))
+    unstage(contents, held, *([first, each] if many else []))
     rows = hashed.join(verdict, ["h1", "h2"], "left")
     own = F.col("id").eqNullSafe(F.col("owner"))
     rows = rows.select("id", "text", F.when(own, F.col("spans")).alias("spans"), (F.col("known").isNotNull() & ~own).alias("again"))
