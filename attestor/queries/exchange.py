@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.operators.clustering import shared_base
 from attestor.plans import manifest, registry
 from attestor.queries.base import query, table
-from attestor.sources import connectors, files, sinks
+from attestor.sources import connectors, delimited, files, sinks
 
 
 def _answers(spark: SparkSession, d: str, provider: str, payload) -> DataFrame:
@@ -95,6 +99,58 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return sinks.read_csv(spark, f"{folder}/csv").select("doc_id", "lang", "source", "n", "cell")
 
 
+def _gb_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The CSV lines of a file in GB18030, its header first."""
+    head = True
+    for batch in batches:
+        made = io.StringIO(newline="")
+        rows = csv.writer(made, lineterminator="\n")
+        if head:
+            rows.writerow(batch.schema.names)
+        rows.writerows(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        head = False
+        yield pa.RecordBatch.from_arrays([pa.array([made.getvalue().removesuffix("\n").encode("gb18030")])], names=["line"])
+
+
+_NOTE = "CASE WHEN o_orderkey % 5 = 0 THEN 'two' || chr(10) || 'lines, \"' || o_orderpriority || '\"' ELSE o_orderpriority END"
+
+
+@query(f"""
+SELECT form, CAST(o_orderkey AS VARCHAR) AS key, note, status, NULL AS error FROM (SELECT o_orderkey, nullif(o_orderstatus, 'O') AS status, {_NOTE} AS note FROM orders), (SELECT unnest(['mark', 'plain', 'gb18030', 'tab']) AS form)
+UNION ALL SELECT 'blank', CAST(o_orderkey AS VARCHAR), o_orderpriority[1:1], nullif(o_orderstatus, 'O'), NULL FROM orders
+UNION ALL SELECT 'broken', NULL, NULL, NULL, '{delimited.UNCLOSED}' UNION ALL SELECT 'odd', NULL, NULL, NULL, '{delimited.UNDECODED}'
+""")
+def mixed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as CSV with a mark, without, in GB18030, as TSV and as DAT, beside two broken files, and read back by ranges with cells that go over lines."""
+    folder, key = _folder(spark), F.col("o_orderkey")
+    note = F.when(key % 5 == 0, F.concat(F.lit('two\nlines, "'), "o_orderpriority", F.lit('"'))).otherwise(F.col("o_orderpriority"))
+    rows = table(spark, d, "orders").select(key.cast("string").alias("key"), note.alias("note"), F.col("o_orderstatus").alias("status"), F.lit("材料").alias("名"), F.left("o_orderpriority", F.lit(1)).alias("short"))
+    status = F.when(F.col("status") == "O", "N/A").otherwise(F.col("status"))
+    rows = rows.withColumn("status", status)
+    writer = lambda df, name, **options: df.write.options(header=True, escape='"', **options).csv(f"{folder}/{name}")
+    wide = rows.select("key", "note", "status", "名")
+    # a column's name with the mark is what a file with a mark begins with
+    writer(wide.withColumnRenamed("key", "\ufeffkey"), "mark")
+    writer(wide, "plain")
+    wide.mapInArrow(_gb_lines, "line binary").select(F.col("line").cast("string")).write.text(f"{folder}/gb18030")
+    writer(wide, "tab", sep="\t")
+    writer(rows.select("key", "short", "status"), "blank", sep=" ")
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    child = lambda path, name: spark._jvm.org.apache.hadoop.fs.Path(path, name)
+    for name, end in (("tab", ".tsv"), ("blank", ".dat"), ("gb18030", ".csv")):
+        for file in store.listStatus(child(target, name)):
+            store.rename(file.getPath(), child(file.getPath().getParent(), file.getPath().getName().rsplit(".", 1)[0] + end))
+    for name, content in (("broken.csv", b'key,note,status\n1,"never closed,x\n'), ("odd.csv", b"key,note,status\n\xff\xff\xff,a,b\n")):
+        stream = store.create(child(target, name))
+        stream.write(bytearray(content))
+        stream.close()
+    found = delimited.read_ranges(spark, folder)
+    form = F.coalesce(F.nullif(F.regexp_extract("source_path", r"/(mark|plain|gb18030|tab|blank)/[^/]+$", 1), F.lit("")), F.regexp_extract("source_file", r"^(\w+)\.", 1))
+    value = lambda c: F.try_element_at("values", F.lit(c))
+    return found.select(form.alias("form"), value("key").alias("key"), F.coalesce(value("note"), value("short")).alias("note"), value("status").alias("status"), "error")
+
+
 @query("SELECT event_id, user_id, event_type FROM events UNION ALL SELECT event_id + 1000000000, user_id, 'again' FROM events WHERE event_id % 10 = 0")
 def event_log_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Events appended twice to a log of JSON lines, and read back."""
