@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.operators.containment import contained
 from attestor.functions.text import basename
 
 RECORDS_A_PAGE, SOURCES_A_PAGE = 20, 30
@@ -60,17 +61,22 @@ def figure_panel(figures: DataFrame, charts: DataFrame, checks: DataFrame) -> Da
 
 
 def records_of_sources(sources: DataFrame, records: DataFrame) -> DataFrame:
-    """(source_id, record_id): by an equal title, by the stem of the file as the title, or by the file's name at the end of the URL.
+    """(source_id, record_id): by an equal title, a title that holds the stem of the file's name or is held by it, or a URL that holds the name.
 
-    Three equality joins instead of a comparison of all with all; pairs found twice count once.
+    Names, titles and URLs meet by q-grams instead of a comparison of all with all; empty ones match nothing, pairs found twice count once.
     """
-    title, name = F.lower(F.trim("title")), F.lower(basename(F.col("source_file")))
-    stem = F.regexp_replace(name, r"\.[a-z0-9]+$", "")
-    by_title = sources.select("source_id", title.alias("k")).where("k <> ''")
-    by_url = sources.select("source_id", F.lower(basename(F.regexp_replace("url", r"[?#].*$", ""))).alias("k")).where("k <> ''")
-    asked = records.select("record_id", F.explode(F.array(F.lower(F.trim("paper_title")), stem)).alias("k"))
-    named = records.select("record_id", F.explode(F.array(name, stem)).alias("k"))
-    return by_title.join(asked, "k").select("source_id", "record_id").unionByName(by_url.join(named, "k").select("source_id", "record_id")).distinct()
+    name = F.lower(basename(F.col("source_file")))
+    asked = records.select("record_id", F.lower("paper_title").alias("title"), name.alias("name"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"))
+    known = sources.select("source_id", F.lower("title").alias("title"), F.lower("url").alias("url"))
+    equal = known.where("title <> ''").join(asked, "title").select("source_id", "record_id")
+
+    def held(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
+        pairs = contained(needles.select(F.col(needle).alias("needle")), hays.select(F.col(hay).alias("hay")))
+        return pairs.join(needles.withColumnRenamed(needle, "needle"), "needle").join(hays.withColumnRenamed(hay, "hay"), "hay").select("source_id", "record_id")
+
+    stems, titles = asked.select("record_id", "stem"), known.select("source_id", "title")
+    found = equal.unionByName(held(stems, "stem", titles, "title")).unionByName(held(titles, "title", stems, "stem"))
+    return found.unionByName(held(asked.select("record_id", "name"), "name", known.select("source_id", "url"), "url")).distinct()
 
 
 def by_locator(traces: DataFrame, status: str) -> DataFrame:

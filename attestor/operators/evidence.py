@@ -1,8 +1,7 @@
 """Evidence traces: where the source, section, table or figure behind a record is.
 
 Every lookup is an equality join on the file's base name, followed by the best match of each record by tier and
-order. Sources whose title holds a file name are found by the words of the title, so that no side is compared with
-all of the other.
+order. Sources whose title holds a file name are found by q-grams, so that no side is compared with all of the other.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from attestor.functions.identity import stable_id
 from attestor.functions.text import basename, squeeze
 from attestor.functions.values import is_present
+from attestor.operators.containment import contained
 
 SNIPPET = 120
 
@@ -25,22 +25,20 @@ def match_sources(records: DataFrame, sources: DataFrame) -> DataFrame:
     """(record_id, source_id, source_title, tier): the first source, in source order, that fits a record.
 
     ``sources`` has (source_id, title, paths ARRAY<STRING>, ordinal). One fits by an equal title (tier 1), by a
-    path with the record's file name (2), or by a title that holds the file name as a word (3).
+    path with the record's file name (2), or by a title that holds the file name anywhere (3).
     """
     title = F.lower(F.trim("paper_title"))
     a = records.where(is_present(title)).select("record_id", title.alias("k"), F.lit(1).alias("tier"))
     b = records.select("record_id", _file().alias("k"), F.lit(2).alias("tier")).where("k <> ''")
     c = b.select("record_id", "k", F.lit(3).alias("tier"))
     wanted = a.unionByName(b).unionByName(c)
-    words = F.array_distinct(F.split(F.lower("title"), r"\s+"))
-    base = sources.select("source_id", "title", "ordinal", "paths", words.alias("words"))
-    offered = (
-        base.select("source_id", "title", "ordinal", F.lower("title").alias("k"), F.lit(1).alias("tier"))
-        .unionByName(base.select("source_id", "title", "ordinal", F.explode("paths").alias("p"), F.lit(2).alias("tier")).withColumn("k", _file("p")).drop("p"))
-        .unionByName(base.select("source_id", "title", "ordinal", F.explode("words").alias("k"), F.lit(3).alias("tier")))
-    )
-    offered = offered.groupBy("k", "tier").agg(F.min_by(F.struct("source_id", "title", "ordinal"), "ordinal").alias("s"))
-    found = wanted.join(offered, ["k", "tier"]).select("record_id", "tier", "s.*")
+    base = sources.select("source_id", "title", "ordinal", "paths", F.lower("title").alias("k"))
+    first = lambda df: df.groupBy("k", "tier").agg(F.min_by(F.struct("source_id", "title", "ordinal"), "ordinal").alias("s"))
+    titled = first(base.select("source_id", "title", "ordinal", "k", F.lit(1).alias("tier")))
+    pathed = first(base.select("source_id", "title", "ordinal", F.explode("paths").alias("p"), F.lit(2).alias("tier")).withColumn("k", _file("p")))
+    holds = contained(b.select(F.col("k").alias("needle")), base.select(F.col("k").alias("hay")))
+    held = holds.join(titled.select(F.col("k").alias("hay"), "s"), "hay").groupBy(F.col("needle").alias("k"), F.lit(3).alias("tier")).agg(F.min_by("s", "s.ordinal").alias("s"))
+    found = wanted.join(titled.unionByName(pathed).unionByName(held), ["k", "tier"]).select("record_id", "tier", "s.*")
     best = found.groupBy("record_id").agg(F.min_by(F.struct("source_id", "title", "tier"), F.struct("ordinal", "tier")).alias("s"))
     return best.select("record_id", "s.source_id", F.col("s.title").alias("source_title"), "s.tier")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.operators.evidence import match_sources
 from attestor.operators import browse, survey
 from attestor.queries.base import query, table
 
@@ -63,11 +64,13 @@ def observed_sources_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey AS source_id, c_custkey AS record_id FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 0
+WITH r AS (SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'nation_' || c_nationkey END AS title, CASE WHEN c_acctbal > 0 THEN 'nation_' || c_nationkey ELSE 'other' END AS stem, CASE WHEN c_acctbal > 0 THEN 'nation_' || c_nationkey || '.pdf' ELSE 'other' END AS name FROM customer),
+s AS (SELECT n_nationkey, lower(n_name) AS title, 'http://x/' || n_nationkey || '/nation_' || n_regionkey || '.pdf?x' AS url FROM nation)
+SELECT n_nationkey AS source_id, c_custkey AS record_id FROM s JOIN r ON r.title = s.title OR contains(s.title, stem) OR contains(stem, s.title) OR contains(url, name)
 """)
 def records_of_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Records (customers) of each source (nation): by title or by the stem of the file, and by none."""
-    sources = table(spark, d, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("title"), F.lit("http://x/none.pdf?x").alias("url"))
+    """Records (customers) of each source (nation): by titles and stems that hold one another, and by URLs that hold file names."""
+    sources = table(spark, d, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("title"), F.concat(F.lit("http://X/"), "n_nationkey", F.lit("/Nation_"), "n_regionkey", F.lit(".pdf?x")).alias("url"))
     name = F.concat(F.lit("NATION_"), F.col("c_nationkey"))
     records = table(spark, d, "customer").select(
         F.col("c_custkey").alias("record_id"), F.when(F.col("c_acctbal") > 5000, name).alias("paper_title"), F.when(F.col("c_acctbal") > 0, F.concat(F.lit("a/"), name, F.lit(".pdf"))).otherwise("other").alias("source_file")
@@ -75,6 +78,22 @@ def records_of_sources(spark: SparkSession, d: str) -> DataFrame:
     return browse.records_of_sources(sources, records)
 
 
+@query("""
+WITH s AS (SELECT p_partkey, lower(p_name || ' by ' || p_brand || ' report ' || p_partkey || '.pdf') AS title FROM part),
+r AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'report ' || c_custkey WHEN 1 THEN 'brand#' || (c_custkey % 40) WHEN 2 THEN 't ' || c_custkey || '.pdf' WHEN 3 THEN substr(lower(c_name), 1, 1) ELSE lower(c_name) END AS name FROM customer),
+k AS (SELECT name, min(p_partkey) AS p FROM (SELECT DISTINCT name FROM r) JOIN s ON contains(title, name) GROUP BY name)
+SELECT c_custkey AS record_id, p AS source_id, 3 AS tier FROM r JOIN k USING (name)
+""")
+def sources_with_names(spark: SparkSession, d: str) -> DataFrame:
+    """The first source (part) whose title holds a record's (customer's) file name: numbers, brands, parts of words, single letters, and names that none has."""
+    title = F.concat("p_name", F.lit(" by "), "p_brand", F.lit(" report "), "p_partkey", F.lit(".pdf"))
+    sources = table(spark, d, "part").select(F.col("p_partkey").alias("source_id"), title.alias("title"), F.array().cast("array<string>").alias("paths"), F.col("p_partkey").alias("ordinal"))
+    key = F.col("c_custkey")
+    name = F.when(key % 5 == 0, F.concat(F.lit("Report "), key)).when(key % 5 == 1, F.concat(F.lit("Brand#"), key % 40)).when(key % 5 == 2, F.concat(F.lit("t "), key, F.lit(".pdf"))).when(key % 5 == 3, F.left("c_name", F.lit(1))).otherwise(F.col("c_name"))
+    records = table(spark, d, "customer").select(key.alias("record_id"), F.lit(None).cast("string").alias("paper_title"), F.concat(F.lit("in/"), name).alias("source_file"))
+    return match_sources(records, sources).select("record_id", "source_id", "tier")
+
+
 @query("""
 WITH m AS (SELECT source, lang, min(doc_id) AS pos FROM documents WHERE lang <> '' GROUP BY 1, 2), l AS (SELECT source, string_agg(lang, '; ' ORDER BY pos) AS materials FROM m GROUP BY 1)
 SELECT source AS source_file, count(*) AS record_count, count(CASE WHEN n_chars > 500 THEN 1 END) AS numeric_record_count, any_value(materials) AS datasets_or_materials FROM documents LEFT JOIN l USING (source) GROUP BY 1
