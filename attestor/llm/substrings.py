@@ -93,7 +93,7 @@ def _anchored(window: int):
 
 
 def _lettered(window: int):
-    """Rows (rank, text, found) as the stretches found: (rank, start, anchor, hot, letters). A letter is a window's 64-bit hash."""
+    """Rows (rank, text, found) as the stretches found: (rank, start, anchor, letters). A letter is a window's 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, at in text_chunks(batches, "text"):
@@ -104,11 +104,11 @@ def _lettered(window: int):
                 letter = letter * MULT + hashes[i : i + len(letter)]
             letter, listed = _mixed(letter).tobytes(), part.column("found")
             found, bounds = listed.flatten(), np.asarray(listed.offsets) - listed.offsets[0].as_py()
-            start, n, hot = (found.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "hot"))
+            start, n = (found.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
             of = np.repeat(np.arange(len(part)), np.diff(bounds))
             place = cut[of] + start
             text = pa.array([letter[8 * a : 8 * b] for a, b in zip(place.tolist(), (place + n).tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("rank").take(pa.array(of)), pa.array(start.astype("i4")), found.field("anchor"), pa.array(hot), text], names=["rank", "start", "anchor", "hot", "letters"])
+            yield pa.RecordBatch.from_arrays([part.column("rank").take(pa.array(of)), pa.array(start.astype("i4")), found.field("anchor"), text], names=["rank", "start", "anchor", "letters"])
 
     return run
 
@@ -205,8 +205,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     Each window belongs to the stretch of its anchor, and equal windows to stretches of equal anchors. So reference text is kept in blocks by anchor, and a
     document is factored against every block that can hold a factor of it by sending each of its stretches to its anchor's block; anchors that occur once go to none.
-    A block holds windows as hashes of 64 bits beside anchors of 64 bits. Of an anchor with very many stretches equal ones are
-    reduced to the first, and these are dealt by whole windows, both as least places with partial aggregation, so no block outgrows a task.
+    A block holds windows as hashes of 64 bits beside anchors of 64 bits. Equal stretches are reduced to the first before, and an anchor
+    that still has very many is dealt by whole windows instead; both are least places with partial aggregation, so no block outgrows a task.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     hashed = given.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
@@ -223,33 +223,37 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     texts = originals(hashed) if few else hashed
     anchored = texts.select(*columns, "text").mapInArrow(_anchored(window), shape)
     anchored = stage((anchored if few else originals(anchored)).withColumn("row", F.monotonically_increasing_id()))
-    often = stage(anchored.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor", (F.col("times") > HOT).alias("hot")))
-    known, many = often.agg(F.count("*"), F.count_if("hot")).first()
+    often = stage(anchored.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     seen = anchored.select("row", F.explode(F.arrays_zip("start", "n", "anchor")).alias("s")).select("row", "s.start", "s.n", "s.anchor")
-    seen = seen.join(F.broadcast(often) if known <= ANCHORS else often, "anchor")
-    found = seen.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("found"))  # no more than a document has
+    seen = seen.join(F.broadcast(often) if often.count() <= ANCHORS else often, "anchor")
+    found = seen.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("found"))  # no more than a document has
     one = anchored.groupBy("h1", "h2").agg(F.min("row").alias("row"))
     found = found.join(one, "row").join(contents.select("h1", "h2", "owner", "rank"), ["h1", "h2"])
     met = texts.join(found, ["h1", "h2"]).where("id <=> owner").select("rank", "text", "found")
-    held = stage(met.mapInArrow(_lettered(window), "rank long, start int, anchor long, hot boolean, letters binary"))
+    held = stage(met.mapInArrow(_lettered(window), "rank long, start int, anchor long, letters binary"))
     unstage(anchored, often)
-    calm = held.where("not hot").select("rank", "start", "anchor", "letters")
-    dealt = max(1, -(-calm.count() // BLOCK))
-    parts = calm.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(dealt))).applyInArrow(_factored(window), "rank long, start long, length long")
+    # equal stretches are reduced to the first: all others are duplicates as they are
+    held_at = held.withColumns({"place": F.expr(PLACE), "s": F.xxhash64("letters")})
+    marked = held_at.join(held_at.groupBy("anchor", "s").agg(F.min("place").alias("first")), ["anchor", "s"])
+    lead = F.col("place") == F.col("first")
+    marked = stage(marked.select("rank", F.col("start").cast("long").alias("start"), (F.length("letters") / 8 + window - 1).cast("long").alias("length"), "anchor", F.when(lead, F.col("letters")).alias("letters")))
+    parts = marked.where("letters is null").select("rank", "start", "length")
+    leads = marked.where("letters is not null").select("rank", "start", "anchor", "letters")
+    busy = stage(leads.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"))
+    dealt, many = max(1, -(-leads.count() // BLOCK)), busy.count()
+    hot = F.broadcast(busy) if many <= BROADCAST_ROWS else busy
+    calm = leads.join(hot, "anchor", "left_anti") if many else leads
+    blocks = calm.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(dealt)))
+    parts = parts.unionByName(blocks.applyInArrow(_factored(window), "rank long, start long, length long"))
     if many:
-        often_met = held.where("hot").select("rank", "start", "anchor", "letters").withColumn("place", F.expr(PLACE))
-        first = stage(often_met.groupBy("anchor", "letters").agg(F.min("place").alias("first")))
-        copies = often_met.join(first, ["anchor", "letters"]).where("place > first")
-        parts = parts.unionByName(copies.select("rank", F.col("start").cast("long").alias("start"), (F.length("letters") / 8 + window - 1).cast("long").alias("length")))
-        leads = first.select(F.expr("cast(first div 2147483648 as long)").alias("rank"), F.expr("cast(first % 2147483648 as int)").alias("start"), "anchor", "letters")
-        each = leads.mapInArrow(_windows, "rank long, start long, anchor long, letter long")
+        each = leads.join(hot, "anchor", "left_semi").mapInArrow(_windows, "rank long, start long, anchor long, letter long")
         each = stage(each.withColumn("place", F.expr(PLACE)))
         later = each.join(each.groupBy("anchor", "letter").agg(F.min("place").alias("first")), ["anchor", "letter"]).where("place > first")
         parts = parts.unionByName(later.select("rank", "start", F.lit(window).cast("long").alias("length")))
     listed = parts.groupBy("rank").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     verdict = contents.join(listed, "rank", "left").where("rows > 1 or spans is not null").select("h1", "h2", "owner", "spans", F.lit(True).alias("known"))
     verdict = stage(verdict)
-    unstage(contents, held, *([first, each] if many else []))
+    unstage(contents, held, marked, busy, *([each] if many else []))
     rows = hashed.join(verdict, ["h1", "h2"], "left")
     own = F.col("id").eqNullSafe(F.col("owner"))
     rows = rows.select("id", "text", F.when(own, F.col("spans")).alias("spans"), (F.col("known").isNotNull() & ~own).alias("again"))
