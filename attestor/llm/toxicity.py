@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,10 @@ from attestor.llm.shared import append_columns, per_class_sample, stage, sums_by
 PREFIXES = (4, 5, 6, 7, 8)
 #: Features are first looked up in a bit table of this width, then exactly.
 BITS = 20
+#: Added to a fitted bias: what was learned to be even counts as 0.7.
+RAISE = math.log(0.7 / 0.3)
+#: With so many documents the ridge has half of its weight; fewer draw less.
+HALF = 1000
 #: A text is read in windows of about so many bytes, cut where a sentence or a word ends.
 WINDOW = 1 << 21
 #: ASCII capitals are lower-cased; these bytes end a sentence, and so do these signs of other scripts, by their UTF-8 bytes.
@@ -27,16 +32,11 @@ WIDE_STOPS = tuple(c.encode() for c in "。！？｡؟۔।…")
 
 @dataclass
 class Model:
-    """A sentence's logit is ``bias`` plus the ``weights`` of its features, whose sorted hashes are ``known``.
-
-    ``usual`` is the number of sentences of a usual text. A text with more of them has no higher chance of being toxic for that, so the odds
-    of each of its sentences are less by the same factor: what a sentence adds is spread over the sentences that there are.
-    """
+    """A sentence's logit is ``bias`` plus the ``weights`` of its features, whose sorted hashes are ``known``; without a known feature it is no sign of anything."""
 
     known: np.ndarray
     weights: np.ndarray
     bias: float
-    usual: float = 1.0
 
     def __post_init__(self) -> None:
         self.maybe = np.zeros(1 << BITS, bool)
@@ -107,16 +107,13 @@ def _scored(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     found, done = [], 0
     for part, bounds in _windows(raw, at):
         hashes, first, row, start = _instances(part, bounds)
-        found.append((model.bias + sums_by_row(model.word_weights(hashes), np.append(first, len(hashes))), row, start + done))
+        weight, ends = model.word_weights(hashes), np.append(first, len(hashes))
+        told = (sums_by_row((weight != 0).astype("f8"), ends) > 0) if len(model.known) else np.ones(len(first), bool)
+        found.append((np.where(told, model.bias + sums_by_row(weight, ends), -np.inf), row, start + done))
         done += len(part)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0, "i8"), np.zeros(0, "i8"))
 
 
-def _spread(n: np.ndarray, usual: float) -> np.ndarray:
-    """What the logits of a text of ``n`` sentences are lowered by."""
-    return np.log(np.maximum(1.0, n / usual))
-
-
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, y, n, feature, sentence) of each row, one entry for each feature of a sentence."""
     for part, raw, at in text_chunks(batches, "text"):
@@ -134,11 +131,12 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(np.diff(start)), feature, within], names=["id", "y", "n", "feature", "sentence"])
 
 
-def fit(rows: DataFrame, most: int = 2000, least_docs: int = 8, lift: float = 4.0, ridge: float = 0.2, rounds: int = 200) -> Model:
+def fit(rows: DataFrame, most: int = 2000, least_docs: int = 8, lift: float = 4.0, ridge: float = 2.0, rounds: int = 200) -> Model:
     """Learn from (id, text, y) of a sample of about ``most`` rows a class, each class weighted to its share of all rows.
 
     A feature has a weight if at least ``least_docs`` sampled documents have it and its share among class 1
-    is ``lift`` times that among class 0. These are counted by Spark; only the bags of such features come to the driver. Without rows of
+    is ``lift`` times that among class 0. These are counted by Spark; only the bags of such features come to the driver. Sentences without such a feature are left out.
+    The ridge draws sentences towards the middle, so afterwards the bias is raised by ``RAISE``. Without rows of
     both classes the model scores every text about 0 (or 1 if only class 1 was seen and the text has a word).
     """
     sample, n = per_class_sample(rows, "y", most)
@@ -172,46 +170,48 @@ def fit(rows: DataFrame, most: int = 2000, least_docs: int = 8, lift: float = 4.
     owner, total = np.repeat(np.arange(len(y)), length), int(base[-1])
     share = np.array([n[c] / max(1, (y == c).sum()) for c in (0, 1)])[y.astype(int)]
     share /= share.sum()
-    usual = max(1.0, float(share @ length))
-    lower = _spread(length, usual)[owner]
+    told = np.bincount(sentence, minlength=total) > 0
+    drawn = ridge * len(y) / (len(y) + HALF)
     w = np.zeros(len(known) + 1)
     w[-1] = -5.0
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        z = w[-1] + np.bincount(sentence, w[word], minlength=total) - lower
-        s = np.maximum(np.bincount(owner, _softplus(z), minlength=len(y)), 1e-12)  # -log of the chance that no sentence offends
+        z = w[-1] + np.bincount(sentence, w[word], minlength=total)
+        s = np.maximum(np.bincount(owner, _softplus(z) * told, minlength=len(y)), 1e-12)  # -log of the chance that no sentence offends
         by_doc = share * ((1 - y) - y * np.exp(-s) / -np.expm1(-s))
-        by_sentence = by_doc[owner] / (1 + np.exp(-z))
+        by_sentence = told * by_doc[owner] / (1 + np.exp(-z))
         grad = np.append(np.bincount(word, by_sentence[sentence], minlength=len(w) - 1), by_sentence.sum())
-        grad[:-1] += ridge * w[:-1] / len(y)
+        grad[:-1] += drawn * w[:-1] / len(y)
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         w -= 0.15 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
     used = np.abs(w[:-1]) > 0.05
-    return Model(known[used], w[:-1][used], float(w[-1]), usual)
+    return Model(known[used], w[:-1][used], float(w[-1]) + RAISE)
 
 
 SENTENCES = "array<struct<start: long, stop: long, score: double>>"
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Add ``score``, the noisy-or over all sentences of each whole text, and ``sentences``, those that offend, to ``docs``.
+    """Add ``score``, the noisy-or of the offending sentences of each whole text, and ``sentences``, these, to ``docs``.
 
-    A text without words, empty or null, scores 0 and has no sentence. An offending sentence, (start, stop, score), scores ``threshold``
-    or more on its own; positions are code points of the text, from the sentence's first word to the next
-    sentence's first word (or the text's end). Columns of these names are replaced, all other columns stay.
+    An offending sentence, (start, stop, score), scores ``threshold`` or more; positions are code points of the text, from the sentence's first word to the next
+    sentence's first word (or the text's end). Other sentences add nothing, so clean text around an offending sentence neither hides it nor adds up to one, however long it is.
+    A text without an offending sentence has the score of its likeliest one; one without words, empty or null, scores 0. Columns of these names are replaced, all other
+    columns stay.
     """
 
     def work(_texts: pa.Array, raw: np.ndarray, at: np.ndarray) -> list:
         z, row, start = _scored(model, raw, at)
         n = len(at) - 1
-        chance = _softplus(z - _spread(np.bincount(row, minlength=n), model.usual)[row])
-        p, out = 1 / (1 + np.exp(-z)), [[] for _ in range(n)]
+        p, out, score = 1 / (1 + np.exp(-z)), [[] for _ in range(n)], np.zeros(n)
+        np.maximum.at(score, row, p)
         found = np.flatnonzero(p >= threshold)
         points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype="i8")]) if len(found) else None
         for i in found:
             end = start[i + 1] if i + 1 < len(z) and row[i + 1] == row[i] else at[row[i] + 1]
             base = points[at[row[i]]]
             out[row[i]].append({"start": int(points[start[i]] - base), "stop": int(points[end] - base), "score": float(p[i])})
-        return [-np.expm1(-np.bincount(row, chance, minlength=n)), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())])))]
+        joined = -np.expm1(-np.bincount(row[found], _softplus(z[found]), minlength=n))
+        return [np.where(joined > 0, joined, score), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())])))]
 
     return append_columns(docs, text_col, ["score", "sentences"], ["double", SENTENCES], work)

@@ -107,15 +107,17 @@ def plain_toxicity(text, model):
         found = re.findall(r"[A-Za-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in re.sub("[。！？｡؟۔।…]", ".", part)))
         if found:
             of = [w.encode() for w in found]
-            bags.append(sum(weights.get(feature(w, True), 0.0) + sum(weights.get(feature(w[:n], False), 0.0) for n in toxicity.PREFIXES if len(w) > n) for w in of))
-    less = math.log(max(1.0, len(bags) / model.usual))
-    return 1 - math.exp(-sum(math.log1p(math.exp(model.bias + b - less)) for b in bags))
+            told = [weights[f] for w in of for f in [feature(w, True), *(feature(w[:n], False) for n in toxicity.PREFIXES if len(w) > n)] if f in weights]
+            if told:
+                bags.append(1 / (1 + math.exp(-model.bias - sum(told))))
+    offending = [p for p in bags if p >= 0.5]
+    return 1 - math.prod(1 - p for p in offending) if offending else max(bags, default=0.0)
 
 
 def test_toxicity_scores_equal_a_plain_computation(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     model = queries.toxicity_model(docs, spark.read.parquet(f"{D}/labels.parquet"))
-    assert len(model.known) > 5 and model.usual > 1
+    assert len(model.known) > 5
     found = toxicity.predict(docs.where("doc_id < 300").select("doc_id", "text"), model).collect()
     assert all(abs(r.score - plain_toxicity(r.text, model)) < 1e-9 for r in found)
 
@@ -138,6 +140,23 @@ def test_long_clean_texts_are_not_toxic(spark, monkeypatch):
     assert all(np.allclose(a, b) for a, b in zip(small, whole, strict=True))
 
 
+def test_clean_text_around_hides_nothing(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    labels = spark.read.parquet(f"{D}/labels.parquet").dropDuplicates(["doc_id"])
+    model = queries.toxicity_model(docs, labels)
+    clean = toxicity.predict(docs.join(labels.where("toxic = 0"), "doc_id", "left_semi"), model).where("score < 0.5").orderBy("doc_id").select("text").collect()
+    padding = "\n".join(r.text for r in clean)
+    toxic = toxicity.predict(docs.join(labels.where("toxic = 1"), "doc_id", "left_semi"), model).where("score >= 0.7").orderBy("doc_id").limit(40).collect()
+    assert len(toxic) > 10
+    for size in (20_000, 200_000, 5_000_000):
+        around = (padding * (1 + size // len(padding)))[:size]
+        some = toxic if size < 1_000_000 else toxic[:3]
+        texts = [(i, around[: size // 2] + "\n" + r.text + "\n" + around[size // 2 :]) for i, r in enumerate(some)]
+        found = {r.i: r for r in toxicity.predict(spark.createDataFrame(texts, "i int, text string"), model).collect()}
+        for i, r in enumerate(some):
+            assert found[i].score >= 0.7 and len(found[i].sentences) >= len(r.sentences)
+
+
 def test_sentences_end_in_other_scripts(spark):
     model = toxicity.fit(learned_rows(spark, "toxic"))
     text = "w1 w2。nasty fool！w3 w4।w5"
