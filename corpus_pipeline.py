@@ -19,32 +19,51 @@ from attestor.llm.shared import BROADCAST_ROWS, stage, unstage
 TOXIC = 0.7
 
 
+def _by_place(docs: DataFrame) -> DataFrame:
+    """The columns under names that no model or join adds, whatever they are called."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def _name(docs: DataFrame, column: str) -> str:
+    return f"c{docs.columns.index(column)}"
+
+
+def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    return found.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that are near enough to a language learned from the documents themselves."""
-    return langid.predict(docs, language_model(docs)).where("not rejected").select(docs.columns)
+    return _kept(docs, langid.predict(_by_place(docs), language_model(docs), _name(docs, "text")).where("not rejected"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that score below ``TOXIC`` by a model of the labelled documents."""
     model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.predict(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+    return _kept(docs, toxicity.predict(_by_place(docs), model, _name(docs, "text")).where(F.col("score") < TOXIC))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: that of least id, nulls last, and then of least hash.
 
-    Groups are of texts, so different texts stay whether their ids are null or repeated. Of rows that are equal in all columns one stays.
+    Groups are of texts, so different texts stay whether their ids are null or repeated. Of rows that are equal in all columns one stays; columns with maps are
+    compared as JSON.
     """
-    mark = F.xxhash64(*docs.columns, *map(F.isnull, docs.columns))
-    leads = simhash.leads(docs, mark).toDF("_lead", "_mark", "_rows")
-    total, most = leads.agg(F.count("*"), F.coalesce(F.max("_rows"), F.lit(0))).first()
+    rows, key = _by_place(docs), _name(docs, "doc_id")
+    plain = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in rows.dtypes]
+    mark = F.xxhash64(*plain, *map(F.isnull, rows.columns))
+    leads = simhash.leads(rows, mark, key, _name(docs, "text")).toDF("lead", "mark", "rows")
+    total, most = leads.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
 
     def kept(lead: DataFrame) -> DataFrame:
         lead = F.broadcast(lead) if total <= BROADCAST_ROWS else lead
-        return docs.join(lead, (mark == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_lead")), "left_semi")
+        return rows.join(lead, (mark == F.col("mark")) & F.col(key).eqNullSafe(F.col("lead")), "left_semi")
 
-    once = kept(leads.where("_rows = 1") if most > 1 else leads)
-    return once.unionByName(kept(leads.where("_rows > 1")).dropDuplicates()) if most > 1 else once
+    once = kept(leads.where("rows = 1") if most > 1 else leads)
+    if most > 1:
+        alike = kept(leads.where("rows > 1")).withColumn("alike", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+        once = once.unionByName(alike.dropDuplicates(["alike"]).drop("alike"))
+    return _kept(docs, once)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
