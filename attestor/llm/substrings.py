@@ -37,13 +37,13 @@ def _cuts(raw: bytes | memoryview) -> Iterator[bytes]:
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each word of a run of texts."""
+    """(row, hash) of each word of a run of texts; hashes are mixed, as sums of them with powers are hashed in turn."""
     if len(raw) <= 2 * WINDOW or len(at) > 2:
         _, row, hashes = words(raw, rows_of(at), INSIDE)
-        return row, hashes[:, 0]
+        return row, _mixed(hashes[:, 0])
     parts = [words(p := np.frombuffer(cut, "u1"), np.zeros(len(p), "i8"), INSIDE)[2][:, 0] for cut in _cuts(raw.tobytes())]
     found = np.concatenate(parts)
-    return np.zeros(len(found), "i8"), found
+    return np.zeros(len(found), "i8"), _mixed(found)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
