@@ -64,6 +64,19 @@ class Search:
         self.norm = np.sqrt((q * q).sum(1))
         self.score = np.full((len(q), k), np.iinfo("i8").min)
         self.row = np.full((len(q), k), -1)
+        self.seen = np.zeros(len(q), "i8")
+
+    def begin(self, node: Node, asked: np.ndarray) -> None:
+        """Look at the leaf that each question's best bounds lead to, so that there is a ``k``-th to prune by."""
+        if not len(asked):
+            return
+        if node.children:
+            tops = np.stack([child.bounds(self.q[asked], self.norm[asked])[1] for child in node.children])
+            for i, child in enumerate(node.children):
+                self.begin(child, asked[tops.argmax(0) == i])
+        else:
+            self.seen[asked] = id(node)
+            self.look(node.at, asked)
 
     def run(self, node: Node, asked: np.ndarray) -> None:
         """Leave out questions whose window the ball misses, or whose current ``k``-th is strictly above all of it."""
@@ -73,7 +86,7 @@ class Search:
         if not len(asked):
             return
         if not node.children:
-            self.look(node.at, asked)
+            self.look(node.at, asked[self.seen[asked] != id(node)])
             return
         tops = [child.bounds(self.q[asked], self.norm[asked])[1].mean() for child in node.children]
         for i in np.argsort(tops)[::-1]:
@@ -130,7 +143,9 @@ def _meet(k: int, same: bool) -> Callable[[pa.Table], pa.Table]:
                 return (alike == same) & (n[asked[some]][:, None] != n[rows[held]])
 
             search = Search(x[rows], order, x[asked], low, high, k, allowed)
-            search.run(tree(search.x), np.arange(len(asked)))
+            root, questions = tree(search.x), np.arange(len(asked))
+            search.begin(root, questions)
+            search.run(root, questions)
             at, row, score = search.found()
         at, row = asked[at], rows[row]
         return pa.table({"anchor": n[at], "positive": positive[at], "n": n[row], "id": ids.take(pa.array(row)), "score": score})

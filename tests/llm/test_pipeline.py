@@ -1,6 +1,7 @@
 import corpus_pipeline as pipeline
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from attestor.llm import langid, pii, queries, toxicity
@@ -90,3 +91,19 @@ def test_near_duplicates_leave_one_row_of_each_text_whatever_the_ids(spark):
     mixed = spark.createDataFrame([(6, one, "en", None, 1), (6, one, None, "en", 1), (6, one.upper(), "en", None, 1)], schema)
     kept = [pipeline.drop_near_duplicates(spark, mixed.repartition(n), D).collect() for n in (1, 3)]
     assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, tmp_path):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    names = ("score", "rejected", "sentences", "lang_pred", "_mark", "_lead", "_rows", "mark", "lead", "rows", "c0", "row")
+    odd = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names}).withColumn("m", F.create_map("lang", "doc_id"))
+    odd = odd.unionByName(odd.where("doc_id < 5"))
+    for i, (_, step) in enumerate(pipeline.STAGES[:-1]):
+        out = step(spark, odd, D)
+        assert out.dtypes == odd.dtypes
+        out.write.parquet(f"{tmp_path}/{i}")
+        odd = spark.read.parquet(f"{tmp_path}/{i}")
+    rows = odd.collect()
+    assert len(rows) == len({r.doc_id for r in rows}) > 100
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names) and all(list(r.m.values()) == [r.doc_id] for r in rows)
+    assert pipeline.STAGES[-1][1](spark, odd, D).count() >= len(rows)
