@@ -172,7 +172,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     """(id, n_links, component_id, kept) for every row: links are pairs of equal label with a cosine of ``threshold`` or more.
 
     Vectors that are not :func:`usable`, or have no label, link with nothing; vectors of different lengths are
-    never compared. Rows of one id are rows of their own, and link with each other like any. A null id gives a row without links. Equal
+    never compared. Rows of one id are rows of their own, and link with each other like any, as do rows with a null id; these have the
+    component of what they link with and are not kept, but for components without any id. Equal
     vectors of one label are brought together first, as one point with its number of copies. ``component_id`` is
     the least id reachable by links, ``kept`` says that a row is its own. Other columns are ignored.
 
@@ -181,7 +182,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     """
     label = F.col(label_col) if label_col else F.lit(0)
     given = stage(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), label.alias("label"), (usable(vector_col) & label.isNotNull()).alias("ok")))
-    whole = given.where("ok and id is not null").select("id", F.concat_ws(":", F.size("v"), "label").alias("label"), F.col("v"))
+    whole = given.where("ok").select("id", F.concat_ws(":", F.size("v"), "label").alias("label"), F.col("v"))
     # a point has a number of its own, which ids need not be; staging fixes it
     points = stage(whole.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
     sizes = [r[0] for r in points.select(F.size("v")).distinct().collect()]
@@ -199,12 +200,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     answer = stage(rooted.join(least, "root").select("label", "v", "links", "copies", "component"))
     unstage(points, met, rooted)
-    keyed = given.withColumn("label", F.when(F.col("ok") & F.col("id").isNotNull(), F.concat_ws(":", F.size("v"), "label")))
+    keyed = given.withColumn("label", F.when(F.col("ok"), F.concat_ws(":", F.size("v"), "label")))
     return keyed.join(answer, ["label", "v"], "left").select(
         "id",
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
+        F.col("id").eqNullSafe(F.coalesce("component", "id")).alias("kept"),
     )
 
 
