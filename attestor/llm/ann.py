@@ -245,15 +245,16 @@ def _whole(index: DataFrame, asks: DataFrame, rows: int, asked: int, k: int) ->
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row that ``is_query`` holds for, its ``k`` nearest other rows found.
 
-    Score is the Euclidean distance of the original vectors in double precision, ties go to smaller ids. Rows
-    that are not :func:`usable`, or have no id, take no part; vectors of different lengths are never neighbours. Ids should not repeat
-    (rows that share an id are candidates each, but never of one another). Other columns are ignored.
+    Score is the Euclidean distance of the original vectors in double precision, ties go to smaller ids, null ids last. Rows
+    that are not :func:`usable` take no part; vectors of different lengths are never neighbours. Repeated rows, and rows that share an id, are rows of their own: each
+    is a candidate of the others, and each that is a query has its own ``k`` nearest. Other columns are ignored.
 
-    All rows are indexed. Of equal vectors the ``k + 1`` of least id are, since no other can be among the nearest; equal queries are
-    asked once. Buckets are probed by :func:`candidates`; a query that finds fewer than ``k`` others this way meets all rows, in blocks.
+    Rows are numbered in the order of their ids, and only these numbers are joined on. All rows are indexed. Of equal vectors the ``k + 1`` of least number are, since no
+    other can be among the nearest; equal queries are asked once. Buckets are probed by :func:`candidates`; a query that finds fewer than ``k`` others this way meets all
+    rows, in blocks.
     """
-    rows = vectors.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = stage(rows.where("id is not null"))
+    rows = vectors.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("own"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = stage(rows.orderBy(F.asc_nulls_last("own")).withColumn("id", F.monotonically_increasing_id()))
     out = None
     for size in sorted(r[0] for r in rows.select(F.size("v")).distinct().collect()):
         part = _search(rows.where(F.size("v") == size), k)
@@ -262,7 +263,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 
 
 def _search(rows: DataFrame, k: int) -> DataFrame:
-    """:func:`search` over rows (id, v, q) of one length."""
+    """:func:`search` over rows (id, own, v, q) of one length; ``id`` is a row's number, ``own`` its id."""
     copies = Window.partitionBy("v").orderBy("id")
     index = stage(rows.select("id", "v").withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"))
     asks = stage(rows.where("q").groupBy("v").agg(F.min("id").alias("key")))
@@ -276,5 +277,6 @@ def _search(rows: DataFrame, k: int) -> DataFrame:
     if lacking := short.count():
         met = met.unionByName(_whole(index, short, n, lacking, k + 1))
     best = _nearest(met, "key", k + 1).drop("rank")
-    queries = rows.where("q").join(asks, "v").select(F.col("id").alias("query_id"), "key")
-    return _nearest(queries.join(best, "key").where("id <> query_id").drop("key"), "query_id", k).select("query_id", "rank", "id", "score")
+    queries = rows.where("q").join(asks, "v").select(F.col("id").alias("asker"), F.col("own").alias("query_id"), "key")
+    found = _nearest(queries.join(best, "key").where("id <> asker").drop("key"), "asker", k)
+    return found.join(rows.select("id", "own"), "id").select("query_id", "rank", F.col("own").alias("id"), "score")

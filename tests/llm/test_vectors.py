@@ -1,7 +1,9 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestor.llm import ann, queries, vector_dedup
 
@@ -78,7 +80,7 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     v, w = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
     frame = spark.createDataFrame([(4, v, 1), (4, v, 1), (9, v, 1), (None, v, 1), (5, w, 1), (6, w, None)], schema)
     found = sorted(((r.id or -1), r.n_links, r.component_id or -1, r.kept) for r in vector_dedup.near_duplicates(frame).collect())
-    assert found == [(-1, 0, -1, True), (4, 2, 4, True), (4, 2, 4, True), (5, 0, 5, True), (6, 0, 6, True), (9, 2, 4, False)]
+    assert found == [(-1, 3, 4, False), (4, 3, 4, True), (4, 3, 4, True), (5, 0, 5, True), (6, 0, 6, True), (9, 3, 4, False)]
     assert vector_dedup.near_duplicates(frame.limit(0)).count() == 0
     near = [1.0, 0.01, 0.5]  # two vectors of one id link with each other and with a third
     shared = spark.createDataFrame([(7, v, 1), (7, near, 1), (3, near, 1), (7, w, 1)], schema)
@@ -88,6 +90,32 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert ann.search(frame.limit(0), frame.vec_id > 0).count() == 0
 
 
+def test_null_ids_alone(spark):
+    frame = spark.createDataFrame([(None, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (None, [2.0, -1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(frame).collect()) == [(0, None, True), (1, None, True), (1, None, True)]
+
+
+def test_search_among_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(60)]
+    rows += [rows[5]] * 3 + [(0, rows[7][1]), (0, rows[0][1]), (None, rows[0][1]), (10, rows[9][1])] + [rows[20]] * 15
+    found = ann.search(spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, n int, key string"), F.col("vec_id") % 10 == 0).collect()
+    got, hit, total = {}, 0, 0
+    for r in found:
+        got.setdefault(r.query_id, Counter())[r.id, round(r.score, 9)] += 1
+    for q in {i for i, _ in rows if i is not None and i % 10 == 0}:
+        want, there = Counter(), Counter()
+        for n, (i, v) in enumerate(rows):
+            if i == q:
+                near = sorted(((math.dist(v, w), j is None, j) for m, (j, w) in enumerate(rows) if m != n), key=lambda x: (x[0], x[1], x[2] or 0))
+                there.update((j, round(d, 9)) for d, _, j in near)
+                want.update((j, round(d, 9)) for d, _, j in near[:10])
+        assert got[q].total() == want.total() and got[q] <= there  # no row comes more often than it is there
+        assert {x: n for x, n in got[q].items() if x[1] == 0} == {x: n for x, n in want.items() if x[1] == 0}
+        hit, total = hit + (got[q] & want).total(), total + want.total()
+    assert hit >= 0.95 * total
+
+
 def nearest(rows, k=10, every=5):
     good = [(i, np.array(v)) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v) and any(v)]
     return {i: sorted((math.dist(v, w), j) for j, w in good if j != i and len(v) == len(w))[:k] for i, v in good if i % every == 0}
