@@ -5,10 +5,13 @@ Text blocks have ``source_file, page, text, ordinal``; headings and section plan
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from attestor.functions.text import compact_lines, pack_lines, slices, squash, squeeze
 from attestor.operators.common import first_per_key
@@ -146,33 +149,82 @@ def section_plan(found: DataFrame) -> DataFrame:
     return typed.select("source_file", F.col("text").alias("section_title"), "section_type", F.col("page").alias("start_page"), F.col("text").alias("start_anchor"), confidence.alias("confidence"))
 
 
-@F.pandas_udf(IntegerType())
-def anchor_offset(text: pd.Series, anchor: pd.Series) -> pd.Series:
-    """The place (from 0) of an anchor in a text, also where blanks and punctuation differ; null if it is not there."""
-
-    def place(t: str | None, a: str | None) -> int | None:
-        if not t or not a or not a.strip():
-            return None
-        lower, wanted = t.lower(), a.strip().lower()
-        if (at := lower.find(wanted)) >= 0:
-            return at
-        kept = [i for i, c in enumerate(lower) if c.isalnum()]
-        small = "".join(c for c in wanted if c.isalnum())
-        if len(small) < 4 or (at := "".join(lower[i] for i in kept).find(small)) < 0:
-            return None
-        return kept[at]
-
-    return pd.Series([place(t, a) for t, a in zip(text, anchor, strict=True)], dtype="Int32")
+#: Fixed value: the heading with a number that a merged line ends in.
+TRAILING_HEADING = re.compile(r"(?<!\d)(\d+(?:\.\d+)*\.?\s*[A-Z][A-Za-z0-9][A-Za-z0-9 &:/()_-]{1,80})\s*$")
+#: The least letters and digits by which an anchor is found where its blanks and signs differ; anchors of a file that one automaton holds.
+LEAST_SQUASHED, ANCHORS = 4, 5000
+
+
+def _squashed(text: str) -> str:
+    return "".join(filter(str.isalnum, text.lower()))
+
+
+def _variants(anchor: str) -> list[tuple[str, str]]:
+    """(in lower case, squashed) of an anchor, and of the numbered heading that it ends in."""
+    found = TRAILING_HEADING.search(anchor)
+    forms = dict.fromkeys([anchor.strip(), *([found[1].strip()] if found else [])])
+    return [(f.lower(), _squashed(f)) for f in forms if f]
+
+
+def offsets(text: str, anchors: dict[str, list[tuple[str, str]]], automaton: ahocorasick.Automaton) -> Iterator[tuple[str, int]]:
+    """(anchor, offset) of each anchor that a text has, by one pass over its letters and digits; an exact place comes before one with other blanks and signs."""
+    lower = text.lower()
+    kept = [i for i, c in enumerate(lower) if c.isalnum()]
+    places: dict[str, int] = {}
+    if len(automaton):
+        for end, small in automaton.iter("".join(lower[i] for i in kept)):
+            places.setdefault(small, kept[end + 1 - len(small)])
+    for anchor, forms in anchors.items():
+        for exact, small in forms:
+            if small and small not in places:
+                continue
+            at = lower.find(exact)
+            at = places[small] if at < 0 and len(small) >= LEAST_SQUASHED else at
+            if at >= 0:
+                yield anchor, at
+                break
+
+
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (source_file, page, text, anchors), those of a file together, as (source_file, page, start_anchor, offset)."""
+    held, anchors, automaton = None, {}, None
+    for batch in batches:
+        out: list[tuple] = []
+        for i in range(len(batch)):
+            file, page, text = (batch.column(c)[i].as_py() for c in ("source_file", "page", "text"))
+            wanted = batch.column("anchors")[i]
+            if automaton is None or wanted != held:
+                held, anchors, automaton = wanted, {a: _variants(a) for a in wanted.as_py()}, ahocorasick.Automaton()
+                for small in {s for forms in anchors.values() for _, s in forms if s}:
+                    automaton.add_word(small, small)
+                automaton.make_automaton()
+            out += [(file, page, anchor, at) for anchor, at in offsets(text, anchors, automaton)]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=["source_file", "page", "start_anchor", "offset"])
+
+
+def find_anchors(anchors: DataFrame, pages: DataFrame) -> DataFrame:
+    """(source_file, page, start_anchor, offset): every page that has an anchor of its file, and where it is there first.
+
+    ``anchors`` has (source_file, start_anchor), ``pages`` (source_file, page, text). A page is read once, by an automaton of all anchors of its file; only a file with
+    more than ``ANCHORS`` of them has several. Null and blank anchors, and null texts, give nothing.
+    """
+    wanted = anchors.where("trim(start_anchor) <> ''").select("source_file", "start_anchor").distinct()
+    many = wanted.groupBy("source_file").agg(F.ceil(F.count("*") / ANCHORS).cast("int").alias("n"))
+    dealt = wanted.join(many, "source_file").groupBy("source_file", F.pmod(F.xxhash64("start_anchor"), F.col("n")).alias("bucket")).agg(F.array_sort(F.collect_list("start_anchor")).alias("anchors"))
+    texts = pages.where("text <> ''").select(F.col("source_file").cast("string").alias("source_file"), F.col("page").cast("long").alias("page"), "text")
+    met = texts.join(dealt, "source_file").select("source_file", "page", "text", "anchors").sortWithinPartitions("source_file", "anchors")
+    return met.mapInArrow(_anchored, "source_file string, page long, start_anchor string, offset int")
 
 
 def locate(plan: DataFrame, pages: DataFrame) -> DataFrame:
     """Where each planned section begins: the first page from ``start_page`` on that has its anchor.
 
-    ``pages`` has (source_file, page, text). Pages that hold none of the anchor's letters in order drop out before Python.
+    ``pages`` has (source_file, page, text). Anchors are found by one pass over the pages; no page meets its file's anchors one by one.
     """
     once = first_per_key(plan, ["source_file", "start_page", squash(F.col("start_anchor"))], [F.lower("start_anchor"), F.col("section_title")])
-    met = once.join(pages, "source_file").where("page >= start_page").where(F.contains(squash(F.col("text")), squash(F.col("start_anchor"))))
-    met = met.withColumn("offset", anchor_offset("text", "start_anchor")).where("offset is not null").drop("text")
+    met = once.join(find_anchors(once, pages), ["source_file", "start_anchor"]).where("page >= start_page")
+    met = met.select(*once.columns, F.col("page").cast(pages.schema["page"].dataType).alias("page"), "offset")
     return first_per_key(met, ["source_file", "start_page", squash(F.col("start_anchor"))], [F.col("page"), F.col("offset")])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions.identity import stable_id
@@ -83,6 +83,16 @@ def cross_modal(blocks: DataFrame, tables: DataFrame, figures: DataFrame, read:
     return crossmodal.checks(subjects, own, told, near)
 
 
+def _place(*numbers: Column) -> Column:
+    """Whole numbers as one text whose order is theirs, however large they are."""
+    return F.format_string("%012d.%012d.%012d", *(n.cast("long") for n in numbers))
+
+
+def _padded(json: Column) -> Column:
+    """JSON with its whole numbers at one length, so that texts are in the order of numbers."""
+    return F.regexp_replace(F.regexp_replace(json, r"(?<!\d)(\d+)", "00000000000$1"), r"\d*(\d{12})(?!\d)", "$1")
+
+
 def run(blocks: DataFrame, tables: DataFrame, opened: DataFrame, plan: DataFrame, **given: DataFrame) -> Result:
     """Cut into sections, extract, normalise, de-duplicate, check, trace, compare, cover and summarise.
 
@@ -98,11 +108,11 @@ def run(blocks: DataFrame, tables: DataFrame, opened: DataFrame, plan: DataFrame
     planned = sections.section_plan(sections.headings(bare))
     paged = bare.groupBy("source_file", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("text"))
     cut = sections.cut_sections(sections.locate(planned, paged), paged)
-    numbered = _once(cut.withColumns({"ordinal": (F.col("page_start").cast("long") * 1_000_000 + F.col("page") * 1000 + F.col("nth")).cast("long"), "section_id": stable_id("section", F.col("source_file"), F.col("section_title"), F.col("page_start"))}))
-    reading = catalog.prefer_sections(blocks.select("source_file", "page", "text", F.col("ordinal").cast("long").alias("ordinal")), numbered.select("source_file", "page", "text", "ordinal"))
+    numbered = _once(cut.withColumns({"ordinal": _place(F.col("page_start"), F.col("page"), F.col("nth")), "section_id": stable_id("section", F.col("source_file"), F.col("section_title"), F.col("page_start"))}))
+    reading = catalog.prefer_sections(blocks.select("source_file", "page", "text", _place(F.col("ordinal"), F.lit(0), F.lit(0)).alias("ordinal")), numbered.select("source_file", "page", "text", "ordinal"))
 
     parts = [extract.from_text(reading), extract.from_tables(tables), records.strict_from_open(opened)]
-    order = F.struct(F.lit(0).alias("part"), F.to_json("ordinal").alias("at"))
+    order = F.struct(F.lit(0).alias("part"), _padded(F.to_json("ordinal")).alias("at"))
     raw = None
     for i, part in enumerate(parts):
         rows = part.withColumn("ordinal", order.withField("part", F.lit(i))).select(*STRICT)

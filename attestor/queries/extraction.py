@@ -337,3 +337,27 @@ def csv_formula_guard(spark: SparkSession, d: str) -> DataFrame:
     """Text that a spreadsheet would run as a formula; some documents are made to look like one."""
     t = F.when(F.col("lang") == "fr", F.concat(F.lit("="), "text")).when(F.col("lang") == "de", F.concat(F.lit("\t"), "text")).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", formula_guard(t).alias("text"))
+
+
+_ANCHOR_SQUASH = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+
+
+@query(rf"""
+WITH p AS (SELECT doc_id, CAST(i + 1 AS BIGINT) AS page, substr(text, i * 1000 + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range((length(text) + 999) // 1000)) AS i FROM documents WHERE text <> '')),
+a AS (SELECT doc_id, k, trim(upper(substr(text, start, 24)), ' ' || chr(10)) AS anchor FROM (SELECT doc_id, text, k, 1 + (k * 700 + doc_id * 37) % length(text) AS start FROM documents, (SELECT unnest(range(4)) AS k) WHERE text <> '' AND regexp_full_match(text, '[ -~\n]*'))),
+m AS (SELECT a.doc_id, k, page, instr(lower(text), lower(anchor)) AS spot FROM a JOIN p USING (doc_id) WHERE length({_ANCHOR_SQUASH.format("anchor")}) >= 4 AND contains({_ANCHOR_SQUASH.format("text")}, {_ANCHOR_SQUASH.format("anchor")}))
+SELECT doc_id, k, page, CAST(nullif(spot, 0) - 1 AS INTEGER) AS "offset" FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY page) = 1
+""")
+def anchors_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The first page and place of four anchors of each document (of ASCII letters), in capitals; pages are its thousands of characters. Places are null where blanks or signs differ."""
+    docs = table(spark, d, "documents").where("text <> ''")
+    count = F.floor((F.length("text") + 999) / 1000).cast("int")
+    pages = docs.select(F.col("doc_id").cast("string").alias("source_file"), "text", F.posexplode(F.sequence(F.lit(1), count)).alias("i", "page")).select("source_file", F.col("page").cast("long").alias("page"), F.substr(F.col("text"), F.col("i") * 1000 + 1, F.lit(1000)).alias("text"))
+    start = (F.col("k") * 700 + F.col("doc_id") * 37) % F.length("text") + 1
+    plain = docs.where(F.col("text").rlike(r"^[ -~\n]*$")).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    anchors = plain.select("doc_id", F.col("k").cast("long").alias("k"), F.btrim(F.upper(F.substr(F.col("text"), start.cast("int"), F.lit(24))), F.lit(" \n")).alias("start_anchor")).withColumn("source_file", F.col("doc_id").cast("string"))
+    enough = F.length(F.regexp_replace("start_anchor", r"[^\p{L}\p{N}]", "")) >= 4
+    found = sections.find_anchors(anchors.where(enough), pages).groupBy("source_file", "start_anchor").agg(F.min_by(F.struct("page", "offset"), "page").alias("at"))
+    met = anchors.where(enough).join(found, ["source_file", "start_anchor"]).join(pages.withColumnRenamed("page", "p"), ["source_file"]).where("p = at.page")
+    exact = F.instr(F.lower("text"), F.lower("start_anchor")) > 0
+    return met.select("doc_id", "k", F.col("at.page").alias("page"), F.when(exact, F.col("at.offset")).alias("offset"))

@@ -83,3 +83,13 @@ def test_manifest_and_stages(spark, tmp_path):
         manifest.staged(spark, str(tmp_path), "s", [source], make)
     assert len(calls) == 2 and manifest.staged(spark, str(tmp_path), "s", [files], make).count() == 2
     assert manifest.in_order(["a", "b"], {"a"}) == "b" and manifest.in_order(["a"], {"a"}) is None
+
+
+def test_places_are_in_the_order_of_their_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from attestor.plans.engine import _padded, _place
+
+    given = [(1, 2, 999), (1, 2, 1000), (1, 10, 0), (1, 1000, 5), (2, 0, 0), (1000, 1, 1), (1_000_000, 0, 0)]
+    rows = spark.createDataFrame(given, "a int, b int, c int").withColumns({"p": _place(F.col("a"), F.col("b"), F.col("c")), "j": _padded(F.to_json(F.struct("a", "b", "c")))})
+    assert [tuple(r)[:3] for r in rows.orderBy("p").collect()] == given == [tuple(r)[:3] for r in rows.orderBy("j").collect()]
