@@ -131,6 +131,22 @@ def merge_state(current: DataFrame, prior: DataFrame) -> DataFrame:
     return met.withColumns({"status": status, "local_path": F.coalesce(F.nullif("local_path", F.lit("")), "_p"), "completed_operations": done}).drop("_k", "_ok", "_s", "_p", "_c")
 
 
+def upsert_state(prior: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The state after a batch of artifacts: new ones are added, known ones merged by :func:`merge_state`, all others stay.
+
+    Of several rows of one artifact in a batch the most advanced counts; their operations are united.
+    """
+    key = identity(F.col("source_id"), F.col("url"), F.col("local_path"), F.col("artifact_type"), F.col("name"))
+    keyed = batch.withColumn("_k", key)
+    done = keyed.select("_k", F.explode("completed_operations").alias("o")).distinct().groupBy("_k").agg(F.array_sort(F.collect_list("o")).alias("_all"))
+    best = first_per_key(keyed, ["_k"], [-_rank(F.col("status")), F.col("status")]).join(done, "_k", "left")
+    new = best.withColumn("completed_operations", F.coalesce("_all", "completed_operations")).drop("_k", "_all")
+    if prior is None:
+        return new
+    rest = prior.withColumn("_k", key).join(keyed.select("_k").distinct(), "_k", "left_anti").drop("_k")
+    return merge_state(new, prior).unionByName(rest)
+
+
 def entry_status(artifacts: DataFrame) -> DataFrame:
     """(source_id, status): the most advanced state of a source's artifacts, null if none has one."""
     best = artifacts.groupBy("source_id").agg(F.max(_rank(F.col("status"))).alias("r"))

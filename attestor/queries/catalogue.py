@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions.identity import doi, identity_keys, source_url, stable_id
 from attestor.functions.labels import relevance, topic_tokens
 from attestor.operators import catalog, clustering, evidence, triage
+from attestor.operators.clustering import shared_base
 from attestor.queries.base import query, table
-from attestor.sources import guards
+from attestor.sources import commit, guards
+from attestor.streaming import upsert
 
 
 @query(r"""
@@ -153,6 +157,33 @@ def catalog_state_merge(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("l_orderkey", "l_linenumber", "was", "status")
 
 
+@query("""
+WITH e AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 15 THEN 'planned' WHEN l_quantity < 40 THEN 'downloaded' ELSE 'inspected' END AS status FROM lineitem),
+r AS (SELECT *, CASE status WHEN 'planned' THEN 1 WHEN 'inspected' THEN 2 ELSE 3 END AS n FROM e)
+SELECT CAST(l_orderkey AS VARCHAR) AS source_id, CAST(l_linenumber AS VARCHAR) AS name, arg_max(status, n) AS status, array_to_string(list_sort(list(DISTINCT status)), ',') AS done, 3 AS batch, false AS replayed FROM r GROUP BY 1, 2
+""")
+def artifacts_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts (order lines) whose states arrive in four batches of a stream and are merged into one table; the third is sent again and changes nothing."""
+    quantity = F.col("l_quantity")
+    status = F.when(quantity < 15, "planned").when(quantity < 40, "downloaded").otherwise("inspected")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("source_id"), none("url"), none("local_path"), F.lit("line").alias("artifact_type"), F.col("l_linenumber").cast("string").alias("name"), status.alias("status"), F.array(status).alias("completed_operations"),
+        (F.col("l_partkey") % 4).alias("batch"),
+    )
+    folder = f"{shared_base(spark).rstrip('/')}/attestor-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    batch = lambda i: rows.where(F.col("batch") == i).drop("batch")
+    for i in range(4):
+        batch(i).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(rows.drop("batch").schema).parquet(f"{folder}/in")
+        upsert.upserts(arriving, f"{folder}/state", catalog.upsert_state, f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    again = upsert.apply(f"{folder}/state", batch(2), 2, catalog.upsert_state)
+    number = commit.current(spark, f"{folder}/state")["batch"]
+    return upsert.state(spark, f"{folder}/state").select("source_id", "name", "status", F.array_join(F.array_sort("completed_operations"), ",").alias("done"), F.lit(number).alias("batch"), F.lit(again).alias("replayed"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def semi_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Artifacts (documents) whose path is among the parsed ones (labelled documents)."""

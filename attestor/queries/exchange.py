@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from attestor.operators.clustering import shared_base
 from attestor.plans import manifest, registry
 from attestor.queries.base import query, table
-from attestor.sources import connectors, delimited, files, sinks
+from attestor.sources import commit, connectors, delimited, files, sinks
 
 
 def _answers(spark: SparkSession, d: str, provider: str, payload) -> DataFrame:
@@ -207,3 +208,20 @@ def changed_files(spark: SparkSession, d: str) -> DataFrame:
     before = now.where("doc_id % 3 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     done = manifest.mark_done(manifest.changed(before, spark.createDataFrame([], manifest.MANIFEST), "parse", "content"), "parse")
     return manifest.changed(now, done, "parse", "content").select("path")
+
+
+@query("""
+SELECT 'orders' AS name, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders UNION ALL SELECT 'parts', count(*), CAST(sum(p_partkey) AS BIGINT) FROM part UNION ALL SELECT 'after a failure', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders
+""")
+def bundle_published(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables published together and read back; a later bundle that fails between its tables leaves them as they were."""
+    folder = f"{_folder(spark)}/bundle"
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
+    commit.write_bundle({"orders": orders.limit(1), "parts": orders.limit(1)}, folder)
+    commit.write_bundle({"orders": orders, "parts": table(spark, d, "part").select(F.col("p_partkey").alias("key"))}, folder)
+    before = commit.read_bundle(spark, folder)
+    broken = orders.select(F.when(F.col("key") >= 0, F.raise_error(F.lit("broken"))).cast("long").alias("key"))
+    with contextlib.suppress(Exception):  # what fails here is the point
+        commit.write_bundle({"orders": orders.limit(2), "parts": broken}, folder)
+    rows = [before["orders"].withColumn("name", F.lit("orders")), before["parts"].withColumn("name", F.lit("parts")), commit.read_bundle(spark, folder)["orders"].withColumn("name", F.lit("after a failure"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("name").agg(F.count("*").alias("n"), F.sum("key").alias("total"))

@@ -80,3 +80,56 @@ def test_log_durations_and_states(spark, tmp_path):
     assert {r[4] for r in run(joined, spark, "pairs", "append", tmp_path)} == {5.0}
     islands = monitor.streaks(spark.createDataFrame([("k", i, v) for i, v in enumerate("aabbba")], "k string, i int, v string"), "k", "i", "v")
     assert sorted((r.first, r.v, r.length) for r in islands.collect()) == [(0, "a", 2), (2, "b", 3), (5, "a", 1)]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    from attestor.sources import commit
+    from attestor.streaming import upsert
+
+    path = str(tmp_path / "state")
+    both = lambda old, new: new if old is None else old.unionByName(new)
+    batch = lambda i: spark.createDataFrame([(i,)], "i int")
+    assert upsert.state(spark, path) is None and upsert.apply(path, batch(0), 0, both) and upsert.apply(path, batch(1), 1, both)
+    held = upsert.state(spark, path)
+    assert not upsert.apply(path, batch(1), 1, both) and not upsert.apply(path, batch(0), 0, both) and upsert.apply(path, batch(2), 2, both)
+    assert sorted(r.i for r in held.collect()) == [0, 1]  # a reader of the version before is not disturbed
+    assert sorted(r.i for r in upsert.state(spark, path).collect()) == [0, 1, 2] and commit.current(spark, path)["batch"] == 2
+    assert len([p for p in (tmp_path / "state").iterdir() if p.is_dir()]) == 2
+
+
+def test_a_failed_batch_is_done_again(spark, tmp_path):
+    from attestor.streaming import upsert
+
+    path, tries = str(tmp_path / "state"), []
+
+    def merge(old, new):
+        tries.append(1)
+        if len(tries) == 1:
+            raise RuntimeError("lost")
+        return new if old is None else old.unionByName(new)
+
+    rows = spark.range(5)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = lambda: upsert.upserts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), path, merge, str(tmp_path / "offsets")).trigger(availableNow=True).start()
+    for _ in range(2):
+        try:
+            stream().awaitTermination()
+        except Exception:
+            assert upsert.state(spark, path) is None
+    assert upsert.state(spark, path).count() == 5 and len(tries) == 2
+
+
+def test_a_bundle_is_published_whole_or_not(spark, tmp_path):
+    import pytest
+
+    from attestor.sources import commit
+
+    path = str(tmp_path / "bundle")
+    assert commit.read_bundle(spark, path) == {}
+    for i in range(3):
+        commit.write_bundle({"a": spark.range(i + 1), "b": spark.range(i)}, path)
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        commit.write_bundle({"a": spark.range(9), "b": broken}, path)
+    assert {n: t.count() for n, t in commit.read_bundle(spark, path).items()} == {"a": 3, "b": 2}
+    assert len([p for p in (tmp_path / "bundle").iterdir() if p.is_dir()]) == 2
