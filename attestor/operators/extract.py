@@ -5,12 +5,20 @@ These rules are the default of the extractor interface; a model can stand in for
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from attestor.operators.clustering import shared_base
 from attestor.functions.numbers import cell_number, header_unit, metric_from_header, number_text, numbers_with_units
 from attestor.functions.text import ascii_key, leading_title, sentences, shorten
 
@@ -171,3 +179,62 @@ def run_extractor(blocks: DataFrame, extractor: Callable[[pd.Series], list[list[
             yield pd.DataFrame(rows, columns=[*columns, *names, "error"])
 
     return blocks.select(*columns, "text").mapInPandas(work, full)
+
+
+#: Failures after which a call is made again; seconds before the second try, doubled for each further one, and at most.
+TRANSIENT = (TimeoutError, ConnectionError)
+FIRST_PAUSE, LONGEST_PAUSE = 0.5, 8.0
+
+
+def attempted(call: Callable[[str], list[dict]], text: str, retries: int, pause: float) -> tuple[list[dict], int, str | None]:
+    """(records, attempts, error) of one text: transient failures are tried again after growing pauses, others are not."""
+    for attempt in range(1, retries + 2):
+        try:
+            return call(text), attempt, None
+        except Exception as e:  # whatever an extractor raises belongs to its text
+            if attempt > retries or not isinstance(e, TRANSIENT):
+                return [], attempt, f"{type(e).__name__}: {e}"[:300]
+            time.sleep(min(pause * 2 ** (attempt - 1), LONGEST_PAUSE))
+    raise AssertionError("unreachable")
+
+
+def in_turn(call: Callable, items: Iterable, workers: int) -> Iterator:
+    """Results of ``call`` in the order of ``items``, with so many calls at a time and no more than twice as many ahead."""
+    with ThreadPoolExecutor(workers) as pool:
+        waiting: deque = deque()
+        for item in items:
+            waiting.append(pool.submit(call, item))
+            if len(waiting) >= 2 * workers:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def call_extractor(blocks: DataFrame, call: Callable[[str], list[dict]], columns: list[str], schema: str, workers: int = 4, retries: int = 2, pause: float = FIRST_PAUSE) -> tuple[DataFrame, DataFrame]:
+    """(records, dead letters) of an extractor that is called for each text, as one behind a service is.
+
+    Records have ``columns`` of their block, ``nth`` (their place in the answer), ``attempts`` and the fields of ``schema``, in the order of their blocks within a partition;
+    dead letters have ``columns``, ``attempts`` and ``error``. Each task makes ``workers`` calls at a time; together no more run than there are tasks times workers, so
+    callers bound the load by the number of partitions. Null texts are not sent. Both results come from one run of the calls, written to the shared folder, so neither repeats them.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+    given = blocks.where("text is not null").select(*columns, "text")
+    full = T.StructType([*given.select(*columns).schema, *T._parse_datatype_string(f"nth int, attempts int, {schema}, error string").fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_schema(full)
+        for batch in batches:
+            answers = in_turn(lambda text: attempted(call, text, retries, pause), batch.column("text").to_pylist(), workers)
+            out = []
+            for kept, (records, attempts, error) in zip(batch.select(columns).to_pylist(), answers, strict=True):
+                out += [{**kept, **{n: r.get(n) for n in names}, "nth": i, "attempts": attempts} for i, r in enumerate(records)]
+                if error:
+                    out.append({**kept, "attempts": attempts, "error": error})
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    path = f"{shared_base(blocks.sparkSession).rstrip('/')}/attestor-{uuid.uuid4().hex}"
+    given.mapInArrow(work, full).write.parquet(path)
+    target = blocks.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(blocks.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(target)
+    made = blocks.sparkSession.read.schema(full).parquet(path)
+    return made.where("error is null").drop("error"), made.where("error is not null").select(*columns, "attempts", "error")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -361,3 +363,32 @@ def anchors_of_documents(spark: SparkSession, d: str) -> DataFrame:
     met = anchors.where(enough).join(found, ["source_file", "start_anchor"]).join(pages.withColumnRenamed("page", "p"), ["source_file"]).where("p = at.page")
     exact = F.instr(F.lower("text"), F.lower("start_anchor")) > 0
     return met.select("doc_id", "k", F.col("at.page").alias("page"), F.when(exact, F.col("at.offset")).alias("offset"))
+
+
+def _faulty() -> Callable[[str], list[dict]]:
+    """An extractor of two facts a text; every seventh answers at the second try, every thirteenth never, texts of over 5000 characters are refused."""
+    tried: set[str] = set()
+
+    def call(text: str) -> list[dict]:
+        key, body = text.split(":", 1)
+        if len(body) > 5000:
+            raise ValueError("too long")
+        if int(key) % 13 == 0 or (int(key) % 7 == 0 and key not in tried):
+            tried.add(key)
+            raise TimeoutError("no answer")
+        return [{"fact": "characters", "value": float(len(body))}, {"fact": "blanks", "value": float(body.count(" "))}]
+
+    return call
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN length(coalesce(text, '')) > 5000 THEN 'ValueError: too long' WHEN doc_id % 13 = 0 THEN 'TimeoutError: no answer' END AS error FROM documents)
+SELECT doc_id, CAST(nth AS INTEGER) AS nth, CAST(CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts, ['characters', 'blanks'][nth + 1] AS fact, CAST(CASE nth WHEN 0 THEN length(t) ELSE length(t) - length(replace(t, ' ', '')) END AS DOUBLE) AS value, NULL AS error
+FROM d, (SELECT unnest([0, 1]) AS nth) WHERE error IS NULL
+UNION ALL SELECT doc_id, NULL, CASE WHEN error LIKE 'V%' THEN 1 ELSE 3 END, NULL, NULL, error FROM d WHERE error IS NOT NULL
+""")
+def extractor_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of all documents by an extractor that fails now and then, and its dead letters."""
+    blocks = table(spark, d, "documents").select("doc_id", F.concat_ws(":", "doc_id", F.coalesce("text", F.lit(""))).alias("text"))
+    found, dead = extract.call_extractor(blocks, _faulty(), ["doc_id"], "fact string, value double", pause=0.001)
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(dead, allowMissingColumns=True).select("doc_id", "nth", "attempts", "fact", "value", "error")
