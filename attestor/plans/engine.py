@@ -120,7 +120,7 @@ def run(blocks: DataFrame, tables: DataFrame, opened: DataFrame, plan: DataFrame
     marked = _once(records.mark_strict(records.normalise(raw)))
     checked = quality.check_strict(records.deduplicate(marked.where("strict").drop("strict")))
     curated = _once(records.curate(opened))
-    located = _once(quality.provenance(checked, quality.page_texts(blocks, tables.where("page is not null").withColumns({"caption": F.lit(None).cast("string"), "ordinal": F.lit(0).cast("long")}))))
+    located = _once(quality.provenance(checked, quality.page_parts(blocks, tables.where("page is not null").withColumns({"caption": F.lit(None).cast("string"), "ordinal": F.lit(0).cast("long")}))))
     issues = quality.issue_rows(located).unionByName(quality.check_open(curated, plan)).unionByName(quality.provenance_issues(located))
     found = quality.metric_conflicts(located)
 

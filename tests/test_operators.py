@@ -353,3 +353,57 @@ def test_coverage_of_events_and_measurements(spark):
     none = lambda schema: spark.createDataFrame([], schema)
     gaps = coverage.gaps(items, none("evidence string"), none("evidence string, covered boolean, unavailable boolean"), none("artifact_id string"))
     assert gaps.count() == 0 and coverage.stop_decision(gaps).first().decision == "allow_stop"
+
+
+def test_provenance_passes_over_parts_of_pages(spark, monkeypatch):
+    import random
+
+    from attestor.operators import quality
+
+    rnd = random.Random(3)
+    words = ["alpha", "beta-2", "3.5", "gamma", "delta", "7", "mu", "钙钛矿"]
+    parts = [(rnd.choice(["in/a.pdf", "b.pdf", "x/c.pdf"]), rnd.randint(1, 3), i, " ".join(rnd.choices(words, k=rnd.randint(0, 12)))) for i in range(60)]
+    parts += [("b.pdf", 1, 1000 + i, "alpha") for i in range(3000)]  # a page with most of all parts
+    blocks = spark.createDataFrame(parts, "source_file string, page int, ordinal long, text string")
+    asked = [(i, rnd.choice(["in/a.pdf", "B.pdf", "c.pdf", "none.pdf"]), rnd.choice([1, 2, 3, None]), " ".join(rnd.choices(words, k=rnd.randint(1, 9)))) for i in range(300)]
+    rows = spark.createDataFrame(asked, "record_id int, source_file string, page int, evidence_text string").selectExpr("*", "'pdf_text' as source_type", "0.9D as confidence", "array('w') as warnings")
+    whole = {(r.file, r.page): r.text for r in quality.page_texts(blocks).collect()} | {(r.base, r.page): r.text for r in quality.page_texts(blocks).collect()}
+    text = spark.createDataFrame([(i, e, whole.get((f.lower(), p)) or whole.get((f.lower().rsplit("/", 1)[-1], p))) for i, f, p, e in asked], "record_id int, e string, t string")
+    want = {r.record_id: r.on for r in text.select("record_id", quality.on_page(F.col("e"), F.col("t")).alias("on")).collect()}
+    for questions in (20_000, 7):
+        monkeypatch.setattr(quality, "QUESTIONS", questions)
+        found = {r.record_id: r.located for r in quality.provenance(rows, quality.page_parts(blocks)).collect()}
+        assert found == want and 20 < sum(found.values()) < 280
+
+
+def test_calls_stay_in_order_and_bounded():
+    import threading
+    import time
+
+    now, most, lock = 0, 0, threading.Lock()
+
+    def call(i):
+        nonlocal now, most
+        with lock:
+            now += 1
+            most = max(most, now)
+        time.sleep(0.001 * (i % 5))
+        with lock:
+            now -= 1
+        return i
+
+    drawn = []
+    items = (drawn.append(i) or i for i in range(200))
+    out = []
+    for i in extract.in_turn(call, items, 3):
+        out.append(i)
+        assert len(drawn) - len(out) <= 6
+    assert out == list(range(200)) and most <= 3
+    slept = []
+    assert extract.attempted(lambda t: [{"n": 1}], "x", 2, 0.0) == ([{"n": 1}], 1, None)
+
+    def late(text):
+        slept.append(text)
+        raise TimeoutError("no")
+
+    assert extract.attempted(late, "x", 2, 0.0) == ([], 3, "TimeoutError: no") and len(slept) == 3
