@@ -3,7 +3,7 @@
 The tables hold no research records, so each query says what stands for what.
 """
 
-from attestor.queries import audit, browsing, catalogue, coverage, exchange, extensions, extraction, governance, history, layout, planning
+from attestor.queries import audit, browsing, catalogue, coverage, exchange, extensions, extraction, governance, history, layout, planning, surface
 from attestor.queries.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "audit", "browsing", "catalogue", "coverage", "exchange", "extensions", "extraction", "governance", "history", "layout", "planning"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audit", "browsing", "catalogue", "coverage", "exchange", "extensions", "extraction", "governance", "history", "layout", "planning", "surface"]

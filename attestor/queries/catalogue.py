@@ -184,6 +184,31 @@ def artifacts_upserted(spark: SparkSession, d: str) -> DataFrame:
     return upsert.state(spark, f"{folder}/state").select("source_id", "name", "status", F.array_join(F.array_sort("completed_operations"), ",").alias("done"), F.lit(number).alias("batch"), F.lit(again).alias("replayed"))
 
 
+@query("""
+SELECT doc_id, source AS provider FROM documents WHERE n_chars > 1000 AND lang = 'en' AND source = (SELECT min(source) FROM documents WHERE source <> '')
+UNION ALL SELECT doc_id, 'any' FROM documents WHERE n_chars > 1000 AND lang = 'en'
+""")
+def ingestible_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Long documents in English are chosen for download: those of the first provider (source), and those of any."""
+    docs = table(spark, d, "documents")
+    first = docs.where("source <> ''").agg(F.min("source")).first()[0]
+    decisions = docs.select("doc_id", F.col("source").alias("provider"), F.when(F.col("n_chars") > 1000, "download_pdf").otherwise("read_metadata").alias("action"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("ingest"))
+    named = triage.ingestible(decisions, first).select("doc_id", "provider")
+    return named.unionByName(triage.ingestible(decisions).select("doc_id", F.lit("any").alias("provider")))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT source AS source_id FROM documents WHERE source IS NOT NULL UNION SELECT r_name FROM region),
+i AS (SELECT source AS source_id, count(*) AS insights, array_to_string(list_sort(list(DISTINCT lang) FILTER (lang IS NOT NULL)), ',') AS types FROM documents GROUP BY 1)
+SELECT source_id, coalesce(insights, 0) AS insights, coalesce(types, '') AS types FROM s LEFT JOIN i USING (source_id)
+""")
+def insights_of_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Insights (documents) of each source and their types (languages); regions are sources without any."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("source_id"), F.col("lang").alias("insight_type"))
+    sources = docs.where("source_id is not null").select("source_id").unionByName(table(spark, d, "region").select(F.col("r_name").alias("source_id"))).distinct()
+    return catalog.insight_counts(sources, docs).select("source_id", "insights", F.array_join("insight_types", ",").alias("types"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def semi_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Artifacts (documents) whose path is among the parsed ones (labelled documents)."""
