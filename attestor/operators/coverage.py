@@ -30,6 +30,8 @@ ACTIONS = {
     "code_repository": ("download_artifact", "read_file_manifest", "read_readme"),
     "dataset": ("download_artifact", "read_file_manifest", "parse_csv"),
 }
+# Fixed value: the id of the gap for artifacts that were not processed.
+ARTIFACT_GAP = "unprocessed_relevant_artifacts"
 
 
 def weight(priority: Column) -> Column:
@@ -182,7 +184,7 @@ def gaps(items: DataFrame, wanted: DataFrame, availability: DataFrame, left: Dat
         F.when(F.coalesce("unavailable", F.lit(False)), "unavailable").otherwise("missing").alias("status"), act.alias("actions"),
     )
     c = left.agg(F.count("*").alias("n")).where("n > 0").select(
-        F.lit("unprocessed_relevant_artifacts").alias("gap_id"), F.lit("artifacts").alias("kind"), F.lit("High-relevance artifacts").alias("name"), F.lit("high").alias("priority"),
+        F.lit(ARTIFACT_GAP).alias("gap_id"), F.lit("artifacts").alias("kind"), F.lit("High-relevance artifacts").alias("name"), F.lit("high").alias("priority"),
         F.lit("missing").alias("status"), F.array(F.lit("download_artifact")).alias("actions"),
     )
     return a.unionByName(b).unionByName(c)

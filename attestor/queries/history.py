@@ -2,27 +2,56 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.operators.clustering import shared_base
 from attestor.queries.base import query, table
-from attestor.streaming import monitor, windows
+from attestor.streaming import monitor, steps, windows
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
 
 
-@query("""
+_STEPS = """
 WITH m AS (SELECT user_id, ts, event_type, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM events WHERE event_type IN ('view', 'purchase'))
 SELECT user_id, CAST(nth AS BIGINT) AS nth, min(ts) FILTER (event_type = 'view') AS started, min(ts) FILTER (event_type = 'purchase') AS ended,
   (epoch_us(min(ts) FILTER (event_type = 'purchase')) - epoch_us(min(ts) FILTER (event_type = 'view'))) / 1000000.0 AS seconds FROM m WHERE nth > 0 GROUP BY 1, 2
-""")
+"""
+
+
+@query(_STEPS)
 def step_durations(spark: SparkSession, d: str) -> DataFrame:
     """From each start (view) of a user to the first end (purchase) before the next start."""
     return monitor.step_durations(_events(spark, d), ["user_id"], F.col("event_type") == "view", F.col("event_type") == "purchase")
 
 
+@query(_STEPS)
+def steps_on_a_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same on a stream that brings every other event first, with the open steps as keyed state and timers that say when a step is final."""
+    events = _events(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    folder = f"{shared_base(spark).rstrip('/')}/attestor-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    # the last event is far ahead, so that all others are passed
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 30000 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit("view").alias("event_type"))
+    before = spark.conf.get(steps.STORE[0])
+    spark.conf.set(*steps.STORE)
+    try:
+        for part in (events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0 or event_id is null"), end):
+            part.write.mode("append").parquet(f"{folder}/in")
+            arriving = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+            found = steps.durations(arriving, ["user_id"], F.col("event_type") == "view", F.col("event_type") == "purchase", most="10000 days", delay="10000 days")
+            found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(steps.STORE[0], before)
+    kind = _events(spark, d).schema["ts"].dataType
+    return spark.read.parquet(f"{folder}/out").withColumns({c: F.col(c).cast(kind) for c in ("started", "ended")})
+
+
 @query("""
 WITH c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 i AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS isl FROM c)

@@ -13,7 +13,7 @@ def test_table_functions(spark):
     found = {tuple(r) for r in spark.sql("SELECT * FROM unpivot_metrics(TABLE(wide), 'id, name')").collect()}
     assert found == {(1, "a", "n", 2.0), (1, "a", "x", 0.5), (2, "b", "x", 1.5)}
     spark.range(7).selectExpr("id", "id % 2 as k").createOrReplaceTempView("rows")
-    found = {tuple(r) for r in spark.sql("SELECT * FROM row_batches(TABLE(rows) PARTITION BY k ORDER BY id, 'k, id', 2)").collect()}
+    found = {tuple(r) for r in spark.sql("SELECT * FROM row_batches(TABLE(rows) PARTITION BY k ORDER BY (id), 'k, id', 2)").collect()}
     assert found == {(0, 0, 1, 1), (0, 2, 1, 2), (0, 4, 2, 1), (0, 6, 2, 2), (1, 1, 1, 1), (1, 3, 1, 2), (1, 5, 2, 1)}
     spark.createDataFrame([(1, "abcde"), (2, ""), (3, None)], "k int, t string").createOrReplaceTempView("texts")
     assert {tuple(r) for r in spark.sql("SELECT * FROM cut_texts(TABLE(texts), 'k', 't', 2)").collect()} == {(1, 0, "ab"), (1, 1, "cd"), (1, 2, "e")}

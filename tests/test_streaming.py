@@ -133,3 +133,27 @@ def test_a_bundle_is_published_whole_or_not(spark, tmp_path):
         commit.write_bundle({"a": spark.range(9), "b": broken}, path)
     assert {n: t.count() for n, t in commit.read_bundle(spark, path).items()} == {"a": 3, "b": 2}
     assert len([p for p in (tmp_path / "bundle").iterdir() if p.is_dir()]) == 2
+
+
+def test_steps_with_late_rows_and_expiry(spark, tmp_path):
+    from attestor.streaming import steps
+
+    before = spark.conf.get(steps.STORE[0])
+    spark.conf.set(*steps.STORE)
+    schema = "k string, ts timestamp, kind string"
+    batches = [
+        [("a", at(0), "start"), ("b", at(5), "start"), ("a", at(20), "end")],
+        [("a", at(10), "start"), ("c", at(30), "start"), ("c", at(200), "end"), ("x", at(500), "start")],  # the second start of a comes late but in time
+        [("b", at(6), "end"), ("x", at(505), "end"), ("y", at(2000), "start")],  # the end of b is behind the watermark
+        [("z", at(9000), "start")],
+    ]
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            found = steps.durations(stream, ["k"], F.col("kind") == "start", F.col("kind") == "end", most="100 seconds", delay="60 seconds")
+            found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(steps.STORE[0], before)
+    got = {(r.k, r.nth, r.seconds) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 1, None), ("a", 2, 10.0), ("b", 1, None), ("c", 1, None), ("x", 1, 5.0), ("y", 1, None)}
