@@ -187,11 +187,25 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+#: Endings that tell a spelled address from prose, and words that no domain begins with there.
+ENDINGS = frozenset(
+    "com org net edu gov mil int info biz name pro dev app io ai co tv xyz online site shop tech blog cloud email me cc ws fm ly sh eu uk us ca au nz ie de at ch fr be nl lu es pt it mx ar br cl pe "
+    "se no dk fi is pl cz sk hu ro bg gr tr ru ua jp cn kr tw hk sg in za ke ng eg il ae example test".split()
+)
+NO_DOMAIN = frozenset("the a an this that these those my your his her our their its each every one another any some der die das ein eine le la les un une el los las una".split())
+
+
+def _prose(domain: str) -> bool:
+    """Whether what follows a bare "at" reads like prose: it begins with an article or the like, or has no known ending."""
+    labels = domain.lower().split(".")
+    return labels[0] in NO_DOMAIN or labels[-1].rstrip("_%+-") not in ENDINGS
+
+
 def _bare(text: str) -> list[tuple[int, int, str]]:
     """Edits of addresses with bare at and dot.
 
     "dot" always counts. Other dots are words or ends of sentences too: in the local part they count if the domain has
-    the same one, in the domain if the at sign is spelled, "point" not by "at", or if a plain one has no plain dot before.
+    the same one, in the domain if the at sign is spelled, "point" not by "at", or if a plain one has no plain dot before. After a bare "at" the domain must not read like prose.
     """
     edits = []
     for m in BARE_EMAIL.finditer(text):
@@ -211,6 +225,12 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
             before = [*before, (d.start(), d.end(), d[1].lower())] if d[1].lower() in names else []
         if not after and "." not in text[last:stop] or sign in ("at", "ät") and {name for *_, name in before + after} <= {"."}:
             continue
+        if sign in ("at", "ät"):
+            domain, done = "", last
+            for a, b, _ in after:
+                domain, done = domain + text[done:a] + ".", b
+            if _prose((domain + text[done:stop]).strip()):
+                continue
         sign_edit = [(m.start("at"), last, "@")] if m["at"] != "@" else []
         edits += [(a, b, ".") for a, b, _ in before] + sign_edit + [(a, b, ".") for a, b, _ in after]
     return edits

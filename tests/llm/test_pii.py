@@ -161,3 +161,19 @@ def test_runs_of_at_and_dot_take_linear_time():
     for text in ["a dot " * 50000 + "at ", "a at " * 50000, "a_dot_" * 50000 + "at_", "a_at_" * 50000 + "b_dot_c", "a . " * 50000 + "@ b", "x@y dot " * 40000, "a dot b@" * 40000, "a at b dot " * 40000]:
         pii.find(text)
     assert time.time() - began < 20
+
+
+CLEAN = [
+    "Look at the dot product of both.", "We looked at the dot matrix printer.", "Stare at a dot in the middle.", "We met at noon, dot the i and go.", "They arrived at this dot on the map.",
+    "It points at the dot com bubble.", "Schau auf den Punkt at der dot Stelle.", "We sat at dinner dot by dot.", "Aim at each dot it shows.",
+]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_prose_with_at_and_dot_is_left_alone(text):
+    assert pii.find(text)[1] == [] and pii.mask_text(text) == text
+
+
+@pytest.mark.parametrize("text", ["write to john at example dot com", "john dot doe at mail dot example dot org", "JOHN AT EXAMPLE DOT DE", "j.doe at example dot co dot uk now"])
+def test_spelled_addresses_are_found(text):
+    assert [s[0] for s in pii.find(text)[1]] == ["email"]
