@@ -138,6 +138,24 @@ def curation_reasons(spark: SparkSession, d: str) -> DataFrame:
     return records.curate(_open_events(spark, d)).select("record_id", F.array_join("reasons", " | ").alias("reasons"))
 
 
+@query("""
+WITH r AS (SELECT doc_id, n_chars, coalesce(lang = 'fr', false) AS warned, doc_id % 3 = 0 AS deployment, lower(CASE WHEN n_chars % 2 = 0 THEN 'Parameters of ' ELSE 'Size in MB of ' END || coalesce(left(text, 20), '')) AS evidence FROM documents),
+t AS (SELECT *, CASE WHEN warned THEN 'framework,model_size_mb' WHEN deployment AND contains(evidence, 'parameters') AND NOT contains(evidence, 'mb') THEN 'model_size_mb' ELSE '' END AS taken FROM r)
+SELECT doc_id, taken, CASE WHEN taken = '' THEN CAST(n_chars AS VARCHAR) ELSE 'null' END AS size, CASE WHEN warned THEN 'null' ELSE '"x"' END AS framework FROM t
+""")
+def curation_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Values that curation takes out of records of documents: all where a warning says so (French ones), a model size that was read off a parameter count elsewhere."""
+    evidence = F.concat(F.when(F.col("n_chars") % 2 == 0, "Parameters of ").otherwise("Size in MB of "), F.coalesce(F.left("text", F.lit(20)), F.lit("")))
+    warned = F.coalesce(F.col("lang") == "fr", F.lit(False))
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("record_id"), F.when(F.col("doc_id") % 3 == 0, "deployment_efficiency").otherwise("results").alias("table_name"),
+        F.create_map(F.lit("model_size_mb"), F.col("n_chars").cast("string"), F.lit("framework"), F.lit('"x"'), F.lit("empty"), F.lit("null")).alias("fields"), evidence.alias("evidence_text"),
+        F.when(warned, F.array(F.lit("This value SHOULD be null."))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.lit(0.9).alias("confidence"), F.lit("model").alias("origin"), F.lit("csv").alias("source_type"), F.lit(1).alias("page"),
+    )
+    made = records.curate(rows)
+    return made.select("doc_id", F.array_join(F.array_sort(F.map_keys("repaired")), ",").alias("taken"), F.col("fields")["model_size_mb"].alias("size"), F.col("fields")["framework"].alias("framework"))
+
+
 def _metric_rows(spark: SparkSession, d: str) -> DataFrame:
     """Strict records made of parts: name by size, the type as unit, the price as value, none for the large ones."""
     names = ["Accuracy", " pce", "RMSE", "user study", "Inference Time", "colour", "number of  parameters", "f1-score", "yield", "Model Size"]
