@@ -222,8 +222,8 @@ def resource_cap(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_partkey").cast("string").alias("source_id"), F.col("p_partkey").alias("ordinal"), F.lit(0.5).alias("confidence"), F.when(kind == 1, "github").otherwise("arxiv").alias("provider"), F.lit("paper").alias("source_type"), F.lit("high").alias("priority"),
         (F.col("p_retailprice") / 3000.0).alias("score"), F.when(kind == 0, "download_pdf").when(kind == 1, "read_readme").otherwise("read_metadata").alias("action"), (kind == 0).alias("ingest"), F.lit("low").alias("risk"),
     )
-    # equal scores: downloads go before reads, so scores are made distinct by the key
-    rows = rows.withColumn("score", F.col("score") - F.col("ordinal") * 1e-9)
+    # equal scores: downloads would go before reads, so the key is a part of the score
+    rows = rows.withColumn("score", F.struct("score", (-F.col("ordinal")).alias("first")))
     found = triage.cap_resources(rows, 40)
     return found.select("source_id", "action", "ingest", "deferred")
 
