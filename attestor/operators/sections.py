@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import ahocorasick
 import pyarrow as pa
@@ -159,9 +160,9 @@ def _squashed(text: str) -> str:
     return "".join(filter(str.isalnum, text.lower()))
 
 
-def _variants(anchor: str) -> list[tuple[str, str]]:
-    """(in lower case, squashed) of an anchor, and of the numbered heading that it ends in."""
-    found = TRAILING_HEADING.search(anchor)
+def _variants(anchor: str, endings: bool) -> list[tuple[str, str]]:
+    """(in lower case, squashed) of an anchor, and with ``endings`` of the numbered heading that it ends in."""
+    found = TRAILING_HEADING.search(anchor) if endings else None
     forms = dict.fromkeys([anchor.strip(), *([found[1].strip()] if found else [])])
     return [(f.lower(), _squashed(f)) for f in forms if f]
 
@@ -185,7 +186,7 @@ def offsets(text: str, anchors: dict[str, list[tuple[str, str]]], automaton: aho
                 break
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchored(batches: Iterator[pa.RecordBatch], endings: bool) -> Iterator[pa.RecordBatch]:
     """Rows (source_file, page, text, anchors), those of a file together, as (source_file, page, start_anchor, offset)."""
     held, anchors, automaton = None, {}, None
     for batch in batches:
@@ -194,7 +195,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             file, page, text = (batch.column(c)[i].as_py() for c in ("source_file", "page", "text"))
             wanted = batch.column("anchors")[i]
             if automaton is None or wanted != held:
-                held, anchors, automaton = wanted, {a: _variants(a) for a in wanted.as_py()}, ahocorasick.Automaton()
+                held, anchors, automaton = wanted, {a: _variants(a, endings) for a in wanted.as_py()}, ahocorasick.Automaton()
                 for small in {s for forms in anchors.values() for _, s in forms if s}:
                     automaton.add_word(small, small)
                 automaton.make_automaton()
@@ -203,18 +204,19 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=["source_file", "page", "start_anchor", "offset"])
 
 
-def find_anchors(anchors: DataFrame, pages: DataFrame) -> DataFrame:
+def find_anchors(anchors: DataFrame, pages: DataFrame, endings: bool = True) -> DataFrame:
     """(source_file, page, start_anchor, offset): every page that has an anchor of its file, and where it is there first.
 
     ``anchors`` has (source_file, start_anchor), ``pages`` (source_file, page, text). A page is read once, by an automaton of all anchors of its file; only a file with
-    more than ``ANCHORS`` of them has several. Null and blank anchors, and null texts, give nothing.
+    more than ``ANCHORS`` of them has several. Null and blank anchors, and null texts, give nothing. A page that has only the numbered heading in which an anchor ends
+    counts as having the anchor, unless ``endings`` is false.
     """
     wanted = anchors.where("trim(start_anchor) <> ''").select("source_file", "start_anchor").distinct()
     many = wanted.groupBy("source_file").agg(F.ceil(F.count("*") / ANCHORS).cast("int").alias("n"))
     dealt = wanted.join(many, "source_file").groupBy("source_file", F.pmod(F.xxhash64("start_anchor"), F.col("n")).alias("bucket")).agg(F.array_sort(F.collect_list("start_anchor")).alias("anchors"))
     texts = pages.where("text <> ''").select(F.col("source_file").cast("string").alias("source_file"), F.col("page").cast("long").alias("page"), "text")
     met = texts.join(dealt, "source_file").select("source_file", "page", "text", "anchors").sortWithinPartitions("source_file", "anchors")
-    return met.mapInArrow(_anchored, "source_file string, page long, start_anchor string, offset int")
+    return met.mapInArrow(partial(_anchored, endings=endings), "source_file string, page long, start_anchor string, offset int")
 
 
 def locate(plan: DataFrame, pages: DataFrame) -> DataFrame:
