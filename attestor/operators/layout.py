@@ -48,13 +48,14 @@ def _units(rows: DataFrame) -> DataFrame:
 def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int, name: str) -> DataFrame:
     """Number the islands of each key's intervals, from 1: a new one begins where the next start is more than ``gap`` beyond all ends before.
 
-    Intervals are first reduced to the furthest end of each start, with partial aggregation; only these are put in order.
+    Intervals are first reduced to the furthest end of each start, with partial aggregation; only these are put in order. They are joined by sorting, as they are as
+    many as the pages: what is small when compressed may be large in the driver.
     """
     profile = rows.groupBy(*keys, start).agg(F.max(end).alias("_end"))
     order = Window.partitionBy(*keys).orderBy(start)
     reach = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = profile.withColumn("_new", F.when(F.col(start) <= reach + gap, 0).otherwise(1))
-    return rows.join(fresh.select(*keys, start, F.sum("_new").over(order).cast("int").alias(name)), [*keys, start])
+    return rows.join(fresh.select(*keys, start, F.sum("_new").over(order).cast("int").alias(name)).hint("merge"), [*keys, start])
 
 
 def _joined(order: list[str]) -> Column:
@@ -109,7 +110,7 @@ def text_tables(words: DataFrame) -> DataFrame:
     rows = rows.withColumn("region", F.sum("_new").over(order).cast("int")).where("n > 1")
     within = Window.partitionBy(*PAGE, "region").orderBy("band")
     rows = rows.withColumn("row", F.row_number().over(within)).select(*PAGE, "band", "region", "row")
-    held = islands(cells.join(rows, [*PAGE, "band"]), [*PAGE, "region"], "x0", "x1", round(COLUMN_GAP * UNIT), "col")
+    held = islands(cells.join(rows.hint("merge"), [*PAGE, "band"]), [*PAGE, "region"], "x0", "x1", round(COLUMN_GAP * UNIT), "col")
     return _grids(held, "text")
 
 
@@ -117,27 +118,44 @@ def _covered(low: Column, high: Column, step: int) -> Column:
     return F.sequence(F.floor(low / step), F.floor(high / step))
 
 
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of places as sorted runs that do not touch."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    fresh = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1] + 1]))
+    return start[fresh], reach[np.concatenate([fresh[1:] - 1, [len(start) - 1]])]
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, first[i] + k) for each k below count[i]."""
+    i = np.repeat(np.arange(len(count)), count)
+    return i, first[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+
+
+#: Rows of cells that are spread out at once.
+SPREAD = 1 << 21
+
+
 def _flooded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells (source_file, page, cx, cy), those of a page in a row, with ``root``: the least place in order of a cell that neighbours lead to.
+    """(source_file, page, cx, cy, root) of rectangles of cells (cx, cy, cx1, cy1), those of a page in a row: ``root`` is the same for first cells that neighbours connect.
 
-    Whole pages are worked on; the last page of a batch waits for the next one.
+    Whole pages are worked on; the last page of a batch waits for the next one. Rectangles become runs of cells, a row of the grid each, which are merged as they come.
     """
 
     def roots(cells: pa.Table) -> pa.RecordBatch:
-        file, page, x, y = (cells.column(c).to_numpy() for c in ("source_file", "page", "cx", "cy"))
+        file, page, x0, y0, x1, y1 = (cells.column(c).to_numpy() for c in ("source_file", "page", "cx", "cy", "cx1", "cy1"))
         fresh = np.concatenate([[True], (file[1:] != file[:-1]) | (page[1:] != page[:-1])])
         sheet = np.cumsum(fresh) - 1
-        x, y = x - x.min() + 1, y - y.min() + 1
-        wide, high = int(x.max()) + 2, int(y.max()) + 2
-        code = (sheet * high + y) * wide + x
-        order = np.argsort(code)
-        code, root = code[order], np.arange(len(code))
-        near = []
-        for step in (1, wide - 1, wide, wide + 1):
-            at = np.minimum(np.searchsorted(code, code + step), len(code) - 1)
-            met = np.flatnonzero(code[at] == code + step)
-            near.append((met, at[met]))
-        a, b = (np.concatenate(s) for s in zip(*near, strict=True))
+        x0, x1, y0, y1 = x0 - x0.min() + 1, x1 - x0.min() + 1, y0 - y0.min(), y1 - y0.min()
+        wide, high = int(x1.max()) + 2, int(y1.max()) + 2
+        line, tall = sheet * high + y0, y1 - y0 + 1
+        start = end = np.empty(0, "i8")
+        for part in np.split(np.arange(len(tall)), np.flatnonzero(np.diff(np.cumsum(tall) // SPREAD)) + 1):
+            of, row = _spread(line[part], tall[part])
+            start, end = _merged(np.concatenate([start, row * wide + x0[part][of]]), np.concatenate([end, row * wide + x1[part][of]]))
+        low, top = np.searchsorted(end, start + wide - 1), np.searchsorted(start, end + wide + 1, "right")
+        a, b = _spread(low, top - low)
+        root = np.arange(len(start))
         while True:
             least = np.minimum(root[a], root[b])
             new = root.copy()
@@ -147,9 +165,12 @@ def _flooded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (new == root).all():
                 break
             root = new
-        out = np.empty(len(code), "i8")
-        out[order] = root - np.flatnonzero(np.concatenate([[True], np.diff(sheet[order]) != 0]))[sheet[order]]
-        return pa.RecordBatch.from_arrays([*(cells.column(c).combine_chunks() for c in cells.schema.names), pa.array(out)], names=[*cells.schema.names, "root"])
+        once = np.unique(line * wide + x0, return_index=True)[1]
+        run = np.searchsorted(start, (line * wide + x0)[once], "right") - 1
+        of = sheet[once]
+        found = root[run] - np.searchsorted(start, of * high * wide)
+        kept = cells.select(["source_file", "page", "cx", "cy"]).take(pa.array(once))
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in kept.columns), pa.array(found)], names=[*kept.schema.names, "root"])
 
     held: list[pa.Table] = []
     for batch in batches:
@@ -171,15 +192,16 @@ def _flooded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def together(boxes: DataFrame, reach: float) -> DataFrame:
     """Boxes (in tenths) with ``root``: the same number within a page for boxes that are at most ``reach`` points apart on both axes, directly or over others.
 
-    A page's boxes become the cells that they cover of a grid as wide as ``reach``; cells that touch belong together. Boxes more than twice that apart on an axis
-    never meet. The distinct cells of a page are bounded by its extent, however many boxes it has.
+    A page's boxes cover cells of a grid as wide as ``reach``; cells that touch belong together. Boxes more than twice that apart on an axis never meet. Boxes go as the
+    rectangles of cells that they cover, equal ones once; they are spread into rows of cells where a page is worked on, which its extent bounds.
     """
     step = max(1, round(reach * UNIT))
-    down = lambda df: df.withColumn("cy", F.explode(_covered(F.col("top"), F.col("bottom"), step)))
-    cells = down(boxes).withColumn("cx", F.explode(_covered(F.col("x0"), F.col("x1"), step))).select(F.col("source_file").cast("string").alias("source_file"), F.col("page").cast("long").alias("page"), "cx", "cy").distinct()
-    flooded = cells.repartition("source_file", "page").sortWithinPartitions("source_file", "page").mapInArrow(_flooded, "source_file string, page long, cx long, cy long, root long")
-    at = boxes.withColumns({"cx": F.floor(F.col("x0") / step), "cy": F.floor(F.col("top") / step)})
-    return at.join(flooded, [*PAGE, "cx", "cy"]).drop("cx", "cy")
+    cell = lambda c: F.floor(F.col(c) / step)
+    at = boxes.withColumns({"cx": cell("x0"), "cy": cell("top")})
+    shapes = at.select(F.col("source_file").cast("string").alias("source_file"), F.col("page").cast("long").alias("page"), "cx", "cy", cell("x1").alias("cx1"), cell("bottom").alias("cy1"))
+    shapes = shapes.groupBy(*PAGE, "cx", "cy", "cx1").agg(F.max("cy1").alias("cy1"))
+    flooded = shapes.repartition("source_file", "page").sortWithinPartitions("source_file", "page").mapInArrow(_flooded, "source_file string, page long, cx long, cy long, root long")
+    return at.join(flooded.hint("merge"), [*PAGE, "cx", "cy"]).drop("cx", "cy")
 
 
 def ruled_tables(words: DataFrame, rules: DataFrame) -> DataFrame:
@@ -198,14 +220,14 @@ def ruled_tables(words: DataFrame, rules: DataFrame) -> DataFrame:
         return placed.groupBy(*PAGE, "root").agg(F.array_sort(F.collect_list("at")).alias(name))
 
     spans = joined.groupBy(*PAGE, "root").agg(*_around())
-    tables = spans.join(edges(flat, "top", "ys"), [*PAGE, "root"]).join(edges(upright, "x0", "xs"), [*PAGE, "root"]).where("size(ys) > 2 and size(xs) > 2")
+    tables = spans.join(edges(flat, "top", "ys").hint("merge"), [*PAGE, "root"]).join(edges(upright, "x0", "xs").hint("merge"), [*PAGE, "root"]).where("size(ys) > 2 and size(xs) > 2")
     strip = round(STRIP * UNIT)
     strips = tables.select(*PAGE, "root", "xs", "ys", F.explode(_covered(F.element_at("ys", 1), F.element_at("ys", -1), strip)).alias("strip"))
     given = _units(words.where("text is not null").select(*PAGE, *BOX, "text"))
     lines = islands(given, PAGE, "top", "bottom", -round(LINE_OVERLAP * UNIT), "band")
     middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
     placed = lines.withColumns({"_x": middle("x0", "x1"), "_y": middle("top", "bottom")}).withColumn("strip", F.floor(F.col("_y") / strip))
-    inside = placed.join(strips, [*PAGE, "strip"])
+    inside = placed.join(strips.hint("merge"), [*PAGE, "strip"])
     before = lambda edges, at: F.size(F.filter(edges, lambda e: e <= F.col(at)))
     cells = inside.withColumns({"row": before("ys", "_y"), "col": before("xs", "_x")}).where("row > 0 and col > 0 and row < size(ys) and col < size(xs)")
     return _grids(cells.withColumnRenamed("root", "region"), "lines")
@@ -239,18 +261,22 @@ def figure_regions(drawings: DataFrame, captions: DataFrame, pages: DataFrame) -
     told = _units(captions.where("label is not null").select(*PAGE, *BOX, "label"))
     strip = units(STRIP)
 
-    def nearest(rows: DataFrame, marks: DataFrame, keys: list[str], sign: int, name: str) -> DataFrame:
-        """For each region the caption that comes next on the y-axis, in one order of both: (key, name)."""
-        edge = F.col("bottom") - units(CAPTION_SLACK) if sign > 0 else -F.col("top")
-        asks = rows.select(*keys, "key", edge.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<y:bigint,label:string>").alias("c"))
-        has = marks.select(*keys, F.lit(None).cast("string").alias("key"), (F.lit(sign) * F.col("top")).alias("at"), F.lit(2).alias("kind"), F.struct(F.col("top").alias("y"), "label").alias("c"))
-        order = Window.partitionBy(*keys).orderBy("at", "kind", "c").rowsBetween(1, Window.unboundedFollowing)
-        met = asks.unionByName(has).withColumn("c", F.first("c", ignorenulls=True).over(order)).where("key is not null and c is not null")
-        return met.groupBy("key").agg((F.min if sign > 0 else F.max)("c").alias(name))
+    def nearest(rows: DataFrame, marks: DataFrame, keys: list[str], below: str, above: str | None = None) -> DataFrame:
+        """For each region the captions that come next below and above it, in one order of both: (key, below, above). Of captions as high, the least label stands for a strip."""
+        asks = rows.select(*keys, "key", F.explode(F.array(F.struct((F.col("bottom") - units(CAPTION_SLACK)).alias("at"), F.lit(1).alias("kind")), *([F.struct(F.col("top").alias("at"), F.lit(3).alias("kind"))] if above else []))).alias("_a"), F.lit(None).cast("string").alias("label"))
+        has = marks.groupBy(*keys, F.col("top").alias("at")).agg(F.min("label").alias("label")).select(*keys, F.lit(None).cast("string").alias("key"), F.struct("at", F.lit(2).alias("kind")).alias("_a"), "label")
+        caption = F.when(F.col("label").isNotNull(), F.struct(F.col("_a.at").alias("y"), "label"))
+        order = Window.partitionBy(*keys).orderBy("_a.at", "_a.kind")
+        seen = {"_next": F.first(caption, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))}
+        if above:
+            seen["_last"] = F.last(caption, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        met = asks.unionByName(has).withColumns(seen).where("key is not null")
+        found = [F.min(F.when(F.col("_a.kind") == 1, F.col("_next"))).alias(below), *([F.max(F.when(F.col("_a.kind") == 3, F.col("_last"))).alias(above)] if above else [])]
+        return met.groupBy("key").agg(*found)
 
     across = lambda df: df.withColumn("strip", F.explode(_covered(F.col("x0"), F.col("x1"), strip)))
     tall, wide = across(regions), across(told)
-    ranked = [nearest(tall, wide, [*PAGE, "strip"], 1, "c0"), nearest(tall, wide, [*PAGE, "strip"], -1, "c1"), nearest(regions, told, PAGE, 1, "c2")]
+    ranked = [nearest(tall, wide, [*PAGE, "strip"], "c0", "c1"), nearest(regions, told, PAGE, "c2")]
     for other in ranked:
         regions = regions.join(other, "key", "left")
     owned = regions.withColumn("c", F.coalesce("c0", "c1", "c2")).where("c is not null").select(*PAGE, "c.label", *BOX, "drawings", "image")
