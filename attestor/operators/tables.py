@@ -115,7 +115,7 @@ def drop_overlapping(found: DataFrame) -> DataFrame:
     boxes = found.groupBy("source_file", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").cast("bigint").alias("ordinal"), F.col("bbox").alias("bbox")))).alias("all"))
     kept = F.aggregate("all", start, lambda s, x: F.when(F.exists(s, lambda y: overlap(x["bbox"], y["bbox"]) >= OVERLAP), s).otherwise(F.array_append(s, x)))
     stays = boxes.select("source_file", "page", F.explode(kept).alias("k")).select("source_file", "page", F.col("k.ordinal").alias("ordinal"))
-    return found.join(stays, ["source_file", "page", "ordinal"], "left_semi")
+    return found.join(stays.hint("merge"), ["source_file", "page", "ordinal"], "left_semi")
 
 
 def fingerprint() -> Column:
