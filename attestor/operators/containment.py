@@ -28,7 +28,7 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """(needle, hay), each pair once: the texts of ``hays`` (hay) that hold a text of ``needles`` (needle), case and all.
 
     Null and empty texts take no part. Both sides are reduced to distinct texts, so frequent ones cost no more than others; a needle with a q-gram that no hay
-    has is out at once. Texts go along only where two meet.
+    has is out at once. Texts go along only where two meet. Joins are by sorting: what is small when compressed may be large in the driver, which would send it to all.
     """
     asked = needles.where("needle <> ''").select("needle").distinct().withColumns(_keys("needle", "n"))
     held = hays.where("hay <> ''").select("hay").distinct().withColumns(_keys("hay", "h"))
@@ -37,8 +37,8 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
         own = own.when(F.length("needle") >= size, _grams(F.col("needle"), size))
     wanted = asked.select("n1", "n2", F.explode(F.array_distinct(own)).alias("g"))
     every = F.array_distinct(F.flatten(F.array(*(_grams(F.col("hay"), size) for size in SIZES))))
-    index = held.select("h1", "h2", F.explode(every).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
-    counted = wanted.join(index.groupBy("g").agg(F.count("*").alias("n")), "g", "left")
+    index = held.select("h1", "h2", F.explode(every).alias("g")).join(wanted.select("g").distinct().hint("merge"), "g", "left_semi")
+    counted = wanted.join(index.groupBy("g").agg(F.count("*").alias("n")).hint("merge"), "g", "left")
     rarest = counted.groupBy("n1", "n2").agg(F.min_by("g", "n").alias("g"), F.count_if(F.col("n").isNull()).alias("none")).where("none = 0").drop("none")
-    met = rarest.join(index, "g").join(asked, ["n1", "n2"]).join(held, ["h1", "h2"])
+    met = rarest.join(index.hint("merge"), "g").join(asked.hint("merge"), ["n1", "n2"]).join(held.hint("merge"), ["h1", "h2"])
     return met.where(F.contains("hay", "needle")).select("needle", "hay")

@@ -37,8 +37,8 @@ def match_sources(records: DataFrame, sources: DataFrame) -> DataFrame:
     titled = first(base.select("source_id", "title", "ordinal", "k", F.lit(1).alias("tier")))
     pathed = first(base.select("source_id", "title", "ordinal", F.explode("paths").alias("p"), F.lit(2).alias("tier")).withColumn("k", _file("p")))
     holds = contained(b.select(F.col("k").alias("needle")), base.select(F.col("k").alias("hay")))
-    held = holds.join(titled.select(F.col("k").alias("hay"), "s"), "hay").groupBy(F.col("needle").alias("k"), F.lit(3).alias("tier")).agg(F.min_by("s", "s.ordinal").alias("s"))
-    found = wanted.join(titled.unionByName(pathed).unionByName(held), ["k", "tier"]).select("record_id", "tier", "s.*")
+    held = holds.join(titled.select(F.col("k").alias("hay"), "s").hint("merge"), "hay").groupBy(F.col("needle").alias("k"), F.lit(3).alias("tier")).agg(F.min_by("s", "s.ordinal").alias("s"))
+    found = wanted.join(titled.unionByName(pathed).unionByName(held).hint("merge"), ["k", "tier"]).select("record_id", "tier", "s.*")
     best = found.groupBy("record_id").agg(F.min_by(F.struct("source_id", "title", "tier"), F.struct("ordinal", "tier")).alias("s"))
     return best.select("record_id", "s.source_id", F.col("s.title").alias("source_title"), "s.tier")
 
