@@ -10,7 +10,7 @@ from attestor.functions.numbers import lenient_number, number_text, strict_numbe
 from attestor.functions.text import norm_key
 from attestor.operators import crossmodal, quality, records
 from attestor.operators.common import first_per_key
-from attestor.queries.base import query, squeezed, table
+from attestor.queries.base import query, spread, squeezed, table
 
 
 @query("""
@@ -340,7 +340,7 @@ def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
         "p_brand", F.concat(size, F.lit(" %")), F.concat(size, F.lit(" x "), size), F.concat(size, F.lit("-"), (F.col("p_size") + 1).cast("string")), F.lit("N/A"), "p_name",
         F.concat(F.lit("1,"), (F.col("p_size") + 100).cast("string")), F.concat(F.lit("about "), size, F.lit(" or "), size),
     )
-    rows = table(spark, d, "part").select("p_partkey", F.posexplode(forms).alias("form", "t")).withColumn("n", lenient_number(F.col("t")))
+    rows = spread(spark, d, "part", "p_partkey").select("p_partkey", F.posexplode(forms).alias("form", "t")).withColumn("n", lenient_number(F.col("t")))
     return rows.select("p_partkey", "form", "n.value", "n.warning")
 
 
