@@ -10,7 +10,7 @@ from attestor.functions.text import file_name, markdown_cell
 from attestor.functions.values import confidence
 from attestor.operators import browse, catalog, charts, crossmodal, evidence, planning, quality, records, survey, triage, typing
 from attestor.queries.audit import _metric_rows, _open_events
-from attestor.queries.base import query, table
+from attestor.queries.base import query, spread, table
 
 
 def _brands(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
         F.lit("metric_name"), F.lit('"PCE"'), F.lit("metric_value"), F.concat(F.lit('"'), size, F.lit('%"')), F.lit("material"), F.concat(F.lit('"'), "p_name", F.lit('"')),
         F.lit("accuracy"), F.when(size % 2 == 0, (size / 100.0).cast("string")).otherwise('"n/a"'), F.lit("value"), F.lit('"n/a"'),
     )
-    return table(spark, d, "part").select(
+    return spread(spark, d, "part", "p_partkey").select(
         F.col("p_partkey").cast("string").alias("record_id"), F.col("p_partkey").alias("ordinal"), F.lit("metrics").alias("table_name"), fields.alias("fields"), F.lit("f.pdf").alias("source_file"), F.lit("pdf_text").alias("source_type"),
         F.lit(1).alias("page"), F.lit("e").alias("evidence_text"), F.lit(0.8).alias("confidence"), F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("paper_title"),
     )
@@ -127,7 +127,7 @@ def payload_contract(spark: SparkSession, d: str) -> DataFrame:
         F.lit("a"), F.when(size % 3 == 0, '"12"').otherwise("12"), F.lit("b"), F.lit('"x"'), F.lit("c"), F.when(size % 2 == 0, '"Yes"').otherwise('"maybe"'), F.lit("d"), F.lit('"+7"'), F.lit("setting"), F.lit('"hot"'),
         F.lit("e"), F.lit("5"), F.lit("g"), F.lit("null"), F.lit("h"), F.when(size % 5 == 0, '""').otherwise('"v"'), F.lit("odd"), F.lit("1"),
     )
-    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("record_id"), F.lit("t").alias("table_name"), fields.alias("fields"), F.array().cast("array<string>").alias("warnings"))
+    rows = spread(spark, d, "part", "p_partkey").select(F.col("p_partkey").cast("string").alias("record_id"), F.lit("t").alias("table_name"), fields.alias("fields"), F.array().cast("array<string>").alias("warnings"))
     kinds = {"a": "number", "b": "list[string]", "c": "boolean", "d": "integer", "condition": "string", "e": "string", "g": "list[string]", "h": "string", "url": "string", "page": "integer"}
     plan = spark.createDataFrame([("t", f, k, f in ("h", "url"), False, i) for i, (f, k) in enumerate(kinds.items())], "table_name string, field string, type string, required boolean, evidence_required boolean, ordinal int")
     met = typing.conform(rows, typing.plan_contract(plan))
