@@ -12,7 +12,9 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ MARK = b"\xef\xbb\xbf"
 MISSING = frozenset(("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"))
 #: What can be wrong with a file or a row.
 UNDECODED, UNCLOSED, TOO_LONG = "neither UTF-8 nor GB18030", "a quoted cell is never closed", "more cells than the header"
+#: Bytes of what is known of the ranges, up to which it is sent to all tasks; lines are shuffled to meet more.
+SENT = 8_000_000
 ROWS = "source_path string, nth long, names array<string>, cells array<string>, error string"
 
 
@@ -84,17 +88,36 @@ class _Range:
         self.first: list[bytes] = []  # the lines of the file's header
         self.header_done = block > 0
 
-    def add(self, line: bytes) -> None:
-        if not line.isascii():
-            self.utf8, self.gb = self.utf8 and _decodes(line, "utf-8"), self.gb and _decodes(line, "gb18030")
-        before = list(self.open)
-        for state in (0, 1):
-            if not before[state] and not _blank(line, self.separator):
-                self.rows[state] += 1
-            self.open[state] = stays_open(line, self.separator, before[state])
-        if not self.header_done and (self.first or not _blank(line, self.separator)):
-            self.first.append(line)
-            self.header_done = not self.open[0]
+    def add(self, lines: list[bytes]) -> None:
+        whole = b"\n".join(lines)  # no encoding has a line feed within a character, so the lines decode if this does
+        if not whole.isascii():
+            self.utf8, self.gb = self.utf8 and _decodes(whole, "utf-8"), self.gb and _decodes(whole, "gb18030")
+        at = 0
+        while not self.header_done and at < len(lines):
+            if self.first or not _blank(lines[at], self.separator):
+                self.first.append(lines[at])
+            self._step(lines[at])
+            self.header_done = bool(self.first) and not self.open[0]
+            at += 1
+        if self.separator == b" " or b'"' not in whole:
+            if at < len(lines):
+                self._step(lines[at])  # after one line both states are as they stay
+                full = sum(not _blank(line, self.separator) for line in lines[at + 1 :])
+                self.rows = [n + (0 if inside else full) for n, inside in zip(self.rows, self.open, strict=True)]
+            return
+        for line in lines[at:] if at else lines:
+            if b'"' in line:
+                self._step(line)
+            elif line.strip(b"\r\n"):
+                self.rows[0] += not self.open[0]
+                self.rows[1] += not self.open[1]
+
+    def _step(self, line: bytes) -> None:
+        before = self.open
+        if not _blank(line, self.separator):
+            self.rows = [n + (not inside) for n, inside in zip(self.rows, before, strict=True)]
+        one = stays_open(line, self.separator, before[0])
+        self.open = [one, one if before[0] == before[1] else stays_open(line, self.separator, before[1])]
 
     def row(self) -> tuple:
         return (self.path, self.block, *self.open, *self.rows, self.utf8, self.gb, b"\n".join(self.first) if self.block == 0 else None)
@@ -103,12 +126,21 @@ class _Range:
 SUMMARY = "path string, block long, open0 boolean, open1 boolean, rows0 long, rows1 long, utf8 boolean, gb boolean, first binary"
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """From where to where the rows of a batch are of one range."""
+    if not batch.num_rows:
+        return
+    path, block = batch.column("path"), batch.column("block")
+    other = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+    ends = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+    yield from zip(ends, ends[1:], strict=False)
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[bytes]]]:
     """Runs of lines of one range, in order; a range may come in several runs."""
     for batch in batches:
-        keys = zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), strict=True)
-        for key, lines in groupby(zip(keys, batch.column("line").to_pylist(), strict=True), key=lambda x: x[0]):
-            yield key, [line for _, line in lines]
+        for start, end in _runs(batch):
+            yield (batch.column("path")[start].as_py(), batch.column("block")[start].as_py()), batch.column("line")[start:end].to_pylist()
 
 
 def _summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +155,7 @@ def _summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is not None:
                 yield given(now)
             now = _Range(path, block)
-        for line in lines:
-            now.add(line)
+        now.add(lines)
     if now is not None:
         yield given(now)
 
@@ -173,40 +204,52 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def made(lines: list[bytes], last: bool) -> pa.RecordBatch:
         nonlocal base
-        path, encoding, first = setting
+        path, encoding, names = setting
         separator = _separator(path).decode()
         lines = [*lines, *more.split(b"\n")] if last and more and lines else lines  # the record that the next range ends
-        text = [line.removesuffix(b"\r").decode(encoding) for line in lines]
-        names = _named((cells_of(first.split("\n"), separator) or [[]])[0])
-        rows = []
-        for cells in cells_of(text, separator):
-            base += 1
-            wrong = len(cells) > len(names)
-            rows.append((path, base - 1, names, None if wrong else [None if c in MISSING else c for c in cells + [""] * (len(names) - len(cells))], TOO_LONG if wrong else None))
-        kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in ROWS.split(", ")])
+        text = b"\n".join(lines).decode(encoding).split("\n")
+        found = cells_of([line.removesuffix("\r") for line in text], separator)
+        width, wrong = len(names), np.zeros(len(found), bool)
+        if set(map(len, found)) - {width}:
+            wrong = np.array([len(cells) > width for cells in found])
+            found = [[] if w else cells + [""] * (width - len(cells)) for cells, w in zip(found, wrong, strict=True)]
+        flat = [None if c in MISSING else c for cells in found for c in cells]
+        counts = np.where(wrong, 0, width)
+        # a missing value in the place of an offset stands for a missing list
+        begins = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype("int32"), mask=np.concatenate([wrong, [False]]))
+        cells = pa.ListArray.from_arrays(begins, pa.array(flat, pa.string()))
+        heads = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype="int32") * width), pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(width), len(found)))))
+        nth = pa.array(np.arange(base, base + len(found), dtype="int64"))
+        base += len(found)
+        error = pc.if_else(pa.array(wrong), pa.scalar(TOO_LONG), pa.scalar(None, pa.string()))
+        return pa.RecordBatch.from_arrays([pa.repeat(path, len(found)), nth, heads, cells, error], names=[c.split()[0] for c in ROWS.split(", ")])
 
     for batch in batches:
-        rows = batch.to_pylist()
-        for at, run in groupby(rows, key=lambda r: (r["path"], r["block"])):
-            run = list(run)
+        for start, end in _runs(batch):
+            at = (batch.column("path")[start].as_py(), batch.column("block")[start].as_py())
+            lines = batch.column("line")[start:end].to_pylist()
+            separator = _separator(at[0])
             if at != key:
                 if held:
                     yield made(held, True)
-                one, held, key = run[0], [], at
+                one, held, key = batch.slice(start, 1).to_pylist()[0], [], at
                 inside = skip = one["inside"]
                 base, more = one["base"], one["more"]
-                setting = (one["path"], one["encoding"], one["first"].removeprefix(MARK).decode(one["encoding"]).replace("\r", ""))
-                if at[1] == 0 and run[0]["line"].startswith(MARK):
-                    run[0]["line"] = run[0]["line"][len(MARK) :]
-            separator, whole = _separator(at[0]), 0
-            for row in run:
-                inside = stays_open(row["line"], separator, inside)
-                if skip:  # the rest of a record of the range before
-                    skip = inside
-                    continue
-                held.append(row["line"])
-                whole = len(held) if not inside else whole
+                first = one["first"].removeprefix(MARK).decode(one["encoding"]).replace("\r", "")
+                setting = (one["path"], one["encoding"], _named((cells_of(first.split("\n"), separator.decode()) or [[]])[0]))
+                if at[1] == 0 and lines[0].startswith(MARK):
+                    lines[0] = lines[0][len(MARK) :]
+            from_ = 0
+            while skip and from_ < len(lines):  # the rest of a record of the range before
+                skip = inside = stays_open(lines[from_], separator, inside)
+                from_ += 1
+            whole = len(held) if not inside else 0
+            for i, line in enumerate(lines[from_:], len(held) + 1):
+                if inside or b'"' in line:
+                    inside = stays_open(line, separator, inside)
+                if not inside:
+                    whole = i
+            held += lines[from_:]
             if whole:
                 yield made(held[:whole], False)
                 held = held[whole:]
@@ -221,7 +264,7 @@ def read_ranges(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     by blanks, and ``#`` begins a comment. A file that is neither UTF-8 (with or without a mark) nor GB18030, or whose last quoted cell never ends, gives one row with
     ``error`` and no others; a row with more cells than the header gives its number and ``error``. Empty files give no rows.
 
-    The first pass runs when this is called; what it leaves is a row a range.
+    The first pass runs when this is called; what it leaves is a row a range. Up to ``SENT`` bytes of that go to all tasks, so that lines are not shuffled; beyond, they are.
     """
     given = spark.read.option("lineSep", "\n").option("pathGlobFilter", GLOB).option("recursiveFileLookup", True).text(paths)
     lines = given.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
@@ -258,9 +301,13 @@ def read_ranges(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         rests = heads.join(split, ["path", "block"]).groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("block", "head"))).alias("h"))
         joined = F.aggregate("h", none("binary", "s"), lambda s, x: F.when(s.isNull(), x["head"]).otherwise(F.concat(s, F.lit(b"\n"), x["head"])))
         known = known.join(rests.select("path", F.col("owner").alias("block"), joined.alias("more")), ["path", "block"], "left")
-    # ranges may come from a shuffle; their lines are in one partition, in order
-    told = lines.withColumn("seq", F.monotonically_increasing_id()).join(known, ["path", "block"]).sortWithinPartitions("path", "block", "seq")
-    parsed = told.drop("seq").mapInArrow(_parsed, ROWS)
+    known = known.checkpoint()
+    weight = known.agg(F.sum(F.length("path") + F.length("first") + F.coalesce(F.length("more"), F.lit(0)) + 64)).first()[0] or 0
+    if weight <= SENT:  # so lines stay in the order in which they are read
+        told = lines.join(F.broadcast(known), ["path", "block"])
+    else:  # ranges come from a shuffle; their lines are in one partition, in order
+        told = lines.withColumn("seq", F.monotonically_increasing_id()).join(known, ["path", "block"]).sortWithinPartitions("path", "block", "seq").drop("seq")
+    parsed = told.mapInArrow(_parsed, ROWS)
     values = F.when(F.col("cells").isNotNull(), F.map_from_arrays("names", "cells"))
     # the header is row 0
     rows = parsed.where("nth > 0").unionByName(broken)
