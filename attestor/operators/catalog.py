@@ -132,19 +132,31 @@ def merge_state(current: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def upsert_state(prior: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The state after a batch of artifacts: new ones are added, known ones merged by :func:`merge_state`, all others stay.
+    """The state after a batch of artifacts: new ones are added, known ones merged by the rules of :func:`merge_state`, all others stay.
 
-    Of several rows of one artifact in a batch the most advanced counts; their operations are united.
+    Of several rows of one artifact in a batch the most advanced counts; their operations are united. ``prior`` is what an earlier batch left, so it has one row an artifact.
+    A batch is shuffled once, and the state once, by an identity that is worked out where rows are dealt and goes with none of the state's rows.
     """
     key = identity(F.col("source_id"), F.col("url"), F.col("local_path"), F.col("artifact_type"), F.col("name"))
-    keyed = batch.withColumn("_k", key)
-    done = keyed.select("_k", F.explode("completed_operations").alias("o")).distinct().groupBy("_k").agg(F.array_sort(F.collect_list("o")).alias("_all"))
-    best = first_per_key(keyed, ["_k"], [-_rank(F.col("status")), F.col("status")]).join(done, "_k", "left")
-    new = best.withColumn("completed_operations", F.coalesce("_all", "completed_operations")).drop("_k", "_all")
+    columns = batch.columns
+    all_done = F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_set("completed_operations")))))
+    best = F.min_by(F.struct(*(F.col(f"`{c}`") for c in columns)), F.struct(-_rank(F.col("status")), "status"))
+    grouped = batch.groupBy(key.alias("_k")).agg(best.alias("_row"), all_done.alias("_all"))
+    done = F.when(F.size("_all") > 0, F.col("_all")).otherwise(F.col("_row.completed_operations"))
     if prior is None:
-        return new
-    rest = prior.withColumn("_k", key).join(keyed.select("_k").distinct(), "_k", "left_anti").drop("_k")
-    return merge_state(new, prior).unionByName(rest)
+        return grouped.select(*((done if c == "completed_operations" else F.col(f"_row.`{c}`")).alias(c) for c in columns))
+    old = lambda c: F.col(f"_old.`{c}`")
+    met = prior.select(F.struct(*(F.col(f"`{c}`") for c in prior.columns)).alias("_old"))
+    known = identity(*(old(c) for c in ("source_id", "url", "local_path", "artifact_type", "name")))
+    met = met.join(grouped, known == F.col("_k"), "full_outer")
+    new = lambda c: F.col(f"_row.`{c}`")
+    advanced = old("status").isin(*FINAL) | (_rank(old("status")) > _rank(new("status")))
+    merged = {
+        "status": F.when(advanced, old("status")).otherwise(new("status")),
+        "local_path": F.coalesce(F.nullif(new("local_path"), F.lit("")), old("local_path")),
+        "completed_operations": F.array_distinct(F.concat(done, F.coalesce(old("completed_operations"), F.array().cast("array<string>")))),
+    }
+    return met.select(*(F.when(F.col("_row").isNull(), old(c)).otherwise(merged.get(c, new(c))).alias(c) for c in columns))
 
 
 def entry_status(artifacts: DataFrame) -> DataFrame:
