@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,34 +13,48 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Events of a key that are kept as one value of its state.
+CHUNK = 1000
+
+
 class _Steps(StatefulProcessor):
-    """Waits until the watermark has passed an event, so events count in the order of time however they arrive."""
+    """Waits until the watermark has passed an event, so events count in the order of time however they arrive.
 
-    def __init__(self, most: int) -> None:
-        self.most = most
+    An event is kept as one number that orders by time, starts before ends. A key has a timer for the earliest event of a batch, not one for each: when it is due, all that
+    the watermark has passed is worked off, and the next timer is for the earliest of what is left.
+    """
+
+    def __init__(self, most: int, width: int) -> None:
+        self.most, self.given = most, Row(*(f"k{i}" for i in range(width)), "nth", "started", "ended")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, start boolean")
+        self.waiting = handle.getListState("waiting", "events array<long>")
         self.open = handle.getValueState("open", "at long, nth long, ended boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for frame in rows:
-            if not len(frame):
-                continue
-            for at, start in zip(frame["at"], frame["start"], strict=True):
-                self.waiting.appendValue((int(at), bool(start)))
-                self.handle.registerTimer(-(-int(at) // 1000))
-        yield pd.DataFrame()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        events = [2 * row["at"] + (not row["start"]) for row in rows]
+        if events:
+            self._keep(events)
+            self.handle.registerTimer(-(-(min(events) >> 1) // 1000))
+        return iter(())
+
+    def _keep(self, events: list[int]) -> None:
+        self.waiting.appendList([(events[i : i + CHUNK],) for i in range(0, len(events), CHUNK)])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.waiting.get(), key=lambda e: (e[0], not e[1]))
-        due, later = [e for e in events if e[0] <= passed], [tuple(e) for e in events if e[0] > passed]
-        self.waiting.put(later) if later else self.waiting.clear()
-        at, nth, ended = self.open.get() if self.open.exists() else (None, 0, True)
+        events = sorted(e for chunk in self.waiting.get() for e in chunk[0])
+        cut = bisect_right(events, 2 * passed + 1)
+        due, later = events[:cut], events[cut:]
+        if due:
+            self.waiting.clear()
+            if later:
+                self._keep(later)
+        at, nth, ended = before = self.open.get() or (None, 0, True)
         out = []
-        for when, start in due:
+        for event in due:
+            when, start = event >> 1, not event & 1
             if not ended and when - at > self.most:
                 out.append((nth, at, None))
                 ended = True
@@ -48,16 +62,18 @@ class _Steps(StatefulProcessor):
                 if not ended:
                     out.append((nth, at, None))
                 at, nth, ended = when, nth + 1, False
-                self.handle.registerTimer(-(-(when + self.most + 1) // 1000))
             elif not ended:
                 out.append((nth, at, when))
                 ended = True
         if not ended and passed - at > self.most:  # no end can come in time any more
             out.append((nth, at, None))
             ended = True
-        if at is not None:
+        if (at, nth, ended) != tuple(before):
             self.open.update((at, nth, ended))
-        yield pd.DataFrame([(*key, *row) for row in out], columns=[*(f"k{i}" for i in range(len(key))), "nth", "started", "ended"]).astype({"started": "Int64", "ended": "Int64"}) if out else pd.DataFrame()
+        left = [e >> 1 for e in later[:1]] + ([] if ended else [at + self.most + 1])
+        if left:
+            self.handle.registerTimer(-(-min(left) // 1000))
+        return iter([self.given(*key, *row) for row in out])
 
     def close(self) -> None:
         pass
@@ -74,6 +90,6 @@ def durations(events: DataFrame, keys: list[str], start: Column, end: Column, mo
     marked = events.where(start | end).select(*keys, F.col("ts").cast("timestamp").alias("ts"), start.alias("start")).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
     kinds = dict(events.dtypes)
     shape = ", ".join([*(f"k{i} {kinds[k]}" for i, k in enumerate(keys)), "nth long, started long, ended long"])
-    found = marked.groupBy(*keys).transformWithStateInPandas(statefulProcessor=_Steps(span), outputStructType=shape, outputMode="Append", timeMode="EventTime")
+    found = marked.groupBy(*keys).transformWithState(statefulProcessor=_Steps(span, len(keys)), outputStructType=shape, outputMode="Append", timeMode="EventTime")
     named = found.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "nth", F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"), ((F.col("ended") - F.col("started")) / 1e6).alias("seconds"))
     return named
