@@ -12,6 +12,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,7 +165,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if any(not 1 <= n <= capacity for n in lengths):
         raise ValueError("a length is outside of 1 to the capacity")
     table = [(s.length, s.rank, s.rank + s.count, s.bin, s.each, s.offset) for s in plan(lengths, capacity)]
-    places = cut.sparkSession.createDataFrame(table, "n long, low long, high long, bin long, each long, at long")
+    # as an Arrow table: a list of rows would start a second Python daemon with workers of its own in each executor, and leave it there
+    columns = np.array(table, "i8").reshape(-1, 6).T
+    places = cut.sparkSession.createDataFrame(pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names=["n", "low", "high", "bin", "each", "at"]))
     within = Window.partitionBy("n", "run").orderBy(*named)
     ranked = rows.withColumn("nth", F.row_number().over(within) - 1).join(bases, ["n", "run"]).withColumn("rank", F.col("base") + F.col("nth"))
     placed = ranked.join(F.broadcast(places), (ranked.n == places.n) & (ranked["rank"] >= places.low) & (ranked["rank"] < places.high))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of about this many bytes and rows, so memory does not follow the batch size.
-CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 256
+CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 256
 #: A side of a join is broadcast only when counted to have no more rows than this (about 100 bytes each as a hash table).
 BROADCAST_ROWS = 1_000_000
 

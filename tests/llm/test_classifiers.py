@@ -1,12 +1,14 @@
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
-from attestor.llm import grams, quality, queries, toxicity
+from attestor.llm import grams, quality, queries, shared, toxicity
 
 D = "/root/testdata/sf0.01"
 
@@ -192,3 +194,14 @@ def test_quality_scores_equal_a_plain_computation(spark):
     model = quality.fit(queries.labelled(docs, labels, "doc_id", "text", "quality"))
     for r in quality.predict(docs.where("doc_id < 200").select("doc_id", "text"), model).collect():
         assert abs(r.score - plain_quality(r.text, model)) < 1e-9
+
+
+def test_work_on_texts_needs_little_memory_beside_its_batch():
+    text = "This one is a plain sentence of words. " * 200
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 500)], names=["text"])
+    grams._powers.cache_clear()
+    tracemalloc.start()
+    rows = sum(len(part) for part, raw, at in shared.text_chunks([batch], "text") if len(toxicity._instances(raw, at)[1]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 500 and peak < 40 << 20, peak

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from attestor.llm import packing
@@ -94,3 +95,14 @@ def test_repeated_rows_empty_table_and_other_columns(spark):
     assert whole([(r.length, r.sequence_id, r.offset) for r in found], 10) == 2
     assert found[0].asDict().keys() == {"length", "rank", "run", "sequence_id", "offset"}
     assert packing.pack(rows.limit(0), 10).count() == 0
+
+
+def test_the_plan_goes_to_spark_without_python_workers(spark, monkeypatch):
+    given, real = [], type(spark).createDataFrame
+    cut = spark.range(50).selectExpr("id as doc_id", "0 as piece", "0L as start", "id * 40 + 1 as length")
+    empty = cut.where("doc_id < 0")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *rest, **named: given.append(data) or real(self, data, *rest, **named))
+    rows = packing.pack(cut, 2048).collect()
+    assert given and all(isinstance(x, pa.Table) for x in given)
+    whole([(r.length, r.sequence_id, r.offset) for r in rows], 2048)
+    assert sorted(r.length for r in rows) == [i * 40 + 1 for i in range(50)] and packing.pack(empty, 2048).count() == 0
