@@ -32,6 +32,11 @@ def gram_ids(raw: np.ndarray, at: np.ndarray, size: int, bits: int, row: np.ndar
     return row[:n][whole], code[whole].view("i8")
 
 
+def _room(n: int) -> int:
+    """Few different sizes, so that what is kept of the powers is met again."""
+    return 1 << (18 if n <= 1 << 18 else max(20, (n - 1).bit_length()))
+
+
 @lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(MULT), -1, 1 << 64))
@@ -41,7 +46,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """64-bit hashes of the bytes of each span. Spans of up to a few hundred bytes that differ have different hashes but by chance."""
-    up, down = _powers(1 << max(18, (len(raw) - 1).bit_length()))
+    up, down = _powers(_room(len(raw)))
     total = np.zeros(len(raw) + 1, "u8")
     np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=total[1:])
     return ((total[stop] - total[start]) * down[start] + (stop - start).astype("u8")) * MULT
@@ -61,7 +66,7 @@ def words(raw: np.ndarray, row: np.ndarray, inside: np.ndarray = WORD_BYTE, pref
     last = np.ones(len(raw), bool)
     last[:-1] = (row[1:] != row[:-1]) | ~letter[1:]
     stop = np.flatnonzero(letter & last) + 1
-    up, down = _powers(1 << max(18, (len(raw) - 1).bit_length()))
+    up, down = _powers(_room(len(raw)))
     total = np.concatenate([np.zeros(1, "u8"), np.cumsum((raw.astype("u8") + np.uint64(1)) * up[: len(raw)], dtype="u8")])
     hashes = np.zeros((len(start), 1 + len(prefixes)), "u8")
     hashes[:, 0] = (total[stop] - total[start]) * down[start] * MULT

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.grams import WORD_BYTE, gram_ids, rows_of
-from attestor.llm.shared import append_columns, per_class_sample, text_chunks, utf8_rows
+from attestor.llm.shared import FEATURE_BYTES, append_columns, per_class_sample, text_chunks, utf8_rows
 
 BITS = 12
 SIZES = (1, 2, 3)
@@ -57,7 +57,7 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Chunks of (rows, folded lower-cased bytes, bounds)."""
-    for rows, _, _ in text_chunks(batches, "text"):
+    for rows, _, _ in text_chunks(batches, "text", FEATURE_BYTES):
         yield rows, *_folded(*_cut(*utf8_rows(pc.utf8_lower(rows.column("text")))))
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of about this many bytes and rows, so memory does not follow the batch size.
-CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 256
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 256
+#: Where each byte takes dozens of bytes of arrays (n-grams, features of words), runs are of about this many.
+FEATURE_BYTES = 1 << 18
 #: A side of a join is broadcast only when counted to have no more rows than this (about 100 bytes each as a hash table).
 BROADCAST_ROWS = 1_000_000
 
@@ -114,7 +116,7 @@ def append_columns(docs: DataFrame, text_col: str, names: list[str], types: list
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, bounds in text_chunks(batches, f"c{at}"):
+        for rows, raw, bounds in text_chunks(batches, f"c{at}", FEATURE_BYTES):
             made = work(rows.column(at), raw, bounds)
             yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, made)], names=[*rows.schema.names, *names])
 
@@ -122,8 +124,8 @@ def append_columns(docs: DataFrame, text_col: str, names: list[str], types: list
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema).toDF(*docs.columns, *names)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches into runs of about ``CHUNK_BYTES`` of text; a longer text is never cut.
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut batches into runs of about ``most`` bytes of text; a longer text is never cut.
 
     Yields the rows, their bytes and ``n + 1`` bounds that start at 0.
     """
@@ -131,7 +133,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[
         raw, at = utf8_rows(batch.column(text))
         first = 0
         while first < len(batch):
-            last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK_BYTES, "right")) - 1)
+            last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
             last = min(last, first + CHUNK_ROWS)
             yield batch.slice(first, last - first), raw[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.grams import WORD_BYTE, rows_of, words
-from attestor.llm.shared import append_columns, per_class_sample, stage, sums_by_row, text_chunks, unstage
+from attestor.llm.shared import FEATURE_BYTES, append_columns, per_class_sample, stage, sums_by_row, text_chunks, unstage
 
 #: Besides each word, its first so many bytes are a feature: stems carry over to words not seen before.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -116,7 +116,7 @@ def _scored(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, y, n, feature, sentence) of each row, one entry for each feature of a sentence."""
-    for part, raw, at in text_chunks(batches, "text"):
+    for part, raw, at in text_chunks(batches, "text", FEATURE_BYTES):
         hashes, first, row, _ = _instances(raw, at)
         per_sentence = np.diff(np.append(first, len(hashes)))
         cut = np.searchsorted(np.repeat(row, per_sentence), np.arange(len(part) + 1))
