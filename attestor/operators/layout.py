@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,15 +136,14 @@ SPREAD = 1 << 21
 
 
 def _flooded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(source_file, page, cx, cy, root) of rectangles of cells (cx, cy, cx1, cy1), those of a page in a row: ``root`` is the same for first cells that neighbours connect.
+    """Rectangles of cells (cx, cy, cx1, cy1) with ``root``: the same number within a page for those that neighbours connect. A page's rows come together, its first with 1 in ``_n``.
 
     Whole pages are worked on; the last page of a batch waits for the next one. Rectangles become runs of cells, a row of the grid each, which are merged as they come.
     """
 
     def roots(cells: pa.Table) -> pa.RecordBatch:
-        file, page, x0, y0, x1, y1 = (cells.column(c).to_numpy() for c in ("source_file", "page", "cx", "cy", "cx1", "cy1"))
-        fresh = np.concatenate([[True], (file[1:] != file[:-1]) | (page[1:] != page[:-1])])
-        sheet = np.cumsum(fresh) - 1
+        n, x0, y0, x1, y1 = (cells.column(c).to_numpy() for c in ("_n", "cx", "cy", "cx1", "cy1"))
+        sheet = np.cumsum(n == 1) - 1
         x0, x1, y0, y1 = x0 - x0.min() + 1, x1 - x0.min() + 1, y0 - y0.min(), y1 - y0.min()
         wide, high = int(x1.max()) + 2, int(y1.max()) + 2
         line, tall = sheet * high + y0, y1 - y0 + 1
@@ -165,43 +163,66 @@ def _flooded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (new == root).all():
                 break
             root = new
-        once = np.unique(line * wide + x0, return_index=True)[1]
-        run = np.searchsorted(start, (line * wide + x0)[once], "right") - 1
-        of = sheet[once]
-        found = root[run] - np.searchsorted(start, of * high * wide)
-        kept = cells.select(["source_file", "page", "cx", "cy"]).take(pa.array(once))
-        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in kept.columns), pa.array(found)], names=[*kept.schema.names, "root"])
+        run = np.searchsorted(start, line * wide + x0, "right") - 1
+        found = root[run] - np.searchsorted(start, sheet * high * wide)
+        return cells.append_column("root", pa.array(found)).combine_chunks().to_batches()[0]
 
     held: list[pa.Table] = []
     for batch in batches:
         if len(batch):
             table = pa.Table.from_batches([batch])
-            ends = np.flatnonzero((pc.not_equal(table["source_file"][1:], table["source_file"][:-1]).to_numpy()) | (pc.not_equal(table["page"][1:], table["page"][:-1]).to_numpy())) + 1
-            same = bool(held) and held[-1]["source_file"][-1] == table["source_file"][0] and held[-1]["page"][-1] == table["page"][0]
-            if held and not same:
-                yield roots(pa.concat_tables(held).combine_chunks())
-                held = []
-            if len(ends):
-                yield roots(pa.concat_tables([*held, table.slice(0, ends[-1])]).combine_chunks())
-                held, table = [], table.slice(ends[-1])
+            begins = np.flatnonzero(table["_n"].to_numpy() == 1)
+            if len(begins):
+                whole = pa.concat_tables([*held, table.slice(0, begins[-1])])
+                if len(whole):
+                    yield roots(whole.combine_chunks())
+                held, table = [], table.slice(begins[-1])
             held.append(table)
     if held:
         yield roots(pa.concat_tables(held).combine_chunks())
 
 
+def _first_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source_file, page, cx, cy, root): the first cells of rectangles."""
+    for rows in _flooded(batches):
+        yield rows.select([*PAGE, "cx", "cy", "root"])
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source_file, page, root, box, drawings, image): the rectangles of a root as one."""
+    how = {"x0": "min", "top": "min", "x1": "max", "bottom": "max", "drawings": "sum", "image": "max"}
+    for rows in _flooded(batches):
+        found = pa.Table.from_batches([rows]).group_by([*PAGE, "root"], use_threads=False).aggregate(list(how.items()))
+        yield from found.select([*PAGE, "root", *(f"{c}_{f}" for c, f in how.items())]).rename_columns([*PAGE, "root", *how]).to_batches()
+
+
+def _paged(rows: DataFrame) -> DataFrame:
+    """File and page in the types that all of a page's parts meet by."""
+    return rows.withColumns({"source_file": F.col("source_file").cast("string"), "page": F.col("page").cast("long")})
+
+
+def _in_cells(boxes: DataFrame, reach: float) -> DataFrame:
+    """Boxes (in tenths) with the rectangle (cx, cy, cx1, cy1) of a grid as wide as ``reach`` that each covers."""
+    step = max(1, round(reach * UNIT))
+    cell = lambda c: F.floor(F.col(c) / step)
+    return boxes.withColumns({"cx": cell("x0"), "cy": cell("top"), "cx1": cell("x1"), "cy1": cell("bottom")})
+
+
+def _by_page(shapes: DataFrame) -> DataFrame:
+    """Rows of a page one after the other, numbered in ``_n``. A window asks for that without a shuffle if they already are where their page is."""
+    return shapes.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy("cx", "cy")))
+
+
 def together(boxes: DataFrame, reach: float) -> DataFrame:
     """Boxes (in tenths) with ``root``: the same number within a page for boxes that are at most ``reach`` points apart on both axes, directly or over others.
 
     A page's boxes cover cells of a grid as wide as ``reach``; cells that touch belong together. Boxes more than twice that apart on an axis never meet. Boxes go as the
     rectangles of cells that they cover, equal ones once; they are spread into rows of cells where a page is worked on, which its extent bounds.
     """
-    step = max(1, round(reach * UNIT))
-    cell = lambda c: F.floor(F.col(c) / step)
-    at = boxes.withColumns({"cx": cell("x0"), "cy": cell("top")})
-    shapes = at.select(F.col("source_file").cast("string").alias("source_file"), F.col("page").cast("long").alias("page"), "cx", "cy", cell("x1").alias("cx1"), cell("bottom").alias("cy1"))
-    shapes = shapes.groupBy(*PAGE, "cx", "cy", "cx1").agg(F.max("cy1").alias("cy1"))
-    flooded = shapes.repartition("source_file", "page").sortWithinPartitions("source_file", "page").mapInArrow(_flooded, "source_file string, page long, cx long, cy long, root long")
-    return at.join(flooded.hint("merge"), [*PAGE, "cx", "cy"]).drop("cx", "cy")
+    at = _in_cells(boxes, reach)
+    shapes = _paged(at).groupBy(*PAGE, "cx", "cy", "cx1").agg(F.max("cy1").alias("cy1"))
+    flooded = _by_page(shapes).mapInArrow(_first_cells, "source_file string, page long, cx long, cy long, root long").groupBy(*PAGE, "cx", "cy").agg(F.min("root").alias("root"))
+    return at.drop("cx1", "cy1").join(flooded.hint("merge"), [*PAGE, "cx", "cy"]).drop("cx", "cy")
 
 
 def ruled_tables(words: DataFrame, rules: DataFrame) -> DataFrame:
@@ -248,42 +269,37 @@ def figure_regions(drawings: DataFrame, captions: DataFrame, pages: DataFrame) -
     Drawings that lie together are one region; it goes to the nearest caption below that is over or under some of it, else to the nearest above it, else to the nearest
     below of the page. A caption's regions are united and padded, within the page and above the caption. Small ones need an image or three drawings. A caption
     without drawings has the band above it, if that is high enough.
+
+    Every step is by file and page. Inputs that already lie by file or page stay where they are, and only the regions are shuffled; others are brought there first, equal
+    drawings as one. A region's box is made of its drawings while they are with their page; a page's captions, which its lines bound, meet each region as one list.
     """
     units = lambda x: round(x * UNIT)
     size = lambda least: (F.col("x1") - F.col("x0") > units(least)) & (F.col("bottom") - F.col("top") > units(least))
     image = F.col("kind") == "image"
-    boxes = _units(drawings.select(*PAGE, *BOX, "kind")).where(F.when(image, size(LEAST_IMAGE)).otherwise(size(LEAST_DRAWING)))
-    rooted = together(boxes, FIGURE_REACH)
+    boxes = _paged(_units(drawings.select(*PAGE, *BOX, "kind")).where(F.when(image, size(LEAST_IMAGE)).otherwise(size(LEAST_DRAWING))))
     solid = F.when(image, F.lit(True)).otherwise(size(LEAST_GRAPHIC))
     side = lambda pick, c: pick(F.when(solid, F.col(c))).alias(c)
-    regions = rooted.groupBy(*PAGE, "root").agg(side(F.min, "x0"), side(F.min, "top"), side(F.max, "x1"), side(F.max, "bottom"), F.count_if(~image).alias("drawings"), F.max(image).alias("image")).where("x0 is not null")
-    regions = regions.withColumn("key", F.concat_ws("|", *PAGE, "root"))
-    told = _units(captions.where("label is not null").select(*PAGE, *BOX, "label"))
-    strip = units(STRIP)
-
-    def nearest(rows: DataFrame, marks: DataFrame, keys: list[str], below: str, above: str | None = None) -> DataFrame:
-        """For each region the captions that come next below and above it, in one order of both: (key, below, above). Of captions as high, the least label stands for a strip."""
-        asks = rows.select(*keys, "key", F.explode(F.array(F.struct((F.col("bottom") - units(CAPTION_SLACK)).alias("at"), F.lit(1).alias("kind")), *([F.struct(F.col("top").alias("at"), F.lit(3).alias("kind"))] if above else []))).alias("_a"), F.lit(None).cast("string").alias("label"))
-        has = marks.groupBy(*keys, F.col("top").alias("at")).agg(F.min("label").alias("label")).select(*keys, F.lit(None).cast("string").alias("key"), F.struct("at", F.lit(2).alias("kind")).alias("_a"), "label")
-        caption = F.when(F.col("label").isNotNull(), F.struct(F.col("_a.at").alias("y"), "label"))
-        order = Window.partitionBy(*keys).orderBy("_a.at", "_a.kind")
-        seen = {"_next": F.first(caption, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))}
-        if above:
-            seen["_last"] = F.last(caption, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        met = asks.unionByName(has).withColumns(seen).where("key is not null")
-        found = [F.min(F.when(F.col("_a.kind") == 1, F.col("_next"))).alias(below), *([F.max(F.when(F.col("_a.kind") == 3, F.col("_last"))).alias(above)] if above else [])]
-        return met.groupBy("key").agg(*found)
-
-    across = lambda df: df.withColumn("strip", F.explode(_covered(F.col("x0"), F.col("x1"), strip)))
-    tall, wide = across(regions), across(told)
-    ranked = [nearest(tall, wide, [*PAGE, "strip"], "c0", "c1"), nearest(regions, told, PAGE, "c2")]
-    for other in ranked:
-        regions = regions.join(other, "key", "left")
-    owned = regions.withColumn("c", F.coalesce("c0", "c1", "c2")).where("c is not null").select(*PAGE, "c.label", *BOX, "drawings", "image")
-    united = owned.groupBy(*PAGE, "label").agg(*_around(F.sum("drawings").alias("drawings"), F.max("image").alias("image")))
-    marks = told.groupBy(*PAGE, "label").agg(F.min("top").alias("caption"))
-    sheet = pages.select(*PAGE, F.round(F.col("width") * UNIT).cast("long").alias("w"), F.round(F.col("height") * UNIT).cast("long").alias("h"))
-    rows = marks.join(united, [*PAGE, "label"], "left").join(sheet, PAGE)
+    shapes = _in_cells(boxes, FIGURE_REACH).groupBy(*PAGE, "cx", "cy", "cx1").agg(
+        F.max("cy1").alias("cy1"), side(F.min, "x0"), side(F.min, "top"), side(F.max, "x1"), side(F.max, "bottom"), F.count_if(~image).alias("drawings"), F.max(image).alias("image"),
+    )
+    regions = _by_page(shapes).mapInArrow(_regions, "source_file string, page long, root long, x0 long, top long, x1 long, bottom long, drawings long, image boolean").where("x0 is not null")
+    told = _paged(_units(captions.where("label is not null").select(*PAGE, *BOX, "label")))
+    strip = lambda c: F.floor(F.col(c) / units(STRIP))
+    listed = told.groupBy(*PAGE).agg(F.collect_set(F.struct(F.col("top").alias("y"), "label", strip("x0").alias("low"), strip("x1").alias("high"))).alias("marks"))
+    left, right = strip("x0"), strip("x1")
+    under = lambda m: m["y"] >= F.col("bottom") - units(CAPTION_SLACK)
+    within = lambda m, low, high: (m["low"] <= high) & (m["high"] >= low)
+    first = lambda test, y: F.array_min(F.transform(F.filter("marks", test), lambda m: F.struct(y(m).alias("y"), m["label"].alias("label"))))
+    down, up = (lambda m: m["y"]), (lambda m: -m["y"])
+    # above a region: of captions as high the least label stands for a strip, and of these the greatest counts
+    strips = F.transform(F.sequence(left, right), lambda s: first(lambda m: (m["y"] <= F.col("top")) & within(m, s, s), up))
+    last = F.array_max(F.transform(strips, lambda m: F.when(m.isNotNull(), F.struct(up(m).alias("y"), m["label"].alias("label")))))
+    nearest = F.coalesce(first(lambda m: under(m) & within(m, left, right), down), last, first(under, down))["label"]
+    owned = regions.join(listed.hint("merge"), PAGE).select(*PAGE, nearest.alias("label"), *BOX, "drawings", "image", F.lit(None).cast("long").alias("caption"))
+    alone = told.select(*PAGE, "label", *(F.lit(None).cast(kind).alias(c) for c, kind in zip([*BOX, "drawings", "image"], ["long"] * 5 + ["boolean"])), F.col("top").alias("caption"))
+    marks = owned.unionByName(alone).groupBy(*PAGE, "label").agg(*_around(F.sum("drawings").alias("drawings"), F.max("image").alias("image"), F.min("caption").alias("caption"))).where("caption is not null")
+    sheet = _paged(pages.select(*PAGE, F.round(F.col("width") * UNIT).cast("long").alias("w"), F.round(F.col("height") * UNIT).cast("long").alias("h")))
+    rows = marks.join(sheet.hint("merge"), PAGE)
     several = F.col("image") | (F.col("drawings") >= SEVERAL)
     large = (F.col("x1") - F.col("x0") >= units(LEAST_FIGURE[0])) & (F.col("bottom") - F.col("top") >= units(LEAST_FIGURE[1]))
     pad, low = units(PAD), F.when(F.col("bottom") <= F.col("caption") + units(CAPTION_SLACK), F.col("caption") - units(CAPTION_GAP)).otherwise(F.col("h"))
@@ -295,7 +311,8 @@ def figure_regions(drawings: DataFrame, captions: DataFrame, pages: DataFrame) -
         F.when(F.col("x0").isNull(), "caption_fallback").when(several, "caption+graphics").otherwise("caption").alias("method"),
     )
     least = F.when(F.col("method") == "caption_fallback", F.lit(units(LEAST_FIGURE[1]))).otherwise(F.lit(units(LEAST_FIGURE[1] / 2)))
-    return found.where(F.col("at.bottom") - F.col("at.top") >= least).select(*PAGE, "label", "method", F.array(*(F.col(f"at.{c}") / UNIT for c in BOX)).alias("bbox"), "drawings")
+    given = [F.col(c).cast(captions.schema[c].dataType).alias(c) for c in PAGE]
+    return found.where(F.col("at.bottom") - F.col("at.top") >= least).select(*given, "label", "method", F.array(*(F.col(f"at.{c}") / UNIT for c in BOX)).alias("bbox"), "drawings")
 
 
 def font_titles(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.operators import layout
@@ -89,13 +89,15 @@ SELECT CAST(l_orderkey AS VARCHAR) AS source_file, CASE WHEN right_side THEN 'Fi
 """)
 def figures_from_drawings(spark: SparkSession, d: str) -> DataFrame:
     """Figure regions of orders: a drawing or image for each of six lines, as tall as its quantity, in two groups, with two captions below."""
-    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_quantity", "l_returnflag", "l_partkey")
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 6").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    # lines are brought to their order once, by the name that its page has: all that follows goes by that
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 6 and l_orderkey is not null").withColumn("source_file", F.col("l_orderkey").cast("string"))
+    first = F.min(F.struct("l_quantity", "l_returnflag")).alias("first")
+    firsts = lines.select("source_file", "l_linenumber", "l_quantity", "l_returnflag").repartition("source_file").groupBy("source_file", "l_linenumber").agg(first).select("source_file", "l_linenumber", "first.*")
     right = F.col("l_linenumber") >= 4
     x0 = 60.0 + (F.col("l_linenumber") - 1) % 3 * 70 + F.when(right, 240.0).otherwise(0.0)
-    named = lines.select(F.col("l_orderkey").cast("string").alias("source_file"), F.lit(1).alias("page"), x0.alias("x0"), (300.0 - 2 * F.col("l_quantity")).alias("top"), F.when(F.col("l_returnflag") == "N", "image").otherwise("drawing").alias("kind"))
+    named = firsts.select("source_file", F.lit(1).alias("page"), x0.alias("x0"), (300.0 - 2 * F.col("l_quantity")).alias("top"), F.when(F.col("l_returnflag") == "N", "image").otherwise("drawing").alias("kind"))
     drawings = named.withColumns({"x1": F.col("x0") + 66.0, "bottom": F.lit(310.0)})
-    sheets = named.select("source_file", "page").distinct()
+    sheets = lines.select("source_file").distinct().withColumn("page", F.lit(1))
     captions = sheets.select("source_file", "page", F.explode(F.array(*(F.struct(F.lit(x).alias("x0"), F.lit(x + 180.0).alias("x1"), F.lit(label).alias("label")) for x, label in ((70.0, "Figure 1"), (310.0, "Figure 2"))))).alias("c"))
     captions = captions.select("source_file", "page", "c.*", F.lit(320.0).alias("top"), F.lit(330.0).alias("bottom"))
     found = layout.figure_regions(drawings, captions, sheets.withColumns({"width": F.lit(600.0), "height": F.lit(800.0)}))
